@@ -7,28 +7,53 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from finweave.llm.audio import audio_report
 from finweave.llm.common import read_table
 from finweave.llm.mixing import mix_report
+from finweave.llm.quality import quality_scores
 from finweave.llm.tokencount import token_counts
 from finweave.llm.tokenio import token_output
+from finweave.llm.urlfilter import UrlRule, judge_urls
 
 BPE_FILE = "byte_bpe_50k.json"
 
 
+def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_report(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read_table(spark, sf_dir, "documents"))
 
 
+#: The rules of the query's contract.
+URL_RULES = (
+    UrlRule("allow", "org/"),
+    UrlRule("block", "example.org/es/"),
+    UrlRule("block", "example.org/en/1"),
+    UrlRule("allow", "com/fr/"),
+    UrlRule("block", "com/de/"),
+)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_counts, op7_mixing, op10_token_output)}
+    return {f.__name__: f for f in (op4_audio, op5_token_counts, op6_quality, op7_mixing, op8_url_filter, op10_token_output)}
 
 
 ORACLES: dict[str, str] = {}
