@@ -38,7 +38,7 @@ TAPS = 8  # input samples on each side of an output sample
 FRAME, HOP, FFT = 300, 120, 512
 MELS, PATCH_FRAMES = 24, 32
 STEP_DB = 0.5
-HIGH_DB, LOW_DB = 3.0, -3.0
+HIGH_DB, LOW_DB = 1.0, -1.0
 #: Frames computed at once.
 FRAMES_AT_ONCE = 4096
 WAV_HEAD = 44

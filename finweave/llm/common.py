@@ -81,13 +81,13 @@ def as_large_text(column: pa.Array | pa.ChunkedArray) -> pa.Array:
 PIECE_BYTES = 16_000_000
 
 
-def text_pieces(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+def text_pieces(keys: pa.Array, texts: pa.Array, piece_bytes: int = PIECE_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Slices of a batch's keys and texts with a bounded number of bytes."""
     texts = as_large_text(texts)
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     at, done = 0, 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, done + PIECE_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, done + piece_bytes, "right")))
         yield keys.slice(at, to - at), texts.slice(at, to - at)
         at, done = to, int(ends[to - 1])
 
