@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -77,6 +78,8 @@ def as_large_text(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+#: What ``word_hashes(strip=True)`` takes out of words.
+MARK = re.compile(r"[\W_]+")
 #: Bytes of text that a Python step takes at once (one text at least): bounds a task's memory.
 PIECE_BYTES = 16_000_000
 
@@ -99,26 +102,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: pa.Array, pattern: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, strip: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words of a batch, and each text's offsets into them.
 
-    Words are runs between white space; ``pattern`` names characters (RE2) turned to spaces first.
-    Every distinct word of the batch is hashed once.
+    Words are runs between white space; ``strip`` takes all but letters and digits out of each, and
+    drops words of which nothing is left.  Every distinct word of the batch is hashed once.
     """
-    texts = pc.utf8_lower(as_large_text(texts))
-    if pattern:
-        texts = pc.replace_substring_regex(texts, pattern, " ")
-    lists = pc.utf8_split_whitespace(texts)
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(as_large_text(texts)))
     offsets = np.asarray(lists.offsets, dtype=np.int64)
-    words = lists.values
-    full = np.asarray(pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False), dtype=bool)
-    before = np.concatenate([[0], np.cumsum(full)])
-    offsets = before[offsets]
-    encoded = words.filter(pa.array(full)).dictionary_encode()
+    encoded = lists.values.dictionary_encode()
     dictionary = encoded.dictionary.to_pylist()
+    if strip:
+        dictionary = [w if w.isalnum() else MARK.sub("", w) for w in dictionary]
+    if not dictionary:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, dictionary), dtype=np.uint64, count=len(dictionary))
+    real = np.fromiter(map(bool, dictionary), dtype=bool, count=len(dictionary))
     indices = encoded.indices.to_numpy(zero_copy_only=False)
-    return (hashed[indices] if len(dictionary) else np.zeros(0, np.uint64)), offsets
+    kept = real[indices]
+    before = np.concatenate([[0], np.cumsum(kept)])
+    return hashed[indices[kept]], before[offsets]
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

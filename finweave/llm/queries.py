@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from finweave.llm.audio import audio_report
 from finweave.llm.common import read_table
+from finweave.llm.decontaminate import contaminated
 from finweave.llm.minhash import near_duplicates
 from finweave.llm.mixing import mix_report
 from finweave.llm.quality import quality_scores
@@ -23,6 +24,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_report(read_table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op4_audio, op5_token_counts, op6_quality, op7_mixing, op8_url_filter, op10_token_output)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op4_audio, op5_token_counts, op6_quality, op7_mixing, op8_url_filter, op10_token_output)}
 
 
 ORACLES: dict[str, str] = {}
