@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from finweave.llm.audio import audio_report
 from finweave.llm.common import read_table
 from finweave.llm.decontaminate import contaminated
+from finweave.llm.licenses import license_scan
+from finweave.llm.linededup import line_report
 from finweave.llm.minhash import near_duplicates
 from finweave.llm.mixing import mix_report
 from finweave.llm.quality import quality_scores
@@ -28,6 +30,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_report(read_table(spark, sf_dir, "documents"))
 
@@ -58,12 +64,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op4_audio, op5_token_counts, op6_quality, op7_mixing, op8_url_filter, op10_token_output)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_line_dedup, op4_audio, op5_token_counts, op6_quality, op7_mixing, op8_url_filter, op9_license_scan, op10_token_output)}
 
 
 ORACLES: dict[str, str] = {}
