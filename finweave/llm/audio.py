@@ -105,10 +105,14 @@ def hann() -> np.ndarray:
 
 
 def log_mel(signal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel energies (frames, MELS) in whole steps of ``STEP_DB``, and each frame's energy in dB."""
-    n = max(1, -(-max(0, len(signal) - FRAME) // HOP) + 1)
+    """Log-mel energies (frames, MELS) in whole steps of ``STEP_DB``, and each frame's energy in dB.
+
+    Frame ``i`` is centred at sample ``i * HOP``.
+    """
+    n = len(signal) // HOP + 1
     padded = np.zeros((n - 1) * HOP + FRAME, np.float32)
-    padded[: len(signal)] = signal[: len(padded)]
+    inside = signal[: len(padded) - FRAME // 2]
+    padded[FRAME // 2 : FRAME // 2 + len(inside)] = inside
     frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
     mels, power = np.empty((n, MELS), np.int16), np.empty(n)
     for a in range(0, n, FRAMES_AT_ONCE):
@@ -139,7 +143,7 @@ def patches(mels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = np.full((n * PATCH_FRAMES, MELS), round(10 * np.log10(1e-6) / STEP_DB), np.int16)
     out[: len(mels)] = mels
     start = np.arange(n) * PATCH_FRAMES * HOP * 1000 // RATE
-    end = (np.minimum((np.arange(n) + 1) * PATCH_FRAMES, len(mels)) - 1) * HOP * 1000 // RATE + FRAME * 1000 // RATE
+    end = np.minimum((np.arange(n) + 1) * PATCH_FRAMES, len(mels)) * HOP * 1000 // RATE
     return out.reshape(n, PATCH_FRAMES, MELS).astype(np.float32) * np.float32(STEP_DB), np.column_stack([start, end])
 
 
@@ -159,7 +163,7 @@ def features(payload: bytes) -> tuple[list[tuple[int, int]], bytes]:
     signal = resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128)
     mels, power = log_mel(signal)
     ms = lambda frame: frame * HOP * 1000 // RATE
-    return [(ms(a), ms(b - 1) + FRAME * 1000 // RATE) for a, b in segments(power)], to_tensor_ipc(*patches(mels))
+    return [(ms(a), ms(b)) for a, b in segments(power)], to_tensor_ipc(*patches(mels))
 
 
 MEDIA_SCHEMA = "doc_id {id}, n_bytes long, media binary"

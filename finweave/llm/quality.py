@@ -185,9 +185,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, accept: float = ACCEPT) -> DataFrame:
-    """The rows of ``docs``, with their columns, that the classifier does not reject."""
-    model = train(docs, labels, max_train)
+def quality_filter(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, accept: float = ACCEPT, trained_on: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs``, with their columns, that the classifier does not reject.
+
+    ``trained_on`` holds the texts of the labelled rows where ``docs`` is only a part of them.
+    """
+    model = train(docs if trained_on is None else trained_on, labels, max_train)
     names = tuple(f"_q_{n}" for n in FEATURES)
     stats = statistics(clean_text())
     wide = docs.select("*", *[stats[n].alias(q) for n, q in zip(FEATURES, names)])
