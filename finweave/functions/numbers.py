@@ -1,6 +1,6 @@
 """Numbers as reports print them: grouping and decimal marks of either kind, brackets, percent, OCR slips.
 
-A decision is built in steps on a DataFrame, so each intermediate text is computed once.
+A decision is built in steps, so each intermediate text is computed once.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finweave.functions.text import squeezed
+from finweave.functions.text import squeezed, steps
 
 #: Fixed values.
 MISSING = ("-", "—", "–", "n/a", "na", "null", "none", "", ".")
@@ -25,47 +25,82 @@ def is_numeric_candidate(raw: Column) -> Column:
     return ~is_missing_number(raw) & repaired.rlike("[0-9]") & repaired.rlike(r"^[0-9., +\-()%]+$")
 
 
-def with_number(df: DataFrame, raw: str, value: str = "value_numeric", hint: str = "number_hint", issue: str = "number_issue") -> DataFrame:
-    """Adds the value, the unit hint (percent) and the issue code of a raw text; null text gives nulls."""
-    c = F.col
-    text = c("_n_text")
-    cut = lambda first, less: F.substring(text, F.lit(first), F.length(text) - less)
-    step = df.withColumn("_n_text", squeezed(c(raw))).withColumn("_n_blank", F.lower(text).isin(*MISSING))
-    step = step.withColumn("_n_text", F.when(text.rlike("[0-9].*[Oo]$"), F.concat(cut(1, 1), F.lit("0"))).otherwise(text))
-    step = step.withColumn("_n_text", F.when(text.rlike("[0-9][.,]$"), cut(1, 1)).otherwise(text))
-    step = step.withColumn("_n_hint", F.when(text.endswith("%"), F.lit("percent"))).withColumn("_n_text", F.when(text.endswith("%"), F.trim(cut(1, 1))).otherwise(text))
-    opened, closed = text.startswith("("), text.endswith(")")
-    step = step.withColumn("_n_odd", opened != closed).withColumn("_n_minus", opened & closed)
-    step = step.withColumn("_n_text", F.when(c("_n_minus"), F.trim(cut(2, 2))).otherwise(text))
-    step = step.withColumn("_n_minus", c("_n_minus") | text.startswith("-")).withColumn("_n_text", F.when(text.rlike(r"^[+\-]"), F.trim(cut(2, 1))).otherwise(text))
-    grouped = text.rlike(r"^[0-9]{1,3}( [0-9]{3})+$")
-    step = step.withColumn("_n_spaced", F.contains(text, F.lit(" ")) & ~grouped).withColumn("_n_text", F.when(grouped, F.replace(text, F.lit(" "), F.lit(""))).otherwise(text))
-    dot, comma = F.contains(text, F.lit(".")), F.contains(text, F.lit(","))
-    plain = lambda mark: F.replace(text, F.lit(mark), F.lit(""))
-    # Of one mark alone: groups of three are grouping, one mark with another number of digits is decimal.
+def _cut(text: Column, first: int, less: int) -> Column:
+    return F.substring(text, F.lit(first), F.length(text) - less)
+
+
+def _repaired(text: Column) -> Column:
+    """A last O behind digits is a zero, and one last mark behind a digit goes."""
+    zero = F.when(text.rlike("[0-9].*[Oo]$"), F.concat(_cut(text, 1, 1), F.lit("0"))).otherwise(text)
+    return F.struct(F.lower(text).isin(*MISSING).alias("blank"), zero.alias("text"))
+
+
+def _unmarked(x: Column) -> Column:
+    return F.struct(x["blank"].alias("blank"), F.when(x["text"].rlike("[0-9][.,]$"), _cut(x["text"], 1, 1)).otherwise(x["text"]).alias("text"))
+
+
+def _without_percent(x: Column) -> Column:
+    t = x["text"]
+    hit = t.endswith("%")
+    return F.struct(x["blank"].alias("blank"), F.when(hit & ~x["blank"], F.lit("percent")).alias("hint"), F.when(hit, F.trim(_cut(t, 1, 1))).otherwise(t).alias("text"))
+
+
+def _without_brackets(x: Column) -> Column:
+    t = x["text"]
+    both = t.startswith("(") & t.endswith(")")
+    return F.struct(x["blank"].alias("blank"), x["hint"].alias("hint"), (t.startswith("(") != t.endswith(")")).alias("odd"), both.alias("minus"), F.when(both, F.trim(_cut(t, 2, 2))).otherwise(t).alias("text"))
+
+
+def _without_sign(x: Column) -> Column:
+    t = x["text"]
+    return F.struct(x["blank"].alias("blank"), x["hint"].alias("hint"), x["odd"].alias("odd"), (x["minus"] | t.startswith("-")).alias("minus"), F.when(t.rlike(r"^[+\-]"), F.trim(_cut(t, 2, 1))).otherwise(t).alias("text"))
+
+
+def _without_spaces(x: Column) -> Column:
+    t = x["text"]
+    grouped = t.rlike(r"^[0-9]{1,3}( [0-9]{3})+$")
+    odd_spaces = F.contains(t, F.lit(" ")) & ~grouped
+    return F.struct(x["blank"].alias("blank"), x["hint"].alias("hint"), x["odd"].alias("odd"), x["minus"].alias("minus"), odd_spaces.alias("spaced"), F.when(grouped, F.replace(t, F.lit(" "), F.lit(""))).otherwise(t).alias("text"))
+
+
+def _decided(x: Column) -> Column:
+    """Of one mark alone: groups of three are grouping, one mark with another number of digits is decimal.  Of both the last is decimal."""
+    t = x["text"]
+    dot, comma = F.contains(t, F.lit(".")), F.contains(t, F.lit(","))
+    plain = lambda mark: F.replace(t, F.lit(mark), F.lit(""))
     number = (
-        F.when(~dot & ~comma, text)
-        .when(~comma & text.rlike(r"^[0-9]{1,3}(\.[0-9]{3})+$"), plain("."))
-        .when(~comma & text.rlike(r"^[0-9]+\.([0-9]{1,2}|[0-9]{4,})$"), text)
-        .when(~dot & text.rlike(r"^[0-9]{1,3}(,[0-9]{3})+$"), plain(","))
-        .when(~dot & text.rlike(r"^[0-9]+,([0-9]{1,2}|[0-9]{4,})$"), F.replace(text, F.lit(","), F.lit(".")))
-        .when(dot & comma & text.rlike(r"^[0-9]{1,3}(\.[0-9]{3})*,[0-9]{1,2}$"), F.replace(plain("."), F.lit(","), F.lit(".")))
-        .when(dot & comma & text.rlike(r"^[0-9]{1,3}(,[0-9]{3})*\.[0-9]{1,2}$"), plain(","))
+        F.when(~dot & ~comma, t)
+        .when(~comma & t.rlike(r"^[0-9]{1,3}(\.[0-9]{3})+$"), plain("."))
+        .when(~comma & t.rlike(r"^[0-9]+\.([0-9]{1,2}|[0-9]{4,})$"), t)
+        .when(~dot & t.rlike(r"^[0-9]{1,3}(,[0-9]{3})+$"), plain(","))
+        .when(~dot & t.rlike(r"^[0-9]+,([0-9]{1,2}|[0-9]{4,})$"), F.replace(t, F.lit(","), F.lit(".")))
+        .when(dot & comma & t.rlike(r"^[0-9]{1,3}(\.[0-9]{3})*,[0-9]{1,2}$"), F.replace(plain("."), F.lit(","), F.lit(".")))
+        .when(dot & comma & t.rlike(r"^[0-9]{1,3}(,[0-9]{3})*\.[0-9]{1,2}$"), plain(","))
     )
-    step = step.withColumn("_n_number", number)
     code = (
-        F.when(c(raw).isNull(), F.lit(None))
-        .when(c("_n_blank"), F.lit("number_missing"))
-        .when(c("_n_odd"), F.lit("number_invalid"))
-        .when(text == "", F.lit("number_missing"))
-        .when(~text.rlike("^[0-9., ]+$") | c("_n_spaced"), F.lit("number_invalid"))
-        .when(c("_n_number").isNotNull(), F.lit(None))
-        .when(~comma & text.rlike(r"\..*\."), F.lit("number_invalid"))
+        F.when(x["blank"], F.lit("number_missing"))
+        .when(x["odd"], F.lit("number_invalid"))
+        .when(t == "", F.lit("number_missing"))
+        .when(~t.rlike("^[0-9., ]+$") | x["spaced"], F.lit("number_invalid"))
+        .when(number.isNotNull(), F.lit(None).cast("string"))
+        .when(~comma & t.rlike(r"\..*\."), F.lit("number_invalid"))
         .otherwise(F.lit("number_ambiguous"))
     )
-    step = step.withColumn(issue, code)
-    parsed = c("_n_number").try_cast(VALUE_TYPE)
-    parsed = F.when(c(issue).isNull() & c(raw).isNotNull(), F.when(c("_n_minus"), -parsed).otherwise(parsed))
-    hinted = F.when(~c("_n_blank"), c("_n_hint"))
-    step = step.withColumn(value, parsed.cast(VALUE_TYPE)).withColumn(hint, hinted)
-    return step.drop("_n_text", "_n_blank", "_n_hint", "_n_odd", "_n_minus", "_n_spaced", "_n_number")
+    return F.struct(number.alias("number"), x["minus"].alias("minus"), x["hint"].alias("unit_hint"), code.alias("issue_code"))
+
+
+def _valued(x: Column) -> Column:
+    parsed = F.when(x["issue_code"].isNull(), x["number"].try_cast(VALUE_TYPE))
+    return F.struct(F.when(x["minus"], -parsed).otherwise(parsed).cast(VALUE_TYPE).alias("value"), x["unit_hint"].alias("unit_hint"), x["issue_code"].alias("issue_code"))
+
+
+def parse_number(raw: Column) -> Column:
+    """Struct of value, unit_hint (percent) and issue_code; null text gives null."""
+    found = steps(squeezed(raw), _repaired, _unmarked, _without_percent, _without_brackets, _without_sign, _without_spaces, _decided, _valued)
+    return F.when(raw.isNotNull(), found)
+
+
+def with_number(df: DataFrame, raw: str, value: str = "value_numeric", hint: str = "number_hint", issue: str = "number_issue") -> DataFrame:
+    """Adds the fields of a raw text's decision as columns."""
+    out = df.withColumn("_number_decision", parse_number(F.col(raw)))
+    return out.withColumns({value: F.col("_number_decision.value"), hint: F.col("_number_decision.unit_hint"), issue: F.col("_number_decision.issue_code")}).drop("_number_decision")

@@ -46,6 +46,18 @@ unescape_html = _mapped(html.unescape)
 strip_accents = _mapped(lambda v: "".join(c for c in unicodedata.normalize("NFKD", v.replace("đ", "d").replace("Đ", "D")) if not unicodedata.combining(c)))
 
 
+def steps(value: Column, *each) -> Column:
+    """Applies functions one after another; what a step makes is computed once, however often the next reads it.
+
+    Chained columns would be written out in full wherever a filter is pushed through them; the value
+    of a lambda is not.
+    """
+    out = F.array(value)
+    for f in each:
+        out = F.transform(out, f)
+    return F.get(out, F.lit(0))
+
+
 def squeezed(text: Column) -> Column:
     """White space of any script runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from finweave.functions.text import squeezed
+from finweave.functions.text import squeezed, steps
 
 #: Fixed values.
 MULTIPLIERS = {"VND": "1", "VND_thousand": "1000", "VND_million": "1000000", "VND_billion": "1000000000", "percent": "0.01", "ratio": "1"}
@@ -62,16 +60,25 @@ def resolve_unit(cell_hint: Column, column_raw: Column, column_key: Column, tabl
     A column counts only where its raw text holds a unit word.  Of several units, percent or ratio of
     the cell wins, then of the column; other mixtures conflict.
     """
-    from_cell = normalize_unit(cell_hint)
     counted = F.when(F.coalesce(column_raw.rlike(EVIDENCE), F.lit(False)), column_key)
-    from_column, from_table = normalize_unit(counted), normalize_unit(table_key)
-    units = F.array_distinct(F.array_compact(F.array(from_cell, from_column, from_table)))
-    unknown = reduce(lambda a, b: a | b, [F.coalesce(unit_issue(k) == "unit_unknown", F.lit(False)) for k in (cell_hint, counted, table_key)])
-    plain = lambda c: F.when(c.isin(*PLAIN), c)
+    keys = F.array(cell_hint, counted, table_key, column_key)
+    known = F.transform(keys, lambda k: F.struct(normalize_unit(k).alias("unit"), F.coalesce(unit_issue(k).isNotNull(), F.lit(False)).alias("unknown")))
+    return steps(known, _told, _resolved)
+
+
+def _told(known: Column) -> Column:
+    """Of cell, counted column, table and plain column: the distinct units, and what may decide between them."""
+    of = lambda i: F.get(known, F.lit(i))
+    three = F.slice(known, 1, 3)
+    units = F.array_distinct(F.filter(F.transform(three, lambda x: x["unit"]), lambda u: u.isNotNull()))
+    return F.struct(units.alias("units"), of(0)["unit"].alias("cell"), of(3)["unit"].alias("column"), F.exists(three, lambda x: x["unknown"]).alias("unknown"))
+
+
+def _resolved(x: Column) -> Column:
+    plain = lambda u: F.when(u.isin(*PLAIN) & F.array_contains(x["units"], u), u)
     # Of a mixture the column's own unit counts even where its text gave no evidence.
-    winner = F.when(F.exists(units, lambda u: u.isin(*PLAIN)), F.coalesce(F.when(F.array_contains(units, from_cell), plain(from_cell)), F.when(F.array_contains(units, normalize_unit(column_key)), plain(normalize_unit(column_key)))))
-    value = F.when(F.size(units) == 1, F.get(units, F.lit(0))).when(F.size(units) > 1, winner)
-    issue = F.when((F.size(units) > 1) & value.isNull(), F.lit("unit_conflict")).when((F.size(units) == 0) & unknown, F.lit("unit_unknown"))
+    value = F.when(F.size(x["units"]) == 1, F.get(x["units"], F.lit(0))).when(F.size(x["units"]) > 1, F.coalesce(plain(x["cell"]), plain(x["column"])))
+    issue = F.when((F.size(x["units"]) > 1) & value.isNull(), F.lit("unit_conflict")).when((F.size(x["units"]) == 0) & x["unknown"], F.lit("unit_unknown"))
     return F.struct(value.alias("value"), issue.alias("issue_code"))
 
 
