@@ -9,22 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finweave.functions import ids
-from finweave.operators.extraction import extract_tables, placements_of
+from finweave.operators.extraction import cells_of, extract_tables, placements_of, tables_of
 from finweave.operators.ledger import duplicate_occurrences, occurrence_violations, occurrences, orphans, repeated, stacked, status_counts, violations
-from finweave.operators.normalization import ISSUE_FIELDS, normalize_extraction
+from finweave.operators.normalization import ISSUE_FIELDS, issues_of, normalize_cells, normalize_tables
 from finweave.sources.files import build_inventory, read_verified
-from finweave.sources.tables import ORDER, RELEASE, ContractError, shaped, table_fingerprint
+from finweave.sources.tables import ORDER, RELEASE, ContractError, shaped, staged, table_fingerprint
 
 RULESET = "1"
 
 
 def build_tables(spark: SparkSession, root: str, inventory: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The six tables of a release, lazily."""
-    documents = (inventory if inventory is not None else build_inventory(spark, root)[0]).cache()
+    """The six tables of a release; what several of them need is written once."""
+    documents = staged(inventory if inventory is not None else build_inventory(spark, root)[0], "inventory")
     ready = documents.where("inventory_status = 'ready'")
-    extracted = extract_tables(read_verified(spark, root, ready)).cache()
-    tables, cells, issues = normalize_extraction(extracted, ready)
-    own = occurrences(extracted, ready)
+    extracted = staged(extract_tables(read_verified(spark, root, ready)), "extracted")
+    tables = staged(normalize_tables(tables_of(extracted), ready), "tables")
+    cells = staged(normalize_cells(cells_of(extracted), tables), "cells")
+    issues = issues_of(tables, cells)
+    own = staged(occurrences(extracted, ready), "occurrences")
     fingerprint = F.sha2(F.concat_ws("|", F.lit(RULESET), "doc_id"), 256)
     return {
         "documents": shaped(ready.withColumns({"ruleset_version": F.lit(RULESET), "normalization_fingerprint": fingerprint}), "documents"),

@@ -18,14 +18,33 @@ BOM = "EFBBBF"
 YEARS = (1900, 2100)
 
 
+def _empty_files(spark: SparkSession, root: str) -> list[tuple[str]]:
+    """Files without bytes, which Spark's readers leave out of their splits; names only."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0:
+            out.append((f.getPath().toString(), f.getModificationTime()))
+    return out
+
+
+def relative(path: Column, root: str) -> Column:
+    """What stands behind the root in a decoded file URI."""
+    base = F.lit(root.rstrip("/").split("://")[-1].removeprefix("file:"))
+    plain = F.regexp_replace(path, r"^[a-z0-9]+:/*(?=/)", "")
+    return F.substring(plain, F.instr(plain, base) + F.length(base) + 1, F.lit(2**31 - 1))
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """relative_path, length, content of every .txt below ``root``, any case of the suffix."""
+    """relative_path, length, content, modificationTime of every .txt below ``root``, any case of the suffix."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/").split("://")[-1].removeprefix("file:"))
-    path = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/*(?=/)", "")
-    path = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    relative = F.substring(path, F.instr(path, base) + F.length(base) + 1, F.lit(2**31 - 1))
-    return files.select(relative.alias("relative_path"), "length", "content", "modificationTime").where(F.lower("relative_path").endswith(".txt"))
+    decoded = F.try_url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    rows = files.where(F.col("length") > 0).select(relative(decoded, root).alias("relative_path"), "length", "content", "modificationTime")
+    empty = spark.createDataFrame(_empty_files(spark, root), "path string, ms long")
+    rows = rows.unionByName(empty.select(relative(F.col("path"), root).alias("relative_path"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"), F.timestamp_millis("ms").alias("modificationTime")))
+    return rows.where(F.lower("relative_path").endswith(".txt"))
 
 
 def parse_path(path: Column) -> dict[str, Column]:

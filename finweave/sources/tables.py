@@ -6,6 +6,7 @@ import csv
 import io
 import json
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,22 @@ class ContractError(ValueError):
     """An input that breaks its contract."""
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table that several later steps read, and reads it back.
+
+    It goes to the session's shared folder (``spark.checkpoint.dir``; a local one only where the
+    session names none), so it survives lost executors and keeps later plans small.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="finweave-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/finweave/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def canonical_json(value: object) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
