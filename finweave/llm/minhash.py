@@ -257,8 +257,8 @@ def find_links(docs: DataFrame, signed: DataFrame, weighted: bool = False) -> Da
     hubs = hubs.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").where(may_be_similar("a", "b"))
     hubs = materialize(hubs.select("a", "b", (differing("a", "b") / (F.col("a_n") + F.col("b_n"))).alias("differ")), "hub-pairs")
     # Whole sets of the nodes that met another one; the text's own digest tells rows apart that share an id.
-    wanted = members.select("node").distinct().join(stood_by, "node").select("doc_id", F.col("node").alias("w_node"))
-    texts = docs.select("doc_id", clean_text().alias("text")).join(wanted.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    wanted = members.select("node").distinct().join(stood_by, "node").select(F.col("doc_id").alias("w_doc")).distinct()
+    texts = docs.select("doc_id", clean_text().alias("text")).join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("w_doc")), "left_semi")
     sets = texts.select("text").mapInArrow(lambda it: set_batches(it, weighted), "node long, set array<long>")
     # A second row with an id that stands for a node may bring a set that another row brings too.
     sets = materialize(sets.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")

@@ -129,6 +129,12 @@ def test_near_duplicates_equal_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_near_duplicates_without_ids(spark):
+    text = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = spark.createDataFrame([(None, text), (None, text + " end"), (1, "other words are in this text here")], "doc_id long, text string")
+    assert sorted(r["class_rows"] for r in minhash.near_duplicates(rows).collect()) == [1, 2, 2]
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(4)
     a = rng.integers(1, 2**63, 300).astype(np.uint64)
