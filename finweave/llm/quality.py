@@ -191,7 +191,13 @@ def quality_filter(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
     ``trained_on`` holds the texts of the labelled rows where ``docs`` is only a part of them.
     """
     model = train(docs if trained_on is None else trained_on, labels, max_train)
-    names = tuple(f"_q_{n}" for n in FEATURES)
+    taken, prefix = {c.lower() for c in docs.columns}, "_q"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    names, score = tuple(f"{prefix}_{n}" for n in FEATURES), f"{prefix}_score"
     stats = statistics(clean_text())
-    wide = docs.select("*", *[stats[n].alias(q) for n, q in zip(FEATURES, names)])
-    return wide.where(model.column(names) >= accept).drop(*names)
+    wide = docs.select("*", *[stats[n].alias(c) for n, c in zip(FEATURES, names)])
+    # A filter on a projected score is pushed below the statistics, which are then computed once for
+    # each rule that reads them; it stays above a generator.
+    scored = wide.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(model.column(names))).alias(score))
+    return scored.where(F.col(score) >= accept).drop(score)
