@@ -25,6 +25,8 @@ from finweave.llm.common import as_large_text
 
 #: Chunks that a worker remembers; beyond this it starts anew.
 CACHE_CHUNKS = 500_000
+#: Bytes of text encoded at once: fewer pieces look the same chunks up less often.
+ENCODE_BYTES = 16_000_000
 #: ASCII marks that follow a word as one piece; the apostrophe starts contractions and is left out.
 MARKS = string.punctuation.replace("'", "")
 

@@ -81,11 +81,11 @@ def as_large_text(column: pa.Array | pa.ChunkedArray) -> pa.Array:
 #: What ``word_hashes(strip=True)`` takes out of words.
 MARK = re.compile(r"[\W_]+")
 #: Bytes of text that a Python step takes at once (one text at least): bounds a task's memory.
-PIECE_BYTES = 16_000_000
+PIECE_BYTES = 4_000_000
 
 
 def text_pieces(keys: pa.Array, texts: pa.Array, piece_bytes: int = PIECE_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Slices of a batch's keys and texts with a bounded number of bytes."""
+    """Slices of a batch's keys and texts with a bounded number of bytes; Arrow's free memory goes back after a batch."""
     texts = as_large_text(texts)
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     at, done = 0, 0
@@ -93,6 +93,8 @@ def text_pieces(keys: pa.Array, texts: pa.Array, piece_bytes: int = PIECE_BYTES)
         to = max(at + 1, int(np.searchsorted(ends, done + piece_bytes, "right")))
         yield keys.slice(at, to - at), texts.slice(at, to - at)
         at, done = to, int(ends[to - 1])
+    # Workers outlive their tasks, and what a pool keeps counts against the executor.
+    pa.default_memory_pool().release_unused()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

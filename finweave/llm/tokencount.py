@@ -35,7 +35,7 @@ def encode_misses(batches: Iterator[pa.RecordBatch], path: str, version: str) ->
     """(digest, text) to rows of the cache."""
     enc = bpe.encoder(path)
     for batch in batches:
-        for digests, texts in text_pieces(batch.column("digest"), batch.column("text")):
+        for digests, texts in text_pieces(batch.column("digest"), batch.column("text"), bpe.ENCODE_BYTES):
             counts = pa.array(enc.count(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(texts), pa.string()), digests.cast(pa.binary()), counts], names=["tokenizer", "digest", "n_tokens"])
 

@@ -54,7 +54,7 @@ def write_shard(batches: Iterator[pa.RecordBatch], out_dir: str, tokenizer_path:
     name, temp = f"{root}/{shard:06d}.tok", f"{root}/.{shard:06d}.{uuid.uuid4().hex}"
     out, lengths, keys, nulls = None, [], [], 0
     for batch in batches:
-        for doc_ids, texts in text_pieces(batch.column("doc_id"), batch.column("text")):
+        for doc_ids, texts in text_pieces(batch.column("doc_id"), batch.column("text"), bpe.ENCODE_BYTES):
             if out is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(temp)
