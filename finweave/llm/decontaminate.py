@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare word n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word n-gram seeds, then Smith-Waterman alignment.
 
 Benchmark items are taken in blocks of at most ``BLOCK_WORDS`` words, so what is sent to the tasks
-has a fixed bound; larger benchmarks take more passes.  For a block, a first pass counts how often
-each of its n-grams stands in the corpus.  Those that are rare join passages to items: of each item
-the n-grams up to ``RARE`` hits, or up to 1.5 times the item's median where the item itself is
-common, so an item that leaked into many documents keeps its seeds.  A second pass aligns, around
-each seed, the item with the document's words; edits, gaps and replaced words lower the score but do
-not break it.  Both passes are narrow: no text is shuffled.
+has a fixed bound; larger benchmarks take more passes.  A pass looks up every n-gram of a block in
+the documents, however often it stands there, and aligns the item with the document's words around
+each hit; edits, gaps and replaced words lower the score but do not break it.  No seed is left out:
+a window that holds too few of the item's words to reach ``accept`` is ruled out by that bound, and
+equal windows of a piece are aligned once.  A pass is narrow: no text is shuffled.
 
 A score is the alignment's over that of a perfect copy, from 0 to 1; ``ACCEPT`` and above counts.
 Words are lower-cased and stripped of marks.
@@ -25,18 +24,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from finweave.llm.common import clean_text, shingle_hashes, text_pieces, word_hashes
 
 SEED_WORDS = 3
-RARE = 32
 ACCEPT = 0.5
 MATCH, MISS, GAP = 2, -1, -1
 #: Words of benchmark items that one pass holds (8 bytes each, with their seeds about 40).
 BLOCK_WORDS = 1_000_000
 #: Cells of the alignment computed at once.
 CELLS = 2_000_000
+#: Hits with their items that are windowed at once (those of one text at least).
+HITS = 500_000
 
 
 @dataclass
@@ -49,9 +48,6 @@ class Block:
     item: np.ndarray
     place: np.ndarray
 
-    def only(self, kept: np.ndarray) -> Block:
-        return Block(self.ids, self.words, self.seeds[kept], self.item[kept], self.place[kept])
-
 
 def build_block(ids: list, texts: list[str | None]) -> Block:
     words, offsets = word_hashes(pa.array(texts, pa.large_string()), strip=True)
@@ -87,34 +83,6 @@ def _hits(shingles: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return found, at[found]
 
 
-def count_batches(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(len(block.seeds), np.int64)
-    for batch in batches:
-        for _, texts in text_pieces(batch.column("text"), batch.column("text")):
-            shingles, _ = shingle_hashes(*word_hashes(texts, strip=True), SEED_WORDS)
-            total += np.bincount(_hits(shingles, block.seeds)[1], minlength=len(total))
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["seed", "hits"])
-
-
-def rare_seeds(docs: DataFrame, block: Block) -> Block:
-    """The block with the seeds that are rare in the whole corpus, or rare for their item."""
-    counted = docs.select(clean_text().alias("text")).mapInArrow(lambda it: count_batches(it, block), "seed long, hits long")
-    hits = np.zeros(len(block.seeds), np.int64)
-    for row in counted.groupBy("seed").agg(F.sum("hits").alias("hits")).collect():  # as many rows as the block has seeds
-        hits[row["seed"]] = row["hits"]
-    if not len(hits):
-        return block
-    # Seeds of equal hash stand together; the first was counted for all.
-    first = np.searchsorted(block.seeds, block.seeds, "left")
-    hits = hits[first]
-    order = np.lexsort((hits, block.item))
-    start = np.searchsorted(block.item[order], np.arange(len(block.ids)), "left")
-    end = np.searchsorted(block.item[order], np.arange(len(block.ids)), "right")
-    middle = np.array([hits[order[(a + b) // 2]] if b > a else 0 for a, b in zip(start, end)])
-    return block.only(hits <= np.maximum(RARE, 1.5 * middle[block.item]))
-
-
 def align(item: np.ndarray, windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Smith-Waterman scores of an item against windows, and the word each best alignment ends at.
 
@@ -161,6 +129,21 @@ def find_matches(words: np.ndarray, offsets: np.ndarray, block: Block, accept: f
     place = found - shingle_offsets[text]
     # A seed may stand in several items.
     same = np.searchsorted(block.seeds, block.seeds[seed], "right") - seed
+    total = np.cumsum(same)
+    out, at, done = [], 0, 0
+    while at < len(found):
+        to = int(np.searchsorted(total, done + HITS, "right"))
+        if to < len(found):
+            # Back to the border of a text, or on to the end of the only one.
+            border = int(np.searchsorted(text, text[to], "left"))
+            to = border if border > at else int(np.searchsorted(text, text[at], "right"))
+        part = slice(at, to)
+        out += _match_hits(words, offsets, block, accept, text[part], place[part], seed[part], same[part])
+        at, done = to, int(total[to - 1])
+    return out
+
+
+def _match_hits(words: np.ndarray, offsets: np.ndarray, block: Block, accept: float, text: np.ndarray, place: np.ndarray, seed: np.ndarray, same: np.ndarray) -> list[tuple[int, int, float, int]]:
     text, place = np.repeat(text, same), np.repeat(place, same)
     seed = np.repeat(seed, same) + np.arange(same.sum()) - np.repeat(np.cumsum(same) - same, same)
     item = block.item[seed]
@@ -180,13 +163,20 @@ def find_matches(words: np.ndarray, offsets: np.ndarray, block: Block, accept: f
     text, item, begin, end = text[start], item[start], begin[start], (reach - base)[last]
     best: dict[tuple[int, int], tuple[float, int]] = {}
     for i in np.unique(item):
-        mine = np.flatnonzero(item == i)
+        mine = np.arange(np.searchsorted(item, i, "left"), np.searchsorted(item, i, "right"))
+        size = len(block.words[i])
         windows = [words[offsets[text[m]] + begin[m] : offsets[text[m]] + end[m]] for m in mine]
-        scores, ends = align(block.words[i], windows)
-        for m, score, at in zip(mine, scores / (MATCH * len(block.words[i])), ends):
-            key = (int(text[m]), int(i))
+        # A score is at most MATCH for each of the window's words that the item has.
+        known = np.add.reduceat(np.isin(np.concatenate(windows), block.words[i]), np.cumsum([0, *map(len, windows[:-1])]), dtype=np.int64)
+        enough = np.flatnonzero(known / size >= accept)
+        # Equal passages are aligned once.
+        number: dict[bytes, int] = {}
+        which = [number.setdefault(windows[k].tobytes(), len(number)) for k in enough]
+        scores, ends = align(block.words[i], [np.frombuffer(w, np.uint64) for w in number])
+        for m, n in zip(mine[enough], which):
+            key, score = (int(text[m]), int(i)), scores[n] / (MATCH * size)
             if score >= accept and (key not in best or score > best[key][0]):
-                best[key] = (float(score), int(begin[m] + at))
+                best[key] = (float(score), int(begin[m] + ends[n]))
     return [(t, i, s, e) for (t, i), (s, e) in sorted(best.items())]
 
 
@@ -223,8 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, accept: float = ACCEPT)
     item_type = _arrow_type(spark, benchmark, "item_id")
     out = None
     for block in blocks(benchmark):
-        rare = rare_seeds(docs, block)
-        part = docs.select("doc_id", clean_text().alias("text")).mapInArrow(lambda it, b=rare: match_batches(it, b, accept, item_type), schema)
+        part = docs.select("doc_id", clean_text().alias("text")).mapInArrow(lambda it, b=block: match_batches(it, b, accept, item_type), schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -233,6 +222,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, accept: float = ACCEPT)
     """The rows of ``docs``, with all columns, that hold no benchmark item."""
     out = docs
     for block in blocks(benchmark):
-        rare = rare_seeds(docs, block)
-        out = out.mapInArrow(lambda it, b=rare: drop_batches(it, b, accept), docs.schema)
+        out = out.mapInArrow(lambda it, b=block: drop_batches(it, b, accept), docs.schema)
     return out

@@ -176,6 +176,43 @@ def test_decontamination_finds_edited_copies(spark):
     assert decontaminate.contaminated(hot, bench).count() == 200
 
 
+def test_decontamination_finds_edited_copies_that_are_copied(spark):
+    rng = random.Random(9)
+    item = words(rng, 40).split()
+    edited = " ".join(w if k % 5 else "changed" for k, w in enumerate(item))
+    bench = spark.createDataFrame([(5, " ".join(item)), (6, words(rng, 40))], "item_id long, text string")
+    for n in (33, 1000):
+        texts = [f"{words(rng, 20)} {edited} {words(rng, 20)}" for _ in range(n)]
+        # Exact copies beside them, and texts that share one run of words only.
+        texts += [" ".join(item)] + [f"{words(rng, 30)} {' '.join(item[3:8])} {words(rng, 30)}" for _ in range(50)]
+        data = docs(spark, texts)
+        got = decontaminate.contaminated(data, bench).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 5) for i in range(n + 1)}
+        assert decontaminate.decontaminate(data, bench).count() == 50
+
+
+def test_decontamination_equals_aligning_all(monkeypatch):
+    rng = random.Random(10)
+    vocabulary = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 120))) for _ in range(60)]
+    block = decontaminate.build_block([1, 2], [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (6, 9)])
+    words_, offsets = decontaminate.word_hashes(pa.array(texts), strip=True)
+    seeds = set(block.seeds.tolist())
+    want = {}
+    for t, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
+        for i, item in enumerate(block.words):
+            own = set(block.seeds[block.item == i].tolist()) & seeds
+            shared, _ = decontaminate.shingle_hashes(words_[a:b], np.array([0, b - a]), 3)
+            if own & set(shared.tolist()):
+                want[t, i] = brute_align(item, words_[a:b]) / (2 * len(item))
+    got = {}
+    for hits in (1, 50, 500_000):
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        got[hits] = decontaminate.find_matches(words_, offsets, block, 0.8)
+    assert got[1] == got[50] == got[500_000]
+    assert {(t, i): s for t, i, s, _ in got[1]} == {k: s for k, s in want.items() if s >= 0.8}
+
+
 def test_line_dedup(spark):
     rng = random.Random(6)
     own = [words(rng, 12) for _ in range(30)]
