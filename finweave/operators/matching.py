@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from math import lcm
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,8 +35,8 @@ def containing_table(candidates: DataFrame, tables: DataFrame) -> DataFrame:
 def best_assignment(pairs: list[tuple[str, str, int, int, int, int]]) -> dict[str, str]:
     """annotation -> table with the greatest (exact spans, overlap shares, -distance), then the smallest tables in annotation order.
 
-    Each connected part is solved alone by dynamic programming over its annotations with the set of
-    used tables as state, which is exact.
+    Each connected part is solved alone as an assignment problem over integers, which is exact and
+    takes time with the cube of the part's size.
     """
     gain = {(a, t): (exact, Fraction(over, span), -dist) for a, t, exact, over, span, dist in pairs}
     options: dict[str, list[str]] = {}
@@ -50,31 +51,62 @@ def best_assignment(pairs: list[tuple[str, str, int, int, int, int]]) -> dict[st
             more = {a for a in left if tables & set(options[a])}
             grown, part = more != part, more
         left -= part
-        # States: used tables -> (gain, choices); choices compare as the tuple of table ids, none last.
-        states: dict[frozenset, tuple] = {frozenset(): ((0, Fraction(0), 0), ())}
-        for a in sorted(part):
-            following: dict[frozenset, tuple] = {}
-            for used, (total, chosen) in states.items():
-                for t in [*options[a], None]:
-                    if t in used:
-                        continue
-                    g = gain[a, t] if t else (0, Fraction(0), 0)
-                    state = (used | {t}) if t else used
-                    entry = (tuple(x + y for x, y in zip(total, g)), (*chosen, t or ""))
-                    known = following.get(state)
-                    if known is None or entry[0] > known[0] or (entry[0] == known[0] and _earlier(entry[1], known[1])):
-                        following[state] = entry
-            states = following
-        best = None
-        for entry in states.values():
-            if best is None or entry[0] > best[0] or (entry[0] == best[0] and _earlier(entry[1], best[1])):
-                best = entry
-        out |= {a: t for a, t in zip(sorted(part), best[1]) if t}
+        rows, columns = sorted(part), sorted(tables)
+        chosen = _cheapest(_costs(rows, columns, gain))
+        out |= {a: columns[c] for a, c in zip(rows, chosen) if c < len(columns)}
     return out
 
 
-def _earlier(a: tuple, b: tuple) -> bool:
-    return [(t == "", t) for t in a] < [(t == "", t) for t in b]
+def _costs(rows: list[str], columns: list[str], gain: dict[tuple[str, str], tuple[int, Fraction, int]]) -> list[list[int]]:
+    """Costs of each row's tables and of staying without one (as many columns more as rows).
+
+    A cost is one integer of digits: exact spans, shares, distances, then the rank of the row's
+    table; each digit's base is above any sum of it.
+    """
+    own = {(a, t): gain[a, t] for a in rows for t in columns if (a, t) in gain}
+    common = lcm(*(share.denominator for _, share, _ in own.values()))
+    shares = 1 + sum(int(share * common) for _, share, _ in own.values())
+    distances = 1 - sum(minus for *_, minus in own.values())
+    ranks = len(columns) + 1
+    order = ranks ** len(rows)
+    costs = []
+    for k, a in enumerate(rows):
+        place = ranks ** (len(rows) - 1 - k)
+        costs.append([r * place - ((own[a, t][0] * shares + int(own[a, t][1] * common)) * distances + own[a, t][2]) * order if (a, t) in own else None for r, t in enumerate(columns)] + [len(columns) * place] * len(rows))
+    never = 1 + 2 * sum(max(abs(c) for c in row if c is not None) for row in costs)
+    return [[never if c is None else c for c in row] for row in costs]
+
+
+def _cheapest(costs: list[list[int]]) -> list[int]:
+    """The column of each row in the cheapest assignment (Hungarian method; columns at least as many as rows)."""
+    n, m = len(costs), len(costs[0])
+    of_row, of_column = [0] * (n + 1), [0] * (m + 1)
+    held, way = [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        held[0], at = i, 0
+        least: list[int | None] = [None] * (m + 1)
+        seen = [False] * (m + 1)
+        while held[at]:
+            seen[at] = True
+            row, delta, to = held[at], None, 0
+            for j in range(1, m + 1):
+                if seen[j]:
+                    continue
+                slack = costs[row - 1][j - 1] - of_row[row] - of_column[j]
+                if least[j] is None or slack < least[j]:
+                    least[j], way[j] = slack, at
+                if delta is None or least[j] < delta:
+                    delta, to = least[j], j
+            for j in range(m + 1):
+                if seen[j]:
+                    of_row[held[j]] += delta
+                    of_column[j] -= delta
+                elif j:
+                    least[j] -= delta
+            at = to
+        while at:
+            held[at], at = held[way[at]], way[at]
+    return [j - 1 for _, j in sorted((held[j], j) for j in range(1, m + 1) if held[j])]
 
 
 def _assign(group: pd.DataFrame) -> pd.DataFrame:

@@ -143,7 +143,9 @@ query("audit_cells", "cels", "tabs", "docs", sql=f"SELECT cell_id, table_id FROM
     lambda c, t, d: gate.pick_cells(c.select("cell_id", "table_id").join(t.select("table_id", "doc_id", "statement_type"), "table_id").join(d, "doc_id")).select("cell_id", "table_id")
 )
 query("interval_overlap", "ann", "tabs", sql="SELECT ann.doc_id, annotation_id, table_id, CAST(ann.line_start = tabs.line_start AND ann.line_end = tabs.line_end AS INT) AS exact, CAST(least(ann.line_end, tabs.line_end) - greatest(ann.line_start, tabs.line_start) + 1 AS BIGINT) AS overlap, CAST(ann.line_end - ann.line_start + 1 AS BIGINT) AS span, CAST(abs(ann.line_start - tabs.line_start) + abs(ann.line_end - tabs.line_end) AS BIGINT) AS distance FROM ann JOIN tabs ON ann.doc_id = tabs.doc_id AND ann.line_start <= tabs.line_end AND tabs.line_start <= ann.line_end")(matching.overlapping_pairs)
-#: Annotations of their own tables only, so that the solver's parts stay small.
+#: All overlaps compete; no SQL states the best assignment.
+query("table_assignment_all", "ann", "tabs")(lambda a, t: matching.assign_tables(matching.overlapping_pairs(a, t)))
+#: As its SQL: annotations of their own tables only.
 query("table_assignment", "ann", "tabs")(lambda a, t: matching.assign_tables(matching.overlapping_pairs(a, t).where(F.substring_index("annotation_id", "_", -1) == F.substring_index("table_id", "_", -1))))
 SQL["table_assignment"] = f"WITH ann AS ({VIEWS['ann']}), tabs AS ({VIEWS['tabs']}) SELECT ann.doc_id, annotation_id, table_id, CAST(least(ann.line_end, tabs.line_end) - greatest(ann.line_start, tabs.line_start) + 1 AS BIGINT) AS overlap, CAST(ann.line_end - ann.line_start + 1 AS BIGINT) AS span FROM ann JOIN tabs ON replace(annotation_id, 'ann_', '') = replace(table_id, 'tbl_', '') WHERE ann.line_start <= tabs.line_end AND tabs.line_start <= ann.line_end"
 ASSESSED = "SELECT table_id, doc_id, statement_type, source_ordinal % 3 <> 0 AS usable FROM tabs WHERE statement_type IS NOT NULL"

@@ -1,10 +1,14 @@
 """Extraction, release, audit and gate on small reports written here."""
 
+import itertools
 import json
+import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+from finweave import queries
 from finweave.operators import extraction, matching, normalization
 from finweave.plans import audit, gate, release
 from finweave.sources import files, tables
@@ -123,6 +127,43 @@ def test_assignment_is_global():
     assert matching.best_assignment(tie) == {"a1": "t1", "a2": "t2"}
 
 
+def brute_assignment(pairs):
+    gain = {(a, t): (exact, Fraction(over, span), -dist) for a, t, exact, over, span, dist in pairs}
+    rows, columns = sorted({a for a, _ in gain}), sorted({t for _, t in gain})
+    best = None
+    for chosen in itertools.product([*columns, None], repeat=len(rows)):
+        used = [(a, t) for a, t in zip(rows, chosen) if t]
+        if len({t for _, t in used}) < len(used) or any(u not in gain for u in used):
+            continue
+        total = tuple(sum(x) for x in zip((0, 0, 0), *(gain[u] for u in used)))
+        key = (tuple(-x for x in total), [(t is None, t or "") for t in chosen])
+        if best is None or key < best[0]:
+            best = key, dict(used)
+    return best[1]
+
+
+def test_assignment_equals_brute_force():
+    rng = random.Random(4)
+    for _ in range(150):
+        n, m = rng.randint(1, 4), rng.randint(1, 4)
+        pairs = [(f"a{i}", f"t{j}", rng.randint(0, 1), rng.randint(1, 3), 3, rng.randint(0, 2)) for i in range(n) for j in range(m) if rng.random() < 0.7]
+        if pairs:
+            assert matching.best_assignment(pairs) == brute_assignment(pairs)
+    # One part of 40 annotations and 40 tables.
+    large = [(f"a{i:02}", f"t{j:02}", int(i == j), 1, 1 + abs(i - j), abs(i - j)) for i in range(40) for j in range(40)]
+    assert matching.best_assignment(large) == {f"a{i:02}": f"t{i:02}" for i in range(40)}
+
+
+def test_assignment_query_takes_all_overlaps(spark, tmp_path):
+    keys = [59, 101, 138, 179, 181, 189]
+    spark.createDataFrame([(k, 1) for k in keys], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    pairs = matching.overlapping_pairs(queries.view(spark, str(tmp_path), "ann"), queries.view(spark, str(tmp_path), "tabs")).collect()
+    want = brute_assignment([(r["annotation_id"], r["table_id"], r["exact"], r["overlap"], r["span"], r["distance"]) for r in pairs])
+    assert any(a[4:] != t[4:] for a, t in want.items())
+    got = queries.QUERIES["table_assignment_all"](spark, str(tmp_path)).collect()
+    assert {r["annotation_id"]: r["table_id"] for r in got} == want
+
+
 @pytest.mark.parametrize(
     "html,reason",
     [("<table><tr><td rowspan=0>x</td></tr></table>", "invalid_span_value"), ("<table><tbody><tr><td>x</td></tr></tbody></table>", "unsupported_html_structure"), ("<table><tr><td><table></table></td></tr></table>", "nested_html_table"), ("<table></table>", "empty_extracted_table"), ("<table><tr><td>x", "unclosed_html_table"), ("<table><tr><td colspan=100001>x</td></tr></table>", "expansion_limit_exceeded"), ("<table><tr><td>a</td><td rowspan=2>b</td></tr><tr><td colspan=2>c</td></tr></table>", "span_collision")],
