@@ -1,10 +1,13 @@
 """Line deduplication by a log-template tree, in DataFrame operations only.
 
 The tree has fixed depth: a line (lower-cased, digit runs as ``0``) falls to a leaf by its number of
-tokens and its first ``LEADING`` tokens.  Within a leaf that holds different lines, a token that
-stands in one line only at its place is a variable field and becomes a wildcard; what remains is the
-line's template, if the fixed tokens are at least ``FIXED_SHARE`` of a line of ``LEAST_TOKENS`` or
-more.  Other lines, and lines alone in their leaf, are their own template.
+tokens and its first ``LEADING`` tokens.  A token's support is the number of the leaf's different
+lines that have it at its place.  The ``FIXED_SHARE`` best supported tokens of a line of
+``LEAST_TOKENS`` or more are fixed, and the least support of these stands for the size of the line's
+cluster; a token that at most half of the cluster has is a variable field and becomes a wildcard.  So
+a field's values may repeat, and a template is the same over few lines and over many.  A value that
+more than half of the cluster has makes a template of its own.  Lines without wildcards, and lines
+alone in their leaf, are their own template.
 
 A template recurs if documents of different content have it.  Of a recurring template the first line
 stays (smallest document id, then line number) and all others are dropped, in the same document too;
@@ -43,16 +46,23 @@ def tokens(line: Column) -> Column:
     return F.split(line, " ")
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, row_hash, line_no and the masked text of every line that is not blank."""
+def spaces(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+
+
+def line_rows(docs: DataFrame, least_tokens: int = 1) -> DataFrame:
+    """doc_id, row_hash, line_no and the masked text of every line that is not blank and has enough tokens."""
     rows = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64("text").alias("row_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return rows.select("doc_id", "row_hash", "line_no", masked(F.col("line")).alias("line")).where("line != ''")
+    # Masking neither empties a line nor changes its spaces, so it is done once, after the filters.
+    rows = rows.where(F.trim("line") != "")
+    if least_tokens > 1:
+        rows = rows.where(spaces(F.trim("line")) + 1 >= least_tokens)
+    return rows.select("doc_id", "row_hash", "line_no", masked(F.col("line")).alias("line"))
 
 
 def _digests(lines: DataFrame) -> DataFrame:
-    parts = tokens(F.col("line"))
-    n = F.size(parts)
-    return lines.withColumn("line_hash", F.xxhash64("line")).withColumn("n_tokens", n).withColumn("leaf", F.xxhash64(n, F.slice(parts, 1, LEADING)))
+    n = spaces(F.col("line")) + 1
+    return lines.withColumn("line_hash", F.xxhash64("line")).withColumn("n_tokens", n).withColumn("leaf", F.xxhash64(n, F.substring_index("line", " ", LEADING)))
 
 
 def templates(docs: DataFrame, digests: DataFrame) -> DataFrame:
@@ -62,16 +72,20 @@ def templates(docs: DataFrame, digests: DataFrame) -> DataFrame:
     # Each different line of such leaves stands once, brought by its first row.
     stood_by = digests.where(long_enough).join(leaves, "leaf", "left_semi").groupBy("line_hash").agg(F.min("doc_id").alias("w_doc"))
     wanted = stood_by.withColumnRenamed("line_hash", "w_hash").hint("shuffle_hash")
-    lines = _digests(line_rows(docs)).where(long_enough)
+    lines = line_rows(docs, LEAST_TOKENS).select("doc_id", "line", F.xxhash64("line").alias("line_hash"))
     lines = lines.join(wanted, (F.col("line_hash") == F.col("w_hash")) & (F.col("doc_id") == F.col("w_doc")), "left_semi")
-    placed = lines.select("leaf", "line_hash", "n_tokens", F.posexplode(tokens(F.col("line"))).alias("place", "token"))
-    placed = materialize(placed.select("leaf", "line_hash", "n_tokens", "place", F.xxhash64("token").alias("token")), "line-tokens")
-    # A line that its document repeats is there more than once; low and high tell lines apart.
-    fixed = placed.groupBy("leaf", "place", "token").agg(F.min("line_hash").alias("low"), F.max("line_hash").alias("high")).where("low != high").select("leaf", "place", "token")
-    kept = placed.distinct().join(fixed, ["leaf", "place", "token"], "left_semi")
-    made = kept.groupBy("line_hash", "leaf", "n_tokens").agg(F.count(F.lit(1)).alias("n_fixed"), F.bit_xor(F.xxhash64("place", "token")).alias("mix"))
-    made = made.where((F.col("n_fixed") < F.col("n_tokens")) & (F.col("n_fixed") >= F.col("n_tokens") * FIXED_SHARE))
-    return made.select("line_hash", F.xxhash64("leaf", "n_fixed", "mix").alias("template"))
+    # A line that its document repeats is there more than once.
+    lines = _digests(lines.dropDuplicates(["line_hash"]).select("line"))
+    # The leading tokens are the leaf's own and fixed.
+    parts = tokens(F.col("line"))
+    placed = lines.select("leaf", "line_hash", "n_tokens", F.posexplode(F.slice(parts, LEADING + 1, F.size(parts))).alias("place", "token"))
+    placed = materialize(placed.select("leaf", "line_hash", "n_tokens", F.xxhash64("place", "token").alias("token")), "line-tokens")
+    shared = placed.groupBy("leaf", "token").agg(F.count(F.lit(1)).alias("support")).where("support > 1")
+    supported = placed.join(shared, ["leaf", "token"], "left").select("leaf", "line_hash", "n_tokens", F.struct(F.coalesce("support", F.lit(1)).alias("support"), "token").alias("place"))
+    made = supported.groupBy("line_hash", "leaf", "n_tokens").agg(F.sort_array(F.collect_list("place"), asc=False).alias("places"))
+    least = F.element_at("places", F.ceil(F.col("n_tokens") * FIXED_SHARE).cast("int") - LEADING)["support"]
+    made = made.withColumn("least", least).withColumn("fixed", F.filter("places", lambda p: p["support"] * 2 > F.col("least"))["token"])
+    return made.where(F.size("fixed") + LEADING < F.col("n_tokens")).select("line_hash", F.xxhash64("leaf", "fixed").alias("template"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:

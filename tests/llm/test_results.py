@@ -227,6 +227,18 @@ def test_line_dedup(spark):
         assert (got[i]["n_lines"], got[i]["n_dropped"]) == (5, 0 if i == 0 else 2)
 
 
+@pytest.mark.parametrize("n_users,n_days", [(2, 2), (5, 3), (30, 7)])
+def test_line_dedup_fields_whose_values_repeat(spark, n_users, n_days):
+    rng = random.Random(7)
+    users, days = [f"u{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(n_users)], ["mo", "tu", "we", "th", "fr", "sa", "su"][:n_days]
+    notes = [f"this page was seen by {u} on {d} at our own site" for u in users for d in days]
+    # Other lines of the same leaf stay.
+    other = [f"this page was {words(rng, 9)}" for _ in notes]
+    got = {r["doc_id"]: r for r in linededup.line_report(docs(spark, [f"{x}\n{y}" for x, y in zip(other, notes)])).collect()}
+    assert got[0]["text"] == f"{other[0]}\n{notes[0]}"
+    assert all(got[i]["text"] == other[i] and got[i]["n_dropped"] == 1 for i in range(1, len(notes)))
+
+
 def test_audio_round_trip(spark):
     texts = ["", "abc", "x" * 64, "é" * 5000, "abc"]
     rows = audio.audio_report(docs(spark, texts)).orderBy("doc_id").collect()
