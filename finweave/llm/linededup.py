@@ -9,9 +9,10 @@ a field's values may repeat, and a template is the same over few lines and over
 more than half of the cluster has makes a template of its own.  Lines without wildcards, and lines
 alone in their leaf, are their own template.
 
-A template recurs if documents of different content have it.  Of a recurring template the first line
-stays (smallest document id, then line number) and all others are dropped, in the same document too;
-blank lines stay.
+A template with wildcards recurs if documents of different content have it; without that its lines
+are their own templates.  A line recurs if two documents have it, equal texts under different ids
+too.  Of a recurring template the first line stays (smallest document id, then line number) and all
+others are dropped, in the same document too; blank lines stay.
 
 Plan: a first pass keeps digests of lines; only leaves that hold different lines bring their lines'
 tokens into the second step, each different line once.  Counts are plain aggregations with sums
@@ -70,22 +71,26 @@ def templates(docs: DataFrame, digests: DataFrame) -> DataFrame:
     long_enough = F.col("n_tokens") >= LEAST_TOKENS
     leaves = digests.where(long_enough).groupBy("leaf").agg(F.min("line_hash").alias("low"), F.max("line_hash").alias("high")).where("low != high").select("leaf")
     # Each different line of such leaves stands once, brought by its first row.
-    stood_by = digests.where(long_enough).join(leaves, "leaf", "left_semi").groupBy("line_hash").agg(F.min("doc_id").alias("w_doc"))
+    stood_by = digests.where(long_enough).join(leaves, "leaf", "left_semi").groupBy("line_hash").agg(F.min("doc_id").alias("w_doc"), F.min("row_hash").alias("low"), F.max("row_hash").alias("high"))
     wanted = stood_by.withColumnRenamed("line_hash", "w_hash").hint("shuffle_hash")
     lines = line_rows(docs, LEAST_TOKENS).select("doc_id", "line", F.xxhash64("line").alias("line_hash"))
-    lines = lines.join(wanted, (F.col("line_hash") == F.col("w_hash")) & (F.col("doc_id") == F.col("w_doc")), "left_semi")
+    lines = lines.join(wanted, (F.col("line_hash") == F.col("w_hash")) & (F.col("doc_id") == F.col("w_doc")))
     # A line that its document repeats is there more than once.
-    lines = _digests(lines.dropDuplicates(["line_hash"]).select("line"))
+    lines = _digests(lines.dropDuplicates(["line_hash"]).select("line", "low", "high"))
     # The leading tokens are the leaf's own and fixed.
     parts = tokens(F.col("line"))
-    placed = lines.select("leaf", "line_hash", "n_tokens", F.posexplode(F.slice(parts, LEADING + 1, F.size(parts))).alias("place", "token"))
-    placed = materialize(placed.select("leaf", "line_hash", "n_tokens", F.xxhash64("place", "token").alias("token")), "line-tokens")
+    placed = lines.select("leaf", "line_hash", "n_tokens", "low", "high", F.posexplode(F.slice(parts, LEADING + 1, F.size(parts))).alias("place", "token"))
+    # The line's contents go with one of its tokens.
+    contents = [F.when(F.col("place") == 0, F.col(c)).alias(c) for c in ("low", "high")]
+    placed = materialize(placed.select("leaf", "line_hash", "n_tokens", *contents, F.xxhash64("place", "token").alias("token")), "line-tokens")
     shared = placed.groupBy("leaf", "token").agg(F.count(F.lit(1)).alias("support")).where("support > 1")
-    supported = placed.join(shared, ["leaf", "token"], "left").select("leaf", "line_hash", "n_tokens", F.struct(F.coalesce("support", F.lit(1)).alias("support"), "token").alias("place"))
-    made = supported.groupBy("line_hash", "leaf", "n_tokens").agg(F.sort_array(F.collect_list("place"), asc=False).alias("places"))
+    supported = placed.join(shared, ["leaf", "token"], "left").select("leaf", "line_hash", "n_tokens", "low", "high", F.struct(F.coalesce("support", F.lit(1)).alias("support"), "token").alias("place"))
+    made = supported.groupBy("line_hash", "leaf", "n_tokens").agg(F.sort_array(F.collect_list("place"), asc=False).alias("places"), F.max("low").alias("low"), F.max("high").alias("high"))
     least = F.element_at("places", F.ceil(F.col("n_tokens") * FIXED_SHARE).cast("int") - LEADING)["support"]
     made = made.withColumn("least", least).withColumn("fixed", F.filter("places", lambda p: p["support"] * 2 > F.col("least"))["token"])
-    return made.where(F.size("fixed") + LEADING < F.col("n_tokens")).select("line_hash", F.xxhash64("leaf", "fixed").alias("template"))
+    made = materialize(made.where(F.size("fixed") + LEADING < F.col("n_tokens")).select("line_hash", F.xxhash64("leaf", "fixed").alias("template"), "low", "high"), "line-wildcards")
+    several = made.groupBy("template").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("template")
+    return made.select("line_hash", "template").join(several, "template", "left_semi")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -94,7 +99,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     made = templates(docs, digests)
     rows = digests.select("doc_id", "row_hash", "line_no", "line_hash").join(made, "line_hash", "left").withColumn("template", F.coalesce("template", "line_hash"))
     rows = materialize(rows.select("doc_id", "row_hash", "line_no", "template"), "line-templates")
-    recurring = rows.groupBy("template").agg(F.min("row_hash").alias("low"), F.max("row_hash").alias("high"), F.min("doc_id").alias("first_doc")).where("low != high").select("template", "first_doc")
+    ends = [F.min("row_hash").alias("low"), F.max("row_hash").alias("high"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")]
+    recurring = rows.groupBy("template").agg(*ends).where("low != high OR first_doc != last_doc").select("template", "first_doc")
     found = rows.join(recurring, "template")
     # Of the first document the first line stays; a second row of that id with another text stays out.
     first = found.where("doc_id = first_doc").groupBy("template").agg(F.min(F.struct("row_hash", "line_no")).alias("first"))

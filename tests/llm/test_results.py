@@ -239,6 +239,14 @@ def test_line_dedup_fields_whose_values_repeat(spark, n_users, n_days):
     assert all(got[i]["text"] == other[i] and got[i]["n_dropped"] == 1 for i in range(1, len(notes)))
 
 
+def test_line_dedup_of_copies(spark):
+    rng = random.Random(11)
+    text = f"{words(rng, 60)}\n\nshort line\nthis page was seen by a at our site\nthis page was seen by b at our site"
+    rows = [(i, text) for i in (7, 3, 5)] + [(9, "another text")] * 2
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3: (text, 0), 5: ("", 4), 7: ("", 4), 9: ("another text", 0)}
+
+
 def test_audio_round_trip(spark):
     texts = ["", "abc", "x" * 64, "é" * 5000, "abc"]
     rows = audio.audio_report(docs(spark, texts)).orderBy("doc_id").collect()
