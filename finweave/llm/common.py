@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, notebooks on one machine) is a local one chosen.
+    Only a local session (tests, notebooks on one machine) may name none and gets a local folder; on a
+    cluster that would lose rows, so it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="finweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -43,6 +48,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+#: Where the tables that ``materialize`` gave out stand, and the tables written in each open scope.
+_tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_scopes: list[list[str]] = []
+
+
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
@@ -52,7 +62,29 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[out] = path
+    for scope in _scopes:
+        scope.append(path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` gave out and nothing reads any more; others are left alone."""
+    for df in tables:
+        if (path := _tables.pop(df, None)) is not None:
+            delete_path(df.sparkSession, path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what ``materialize`` wrote inside, but for the last table, the scope's result."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop()[:-1]:
+            delete_path(spark, path)
 
 
 def clean_text(column: str = "text") -> Column:

@@ -3,12 +3,15 @@
 A source's documents stand in a fixed order, by size class and then by a hash of the id.  Every
 document expects ``target / source_size`` copies; the running sum of these, moved by one random
 offset for the source, crosses some integers within each document, and each crossing emits the
-document once.  As the order is by size, the emitted words follow the target to about one document.
+document once.  As the order is by size, the emitted words follow the target to about the size of one
+document; nothing is tried twice or chosen by its result.
 
-The running sum needs each document's place in its source.  No window ever holds a source: counts
-of (source, size class, hash range) give each range's start, where the number of ranges follows the
-class's count, and a window only orders one range of about ``RANGE_ROWS`` rows.  A source, or a
-single size, that holds a third of all rows is spread like the others.
+The running sum needs each document's place in its source.  Rows that the order cannot tell apart
+(equal id and size, as rows without an id have) are counted first and stand as one row with a number.
+No window ever holds a source: counts of (source, size class, hash range) give each range's start,
+where the number of ranges follows the class's count, and a window only orders one range of about
+``RANGE_ROWS`` rows.  A source, a single size or a group of equal rows that holds a third of all rows
+is spread like the others.
 
 Edge cases: null text has size 0; null source is a source of its own, last in order; documents of
 size 0 are kept with 0 taken; rows that share an id keep separate places (ties by size); an empty
@@ -20,17 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finweave.llm.common import clean_text, materialize, unit_hash
+from finweave.llm.common import clean_text, materialize, shuffle_partitions, unit_hash
 
 #: Words in the sense of the mix: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents that one window orders.
+#: Documents that one window orders, and rows that are made of one in a task at once.
 RANGE_ROWS = 4096
 #: Size classes in each doubling of the size.
 CLASSES = 16
 SEED = "mix-1"
-#: Random offsets that a source chooses from.
-OFFSETS = 16
 
 
 def n_words(column: str = "text") -> Column:
@@ -62,70 +63,79 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
 
 
 def place_in_source(sizes: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Adds ``place`` (from 0) of each row of (doc_id, source, size) in its source's order.
+    """Rows of (doc_id, source, size, key) that are alike as one, with their number ``n_rows`` and the ``place`` (from 0) of the first.
 
     Sources are compared null-safe through (source is null, source or empty).
     """
     rows = sizes.withColumn("s_null", F.col("source").isNull()).withColumn("s_key", F.coalesce("source", F.lit("")))
+    rows = rows.groupBy("s_null", "s_key", "source", "doc_id", "size", "key").agg(F.count(F.lit(1)).alias("n_rows"))
     rows = rows.withColumn("class", F.floor(F.log2(F.col("size") + F.lit(1.0)) * CLASSES).cast("int")).withColumn("u", unit_hash(F.col("doc_id"), seed=SEED))
+    rows = materialize(rows, "mix-alike")
     key = ["s_null", "s_key", "class"]
     classes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn("ranges", F.ceil(F.col("n") / range_rows)).drop("n")
     rows = rows.join(classes, key).withColumn("range", F.floor(F.col("u") * F.col("ranges")).cast("long")).drop("ranges")
-    starts = rows.groupBy(*key, "range").agg(F.count(F.lit(1)).alias("n"))
+    starts = rows.groupBy(*key, "range").agg(F.sum("n_rows").alias("n"))
     before = Window.partitionBy("s_null", "s_key").orderBy("class", "range").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy(*key, "range").orderBy("u", F.col("doc_id").asc_nulls_first(), "size")
+    inside = Window.partitionBy(*key, "range").orderBy("u", F.col("doc_id").asc_nulls_first(), "size", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Ordered before the join: the window's shuffle already is by the join's key.
-    rows = rows.withColumn("at", F.row_number().over(inside))
-    return rows.join(starts, [*key, "range"]).withColumn("place", F.col("start") + F.col("at") - 1).drop("class", "u", "range", "start", "at")
+    rows = rows.withColumn("upto", F.sum("n_rows").over(inside))
+    return rows.join(starts, [*key, "range"]).withColumn("place", F.col("start") + F.col("upto") - F.col("n_rows")).drop("class", "u", "range", "start", "upto")
 
 
-def _crossings(offset: Column) -> Column:
-    """Integers that the running sum crosses within a row: its copies."""
-    upto = lambda place: F.floor(F.col("expected") * place + offset)
-    return F.when(F.col("size") > 0, F.least(upto(F.col("place") + 1) - upto(F.col("place")), F.ceil("expected"))).otherwise(F.lit(0)).cast("long")
+def _crossings(place: Column, n_rows: Column) -> Column:
+    """Integers that the running sum crosses within ``n_rows`` rows from ``place`` on: their copies."""
+    upto = lambda at: F.floor(F.col("expected") * at + F.col("offset"))
+    return F.when(F.col("size") > 0, F.least(upto(place + n_rows) - upto(place), F.ceil("expected") * n_rows)).otherwise(F.lit(0)).cast("long")
 
 
-def mix_copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for every row of ``docs`` (doc_id, source, text).
+def placed_rows(docs: DataFrame, key: Column, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """doc_id, source, size, key, n_rows, place, source_size, target, expected, offset; ``key`` tells rows of one id and size apart.
 
     The texts are read once; every later step works on narrow written rows.
     """
-    sizes = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size")), "mix-sizes")
+    sizes = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size"), key.alias("key")), "mix-sizes")
     targets = source_targets(sizes, weights, share, most).select(F.col("source").isNull().alias("s_null"), F.coalesce("source", F.lit("")).alias("s_key"), "source_size", "target")
-    placed = place_in_source(sizes).join(targets, ["s_null", "s_key"])
+    targets = targets.withColumn("offset", unit_hash(F.col("s_null"), F.col("s_key"), seed=f"{SEED}-offset"))
     expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    placed = materialize(placed.withColumn("expected", expected), "mix-placed")
-    # Where one document is a large part of its source, its being in or out moves the total; of some
-    # random offsets the source takes the one that comes nearest its target.
-    offsets = [unit_hash(F.col("s_null"), F.col("s_key"), seed=f"{SEED}-offset-{k}") for k in range(OFFSETS)]
-    totals = placed.groupBy("s_null", "s_key", "target").agg(*[F.sum(F.col("size") * _crossings(o)).alias(f"t{k}") for k, o in enumerate(offsets)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), o.alias("offset")) for k, o in enumerate(offsets)]))
-    chosen = totals.select("s_null", "s_key", best["offset"].alias("offset"))
-    dealt = placed.join(chosen, ["s_null", "s_key"])
-    return dealt.select("doc_id", "source", "size", "source_size", "target", _crossings(F.col("offset")).alias("copies"))
+    return place_in_source(sizes).join(targets, ["s_null", "s_key"]).withColumn("expected", expected)
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
-    mixed = mix_copies(docs, **options)
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    """doc_id, size, source_size, target, taken (words the mix takes, repeats counted) for every row of ``docs`` (doc_id, source, text)."""
+    placed = materialize(placed_rows(docs, F.lit(0), **options), "mix-placed")
+    out = ["doc_id", "size", "source_size", "target"]
+    each = lambda rows, n: rows.select(*out, "expected", "offset", F.explode(F.sequence(F.col("place"), F.col("place") + n - 1)).alias("place"))
+    few = each(placed.where(F.col("n_rows") <= RANGE_ROWS), F.col("n_rows"))
+    # A large group of equal rows is cut and dealt anew before its rows are made.
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1, F.lit(RANGE_ROWS).cast("long")))
+    cut = placed.where(F.col("n_rows") > RANGE_ROWS).withColumn("at", at).repartition(shuffle_partitions(docs.sparkSession), "doc_id", "place", "at")
+    cut = cut.withColumn("n_rows", F.least(F.col("n_rows") - F.col("at"), F.lit(RANGE_ROWS))).withColumn("place", F.col("place") + F.col("at"))
+    rows = few.unionByName(each(cut, F.col("n_rows")))
+    return rows.select(*out, (_crossings(F.col("place"), F.lit(1)) * F.col("size")).alias("taken"))
+
+
+def _row_digest(docs: DataFrame) -> Column:
+    """Digest of all columns, so rows with equal digests are equal (maps are compared as JSON)."""
+    kinds = dict(docs.dtypes)
+    return F.xxhash64(*[F.to_json(F.col(f"`{c}`")) if "map<" in kinds[c] else F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each row of ``docs``, with all its columns, as often as the mix takes it."""
-    copies = mix_copies(docs, **options)
-    # Rows that share id, source and size are interchangeable: the sum of their copies is dealt anew.
-    keyed = copies.where(F.col("copies") > 0).groupBy("doc_id", F.coalesce("source", F.lit("")).alias("k_source"), F.col("source").isNull().alias("k_null"), F.col("size").alias("k_size")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("k_copies"))
-    keyed = keyed.withColumnRenamed("doc_id", "k_doc")
-    columns = docs.columns
-    left = docs.withColumn("k_words", n_words())
-    same = F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("k_source")) & (F.col("source").isNull() == F.col("k_null")) & (F.col("k_words") == F.col("k_size"))
-    joined = left.join(keyed.hint("shuffle_hash"), same)
-    # One row of a shared key takes the largest number of copies, the next the next; alone, its own.
-    shared = joined.where(F.size("k_copies") > 1)
-    rank = F.row_number().over(Window.partitionBy("k_doc", "k_source", "k_null", "k_size").orderBy(F.xxhash64(clean_text())))
-    shared = shared.withColumn("k_n", rank).withColumn("k_n", F.when(F.col("k_n") <= F.size("k_copies"), F.get("k_copies", F.col("k_n") - 1)).otherwise(F.lit(0).cast("long")))
-    alone = joined.where(F.size("k_copies") == 1).withColumn("k_n", F.get("k_copies", F.lit(0)))
-    dealt = alone.unionByName(shared)
-    return dealt.where(F.col("k_n") > 0).withColumn("k_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k_n")))).select(*[F.col(f"`{c}`") for c in columns])
+    """The mixed corpus: each row of ``docs``, with all its columns, as often as the mix takes it.
+
+    Copies are dealt to distinct rows: equal rows stand as one whose copies are their sum.
+    """
+    placed = placed_rows(docs, _row_digest(docs), **options)
+    copies = placed.select("n_rows", F.col("key").alias("k_key"), _crossings(F.col("place"), F.col("n_rows")).alias("k_copies")).where("k_copies > 0")
+    copies = materialize(copies, "mix-copies")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    joined = docs.withColumn("k_row", _row_digest(docs)).join(copies.withColumnRenamed("n_rows", "k_rows").hint("shuffle_hash"), F.col("k_row") == F.col("k_key"))
+    alone = joined.where("k_rows = 1").select(*columns, "k_copies")
+    # Rows repeated in full: one of each stays before its copies are made.
+    shared = joined.where("k_rows > 1").groupBy("k_key").agg(F.first(F.struct(*columns, F.col("k_copies"))).alias("row")).select("row.*")
+    few = alone.unionByName(shared.where(F.col("k_copies") <= RANGE_ROWS))
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k_copies") - 1, F.lit(RANGE_ROWS).cast("long")))
+    cut = shared.where(F.col("k_copies") > RANGE_ROWS).withColumn("k_at", at).repartition(shuffle_partitions(docs.sparkSession), "k_at")
+    cut = cut.withColumn("k_copies", F.least(F.col("k_copies") - F.col("k_at"), F.lit(RANGE_ROWS))).drop("k_at")
+    return few.unionByName(cut).withColumn("k_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k_copies")))).select(*columns)

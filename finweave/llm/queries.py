@@ -91,22 +91,17 @@ WITH sizes AS (
 ), leveled AS (
   SELECT arg_min(level, source_size / weight) AS level FROM filled WHERE level * weight <= 2.0 * source_size
 ), targets AS (
-  SELECT source, source_size, coalesce(least(l.level * weight, 2.0 * source_size), 2.0 * source_size) AS target FROM filled, leveled l
+  SELECT source, source_size, coalesce(least(l.level * weight, 2.0 * source_size), 2.0 * source_size) AS target,
+    ('0x' || substr(md5(concat('mix-1-offset|', CASE WHEN source IS NULL THEN 'true|' ELSE concat('false|', source) END)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM filled, leveled l
 ), placed AS (
-  SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 2.0) ELSE 0 END AS expected,
+  SELECT s.*, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 2.0) ELSE 0 END AS expected,
     row_number() OVER (PARTITION BY s.source ORDER BY floor(ln(size + 1.0::DOUBLE) / ln(2.0::DOUBLE) * 16), substr(md5(concat('mix-1|', coalesce(doc_id::VARCHAR, ''))), 1, 13), doc_id NULLS FIRST, size) - 1 AS place
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
-), offsets AS (
-  SELECT source, k, ('0x' || substr(md5(concat('mix-1-offset-', k, '|', CASE WHEN source IS NULL THEN 'true|' ELSE concat('false|', source) END)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
-  FROM targets, range(16) r(k)
-), dealt AS (
-  SELECT p.*, o.k, CASE WHEN size > 0 THEN least(floor(expected * (place + 1) + o.u) - floor(expected * place + o.u), ceil(expected)) ELSE 0 END::BIGINT AS copies
-  FROM placed p JOIN offsets o ON p.source IS NOT DISTINCT FROM o.source
-), chosen AS (
-  SELECT source, arg_min(k, (off, k)) AS k FROM (SELECT source, k, abs(sum(size * copies) - any_value(target)) AS off FROM dealt GROUP BY source, k) GROUP BY source
 )
-SELECT d.doc_id, d.size::BIGINT AS size, d.source_size, d.target, (d.copies * d.size)::BIGINT AS taken
-FROM dealt d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.k = c.k
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  (CASE WHEN size > 0 THEN least(floor(expected * (place + 1) + u) - floor(expected * place + u), ceil(expected)) ELSE 0 END::BIGINT * size)::BIGINT AS taken
+FROM placed
 """
 ORACLES: dict[str, str] = {"op7_mixing": MIX_SQL}
 
