@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from finweave.llm.common import materialize, read_table
+from finweave.llm.common import discard, materialize, read_table, scratch_scope
 from finweave.llm.decontaminate import decontaminate
 from finweave.llm.minhash import keep_one
 from finweave.llm.mixing import mix
@@ -60,5 +60,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with scratch_scope(spark):
+            docs = materialize(stage(spark, before, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs
