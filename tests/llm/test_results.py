@@ -331,16 +331,59 @@ def test_quality_expression_equals_the_model(spark):
     assert np.allclose(got, model.predict(x)) and np.mean((model.predict(x) > 0.5) == (y > 0.5)) > 0.97
 
 
-def test_url_trees_on_held_out_hosts():
+def url_rows(spark, n=1500):
     rng = random.Random(7)
-    urls, blocked = [], []
-    for i in range(1500):
+    rows = []
+    for i in range(n):
         bad = rng.random() < 0.3
         host = f"{words(rng, 1)}-{words(rng, 1)}{rng.randrange(1000)}.example.{rng.choice(['com', 'org'])}" if bad else f"www.{words(rng, 1)}.example.{rng.choice(['com', 'net'])}"
-        urls.append(f"https://{host}/{words(rng, 1)}/{rng.randrange(999)}" + ("?a=1&b=2" if bad else ""))
-        blocked.append(int(bad))
-    model = urlfilter.fit_urls(urls[:1000], blocked[:1000])
-    assert np.mean((model.predict(urls[1000:]) > 0.5) == np.array(blocked[1000:], bool)) > 0.97
+        rows.append((f"https://{host}/{words(rng, 1)}/{rng.randrange(999)}" + ("?a=1&b=2" if bad else ""), int(bad)))
+    return spark.createDataFrame(rows, "url string, blocked int")
+
+
+def test_url_trees_on_held_out_hosts(spark):
+    got = urlfilter.held_out_hosts(url_rows(spark))
+    assert np.mean((got[:, 1] > 0.5) == (got[:, 0] > 0.5)) > 0.97
+
+
+def test_url_suffix_statistics_equal_brute_force(spark):
+    rows = url_rows(spark, 300).union(spark.createDataFrame([("http://a.example.net/", 1), ("http://a.example.net/", 0), ("http://localhost/x", 1)], "url string, blocked int"))
+    asked = rows.select(urlfilter.host_column(rows["url"]).alias("host")).union(spark.createDataFrame([("new.example.com",), ("",)], "host string"))
+    labels = {}
+    for r in rows.collect():
+        labels.setdefault(urlfilter.split_url(r["url"])[0], []).append(r["blocked"])
+    mean = {h: sum(v) / len(v) for h, v in labels.items()}
+    overall = sum(mean.values()) / len(mean)
+    got = urlfilter.suffix_statistics(asked, rows).collect()
+    assert len(got) == len({r["host"] for r in asked.collect()})
+    for r in got:
+        parts = r["host"].split(".")
+        for k in (1, 2, 3):
+            others = [m for h, m in mean.items() if h != r["host"] and len(parts) >= k and h.split(".")[-k:] == parts[-k:]]
+            assert r[f"hosts_{k}"] == pytest.approx(np.log1p(len(others)))
+            assert r[f"share_{k}"] == pytest.approx((sum(others) + 5 * overall) / (len(others) + 5), abs=1e-5)
+
+
+def test_url_sample_is_bounded_and_distinct(spark):
+    rows = url_rows(spark, 400)
+    many = rows.unionByName(rows.limit(1).crossJoin(spark.range(5000)).drop("id"))
+    got = urlfilter.sample(many, 50).collect()
+    assert len(got) == 50 == len({r["url"] for r in got})
+    assert sorted(map(tuple, got)) == sorted(map(tuple, urlfilter.sample(rows, 50).collect()))
+
+
+def test_url_verdicts_equal_the_model(spark):
+    rows = url_rows(spark, 300)
+    pages = rows.select(urlfilter.F.monotonically_increasing_id().alias("page_id"), "url")
+    got = {r["page_id"]: r for r in urlfilter.judge_urls(pages, [urlfilter.UrlRule("allow", "com/")], rows).collect()}
+    model = urlfilter.train(rows)
+    featured = urlfilter.with_suffixes(pages.withColumn("host", urlfilter.host_column(pages["url"])), rows).collect()
+    scores = model.predict(urlfilter.feature_rows([r["url"] for r in featured], np.array([[r[f] for f in urlfilter.SUFFIX_FEATURES] for r in featured])))
+    for r, score in zip(featured, scores):
+        own = got[r["page_id"]]
+        ruled = own["host"].endswith(".com")
+        assert own["score"] == pytest.approx(score) and own["rule"] == ("com/" if ruled else None)
+        assert own["verdict"] == ("allow" if ruled or score < 0.5 else "block")
 
 
 def test_licences(spark):
