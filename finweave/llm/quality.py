@@ -111,17 +111,20 @@ def path_rules(node: Node, path: Rule = ()) -> list[Rule]:
     return out
 
 
-def lasso_logistic(a: np.ndarray, y: np.ndarray, strength: float, steps: int = 300) -> tuple[float, np.ndarray]:
-    """Accelerated proximal gradient for mean log-loss + strength * |weights|; the intercept is free."""
+def lasso_logistic(a: np.ndarray, y: np.ndarray, strength: float, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Accelerated proximal gradient for mean log-loss + strength * |weights|; the intercept is free.
+
+    ``y`` may have several columns, each fitted for itself.
+    """
     n, m = a.shape
     lip = 0.25 * (np.linalg.norm(a, 2) ** 2 / n + 1)
-    w, b = np.zeros(m), 0.0
+    w, b = np.zeros((m, *y.shape[1:])), np.zeros(y.shape[1:])
     v, c, t = w.copy(), b, 1.0
     for _ in range(steps):
         r = sigmoid(a @ v + c) - y
         w_next = v - (a.T @ r) / n / lip
         w_next = np.sign(w_next) * np.maximum(np.abs(w_next) - strength / lip, 0)
-        b_next = c - r.mean() / lip
+        b_next = c - r.mean(axis=0) / lip
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v = w_next + (t - 1) / t_next * (w_next - w)
         c = b_next + (t - 1) / t_next * (b_next - b)
