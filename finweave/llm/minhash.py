@@ -8,16 +8,19 @@ their weighted Jaccard similarity.  The cost is one or two hashes for a shingle
 of darts for a document, where plain MinHash takes ``k`` hashes for every shingle.  A document that
 leaves a coordinate empty is thrown again with twice the rank; earlier darts stay.
 
-Weights are 1 by default, so the similarity is that of the sets of shingles; ``weighted=True`` counts
-repeats.
+A shingle weighs as often as it stands in the text, so the similarity is that of the texts' counts of
+shingles; ``weighted=False`` makes all weights 1 and compares sets.
 
 Classes: rows with equal shingle sets share a node.  Nodes with an equal band of the signature meet
 in a bucket.  In each bucket all nodes are compared with one random hub, best hub first; components
-of the links found so far are built; then all nodes of a bucket that are still in different
-components are compared with each other.  So a group of copies, however large, costs a few
-comparisons for each node, and no link is lost: a pair that is never compared is in one component
-already.  Comparisons pass a size test and two sketches, then exact similarity on whole sets.
-One sketch is a bound that rules out nothing similar, the other errs once in 10^8.
+of the links found so far are built; then, among the nodes of buckets that still hold several
+components, every similar pair of different components is found by a prefix join: a set of ``n``
+elements that is similar to another shares one of its ``n - ceil(0.8 n) + 1`` rarest elements with it, so
+only those are joined, rare ones that stay in one component not at all.  So a group of copies, however
+large, costs a few comparisons for each node, a group whose texts share half of their words costs next
+to none, and no link is lost: a pair of a bucket that is never compared is in one component already or
+is not similar.  Comparisons pass a size test and a parity sketch, both bounds that rule out nothing
+similar, then exact similarity on whole sets.
 
 The chance to miss a pair of similarity 0.8 is (1 - 0.8**5)**24 = 7e-5; it falls fast above.
 
@@ -37,15 +40,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finweave.llm.common import clean_text, materialize, mix64, shingle_hashes, text_pieces, word_hashes
+from finweave.llm.common import clean_text, discard, materialize, mix64, shingle_hashes, text_pieces, word_hashes
 from finweave.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 24, 5
 THRESHOLD = (4, 5)  # 0.8 as a fraction
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (log(COORDINATES) + 3.5)
-#: Sketch bits that two nodes of similarity 0.8 may differ in: 6 deviations above the mean of 12.
-SKETCH_LIMIT = 32
 POISSON = np.cumsum([exp(-1) / factorial(i) for i in range(18)])
 UNIT = 2.0**-53
 
@@ -82,9 +83,9 @@ def darts(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, most_ran
             dart = mix64(dart + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
             second = mix64(dart ^ np.uint64(0xD6E8FEB86659FD93))
             rank = np.repeat(r0, count) + height * unit(second)
-            which = np.repeat(which, count)
+            cut, which = which, np.repeat(which, count)
             kept = rank < limit[which]
-            if width * (cells >> nu) + 2.0**nu - 1 > 1 or weights.max() > 1:
+            if (w0 + width > weights[cut]).any():
                 kept &= np.repeat(w0, count) + width * unit(dart) < weights[which]
             out.append((owner[which[kept]], rank[kept], dart[kept]))
             rho += 1
@@ -134,6 +135,14 @@ def shingle_sets(texts: pa.Array, weighted: bool = False) -> tuple[np.ndarray, n
     return shingles[start], weights, np.concatenate([[0], np.cumsum(counts)])
 
 
+def set_elements(shingles: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle that stands w times as w elements, so sets of elements have the weighted similarity, and their offsets."""
+    times = weights.astype(np.int64)
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    elements = mix64(np.repeat(shingles, times) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return elements, np.concatenate([[0], np.cumsum(times)])[offsets]
+
+
 def set_keys(shingles: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """64-bit digest of each set, the same whatever the order; 0 for the empty set."""
     mixed = mix64(shingles * np.uint64(0xFF51AFD7ED558CCD) + weights.astype(np.uint64))
@@ -143,7 +152,7 @@ def set_keys(shingles: np.ndarray, weights: np.ndarray, offsets: np.ndarray) ->
 
 
 SIGNED = np.int64
-SIGN_SCHEMA = "row_hash long, node long, n int, bands array<long>, s1 long, s2 long, odd array<long>"
+SIGN_SCHEMA = "row_hash long, node long, n int, bands array<long>, odd array<long>"
 #: Words of 64 bits of the parity sketch.
 ODD_WORDS = 16
 
@@ -162,7 +171,6 @@ def odd_sketches(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def sign_batches(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[pa.RecordBatch]:
-    shifts = np.arange(60, dtype=np.uint64)
     for batch in batches:
         rows = pa.array(np.arange(batch.num_rows))
         for index, texts in text_pieces(rows, batch.column("text")):
@@ -171,15 +179,14 @@ def sign_batches(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[
             band = np.tile(np.arange(BANDS, dtype=np.uint64), (len(sig), 1))
             for r in range(ROWS):
                 band = mix64(band * np.uint64(0x9E3779B97F4A7C15) ^ sig[:, r::ROWS])
-            bits = (sig >> np.uint64(17)) & np.uint64(1)
-            sketch = [(bits[:, 60 * i : 60 * (i + 1)] << shifts).sum(axis=1, dtype=np.uint64).view(SIGNED) for i in (0, 1)]
             full = np.diff(offsets) > 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)), pa.array(band[full].ravel().view(SIGNED)))
-            odd = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * ODD_WORDS), pa.array(odd_sketches(shingles, offsets).ravel()))
-            sizes = np.bincount(np.repeat(np.arange(len(sig)), np.diff(offsets)), weights=weights, minlength=len(sig))
+            elements, ends = set_elements(shingles, weights, offsets) if weighted else (shingles, offsets)
+            odd = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * ODD_WORDS), pa.array(odd_sketches(elements, ends).ravel()))
+            sizes = np.diff(ends)
             kept = [batch.column(name).take(index) for name in ("doc_id", "row_hash")]
-            arrays = [*kept, pa.array(set_keys(shingles, weights, offsets).view(SIGNED)), pa.array(sizes.astype(np.int32)), lists, *map(pa.array, sketch), odd]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row_hash", "node", "n", "bands", "s1", "s2", "odd"])
+            arrays = [*kept, pa.array(set_keys(shingles, weights, offsets).view(SIGNED)), pa.array(sizes.astype(np.int32)), lists, odd]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row_hash", "node", "n", "bands", "odd"])
 
 
 def set_batches(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[pa.RecordBatch]:
@@ -187,13 +194,7 @@ def set_batches(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[p
     for batch in batches:
         for _, texts in text_pieces(batch.column("text"), batch.column("text")):
             shingles, weights, offsets = shingle_sets(texts, weighted)
-            if weighted:  # a shingle that stands w times is w elements, so sets of elements have the weighted similarity
-                times = weights.astype(np.int64)
-                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                elements = mix64(np.repeat(shingles, times) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                ends = np.concatenate([[0], np.cumsum(times)])[offsets]
-            else:
-                elements, ends = shingles, offsets
+            elements, ends = set_elements(shingles, weights, offsets) if weighted else (shingles, offsets)
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(elements.view(SIGNED)))
             yield pa.RecordBatch.from_arrays([pa.array(set_keys(shingles, weights, offsets).view(SIGNED)), lists], names=["node", "set"])
 
@@ -215,13 +216,12 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def may_be_similar(one: str, other: str) -> Column:
-    """Size and sketch tests of two nodes with columns n, s1, s2, odd behind the given prefixes."""
+    """Size and parity tests of two nodes with columns n, odd behind the given prefixes; nothing similar fails them."""
     above, below = THRESHOLD
     c = lambda side, name: F.col(f"{side}_{name}")
     sizes = F.least(c(one, "n"), c(other, "n")) * below >= F.greatest(c(one, "n"), c(other, "n")) * above
-    differ = F.bit_count(c(one, "s1").bitwiseXOR(c(other, "s1"))) + F.bit_count(c(one, "s2").bitwiseXOR(c(other, "s2")))
     # Similar sets differ in at most (1 - s) / (1 + s) of their elements.
-    return sizes & (differ <= SKETCH_LIMIT) & (differing(one, other) * (above + below) <= (c(one, "n") + c(other, "n")) * (below - above))
+    return sizes & (differing(one, other) * (above + below) <= (c(one, "n") + c(other, "n")) * (below - above))
 
 
 def differing(one: str, other: str) -> Column:
@@ -233,15 +233,15 @@ def differing(one: str, other: str) -> Column:
 
 
 #: Columns of a node that its tests need.
-NODE = ("n", "s1", "s2", "odd")
+NODE = ("n", "odd")
 
 
 def _side(nodes: DataFrame, side: str) -> DataFrame:
     return nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in NODE])
 
 
-def find_links(docs: DataFrame, signed: DataFrame, weighted: bool = False) -> DataFrame:
-    """(node, label): the component of every node that has a link to another."""
+def find_links(docs: DataFrame, signed: DataFrame, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(node, label), the component of every node that has a link to another, and the links (a, b)."""
     stood_by = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     # One row for each node stands in the buckets; equal rows are equal in every column used.
     members = signed.where("n > 0").select("node", F.explode("bands").alias("bucket")).distinct()
@@ -266,13 +266,14 @@ def find_links(docs: DataFrame, signed: DataFrame, weighted: bool = False) -> Da
     first = hubs.groupBy("a").agg(best.alias("best")).select("a", F.col("best.b").alias("b"))
     links = materialize(similar_pairs(first, sets), "links")
     labels = components(links)
-    for pairs in (lambda lab: _apart(hubs.select("a", "b"), lab), lambda lab: _bucket_pairs(members, nodes, lab)):
+    for pairs in (lambda lab: _apart(hubs.select("a", "b"), lab), lambda lab: _rare_pairs(members, nodes, sets, lab)):
         more = materialize(similar_pairs(materialize(pairs(labels), "pairs"), sets), "links")
         if more.isEmpty():
             continue
         links = links.unionByName(more)
         labels = components(links)
-    return labels
+    discard(members, nodes, hubs, sets)
+    return labels, links
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
@@ -286,32 +287,58 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where("la != lb").select("a", "b")
 
 
-def _bucket_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a bucket that are in different components and may be similar."""
+def _rare_pairs(members: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different components that may be similar, among the nodes of buckets that hold several components.
+
+    Elements stand in order of the number of these nodes that have them, rarest first; elements of one
+    component only come before all others and pair with nothing.
+    """
+    above, below = THRESHOLD
     rows = _labelled(members.select("bucket", "node"), labels, "node", "label")
     mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-    rows = materialize(rows.join(mixed, "bucket", "left_semi").join(nodes, "node"), "mixed-buckets")
-    side = lambda s: rows.select("bucket", F.col("node").alias(s), F.col("label").alias(f"{s}_label"), *[F.col(c).alias(f"{s}_{c}") for c in NODE])
-    met = side("a").join(side("b"), "bucket").where((F.col("a_label") < F.col("b_label")) & may_be_similar("a", "b"))
-    return met.select("a", "b").distinct()
-
-
-def classes(docs: DataFrame, weighted: bool = False) -> DataFrame:
-    """doc_id, row_hash, class_id, class_rows: every row's class, named by its smallest id."""
+    left = materialize(rows.join(mixed, "bucket", "left_semi").select("node", "label").distinct(), "mixed-nodes")
+    elements = left.join(sets, "node").select("node", "label", F.size("set").alias("n"), F.explode("set").alias("element"))
+    shared = elements.groupBy("element").agg(F.count(F.lit(1)).alias("often"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    shared = materialize(shared.select("element", "often"), "shared-elements")
+    placed = elements.join(shared, "element").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("order"))
+    # The prefix, less the elements that come before the shared ones.
+    rare = F.col("n") - F.ceil(F.col("n") * F.lit(above) / F.lit(below)).cast("int") + 1 - (F.col("n") - F.size("order"))
+    prefix = placed.where(rare > 0).select("node", "label", "n", F.explode(F.slice("order", F.lit(1), rare)).alias("e"))
+    prefix = materialize(prefix.select("node", "label", "n", F.col("e.element").alias("element")), "rare-elements")
+    side = lambda s: prefix.select("element", F.col("node").alias(s), F.col("label").alias(f"{s}_label"), F.col("n").alias(f"{s}_n"))
+    sizes = F.least("a_n", "b_n") * below >= F.greatest("a_n", "b_n") * above
+    met = side("a").join(side("b"), "element").where((F.col("a_label") < F.col("b_label")) & sizes).select("a", "b").distinct()
+    return met.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").where(may_be_similar("a", "b")).select("a", "b")
+
+
+def classes(docs: DataFrame, weighted: bool = True) -> DataFrame:
+    """doc_id, row_hash, label, class_id, class_rows, n_links: every row's class, named by its smallest id.
+
+    ``n_links`` counts the other texts that the row's text was compared with and found similar to.
+    """
     signed = sign(docs, weighted)
-    labels = find_links(docs, signed, weighted)
-    rows = _labelled(signed.select("doc_id", "row_hash", "node"), labels, "node", "label")
+    labels, links = find_links(docs, signed, weighted)
     # Ids of a node first, then of a component: neither holds a group's rows.
-    per = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
-    return rows.join(per, "label").select("doc_id", "row_hash", "label", "class_id", "class_rows")
-
-
-def near_duplicates(docs: DataFrame, weighted: bool = False) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), class_rows for every row of ``docs`` (doc_id, text)."""
-    return classes(docs, weighted).select("doc_id", "class_id", "class_rows")
-
-
-def keep_one(docs: DataFrame, weighted: bool = False) -> DataFrame:
+    per_node = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "class-nodes")
+    named = labels.join(per_node, "node")
+    per_label = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_rows"))
+    # Two nodes may have stood as hubs for each other.
+    once = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    degree = once.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = labels.join(per_label, "label").join(degree, "node").select("node", "label", "class_id", "class_rows", "n_links", F.lit(True).alias("is_linked"))
+    known = per_node.join(linked, "node", "left")
+    own = lambda name, alone: F.when(F.col("is_linked"), F.col(name)).otherwise(alone).alias(name)
+    # Written, so that the join with the rows can split a node that very many rows share.
+    known = materialize(known.select("node", own("label", F.col("node")), own("class_id", F.col("least")), own("class_rows", F.col("rows")), own("n_links", F.lit(0).cast("long"))), "classes")
+    return signed.select("doc_id", "row_hash", "node").join(known, "node").drop("node")
+
+
+def near_duplicates(docs: DataFrame, weighted: bool = True) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class), class_rows, n_links for every row of ``docs`` (doc_id, text)."""
+    return classes(docs, weighted).select("doc_id", "class_id", "class_rows", "n_links")
+
+
+def keep_one(docs: DataFrame, weighted: bool = True) -> DataFrame:
     """One row of each class, with all its columns: the row with the smallest id (ties by text digest)."""
     rows = classes(docs, weighted)
     key = ["label"]

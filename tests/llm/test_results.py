@@ -100,23 +100,25 @@ def test_components(spark):
     assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
 
 
-def brute_classes(texts):
-    sets = []
-    for t in texts:
-        w = (t or "").lower().split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+def brute_shingles(text, weighted):
+    w = (text or "").lower().split()
+    found = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+    return found if weighted else Counter(set(found))
+
+
+def brute_classes(texts, weighted):
+    sets = [brute_shingles(t, weighted) for t in texts]
     label = list(range(len(texts)))
     for a in range(len(texts)):
         for b in range(a):
-            either = len(sets[a] | sets[b])
-            if (not either) or (sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * either):
+            either = (sets[a] | sets[b]).total()
+            if (not either) or (sets[a] and sets[b] and 5 * (sets[a] & sets[b]).total() >= 4 * either):
                 old, new = max(label[a], label[b]), min(label[a], label[b])
                 label = [new if x == old else x for x in label]
     return label
 
 
-def test_near_duplicates_equal_brute_force(spark):
-    rng = random.Random(9)
+def near_copies(rng):
     base = words(rng, 200).split()
     texts = [words(rng, rng.randint(3, 80)) for _ in range(60)]
     for _ in range(120):  # copies of one text, with edits that put pairs on both sides of the threshold
@@ -124,9 +126,52 @@ def test_near_duplicates_equal_brute_force(spark):
         for _ in range(rng.randint(0, 7)):
             w[rng.randrange(len(w))] = "zz" + str(rng.randrange(1000))
         texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_near_duplicates_equal_brute_force(spark, weighted):
+    texts = near_copies(random.Random(9))
     texts += [texts[0], texts[1].upper(), "", None, "one", "one", "one two", "one two three four five"]
+    # Texts that differ in how often they repeat a phrase are alike as sets only.
+    texts += [" ".join(["the same phrase over and over again"] * n) for n in (3, 4, 5, 20, 21)]
+    rows = {r["doc_id"]: r for r in minhash.near_duplicates(docs(spark, texts), weighted).collect()}
+    want = brute_classes(texts, weighted)
+    assert [rows[i]["class_id"] for i in range(len(texts))] == want
+    size = Counter(want)
+    for i, t in enumerate(texts):
+        assert rows[i]["class_rows"] == size[want[i]]
+        others = {tuple(sorted(brute_shingles(texts[j], weighted).items())) for j in range(len(texts)) if want[j] == want[i]} - {tuple(sorted(brute_shingles(t, weighted).items()))}
+        assert (rows[i]["n_links"] > 0) == bool(others) and rows[i]["n_links"] <= len(others)
+
+
+def test_near_duplicates_of_texts_that_share_most_words(spark):
+    """Many texts with one long passage in common fill buckets without being alike; pairs among them still link."""
+    rng = random.Random(12)
+    shared = words(rng, 120)
+    own = [words(rng, 50) for _ in range(150)]
+    texts = [f"{shared} {o}" for o in own] + [f"{shared} {own[i]} {words(rng, 3)}" for i in range(0, 150, 10)]
+    rows = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(spark, texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute_classes(texts, True)
+
+
+def test_near_duplicate_recall_by_similarity(spark):
+    """Pairs, each of its own text: all from the threshold on are in one class, none below it."""
+    rng, texts = random.Random(13), []
+    for i in range(300):
+        w = words(rng, 150).split()
+        texts.append(" ".join(w))
+        for k in range(i % 12):
+            w[rng.randrange(len(w))] = f"zz{k}"
+        texts.append(" ".join(w))
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+    found = Counter()
+    for i in range(0, 600, 2):
+        a, b = brute_shingles(texts[i], True), brute_shingles(texts[i + 1], True)
+        similarity = (a & b).total() / (a | b).total()
+        found[min(int(similarity * 10), 9), got[i] == got[i + 1]] += 1
+    assert found[9, True] > 50 and found[8, True] > 30 and not found[9, False] + found[8, False]
+    assert found[7, False] > 20 and not found[7, True] + found[6, True] + found[5, True]
 
 
 def test_near_duplicates_without_ids(spark):
@@ -135,10 +180,11 @@ def test_near_duplicates_without_ids(spark):
     assert sorted(r["class_rows"] for r in minhash.near_duplicates(rows).collect()) == [1, 2, 2]
 
 
-def test_dart_signatures_estimate_weighted_similarity():
+@pytest.mark.parametrize("most", [0.9, 1.0, 2.5, 6])
+def test_dart_signatures_estimate_weighted_similarity(most):
     rng = np.random.default_rng(4)
     a = rng.integers(1, 2**63, 300).astype(np.uint64)
-    wa, wb = rng.uniform(0.2, 6, 300), rng.uniform(0.2, 6, 300)
+    wa, wb = rng.uniform(0.2, most, 300), rng.uniform(0.2, most, 300)
     sig = minhash.signatures(np.concatenate([a, a]), np.concatenate([wa, wb]), np.array([0, 300, 600]), k=2000, n_darts=2000 * 12)
     true = np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()
     assert abs((sig[0] == sig[1]).mean() - true) < 0.04
