@@ -7,8 +7,10 @@ log-mel energies in steps of ``STEP_DB``.  A segment opens when a frame's energy
 mark and closes when it falls below the low mark (hysteresis).  Log-mels are stored in patches of
 fixed shape ``PATCH_FRAMES x MELS`` as an Arrow fixed-shape tensor array with a time span for each.
 
-Each document is computed alone, block by block of frames, so equal payloads give equal features
-whatever batch they are in, and a long text costs bounded memory beside its own bytes.
+Each document is computed alone, block by block of frames with the samples that they overlap, so equal
+payloads give equal features whatever batch they are in.  Beside a text's own bytes and its features
+(about one byte each for a byte of text) memory is bounded: no resampled signal is ever held whole, and
+batches are cut into pieces of bounded bytes, of one text at least.
 
 Edge cases: null text is an empty payload, 64 zero bytes long after padding; repeated rows get equal
 values; an empty table gives an empty result; other columns are not carried.
@@ -26,10 +28,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finweave.llm.common import clean_text, materialize
+from finweave.llm.common import PIECE_BYTES, clean_text, materialize, text_pieces
 
 BLOCK = 64
 STORED_RATE, UP, DOWN = 16_000, 3, 4
@@ -40,7 +43,7 @@ MELS, PATCH_FRAMES = 24, 32
 STEP_DB = 0.5
 HIGH_DB, LOW_DB = 1.0, -1.0
 #: Frames computed at once.
-FRAMES_AT_ONCE = 4096
+FRAMES_AT_ONCE = 1024
 WAV_HEAD = 44
 
 
@@ -78,14 +81,34 @@ def polyphase() -> np.ndarray:
     return out
 
 
-def resample(samples: np.ndarray) -> np.ndarray:
-    """Samples at ``RATE``: output ``UP * k + phase`` stands at input ``DOWN * k + phase * DOWN / UP``."""
-    steps = -(-len(samples) // DOWN)
+def resample_range(samples: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Outputs ``begin`` to ``end - 1`` at ``RATE``, 0 outside: output ``UP * k + phase`` stands at input ``DOWN * k + phase * DOWN / UP``."""
+    first, last = begin // UP, -(-end // UP)
     width = 2 * TAPS + DOWN
-    padded = np.zeros(steps * DOWN + width, np.float32)
-    padded[TAPS : TAPS + len(samples)] = samples
-    windows = np.lib.stride_tricks.sliding_window_view(padded, width)[::DOWN][:steps]
-    return (windows @ polyphase()).ravel()[: -(-len(samples) * UP // DOWN)]
+    # Inputs from TAPS before the first step's to the end of the last one's window.
+    low, high = first * DOWN - TAPS, (last - 1) * DOWN - TAPS + width
+    padded = np.zeros(high - low, np.float32)
+    inside = samples[max(low, 0) : max(high, 0)]
+    padded[max(low, 0) - low : max(low, 0) - low + len(inside)] = to_signal(inside)
+    windows = np.lib.stride_tricks.sliding_window_view(padded, width)[::DOWN]
+    out = (windows @ polyphase()).ravel()[begin - first * UP : end - first * UP]
+    places = np.arange(begin, end)
+    out[(places < 0) | (places >= n_resampled(len(samples)))] = 0
+    return out
+
+
+def to_signal(samples: np.ndarray) -> np.ndarray:
+    """Centred 8-bit samples."""
+    return (samples.astype(np.float32) - 128) / 128 if samples.dtype == np.uint8 else samples.astype(np.float32)
+
+
+def n_resampled(n: int) -> int:
+    return -(-n * UP // DOWN)
+
+
+def resample(samples: np.ndarray) -> np.ndarray:
+    """All samples at ``RATE``."""
+    return resample_range(samples, 0, n_resampled(len(samples)))
 
 
 @lru_cache(maxsize=1)
@@ -104,23 +127,21 @@ def hann() -> np.ndarray:
     return np.hanning(FRAME).astype(np.float32)
 
 
-def log_mel(signal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel energies (frames, MELS) in whole steps of ``STEP_DB``, and each frame's energy in dB.
+def log_mel(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-mel energies (frames, MELS) of stored samples in whole steps of ``STEP_DB``, and each frame's energy in dB.
 
-    Frame ``i`` is centred at sample ``i * HOP``.
+    Frame ``i`` is centred at resampled sample ``i * HOP``.
     """
-    n = len(signal) // HOP + 1
-    padded = np.zeros((n - 1) * HOP + FRAME, np.float32)
-    inside = signal[: len(padded) - FRAME // 2]
-    padded[FRAME // 2 : FRAME // 2 + len(inside)] = inside
-    frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
+    n = n_resampled(len(samples)) // HOP + 1
     mels, power = np.empty((n, MELS), np.int16), np.empty(n)
     for a in range(0, n, FRAMES_AT_ONCE):
-        part = frames[a : a + FRAMES_AT_ONCE] * hann()
+        b = min(n, a + FRAMES_AT_ONCE)
+        signal = resample_range(samples, a * HOP - FRAME // 2, (b - 1) * HOP + FRAME // 2)
+        part = np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP] * hann()
         spectrum = np.fft.rfft(part, FFT, axis=1)
         energy = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        mels[a : a + FRAMES_AT_ONCE] = np.rint(10 * np.log10(energy @ mel_filters() + 1e-6) / STEP_DB)
-        power[a : a + FRAMES_AT_ONCE] = np.rint(10 * np.log10(np.einsum("ij,ij->i", part, part) + 1e-6) / STEP_DB) * STEP_DB
+        mels[a:b] = np.rint(10 * np.log10(energy @ mel_filters() + 1e-6) / STEP_DB)
+        power[a:b] = np.rint(10 * np.log10(np.einsum("ij,ij->i", part, part) + 1e-6) / STEP_DB) * STEP_DB
     return mels, power
 
 
@@ -160,8 +181,7 @@ def to_tensor_ipc(values: np.ndarray, spans: np.ndarray) -> bytes:
 
 def features(payload: bytes) -> tuple[list[tuple[int, int]], bytes]:
     """Segments as spans in ms, and the tensors."""
-    signal = resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128)
-    mels, power = log_mel(signal)
+    mels, power = log_mel(np.frombuffer(payload, np.uint8))
     ms = lambda frame: frame * HOP * 1000 // RATE
     return [(ms(a), ms(b)) for a, b in segments(power)], to_tensor_ipc(*patches(mels))
 
@@ -172,27 +192,38 @@ FEATURE_SCHEMA = "doc_id {id}, n_bytes long, payload_bytes long, payload_sha256
 
 def store_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t.encode("utf-8") for t in batch.column("text").to_pylist()]
-        media = pa.array([to_wav(pad_payload(t)) for t in texts], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), media], names=["doc_id", "n_bytes", "media"])
+        for keys, column in text_pieces(batch.column("doc_id"), batch.column("text")):
+            texts = [t.encode("utf-8") for t in column.to_pylist()]
+            media = pa.array([to_wav(pad_payload(t)) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, pa.array(map(len, texts), pa.int64()), media], names=["doc_id", "n_bytes", "media"])
 
 
-def feature_batches(batches: Iterator[pa.RecordBatch], digest_only: bool) -> Iterator[pa.RecordBatch]:
+def media_pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of a bounded number of stored bytes, of one file at least."""
+    ends = np.cumsum(pc.binary_length(batch.column("media")).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, done + PIECE_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at, done = to, int(ends[to - 1])
+    pa.default_memory_pool().release_unused()
+
+
+def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
-    for batch in batches:
-        rows: list[list] = [[] for _ in range(7)]
-        for media in batch.column("media"):
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), span, pa.binary()]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "segments", "tensors"]
+    for piece in (p for batch in batches for p in media_pieces(batch)):
+        rows: list[list] = [[] for _ in names]
+        for media in piece.column("media"):
             stored = media.as_py()
             payload = from_wav(stored)
             found, tensors = features(payload)
-            kept = hashlib.sha256(tensors).hexdigest() if digest_only else tensors
-            row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), [{"start_ms": a, "end_ms": b} for a, b in found], kept)
+            row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), [{"start_ms": a, "end_ms": b} for a, b in found], tensors)
             for column, value in zip(rows, row):
                 column.append(value)
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), span, pa.string() if digest_only else pa.binary()]
         arrays = [pa.array(c, k) for c, k in zip(rows, kinds)]
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "segments", "tensors"]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *arrays], names=["doc_id", "n_bytes", *names])
+        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("n_bytes"), *arrays], names=["doc_id", "n_bytes", *names])
 
 
 def store_audio(docs: DataFrame) -> DataFrame:
@@ -202,16 +233,14 @@ def store_audio(docs: DataFrame) -> DataFrame:
     return materialize(media, "audio")
 
 
-def audio_features(media: DataFrame, digest_only: bool = False) -> DataFrame:
-    """Features of stored audio; ``digest_only`` gives the SHA-256 of the tensors in their place."""
+def audio_features(media: DataFrame) -> DataFrame:
+    """Digests, segments and tensors of stored audio, written to the shared folder and read back."""
     schema = FEATURE_SCHEMA.format(id=dict(media.dtypes)["doc_id"])
-    if digest_only:
-        schema = schema.replace("tensors binary", "tensors string")
-    return media.mapInArrow(lambda it: feature_batches(it, digest_only), schema)
+    return materialize(media.mapInArrow(feature_batches, schema), "audio-features")
 
 
 def audio_report(docs: DataFrame) -> DataFrame:
-    """The digests of every document's stored audio, with ``feature``: the segments and the tensors' SHA-256."""
-    found = audio_features(store_audio(docs), digest_only=True)
+    """The digests of every document's stored audio, with ``feature``: the segments and the SHA-256 of the stored tensors."""
+    found = audio_features(store_audio(docs))
     spans = F.array_join(F.transform("segments", lambda s: F.concat_ws("-", s["start_ms"], s["end_ms"])), ",")
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(";", F.lit("logmel24x32"), spans, "tensors").alias("feature"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(";", F.lit("logmel24x32"), spans, F.sha2("tensors", 256)).alias("feature"))

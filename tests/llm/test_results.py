@@ -315,6 +315,39 @@ def test_resampling_keeps_a_tone():
     assert len(out) == 12_000 and np.abs(out - want)[200:-200].max() < 0.02
 
 
+def test_log_mel_equals_computing_all_at_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    samples = rng.integers(0, 256, 100_000).astype(np.uint8)
+    # Plain definition: one output sample at a time, then every frame by itself.
+    x = (samples.astype(float) - 128) / 128
+    filters, width = audio.polyphase(), 2 * audio.TAPS + audio.DOWN
+    padded = np.concatenate([np.zeros(audio.TAPS), x, np.zeros(width)])
+    signal = np.array([padded[audio.DOWN * (o // audio.UP) :][:width] @ filters[:, o % audio.UP] for o in range(audio.n_resampled(len(x)))])
+    assert np.abs(audio.resample(samples) - signal).max() < 1e-5
+    frames = np.concatenate([np.zeros(audio.FRAME // 2), signal, np.zeros(audio.FRAME)])
+    mels, power = audio.log_mel(samples)
+    for i in (0, 1, 57, len(mels) - 2, len(mels) - 1):
+        part = frames[i * audio.HOP :][: audio.FRAME] * audio.hann()
+        energy = np.abs(np.fft.rfft(part, audio.FFT)) ** 2 @ audio.mel_filters()
+        assert np.abs(mels[i] - 10 * np.log10(energy + 1e-6) / audio.STEP_DB).max() <= 0.51
+        assert abs(power[i] - 10 * np.log10((part**2).sum() + 1e-6)) <= 0.51 * audio.STEP_DB
+    for block in (7, 100):
+        monkeypatch.setattr(audio, "FRAMES_AT_ONCE", block)
+        again = audio.log_mel(samples)
+        assert (again[0] == mels).mean() > 0.999 and (again[1] == power).mean() > 0.999
+
+
+def test_audio_of_a_long_text_takes_bounded_memory():
+    import tracemalloc
+
+    payload = np.random.default_rng(1).integers(32, 127, 8_000_000).astype(np.uint8).tobytes()
+    audio.features(payload[:64_000])
+    tracemalloc.start()
+    audio.features(payload)
+    assert tracemalloc.get_traced_memory()[1] < 5 * len(payload)
+    tracemalloc.stop()
+
+
 def test_segments_have_hysteresis():
     power = np.array([0, 0, 0, 5, 0.5, 0.5, 5, -5, 0.5, 0, 0, 0], float)
     assert audio.segments(power) == [(3, 7)]
