@@ -10,8 +10,11 @@ equal windows of a piece are aligned once.  A pass is narrow: no text is shuffle
 A score is the alignment's over that of a perfect copy, from 0 to 1; ``ACCEPT`` and above counts.
 Words are lower-cased and stripped of marks.
 
-Edge cases: null texts are empty and match nothing; items of fewer than ``SEED_WORDS`` words have no
-seeds and match nothing; equal items are each reported; repeated rows are judged alike; an empty
+A block travels to the tasks as part of the step's function, which Spark broadcasts once it is above a
+megabyte; the words of a block bound its size.
+
+Edge cases: null texts are empty and match nothing; an item of fewer than ``SEED_WORDS`` words matches
+the texts that are its words and no others, as a word or two stand in texts of any kind; equal items are each reported; repeated rows are judged alike; an empty
 table on either side gives no pairs and drops nothing; all other columns are kept by
 ``decontaminate``.
 """
@@ -44,6 +47,7 @@ class Block:
 
     ids: list
     words: list[np.ndarray]
+    lengths: np.ndarray
     seeds: np.ndarray
     item: np.ndarray
     place: np.ndarray
@@ -54,10 +58,9 @@ def build_block(ids: list, texts: list[str | None]) -> Block:
     seeds, seed_offsets = shingle_hashes(words, offsets, SEED_WORDS)
     item = np.repeat(np.arange(len(ids)), np.diff(seed_offsets))
     place = np.arange(len(seeds)) - seed_offsets[:-1][item]
-    long_enough = np.diff(offsets)[item] >= SEED_WORDS
-    seeds, item, place = seeds[long_enough], item[long_enough], place[long_enough]
+    # The one seed of a short item is all its words; of a text, only one as short has such a shingle.
     order = np.argsort(seeds, kind="stable")
-    return Block(ids, [words[a:b] for a, b in zip(offsets[:-1], offsets[1:])], seeds[order], item[order], place[order])
+    return Block(ids, [words[a:b] for a, b in zip(offsets[:-1], offsets[1:])], np.diff(offsets), seeds[order], item[order], place[order])
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Block]:
@@ -147,7 +150,7 @@ def _match_hits(words: np.ndarray, offsets: np.ndarray, block: Block, accept: fl
     text, place = np.repeat(text, same), np.repeat(place, same)
     seed = np.repeat(seed, same) + np.arange(same.sum()) - np.repeat(np.cumsum(same) - same, same)
     item = block.item[seed]
-    length = np.array([len(w) for w in block.words])[item]
+    length = block.lengths[item]
     pad = length // 4 + 4
     begin = np.maximum(0, place - block.place[seed] - pad)
     end = np.minimum(np.diff(offsets)[text], place - block.place[seed] + length + pad)

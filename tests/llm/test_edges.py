@@ -64,6 +64,11 @@ def test_empty_table(spark, name):
 def test_contaminated_edges(spark):
     found = decontaminate.contaminated(table(spark), benchmark(spark)).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1)}
+    # Items of one or two words match whole texts only.
+    short = benchmark(spark, ((1, "Alpha"), (2, "alpha beta"), (3, "alpha alpha")))
+    texts = ["alpha", "ALPHA, beta!", "alpha beta gamma", "the alpha beta of it", "beta alpha", "", None]
+    found = decontaminate.contaminated(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), short).collect()
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in found} == {(0, 1, 1.0), (1, 2, 1.0)}
     assert decontaminate.contaminated(table(spark), benchmark(spark, ())).collect() == []
     assert decontaminate.contaminated(table(spark, []), benchmark(spark)).collect() == []
     kept = decontaminate.decontaminate(table(spark), benchmark(spark))
