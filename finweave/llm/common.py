@@ -99,6 +99,16 @@ def unit_hash(*columns: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def hash_candidates(rows: DataFrame, key: str, most: int, seed: str) -> tuple[DataFrame, Column]:
+    """The rows of about ``2 * most`` distinct keys by a threshold on a hash, all if there are fewer, and that hash.
+
+    What is left is bounded whatever the table's size, so that it may be ordered and cut at ``most``.
+    """
+    u = unit_hash(F.col(key), seed=seed)
+    n = rows.agg(F.approx_count_distinct(key).alias("n")).first()["n"]
+    return (rows.where(u < 2 * most / n) if n > 2 * most else rows), u
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

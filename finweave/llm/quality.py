@@ -9,7 +9,7 @@ Labels, language, source and id are never inputs.  ``MAX_TRAIN`` bounds the labe
 driver fits on, taken in order of a hash of the id; all else covers all rows.
 
 Edge cases: null text is scored as empty; an empty text has all statistics 0 and a defined score;
-repeated rows score alike; without labelled rows every score is 1 (nothing is known against a
+repeated rows score alike; of the texts that share an id one is learnt from; without labelled rows every score is 1 (nothing is known against a
 text), with one class only it is that class's share; an empty table gives an empty result.
 """
 
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finweave.llm.common import clean_text, unit_hash
+from finweave.llm.common import clean_text, hash_candidates
 from finweave.llm.trees import Cuts, Node, fit_tree, sigmoid, tree_values
 
 #: Labelled rows that the driver fits on, at most.
@@ -171,12 +171,15 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> RuleModel:
     """Fits on at most ``max_train`` labelled rows that are not held out."""
     marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out())
+    marks, u = hash_candidates(marks, "doc_id", max_train, "quality-sample")
     # One label for each id; contradictions are read as the worse.
-    sample = marks.orderBy(unit_hash(F.col("doc_id"), seed="quality-sample"), "doc_id").limit(max_train).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    # The sample is bounded by max_train, and so is what its texts' statistics bring to the driver.
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = joined.select("quality", *[c.alias(n) for n, c in statistics(clean_text()).items()]).limit(2 * max_train).collect()
-    rows.sort()
+    sample = marks.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(u, "doc_id").limit(max_train)
+    # The sample is bounded by max_train, so it may be broadcast; of the texts of one id the first by
+    # digest is learnt from, so the rows that come to the driver are as few, and always the same.
+    joined = docs.select("doc_id", clean_text().alias("text")).join(F.broadcast(sample), "doc_id")
+    found = joined.select("doc_id", "quality", F.xxhash64("text").alias("digest"), *[c.alias(n) for n, c in statistics(F.col("text")).items()])
+    first = found.groupBy("doc_id").agg(F.min(F.struct("digest", "quality", *FEATURES)).alias("row"))
+    rows = sorted(first.select("row.quality", *[f"row.{n}" for n in FEATURES]).collect())
     x = np.array([[r[n] for n in FEATURES] for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
     return fit_rules(x, np.array([r["quality"] for r in rows], dtype=float))
 

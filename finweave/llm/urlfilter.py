@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finweave.llm.common import materialize, unit_hash
+from finweave.llm.common import hash_candidates, materialize
 from finweave.llm.trees import Boosted, boost
 
 MAX_TRAIN = 20_000
@@ -165,13 +165,9 @@ def sample(labelled: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
 
     The hash threshold leaves about twice as many candidates whatever the table's size.
     """
-    rows = labelled.where(F.col("url").isNotNull() & F.col("blocked").isNotNull())
-    n = rows.agg(F.approx_count_distinct("url").alias("n")).first()["n"]
-    u = unit_hash(F.col("url"), seed="url-sample")
-    if n > 2 * max_train:
-        rows = rows.where(u < 2 * max_train / n)
+    rows, u = hash_candidates(labelled.where(F.col("url").isNotNull() & F.col("blocked").isNotNull()), "url", max_train, "url-sample")
     rows = rows.groupBy("url").agg(F.max(F.col("blocked").cast("int")).alias("blocked"))
-    return rows.orderBy(unit_hash(F.col("url"), seed="url-sample"), "url").limit(max_train).withColumn("host", host_column(F.col("url")))
+    return rows.orderBy(u, "url").limit(max_train).withColumn("host", host_column(F.col("url")))
 
 
 def training_rows(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray, np.ndarray]:
