@@ -13,6 +13,8 @@ import struct
 import numpy as np
 
 SAMPLE = 256
+#: Values whose low bits are laid out at once.
+PIECE = 65_536
 HEAD = struct.Struct("<QQqBxxxQQ")
 
 
@@ -29,8 +31,10 @@ def encode(values: np.ndarray) -> bytes:
     bits[high] = 1
     upper = np.packbits(bits, bitorder="little").tobytes()
     if low_bits:
-        low = (rel[:, None] >> np.arange(low_bits, dtype=np.uint64)[None, :]) & np.uint64(1)
-        lower = np.packbits(low.astype(np.uint8).ravel(), bitorder="little").tobytes()
+        # A piece is a multiple of 8 values, so each ends at a whole byte.
+        places = np.arange(low_bits, dtype=np.uint64)[None, :]
+        pieces = (((rel[a : a + PIECE, None] >> places) & np.uint64(1)).astype(np.uint8).ravel() for a in range(0, n, PIECE))
+        lower = b"".join(np.packbits(p, bitorder="little").tobytes() for p in pieces)
     else:
         lower = b""
     samples = high[::SAMPLE].astype("<u4").tobytes()

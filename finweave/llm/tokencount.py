@@ -4,8 +4,8 @@ Each content digest is joined, with the tokenizer file's digest, to a stored tab
 the distinct contents that miss are encoded, and their counts are appended to the table.
 
 Plan: one scan digests the texts (JVM) and keeps narrow rows; the distinct digests are anti-joined
-to the cache; one row for each miss brings its text to the encoder (a shuffle of the missing texts,
-each once, spread by digest); the narrow rows then join the cache.  Copies cost a digest, not an
+to the cache; one row for each miss brings its text to the encoder (a shuffle of the texts, spread by
+digest and id; rows repeated in full bring theirs again, and a batch encodes it once); the narrow rows then join the cache.  Copies cost a digest, not an
 encoding, and a hot content costs narrow rows only.
 
 Edge cases: null text counts as empty (0 tokens); repeated rows and ties on ``doc_id`` each get
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,9 @@ def encode_misses(batches: Iterator[pa.RecordBatch], path: str, version: str) ->
     """(digest, text) to rows of the cache."""
     enc = bpe.encoder(path)
     for batch in batches:
+        # Rows repeated in full come together; each content of a batch is encoded once.
+        first = pa.table({"digest": batch.column("digest"), "row": np.arange(batch.num_rows)}).group_by("digest").aggregate([("row", "min")])
+        batch = batch.take(first.column("row_min").combine_chunks().sort())
         for digests, texts in text_pieces(batch.column("digest"), batch.column("text"), bpe.ENCODE_BYTES):
             counts = pa.array(enc.count(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(texts), pa.string()), digests.cast(pa.binary()), counts], names=["tokenizer", "digest", "n_tokens"])

@@ -4,13 +4,14 @@ A shard file is: magic, the concatenated ids in 16 or 32 bits (what the vocabula
 Elias-Fano coded document ends, the Elias-Fano coded document ids, and a footer of fixed size.  A
 reader takes the footer, then any document by two boundary lookups; there is no 64-bit table.
 
-Documents are dealt to shards by ranges of ``doc_id`` and sorted within, so shards in order hold
+Documents are dealt to shards by ranges of ``doc_id`` (then of the text's digest) and sorted within, so shards in order hold
 the corpus in ascending ``doc_id``.  Each task writes its shard under a temporary name in the shared
 folder and renames it; a lost or repeated task writes the same bytes to the same name.  The driver
 keeps one row for each shard.
 
 Edge cases: null text is a document of only the end id; a null ``doc_id`` stands before all others
-and is read back as null; rows that share an id are ordered by text; an empty table writes no shard
+and is read back as null; rows that share an id are ordered by a
+digest of the text, then by the text; an empty table writes no shard
 and reads back as an empty table; other columns are not carried.
 """
 
@@ -130,7 +131,10 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, out_dir: str, end_i
     """Writes ``docs`` (doc_id, text) and returns the shards in order; the driver holds only these rows."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean_text().alias("text"))
-    dealt = rows.repartitionByRange(num_shards or shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows of one id, or of none, are dealt on by their text's digest, so no id fills a shard alone.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("text")]
+    rows = rows.withColumn("digest", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(num_shards or shuffle_partitions(spark), *order[:2]).sortWithinPartitions(*order).drop("digest")
     shards = dealt.mapInArrow(lambda it: write_shard(it, out_dir, tokenizer_path, end_id), SHARD_SCHEMA).collect()
     return [r.asDict() for r in sorted(shards, key=lambda r: r["shard"])]
 
