@@ -285,6 +285,59 @@ def test_line_dedup_fields_whose_values_repeat(spark, n_users, n_days):
     assert all(got[i]["text"] == other[i] and got[i]["n_dropped"] == 1 for i in range(1, len(notes)))
 
 
+def brute_line_dedup(rows):
+    """The tree told plainly: rows of (doc_id, text) to the text that is left."""
+    lines = [(i, t, k, re.sub("[0-9]+", "0", x).lower().strip(" ")) for i, t in sorted(set(rows), key=lambda r: (r[0], 0)) for k, x in enumerate(t.split("\n"))]
+    lines = [x for x in lines if x[3]]
+    leaf = lambda line: (len(line.split(" ")), *line.split(" ")[:3])
+    leaves = {}
+    for *_, line in lines:
+        leaves.setdefault(leaf(line), set()).add(line)
+    template = {}
+    for members in leaves.values():
+        for line in members:
+            parts = line.split(" ")
+            n = len(parts)
+            if len(members) < 2 or n <= 3:
+                continue
+            support = [sum(m.split(" ")[k] == parts[k] for m in members) for k in range(n)]
+            least = sorted(support, reverse=True)[-(-7 * n // 10) - 1]
+            cut = tuple(p if 2 * c > least else None for p, c in zip(parts, support))
+            if None in cut:
+                template[line] = cut
+    contents = {}
+    for _, t, _, line in lines:
+        if line in template:
+            contents.setdefault(template[line], set()).add(t)
+    key = lambda line: template[line] if line in template and len(contents[template[line]]) > 1 else line
+    having = {}
+    for i, t, k, line in lines:
+        having.setdefault(key(line), []).append((i, t, k))
+    dropped = set()
+    for places in having.values():
+        if len({(i, t) for i, t, _ in places}) > 1:
+            dropped.update(sorted(places, key=lambda p: (p[0], p[2]))[1:])
+    return {(i, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, t, k) not in dropped)) for i, t in rows}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_line_dedup_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    forms = [" ".join(rng.choice(["the", "of", "user", "host", "{}", "went", "from", "to"]) for _ in range(rng.randint(1, 14))) for _ in range(12)]
+    log = lambda: re.sub(r"\{\}", lambda _: rng.choice(["ann", "bob", "cy", "dee", "eve", "7", "18"]), rng.choice(forms))
+    texts = ["\n".join(rng.choice([log, log, lambda: words(rng, rng.randint(1, 12)), lambda: ""])() for _ in range(rng.randint(1, 8))) for _ in range(120)]
+    rows = [*enumerate(texts), (200, texts[0]), (201, texts[1]), (201, texts[1])]
+    got = linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["text"]) for r in got} == brute_line_dedup(rows)
+
+
+@pytest.mark.parametrize("form,drops", [("This line was written by {a} on host {b} today ok", 11), ("Visits so far {a}{b}", 11), ("Owner of it {a}{b} now", 11)])
+def test_line_dedup_of_short_and_long_logs(spark, form, drops):
+    texts = [form.format(a=a, b=b) for a in ("ann", "bob", "cy", "dee") for b in ("north", "south", "west")]
+    rows = linededup.line_report(docs(spark, texts)).collect()
+    assert sum(r["n_dropped"] for r in rows) == drops
+
+
 def test_line_dedup_of_copies(spark):
     rng = random.Random(11)
     text = f"{words(rng, 60)}\n\nshort line\nthis page was seen by a at our site\nthis page was seen by b at our site"
