@@ -250,8 +250,10 @@ def find_links(docs: DataFrame, signed: DataFrame, weighted: bool = False) -> tu
     met = met.select("bucket", F.col("low").bitwiseXOR(F.col("bucket")).alias("b"))
     # Buckets of one node are the bulk, and they end here.
     members = materialize(members.join(met, "bucket"), "buckets")
-    nodes = signed.select("node", *NODE).join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    nodes = materialize(nodes, "nodes")
+    # Equal nodes have equal sketches; a maximum by word is a sum that aggregates before the shuffle.
+    words = [F.max(F.get("odd", F.lit(i))).alias(f"o{i}") for i in range(ODD_WORDS)]
+    nodes = signed.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), *words).select("node", "n", F.array(*[f"o{i}" for i in range(ODD_WORDS)]).alias("odd"))
+    nodes = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi"), "nodes")
     hubs = members.where("node != b").select(F.col("node").alias("a"), "b").distinct()
     hubs = hubs.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").where(may_be_similar("a", "b"))
     hubs = materialize(hubs.select("a", "b", (differing("a", "b") / (F.col("a_n") + F.col("b_n"))).alias("differ")), "hub-pairs")
@@ -291,7 +293,8 @@ def _rare_pairs(members: DataFrame, nodes: DataFrame, sets: DataFrame, labels: D
     """Pairs of different components that may be similar, among the nodes of buckets that hold several components.
 
     Elements stand in order of the number of these nodes that have them, rarest first; elements of one
-    component only come before all others and pair with nothing.
+    component only come before all others and pair with nothing.  Of two sets' first common element, at
+    most the elements from its places on are common, so a pair whose places leave too few is no pair.
     """
     above, below = THRESHOLD
     rows = _labelled(members.select("bucket", "node"), labels, "node", "label")
@@ -302,13 +305,15 @@ def _rare_pairs(members: DataFrame, nodes: DataFrame, sets: DataFrame, labels: D
     shared = materialize(shared.select("element", "often"), "shared-elements")
     placed = elements.join(shared, "element").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("order"))
     # The prefix, less the elements that come before the shared ones.
-    rare = F.col("n") - F.ceil(F.col("n") * F.lit(above) / F.lit(below)).cast("int") + 1 - (F.col("n") - F.size("order"))
-    prefix = placed.where(rare > 0).select("node", "label", "n", F.explode(F.slice("order", F.lit(1), rare)).alias("e"))
-    prefix = materialize(prefix.select("node", "label", "n", F.col("e.element").alias("element")), "rare-elements")
-    side = lambda s: prefix.select("element", F.col("node").alias(s), F.col("label").alias(f"{s}_label"), F.col("n").alias(f"{s}_n"))
-    sizes = F.least("a_n", "b_n") * below >= F.greatest("a_n", "b_n") * above
-    met = side("a").join(side("b"), "element").where((F.col("a_label") < F.col("b_label")) & sizes).select("a", "b").distinct()
-    return met.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").where(may_be_similar("a", "b")).select("a", "b")
+    alone = F.col("n") - F.size("order")
+    rare = F.col("n") - F.ceil(F.col("n") * F.lit(above) / F.lit(below)).cast("int") + 1 - alone
+    prefix = placed.where(rare > 0).select("node", "label", "n", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), rare)).alias("place", "e"))
+    prefix = prefix.select("node", "label", F.col("e.element").alias("element"), (F.col("n") - F.col("alone") - F.col("place")).alias("rest"))
+    prefix = materialize(prefix.join(nodes, "node"), "rare-elements")
+    side = lambda s: prefix.select("element", *[F.col(c).alias(s if c == "node" else f"{s}_{c}") for c in ("node", "label", "rest", *NODE)])
+    enough = F.least("a_rest", "b_rest") * (above + below) >= (F.col("a_n") + F.col("b_n")) * above
+    met = side("a").join(side("b"), "element").where((F.col("a_label") < F.col("b_label")) & enough & may_be_similar("a", "b"))
+    return met.select("a", "b").distinct()
 
 
 def classes(docs: DataFrame, weighted: bool = True) -> DataFrame:
