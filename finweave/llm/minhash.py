@@ -47,6 +47,7 @@ WORDS, BANDS, ROWS = 5, 24, 5
 THRESHOLD = (4, 5)  # 0.8 as a fraction
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (log(COORDINATES) + 3.5)
+SETS_AT_ONCE = 1024
 POISSON = np.cumsum([exp(-1) / factorial(i) for i in range(18)])
 UNIT = 2.0**-53
 
@@ -96,7 +97,15 @@ def darts(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, most_ran
 
 
 def signatures(elements: np.ndarray, weights: np.ndarray, offsets: np.ndarray, k: int = COORDINATES, n_darts: float = DARTS) -> np.ndarray:
-    """(sets, k) earliest dart of each coordinate; a set without elements has zeros."""
+    """(sets, k) earliest dart of each coordinate; a set without elements has zeros.
+
+    A set costs its number of darts however short it is, so sets are taken ``SETS_AT_ONCE`` at a time.
+    """
+    out = [_signatures(elements[offsets[a] : offsets[b]], weights[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k, n_darts) for a in range(0, len(offsets) - 1, SETS_AT_ONCE) for b in (min(a + SETS_AT_ONCE, len(offsets) - 1),)]
+    return np.concatenate(out) if out else np.zeros((0, k), np.uint64)
+
+
+def _signatures(elements: np.ndarray, weights: np.ndarray, offsets: np.ndarray, k: int, n_darts: float) -> np.ndarray:
     n = len(offsets) - 1
     sizes = np.diff(offsets)
     owner = np.repeat(np.arange(n), sizes)
