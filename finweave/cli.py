@@ -1,6 +1,6 @@
-"""Command line: inventory, build, and the audit's sample, baseline and compare.
+"""Command line: inventory, build, the audit's sample, baseline and compare, the pilot gate, and a smoke run.
 
-Exit codes: 0 done; 1 a contract or gate failed; inventory ends with 2 where files were rejected.
+Exit codes: 0 done; 1 a contract or gate failed; 2 inventory rejected files, or a gate's input is no input.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from finweave.plans import audit, release
-from finweave.sources import files, tables
+from finweave.errors import FinweaveError, GateError
+from finweave.operators.extraction import extract_tables
+from finweave.plans import audit, pilot, profile, release
+from finweave.sources import files, store, tables
 
 
 def session() -> SparkSession:
@@ -30,7 +32,8 @@ def inventory(args: argparse.Namespace) -> int:
 def build(args: argparse.Namespace) -> int:
     spark = session()
     documents = tables.read_manifest(spark, args.manifest)[0] if args.manifest else None
-    manifest = release.write_release(spark, release.build_tables(spark, args.root, documents), args.out)
+    source = store.sha256(spark, args.manifest) if args.manifest else ""
+    manifest = release.write_release(spark, release.build_tables(spark, args.root, documents), args.out, source)
     print(json.dumps(manifest["counts"], sort_keys=True))
     return 0
 
@@ -50,7 +53,7 @@ def baseline(args: argparse.Namespace) -> int:
     spark = session()
     rows = spark.read.parquet(args.sample)
     metrics = audit.evaluate_labels(rows, tables.read_labels(spark, args.labels, rows)).orderBy("issue_code").collect()
-    tables.replace_file(args.out, audit.markdown("False positives by issue code", [r.asDict() for r in metrics]).encode())
+    store.write_bytes(spark, args.out, audit.markdown("False positives by issue code", [r.asDict() for r in metrics]).encode())
     return 0
 
 
@@ -60,18 +63,58 @@ def compare(args: argparse.Namespace) -> int:
     before, after = (release.load_release(spark, p)[0] for p in (args.before, args.after))
     result = audit.compare_releases(before, after, rows, tables.read_labels(spark, args.labels, rows))
     why = audit.quality_gate(result, tables=args.tables)
-    tables.replace_file(args.out, (json.dumps(result | {"failures": why, "passed": not why}, sort_keys=True, indent=2, default=str) + "\n").encode())
+    store.write_bytes(spark, args.out, (json.dumps(result | {"failures": why, "passed": not why}, sort_keys=True, indent=2, default=str) + "\n").encode())
     for line in why:
         print(line, file=sys.stderr)
     return int(bool(why))
 
 
+def smoke(args: argparse.Namespace) -> int:
+    """Extracts a corpus, the first documents twice, and prints totals."""
+    spark = session()
+    documents, issues = files.build_inventory(spark, args.root)
+    ready = tables.staged(documents.where("inventory_status = 'ready'"), "ready")
+    texts = files.read_verified(spark, args.root, ready)
+    first = tables.staged(extract_tables(texts), "extracted")
+    repeated = ready.orderBy(files.F.lower("relative_path"), "relative_path").limit(args.repeat).select("doc_id")
+    again = extract_tables(texts.join(repeated, "doc_id", "left_semi"))
+    if odd := profile.nondeterministic(first.join(repeated, "doc_id", "left_semi"), again).take(5):
+        print(f"not deterministic: {', '.join(r['doc_id'] for r in odd)}", file=sys.stderr)
+        return 2
+    counts = profile.extraction_totals(first).first().asDict() | {"discovered": documents.count() + issues.count(), "repeated": repeated.count()}
+    print(json.dumps(counts, sort_keys=True))
+    return 0
+
+
+def prepare(args: argparse.Namespace) -> int:
+    """Writes the pilot's annotation workspace."""
+    spark = session()
+    print(json.dumps(pilot.prepare(spark, *pilot.load(spark, args.manifest, args.release), args.annotations), sort_keys=True))
+    return 0
+
+
+def sample_cells(args: argparse.Namespace) -> int:
+    """Writes the cells to audit beside the filled-in expected tables."""
+    spark = session()
+    pilot.sample_cells(spark, *pilot.load(spark, args.manifest, args.release), args.corpus, args.annotations)
+    return 0
+
+
+def evaluate(args: argparse.Namespace) -> int:
+    """Evaluates the pilot and publishes the result."""
+    spark = session()
+    result = pilot.evaluate(spark, *pilot.load(spark, args.manifest, args.release), args.corpus, args.annotations)
+    pilot.publish(spark, result, args.out)
+    print("passed" if result["passed"] else "failed")
+    return int(not result["passed"])
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="finweave", description=__doc__)
     commands = top.add_subparsers(required=True)
 
-    def command(run, *names: str, **defaults: str | int) -> None:
-        p = commands.add_parser(run.__name__, help=run.__doc__)
+    def command(run, *names: str, within=commands, **defaults: str | int) -> None:
+        p = within.add_parser(run.__name__.replace("_", "-"), help=run.__doc__)
         for name in names:
             p.add_argument(f"--{name}", required=True)
         for name, value in defaults.items():
@@ -83,6 +126,11 @@ def parser() -> argparse.ArgumentParser:
     command(sample, "release", "out")
     command(baseline, "sample", "out", labels=None)
     command(compare, "before", "after", "sample", "out", labels=None, tables=audit.TABLES_AFTER)
+    command(smoke, "root", repeat=10)
+    steps = commands.add_parser("gate", help="The pilot gate.").add_subparsers(required=True)
+    command(prepare, "manifest", "release", "annotations", within=steps)
+    command(sample_cells, "manifest", "release", "corpus", "annotations", within=steps)
+    command(evaluate, "manifest", "release", "corpus", "annotations", "out", within=steps)
     return top
 
 
@@ -90,9 +138,9 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
         return args.run(args)
-    except tables.ContractError as error:
+    except FinweaveError as error:
         print(error, file=sys.stderr)
-        return 1
+        return 2 if isinstance(error, GateError) else 1
 
 
 if __name__ == "__main__":

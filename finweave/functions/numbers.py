@@ -89,6 +89,19 @@ def _decided(x: Column) -> Column:
     return F.struct(number.alias("number"), x["minus"].alias("minus"), x["hint"].alias("unit_hint"), code.alias("issue_code"))
 
 
+def _fits(number: Column) -> Column:
+    """The type holds the number in full: 28 digits before the mark and 10 after it, less zeros at the ends."""
+    whole = F.length(F.ltrim(F.substring_index(number, ".", 1), F.lit("0")))
+    after = F.when(F.contains(number, F.lit(".")), F.length(F.rtrim(F.substring_index(number, ".", -1), F.lit("0")))).otherwise(F.lit(0))
+    return (whole <= 28) & (after <= 10)
+
+
+def _checked(x: Column) -> Column:
+    """A number that the type cannot hold in full is no value but an issue."""
+    lost = x["issue_code"].isNull() & x["number"].isNotNull() & ~_fits(x["number"])
+    return F.struct(x["number"].alias("number"), x["minus"].alias("minus"), x["unit_hint"].alias("unit_hint"), F.when(lost, F.lit("number_invalid")).otherwise(x["issue_code"]).alias("issue_code"))
+
+
 def _valued(x: Column) -> Column:
     parsed = F.when(x["issue_code"].isNull(), x["number"].try_cast(VALUE_TYPE))
     return F.struct(F.when(x["minus"], -parsed).otherwise(parsed).cast(VALUE_TYPE).alias("value"), x["unit_hint"].alias("unit_hint"), x["issue_code"].alias("issue_code"))
@@ -96,7 +109,7 @@ def _valued(x: Column) -> Column:
 
 def parse_number(raw: Column) -> Column:
     """Struct of value, unit_hint (percent) and issue_code; null text gives null."""
-    found = steps(squeezed(raw), _repaired, _unmarked, _without_percent, _without_brackets, _without_sign, _without_spaces, _decided, _valued)
+    found = steps(squeezed(raw), _repaired, _unmarked, _without_percent, _without_brackets, _without_sign, _without_spaces, _decided, _checked, _valued)
     return F.when(raw.isNotNull(), found)
 
 

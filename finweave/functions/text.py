@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -31,10 +31,10 @@ def python_key(text: str) -> str:
 
 
 def _mapped(f):
-    @F.pandas_udf(StringType())
-    def run(values: pd.Series) -> pd.Series:
-        distinct = {v: f(v) for v in values.dropna().unique()}
-        return values.map(distinct)
+    @F.arrow_udf(StringType())
+    def run(values: pa.Array) -> pa.Array:
+        coded = values.dictionary_encode()
+        return pa.array([f(v) for v in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
 
     return run
 

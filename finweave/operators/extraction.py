@@ -471,10 +471,20 @@ TABLE = f"table_id:string,source_ordinal:int,title_raw:string,unit_raw:string,li
 EXTRACTION_SCHEMA = f"doc_id string, blocks array<struct<{SPOT}>>, tables array<struct<{TABLE}>>, candidates {CANDIDATE}, rejected {CANDIDATE}"
 
 
+#: Characters of text whose tables are laid out at once (of one document at least).
+PIECE_CHARACTERS = 1_000_000
+
+
 def _extract_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-        rows = [{"doc_id": i} | extract_text(i or "", t or "") for i, t in zip(ids, texts)]
+        rows, held = [], 0
+        for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+            doc_id, text = doc_id.as_py(), text.as_py() or ""
+            rows.append({"doc_id": doc_id} | extract_text(doc_id or "", text))
+            held += len(text)
+            if held >= PIECE_CHARACTERS:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows, held = [], 0
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 

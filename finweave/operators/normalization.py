@@ -1,7 +1,7 @@
-"""Normalization of extracted tables: columns on cells, keys computed on distinct labels only.
+"""Normalization of extracted tables: columns on cells, keys in one Arrow pass.
 
-Labels repeat across cells, so the one function that needs Python (exact keys) runs on each distinct
-label once and joins back.
+Labels repeat across cells, so the one function that needs Python (exact keys) runs once for each
+distinct label of a batch; nothing is shuffled for it.
 """
 
 from __future__ import annotations
@@ -23,16 +23,8 @@ ISSUE_COLUMNS = ("doc_id", "table_id", "cell_id", "field", "code", "raw_value")
 
 def with_keys(df: DataFrame, pairs: dict[str, str], exact: bool = True) -> DataFrame:
     """Adds normalized keys of text columns: {column: key column}."""
-    if not exact:
-        return df.withColumns({key: native_key(F.col(c)) for c, key in pairs.items()})
-    every = None
-    for c in pairs:
-        part = df.select(F.col(c).alias("_raw")).where(F.col("_raw").isNotNull())
-        every = part if every is None else every.unionByName(part)
-    known = every.distinct().select("_raw", normalized_key("_raw").alias("_key"))
-    for c, key in pairs.items():
-        df = df.join(known.select(F.col("_raw").alias(c), F.col("_key").alias(key)), c, "left")
-    return df
+    key = normalized_key if exact else native_key
+    return df.withColumns({name: key(F.col(c)) for c, name in pairs.items()})
 
 
 def normalize_tables(tables: DataFrame, documents: DataFrame, exact: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finweave.functions import ids
-from finweave.sources.tables import ContractError
+from finweave.errors import ContractError
 
 RATE = "decimal(20,6)"
 SEED, PER_STRATUM = "normalization-audit-v1", 5
@@ -52,16 +52,34 @@ def stratified(rows: DataFrame, per_stratum: int = PER_STRATUM, limits: dict[str
     limits = LIMITS if limits is None else limits
     order = ("selection_rank", "sample_id")
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("issue_code", "stratum_key").orderBy(*order))).where(F.col("_n") <= per_stratum)
-    most = F.lit(2**31 - 1)
-    for code, limit in limits.items():
-        most = F.when(F.col("issue_code") == code, F.lit(limit)).otherwise(most)
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("issue_code").orderBy(*order))).where(F.col("_n") <= most)
+    if limits:
+        has_limit = F.col("issue_code").isin(*limits)
+        most = F.lit(0)
+        for code, limit in limits.items():
+            most = F.when(F.col("issue_code") == code, F.lit(limit)).otherwise(most)
+        capped = rows.where(has_limit).withColumn("_n", F.row_number().over(Window.partitionBy("issue_code").orderBy(*order)))
+        # The largest limit, as a constant, is what tasks can apply before the shuffle.
+        rows = capped.where((F.col("_n") <= max(limits.values())) & (F.col("_n") <= most)).unionByName(rows.where(~has_limit))
     return rows.drop("_n").orderBy("issue_code", *order)
 
 
+def sample_rows(issues: DataFrame, documents: DataFrame, tables: DataFrame, cells: DataFrame, fingerprint: str, seed: str = SEED, per_stratum: int = PER_STRATUM, limits: dict[str, int] | None = None) -> DataFrame:
+    """The stratified sample with its context.
+
+    Keys and ranks need only the document's company and year and the table's statement, so rows are
+    chosen on narrow columns; texts of tables and cells join the few rows that are left.
+    """
+    narrow = issues.withColumnRenamed("code", "issue_code").join(documents.select("doc_id", "company_code", "report_year"), "doc_id").join(tables.select("table_id", "statement_type"), "table_id", "left")
+    kept = stratified(with_sample_keys(narrow, fingerprint, seed), per_stratum, limits)
+    keys = ["issue_code", "doc_id", "table_id", "cell_id", "field", "raw_value"]
+    issue = [c if c != "issue_code" else "code" for c in keys]
+    context = issue_context(kept.select(*[F.col(a).alias(b) for a, b in zip(keys, issue)], "sample_id"), documents, tables, cells)
+    chosen = kept.select("sample_id", "release_fingerprint", "stratum_key", "selection_rank")
+    return context.join(chosen, "sample_id").orderBy("issue_code", "selection_rank", "sample_id")
+
+
 def build_sample(release: dict[str, DataFrame], fingerprint: str, seed: str = SEED, per_stratum: int = PER_STRATUM, limits: dict[str, int] | None = None) -> DataFrame:
-    rows = issue_context(release["issues"], release["documents"], release["tables"], release["cells"])
-    return stratified(with_sample_keys(rows, fingerprint, seed), per_stratum, limits)
+    return sample_rows(release["issues"], release["documents"], release["tables"], release["cells"], fingerprint, seed, per_stratum, limits)
 
 
 def rate(n: Column, d: Column) -> Column:

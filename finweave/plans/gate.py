@@ -23,7 +23,7 @@ def pick_documents(documents: DataFrame, n_companies: int = COMPANIES, per_compa
     """Of each picked company one document for each (year, scope) in stratum order, filled up by document rank."""
     rows = documents.join(pick_companies(documents, n_companies, per_company).select("company_code"), "company_code")
     rank = lambda space, *cols: ids.stable_rank(space, *[F.col(c) for c in cols])
-    rows = rows.withColumn("document_rank", rank("document", "company_code", "doc_id")).withColumn("stratum_rank", rank("stratum", "company_code", "report_year", "statement_scope"))
+    rows = rows.withColumn("document_rank", rank("document", "doc_id")).withColumn("stratum_rank", rank("stratum", "company_code", "report_year", "statement_scope"))
     first = F.row_number().over(Window.partitionBy("company_code", "report_year", "statement_scope").orderBy("document_rank", "doc_id"))
     rows = rows.withColumn("is_fill", (first > 1).cast("int"))
     place = F.row_number().over(Window.partitionBy("company_code").orderBy("is_fill", F.when(F.col("is_fill") == 0, F.col("stratum_rank")).otherwise(F.col("document_rank")), "doc_id"))
@@ -33,7 +33,7 @@ def pick_documents(documents: DataFrame, n_companies: int = COMPANIES, per_compa
 def pick_cells(candidates: DataFrame, n: int = AUDIT_CELLS, per_table: int = PER_TABLE) -> DataFrame:
     """Round robin over (company, year, statement) buckets by rank, at most ``per_table`` cells of a table."""
     bucket = ("company_code", "report_year", "statement_type")
-    rows = candidates.withColumn("cell_rank", ids.stable_rank("cell", F.col("cell_id"))).withColumn("bucket_rank", ids.stable_rank("bucket", *[F.col(c) for c in bucket]))
+    rows = candidates.withColumn("cell_rank", ids.stable_rank("audit_cell", F.col("cell_id"))).withColumn("bucket_rank", ids.stable_rank("cell_stratum", *[F.col(c) for c in bucket]))
     rows = rows.withColumn("_t", F.row_number().over(Window.partitionBy("table_id").orderBy("cell_rank", "cell_id"))).where(F.col("_t") <= per_table)
     rows = rows.withColumn("round", F.row_number().over(Window.partitionBy(*bucket).orderBy("cell_rank", "cell_id"))).where(F.col("round") <= n)
     return rows.drop("_t").orderBy("round", "bucket_rank", "cell_id").limit(n)
@@ -51,7 +51,8 @@ def cell_provenance(cells: DataFrame, lines: DataFrame) -> DataFrame:
     excerpt = F.when(inside, F.array_join(F.slice("_lines", c("source_line_start"), c("source_line_end") - c("source_line_start") + 1), "\n"))
     rows = rows.withColumn("source_excerpt", excerpt).drop("_lines")
     shown = unescape_html(F.regexp_replace("source_excerpt", r"(?i)<br\s*/?>", "\n"))
-    own = F.count(F.lit(1)).over(Window.partitionBy("table_id", "row_idx", "col_idx")) == 1
+    # Of cells at one place the first has it.
+    own = F.row_number().over(Window.partitionBy("table_id", "row_idx", "col_idx").orderBy("cell_id")) == 1
     in_table = c("source_line_start").between(c("line_start"), c("line_end")) & c("source_line_end").between(c("line_start"), c("line_end"))
     return rows.withColumn("_shown", shown).withColumn("_own", own).withColumn("verified", F.coalesce(F.contains("_shown", "value_raw") & in_table & (c("cell_id") == ids.cell_id(c("table_id"), c("row_idx"), c("col_idx"))) & c("_own"), F.lit(False))).drop("_shown", "_own")
 
@@ -126,5 +127,5 @@ def audit_changes(derived: DataFrame, given: DataFrame, columns: tuple[str, ...]
     text = lambda x: F.coalesce(F.col(x), F.lit(""))
     changed = ~F.forall(F.array(*[text(f"a_{x}") == text(f"b_{x}") for x in columns]), lambda v: v)
     both = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
-    marked = F.coalesce(F.lower(F.col("verified").cast("string")).isin("true", "false"), F.lit(False))
+    marked = F.coalesce(F.trim(F.col("verified").cast("string")).isin("true", "false"), F.lit(False))
     return rows.agg(F.count_if(F.col("in_b").isNull()).alias("missing"), F.count_if(F.col("in_a").isNull()).alias("unknown"), F.count_if(both & changed).alias("changed"), F.count_if(both & ~marked).alias("unmarked"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LEVELS = (0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
+#: Parts that a pass of ``values_at_ranks`` cuts each open range into.
+PARTS = 1024
 
 
 def n(condition: Column | None = None) -> Column:
@@ -16,9 +20,61 @@ def rounded(c: Column, places: int = 4) -> Column:
     return F.round(c.cast("double"), places)
 
 
+def values_at_ranks(df: DataFrame, column: str, ranks_of) -> tuple[int, dict[int, float]]:
+    """The number of finite values of a column, and the value at each rank (from 0) that ``ranks_of(number)`` names, exactly.
+
+    Each pass cuts the ranges that still hold a wanted rank into ``PARTS`` parts and counts these; the
+    next one reads only the parts with a wanted rank, between the least and the greatest value there, until
+    a part has one value.  So a pass sends a bounded number of counts, and no list of values is built.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity')")
+    whole = values.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    wanted = sorted(set(ranks_of(whole["n"]))) if whole["n"] else []
+    open_, found = [(0, whole["n"], whole["low"], whole["high"])], {}
+    while open_:
+        ranges = []
+        for before, n_rows, low, high in open_:
+            mine = [r for r in wanted if before <= r < before + n_rows]
+            if low == high:
+                found |= dict.fromkeys(mine, low)
+            elif mine:
+                ranges.append((before, n_rows, low, high))
+        if not ranges:
+            break
+        which, part = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for k, (_, _, low, high) in enumerate(ranges):
+            inside = F.col("v").between(low, high)
+            step = (high - low) / PARTS
+            # The ends always fall to different parts, so each pass narrows every range.
+            at = F.least(F.lit(PARTS - 1), F.floor((F.col("v") - low) / step).cast("int")) if step > 0 else (F.col("v") > low).cast("int")
+            which, part = F.when(inside, F.lit(k)).otherwise(which), F.when(inside, F.when(F.col("v") == high, F.lit(PARTS - 1)).otherwise(F.least(at, F.lit(PARTS - 2)))).otherwise(part)
+        counts = values.select("v", which.alias("k"), part.alias("part")).where("k IS NOT NULL").groupBy("k", "part").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        open_, upto = [], {k: r[0] for k, r in enumerate(ranges)}
+        for r in sorted(counts.collect(), key=lambda r: (r["k"], r["part"])):
+            open_.append((upto[r["k"]], r["n"], r["low"], r["high"]))
+            upto[r["k"]] += r["n"]
+    return whole["n"], found
+
+
+def quantiles(df: DataFrame, column: str, levels: tuple[float, ...]) -> list[float | None]:
+    """Exact quantiles with linear interpolation between ranks; of no values, none."""
+    ends = lambda n, p: (floor((n - 1) * p), ceil((n - 1) * p))
+    n_rows, at = values_at_ranks(df, column, lambda n: [r for p in levels for r in ends(n, p)])
+    if not n_rows:
+        return [None] * len(levels)
+    out = []
+    for p in levels:
+        low, high = ends(n_rows, p)
+        share = (n_rows - 1) * p - low
+        out.append(at[low] if low == high else (1 - share) * at[low] + share * at[high])
+    return out
+
+
 def document_summary(d: DataFrame) -> DataFrame:
     distinct = [F.count_distinct(c).alias(f"n_{c}") for c in ("doc_id", "company_code", "report_year", "statement_scope")]
-    return d.agg(n().alias("n_documents"), *distinct, F.min("report_year").alias("first_year"), F.max("report_year").alias("last_year"), rounded(F.avg("file_size_bytes"), 2).alias("avg_bytes"), rounded(F.median("file_size_bytes"), 2).alias("median_bytes"))
+    median = F.lit(quantiles(d, "file_size_bytes", (0.5,))[0])
+    one = d.agg(n().alias("n_documents"), *distinct, F.min("report_year").alias("first_year"), F.max("report_year").alias("last_year"), rounded(F.avg("file_size_bytes"), 2).alias("avg_bytes"))
+    return one.withColumn("median_bytes", rounded(median, 2))
 
 
 def scope_matrix(d: DataFrame, scopes: tuple[str, ...]) -> DataFrame:
@@ -55,14 +111,17 @@ def distribution(df: DataFrame, column: str, absent: str = "(missing)") -> DataF
 
 def exact_quantiles(df: DataFrame, column: str, levels: tuple[float, ...] = LEVELS) -> DataFrame:
     """level, value with linear interpolation between ranks."""
-    one = df.agg(F.percentile(column, F.array(*[F.lit(p) for p in levels])).alias("q"))
-    return one.select(F.posexplode("q").alias("k", "value")).select(F.element_at(F.array(*[F.lit(p) for p in levels]), F.col("k") + 1).alias("level"), rounded(F.col("value"), 6).alias("value"))
+    rows = df.sparkSession.createDataFrame(list(zip(levels, quantiles(df, column, levels))), "level double, value double")
+    return rows.select("level", rounded(F.col("value"), 6).alias("value"))
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """count, mean, stddev, min, exact percentiles, max."""
     c = F.col(column).cast("double")
-    return df.agg(F.count(c).alias("count"), rounded(F.avg(c)).alias("mean"), rounded(F.stddev_samp(c)).alias("std"), rounded(F.min(c)).alias("min"), *[rounded(F.percentile(c, F.lit(p))).alias(f"p{round(p * 100)}") for p in (0.5, 0.75, 0.9, 0.95, 0.99)], rounded(F.max(c)).alias("max"))
+    levels = (0.5, 0.75, 0.9, 0.95, 0.99)
+    exact = {f"p{round(p * 100)}": F.lit(v).cast("double") for p, v in zip(levels, quantiles(df, column, levels))}
+    one = df.agg(F.count(c).alias("count"), rounded(F.avg(c)).alias("mean"), rounded(F.stddev_samp(c)).alias("std"), rounded(F.min(c)).alias("min"), rounded(F.max(c)).alias("max"))
+    return one.select("count", "mean", "std", "min", *[rounded(v).alias(name) for name, v in exact.items()], "max")
 
 
 def status_summary(o: DataFrame) -> DataFrame:
@@ -136,10 +195,9 @@ def table_drilldown(spark: SparkSession, t: DataFrame, o: DataFrame, i: DataFram
 
 def anomalies(d: DataFrame, years: tuple[int, int]) -> DataFrame:
     """One row: tiny files, files above the 99.5 % size, years outside, members of repeated digests."""
-    high = d.agg(F.percentile("file_size_bytes", F.lit(0.995)).alias("high"))
+    high = F.lit(quantiles(d, "file_size_bytes", (0.995,))[0])
     twice = d.groupBy("sha256").agg(n().alias("m")).where("m > 1").agg(F.coalesce(F.sum("m"), F.lit(0).cast("long")).alias("repeated"))
-    rows = d.crossJoin(F.broadcast(high))  # one row
-    one = rows.agg(n(F.col("file_size_bytes").between(0, 1023)).alias("tiny"), n(F.col("file_size_bytes") > F.col("high")).alias("oversized"), n(~F.col("report_year").between(*years)).alias("odd_years"))
+    one = d.agg(n(F.col("file_size_bytes").between(0, 1023)).alias("tiny"), n(F.col("file_size_bytes") > high).alias("oversized"), n(~F.col("report_year").between(*years)).alias("odd_years"))
     return one.crossJoin(twice)
 
 
@@ -151,9 +209,46 @@ def quick_look(df: DataFrame) -> DataFrame:
 
 
 def content_quality(profile: DataFrame) -> DataFrame:
-    """One row: read documents, share of valid UTF-8, read errors."""
+    """One row of (read_issue, utf8_valid): files, read files, read errors, share of valid UTF-8 among the read ones."""
     read = F.col("read_issue").isNull()
-    return profile.agg(n(read).alias("read"), rounded(F.avg(F.when(read, F.col("utf8_valid").cast("int"))), 6).alias("utf8_share"), n(~read).alias("read_errors"))
+    return profile.agg(n().alias("files"), n(read).alias("read"), n(~read).alias("read_errors"), rounded(F.avg(F.when(read, F.col("utf8_valid").cast("int"))), 6).alias("utf8_share"))
+
+
+def readiness(inventory: DataFrame, content: DataFrame) -> DataFrame:
+    """priority, finding, evidence: what the tolerant inventory and the inspected contents say about a corpus, in five rows.
+
+    ``inventory`` has structure_status, is_empty, ticker, year; ``content`` has read_issue, utf8_valid, has_markers.
+    """
+    both = F.col("ticker").isNotNull() & F.col("year").isNotNull()
+    a = inventory.agg(n().alias("total"), n(F.col("structure_status") == "malformed").alias("malformed"), n(F.coalesce("is_empty", F.lit(False))).alias("empty"), F.count_distinct(F.when(both, F.struct("ticker", "year"))).alias("pairs"))
+    b = content.agg(n().alias("files"), n(F.col("read_issue").isNotNull()).alias("errors"), n(~F.col("utf8_valid")).alias("invalid"), F.coalesce(F.avg(F.coalesce("has_markers", F.lit(False)).cast("int")), F.lit(0.0)).alias("marked"))
+    # One-row sides.
+    one, whole = a.crossJoin(b), lambda c: F.format_number(F.col(c), 0)
+    found = (
+        ("P0", "path parsing", F.concat(whole("malformed"), F.lit("/"), whole("total"), F.lit(" malformed paths"))),
+        ("P0", "quarantine", F.concat(whole("empty"), F.lit(" empty files; "), whole("errors"), F.lit(" sampled read errors"))),
+        ("P1", "encoding", F.concat(whole("invalid"), F.lit("/"), whole("files"), F.lit(" sampled files are not strict UTF-8"))),
+        ("P1", "table detection", F.concat(F.format_string("%.1f", F.col("marked") * 100), F.lit("% of sampled files contain simple table markers"))),
+        ("P2", "coverage", F.concat(whole("pairs"), F.lit(" observed ticker-year pairs"))),
+    )
+    rows = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(f).alias("finding"), e.alias("evidence")) for p, f, e in found])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def extraction_totals(extracted: DataFrame) -> DataFrame:
+    """One row: documents, tables, cells, placements, rejections, and documents without HTML tables, with and without other tables."""
+    total = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    inner = lambda name: F.aggregate(F.transform("tables", lambda t: F.size(t[name])), F.lit(0), lambda a, b: a + b)
+    free = ~F.exists("blocks", lambda b: b["kind"] == "table")
+    has = F.size("tables") > 0
+    return extracted.agg(n().alias("documents"), total(F.size("tables")).alias("tables"), total(inner("cells")).alias("cells"), total(inner("placements")).alias("placements"), total(F.size("rejected")).alias("rejections"), n(free).alias("html_free"), n(free & has).alias("html_free_with_tables"))
+
+
+def nondeterministic(first: DataFrame, second: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Keys whose rows differ between two runs of a step, or that only one run has."""
+    digest = lambda df, name: df.select(key, F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in df.columns]))).alias(name))
+    both = digest(first, "a").join(digest(second, "b"), key, "full_outer")
+    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select(key)
 
 
 def seeded_sample(df: DataFrame, key: str, seed: str, k: int) -> DataFrame:

@@ -12,8 +12,10 @@ from finweave.functions import ids
 from finweave.operators.extraction import cells_of, extract_tables, placements_of, tables_of
 from finweave.operators.ledger import duplicate_occurrences, occurrence_violations, occurrences, orphans, repeated, stacked, status_counts, violations
 from finweave.operators.normalization import ISSUE_FIELDS, issues_of, normalize_cells, normalize_tables
+from finweave.errors import ContractError
+from finweave.sources import store
 from finweave.sources.files import build_inventory, read_verified
-from finweave.sources.tables import ORDER, RELEASE, ContractError, shaped, staged, table_fingerprint
+from finweave.sources.tables import ORDER, RELEASE, canonical_json, read_release, shaped, staged, table_fingerprint
 
 RULESET = "1"
 
@@ -63,50 +65,67 @@ def check_release(release: dict[str, DataFrame]) -> None:
 
 
 def write_release(spark: SparkSession, release: dict[str, DataFrame], path: str, source_manifest_sha256: str = "") -> dict:
-    """Writes all tables beside ``path``, checks what was written, adds the manifest, then renames.
+    """Writes all tables beside ``path``, checks what was written, adds the manifest, then puts it in its place.
 
     Tables are range-partitioned by their order and sorted within, so reading them in file order is
-    reading them in order at any size.
+    reading them in order at any size.  An older release is moved aside before, and back on failure.
     """
-    jvm = spark._jvm.org.apache.hadoop.fs
     staging = f"{path.rstrip('/')}.staging"
-    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(jvm.Path(staging), True)
+    store.delete(spark, staging)
     try:
         for name, df in release.items():
             df.orderBy(*ORDER[name]).write.option("compression", "snappy").parquet(f"{staging}/{name}.parquet")
-        written = {name: spark.read.schema(ddl).parquet(f"{staging}/{name}.parquet") for name, ddl in RELEASE.items()}
+        written = read_release(spark, staging)
         check_release(written)
         prints = {name: table_fingerprint(df).first() for name, df in written.items()}
         manifest = {
             "schema_version": "2",
             "source_manifest_sha256": source_manifest_sha256,
-            "dataset_fingerprint": hashlib.sha256("|".join(f"{n}:{prints[n]['fingerprint']}" for n in sorted(prints)).encode()).hexdigest(),
+            "dataset_fingerprint": dataset_fingerprint(prints),
             "counts": {name: r["n"] for name, r in prints.items()},
             "issue_counts_by_code": {r["code"]: r["n"] for r in issue_counts(written["issues"]).collect()},
             "source_table_occurrence_counts": {r["status"]: r["n"] for r in status_counts(written["source_table_occurrences"]).collect()},
         }
-        out = fs.create(jvm.Path(f"{staging}/manifest.json"), True)
-        out.write(bytearray(json.dumps(manifest, sort_keys=True, indent=2, ensure_ascii=False).encode() + b"\n"))
-        out.close()
-        fs.delete(jvm.Path(path), True)
-        fs.rename(jvm.Path(staging), jvm.Path(path))
-    except Exception:
-        fs.delete(jvm.Path(staging), True)
-        raise
+        store.write_bytes(spark, f"{staging}/manifest.json", canonical_json(manifest).encode() + b"\n")
+        store.replace(spark, staging, path.rstrip("/"))
+    finally:
+        store.delete(spark, staging)
     return manifest
 
 
+def dataset_fingerprint(prints: dict) -> str:
+    """One digest of the tables' fingerprints."""
+    return hashlib.sha256("|".join(f"{n}:{prints[n]['fingerprint']}" for n in sorted(prints)).encode()).hexdigest()
+
+
 def issue_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy("code")
 
 
-def load_release(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
-    """A checked release and its manifest: schemas, counts and every constraint."""
-    manifest = json.loads(spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0])
-    release = {name: spark.read.schema(ddl).parquet(f"{path}/{name}.parquet") for name, ddl in RELEASE.items()}
-    for name, df in release.items():
-        if df.count() != manifest["counts"][name]:
+#: What a released document and the inventory must agree on.
+DOCUMENT_FACTS = ("relative_path", "company_code", "report_year", "statement_scope", "sha256")
+
+
+def document_differences(released: DataFrame, inventory: DataFrame) -> DataFrame:
+    """doc_id and ``why`` (not_ready, not_released, different) of documents on which a release and an inventory's ready rows disagree."""
+    side = lambda df, name: df.select("doc_id", F.struct(*DOCUMENT_FACTS).alias(name))
+    both = side(released, "a").join(side(inventory.where("inventory_status = 'ready'"), "b"), "doc_id", "full_outer")
+    why = F.when(F.col("b").isNull(), F.lit("not_ready")).when(F.col("a").isNull(), F.lit("not_released")).when(~F.col("a").eqNullSafe(F.col("b")), F.lit("different"))
+    return both.select("doc_id", why.alias("why")).where("why IS NOT NULL")
+
+
+def load_release(spark: SparkSession, path: str, verify: bool = True, inventory: DataFrame | None = None) -> tuple[dict[str, DataFrame], dict]:
+    """A checked release and its manifest: counts, fingerprint and every constraint, and the inventory's documents where given."""
+    manifest = json.loads(store.read_bytes(spark, f"{path}/manifest.json"))
+    release = read_release(spark, path)
+    prints = {name: table_fingerprint(df).first() for name, df in release.items()} if verify else {}
+    for name, r in prints.items():
+        if r["n"] != manifest["counts"][name]:
             raise ContractError(f"release: {name} has not the manifest's count")
-    check_release(release)
+    if verify and dataset_fingerprint(prints) != manifest["dataset_fingerprint"]:
+        raise ContractError("release: the tables are not those of the manifest's fingerprint")
+    if verify:
+        check_release(release)
+    if inventory is not None and (odd := document_differences(release["documents"], inventory).limit(5).collect()):
+        raise ContractError("release: documents differ from the inventory: " + ", ".join(f"{r['doc_id']} {r['why']}" for r in odd))
     return release, manifest

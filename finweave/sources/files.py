@@ -1,35 +1,28 @@
 """The corpus tree as rows: inventory, first-seen duplicates, verified texts.
 
 ``binaryFile`` reads files where they are; only columns that a step uses are read, so listings do
-not touch contents.
+not touch contents.  Spark's own index of the tree is the only list of files that the driver holds.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finweave.functions import ids
+from finweave.functions.text import strip_accents
+from finweave.sources.tables import staged
 
 BOM = "EFBBBF"
 YEARS = (1900, 2100)
 
 
-def _empty_files(spark: SparkSession, root: str) -> list[tuple[str]]:
-    """Files without bytes, which Spark's readers leave out of their splits; names only."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
-    out = []
-    while found.hasNext():
-        f = found.next()
-        if f.getLen() == 0:
-            out.append((f.getPath().toString(), f.getModificationTime()))
-    return out
-
-
 def relative(path: Column, root: str) -> Column:
     """What stands behind the root in a decoded file URI."""
     base = F.lit(root.rstrip("/").split("://")[-1].removeprefix("file:"))
@@ -37,14 +30,44 @@ def relative(path: Column, root: str) -> Column:
     return F.substring(plain, F.instr(plain, base) + F.length(base) + 1, F.lit(2**31 - 1))
 
 
+def _text_files(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[tT][xX][tT]").load(root)
+
+
+def _decoded(path: Column) -> Column:
+    return F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """path (a URI), relative_path, length, modificationTime of every .txt below ``root``, any case of the suffix.
+
+    Spark's readers leave files without bytes out of their splits; these are what the index has besides.
+    """
+    files = _text_files(spark, root)
+    seen = files.where("length > 0").select("path", "length", "modificationTime")
+    every = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")
+    key = lambda c: relative(_decoded(F.col(c)), root)
+    listed = every.select("path", key("path").alias("relative_path"))
+    sized = seen.select(key("path").alias("relative_path"), "length", "modificationTime")
+    return listed.join(sized, "relative_path", "left").withColumn("length", F.coalesce("length", F.lit(0).cast("long")))
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """relative_path, length, content, modificationTime of every .txt below ``root``, any case of the suffix."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    decoded = F.try_url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
-    rows = files.where(F.col("length") > 0).select(relative(decoded, root).alias("relative_path"), "length", "content", "modificationTime")
-    empty = spark.createDataFrame(_empty_files(spark, root), "path string, ms long")
-    rows = rows.unionByName(empty.select(relative(F.col("path"), root).alias("relative_path"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"), F.timestamp_millis("ms").alias("modificationTime")))
-    return rows.where(F.lower("relative_path").endswith(".txt"))
+    """relative_path, length, content, modificationTime of every .txt below ``root``; a file that cannot be read fails the job."""
+    files = _text_files(spark, root).where("length > 0").select(relative(_decoded(F.col("path")), root).alias("relative_path"), "length", "content", "modificationTime")
+    empty = list_files(spark, root).where("length = 0").select("relative_path", "length", F.lit(b"").alias("content"), "modificationTime")
+    return files.unionByName(empty)
+
+
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """relative_path, length, content, read_issue of every .txt; where a store is known to Arrow, a file that cannot be read is an issue."""
+    try:
+        pyarrow.fs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
+    except (pa.ArrowInvalid, OSError):
+        return scan_files(spark, root).withColumn("read_issue", F.lit(None).cast("string"))
+    listed = list_files(spark, root).select("path", "relative_path")
+    read = read_listed(listed, "relative_path")
+    return read.withColumn("length", F.coalesce(F.octet_length("content").cast("long"), F.lit(0).cast("long")))
 
 
 def parse_path(path: Column) -> dict[str, Column]:
@@ -64,7 +87,7 @@ def parse_path(path: Column) -> dict[str, Column]:
 
 
 def inspect(files: DataFrame) -> DataFrame:
-    """Adds sha256, encoding and decode_issue of (content)."""
+    """Adds sha256, encoding and decode_issue of (content); no content is none of them."""
     marked = F.hex(F.substring("content", 1, 3)) == BOM
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     return files.withColumns({"sha256": F.sha2("content", 256), "encoding": F.when(marked, "utf-8-sig").otherwise("utf-8"), "decode_issue": F.when(~valid, F.lit("invalid UTF-8"))})
@@ -86,11 +109,15 @@ def mark_duplicates(files: DataFrame) -> DataFrame:
 
 
 def build_inventory(spark: SparkSession, root: str, repo_id: str = "local", revision: str = "snapshot") -> tuple[DataFrame, DataFrame]:
-    """(documents, issues) of a corpus tree, documents in order of folded path."""
-    rows = inspect(scan_files(spark, root)).withColumns(parse_path(F.col("relative_path")))
-    reason = F.coalesce("path_issue", "decode_issue")
-    issues = rows.where(reason.isNotNull()).select("relative_path", F.col("length").alias("file_size_bytes"), "sha256", reason.alias("reason"))
-    good = mark_duplicates(rows.where(reason.isNull()).drop("content"))
+    """(documents, issues) of a corpus tree in order of folded path; files that cannot be read are issues."""
+    rows = inspect(read_files(spark, root)).withColumns(parse_path(F.col("relative_path")))
+    reason = F.coalesce("path_issue", "read_issue", "decode_issue")
+    # Contents are read once; what is kept is narrow.
+    rows = staged(rows.withColumn("reason", reason).drop("content", "path"), "inspected")
+    unread = F.col("read_issue").isNotNull()
+    none = lambda c: F.when(~unread, F.col(c))
+    issues = rows.where("reason IS NOT NULL").select("relative_path", none("length").alias("file_size_bytes"), none("sha256").alias("sha256"), "reason")
+    good = mark_duplicates(rows.where("reason IS NULL"))
     documents = good.select(ids.document_id(F.col("sha256")).alias("doc_id"), F.lit(repo_id).alias("repo_id"), F.lit(revision).alias("revision"), "relative_path", "company_code", "report_year", "statement_scope", "sha256", F.col("length").alias("file_size_bytes"), "encoding", "inventory_status", "notes")
     by_path = (F.lower("relative_path"), F.col("relative_path"))
     return documents.orderBy(*by_path), issues.orderBy(*by_path)
@@ -113,25 +140,26 @@ def read_verified(spark: SparkSession, root: str, documents: DataFrame) -> DataF
 
 
 def _read_tolerant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import pyarrow.fs
-
+    """A batch for each file, so a task holds one content at a time."""
     for batch in batches:
-        contents, whys = [], []
-        for uri in batch.column("path").to_pylist():
+        for k, uri in enumerate(batch.column("path").to_pylist()):
+            content, why = None, None
             try:
-                fs, inner = pyarrow.fs.FileSystem.from_uri(uri)
+                # Hadoop leaves letters beyond ASCII as they are, which Arrow takes for a broken URI.
+                fs, inner = pyarrow.fs.FileSystem.from_uri(quote(uri, safe="/:@%+"))
                 with fs.open_input_stream(inner) as f:
-                    contents.append(f.read())
-                whys.append(None)
+                    content = f.read()
             except OSError as error:
-                contents.append(None)
-                whys.append(f"read failure: {type(error).__name__} errno={error.errno}")
-        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(contents, pa.binary()), pa.array(whys, pa.string())], names=["path", "content", "read_issue"])
+                why = f"read failure: {type(error).__name__} errno={error.errno}"
+            others = [batch.column(n).slice(k, 1) for n in batch.schema.names]
+            yield pa.RecordBatch.from_arrays([*others, pa.array([content], pa.large_binary()).cast(pa.binary()), pa.array([why], pa.string())], names=[*batch.schema.names, "content", "read_issue"])
 
 
-def read_listed(paths: DataFrame) -> DataFrame:
-    """(path) to path, content, read_issue: a file that cannot be read becomes an issue and the scan goes on."""
-    return paths.select("path").mapInArrow(_read_tolerant, "path string, content binary, read_issue string")
+def read_listed(paths: DataFrame, *kept: str) -> DataFrame:
+    """(path) to path, kept columns, content, read_issue: a file that cannot be read becomes an issue and the scan goes on."""
+    columns = ["path", *kept]
+    schema = ", ".join(f"{c} string" for c in columns)
+    return paths.select(*columns).mapInArrow(_read_tolerant, f"{schema}, content binary, read_issue string")
 
 
 def content_profile(df: DataFrame, text: str = "text") -> DataFrame:
@@ -146,8 +174,50 @@ def content_profile(df: DataFrame, text: str = "text") -> DataFrame:
     })
 
 
+#: What marks a report's scope, assurance and period in its folder name without accents, spaces and signs.
+NAME_MARKS = {
+    "scope": (("hopnhat", "consolidated"), ("congtyme|riengle|rieng", "separate")),
+    "assurance": (("kiemtoan", "audited"), ("soatxet", "reviewed")),
+    "period_type": (("quy[1-4]", "quarterly"), ("bannien|6thang", "semiannual")),
+}
+UNMARKED = {"scope": "unspecified", "assurance": "unspecified", "period_type": "annual_or_unspecified"}
+EXPECTED_YEARS = (2015, 2025)
+
+
+def report_facts(path: Column, name_key: Column) -> dict[str, Column]:
+    """What a path tells, however incomplete: ticker, year, report name and its marks, and every issue of its structure.
+
+    ``name_key`` is the third part without accents, lower-cased, letters and digits only.
+    """
+    parts = F.split(path, "/")
+    at = lambda k: F.get(parts, F.lit(k))
+    ticker = F.when(at(0).rlike("^[A-Za-z0-9]{2,10}$"), F.upper(at(0)))
+    year = F.when(at(1).rlike("^[0-9]{4}$"), at(1).cast("int"))
+    why = F.array_compact(F.array(
+        F.when(F.size(parts) != 4, F.lit("expected exactly ticker/year/report/file hierarchy")),
+        F.when(ticker.isNull(), F.lit("invalid ticker directory")),
+        F.when(~F.coalesce(year.between(*YEARS), F.lit(False)), F.lit("invalid year directory")),
+    ))
+    def marked(kind: str) -> Column:
+        out = F.lit(UNMARKED[kind])
+        for pattern, value in reversed(NAME_MARKS[kind]):
+            out = F.when(F.coalesce(name_key, F.lit("")).rlike(pattern), F.lit(value)).otherwise(out)
+        return out
+
+    return {
+        "ticker": ticker, "year": year, "year_in_expected_range": F.coalesce(year.between(*EXPECTED_YEARS), F.lit(False)), "report_name": at(2), **{kind: marked(kind) for kind in NAME_MARKS},
+        "structure_status": F.when(F.size(why) == 0, F.lit("valid")).otherwise(F.lit("malformed")), "structure_issue": F.when(F.size(why) > 0, F.array_join(why, "; ")),
+    }
+
+
+def tolerant_rows(files: DataFrame) -> DataFrame:
+    """Adds the facts and size flags of (relative_path, length)."""
+    key = F.regexp_replace(F.lower(strip_accents(F.get(F.split("relative_path", "/"), F.lit(2)))), "[^a-z0-9]+", "")
+    rows = files.withColumn("_key", key)
+    return rows.withColumns(report_facts(F.col("relative_path"), F.col("_key"))).drop("_key").withColumns({"is_empty": F.col("length") == 0, "is_tiny": F.col("length") < 1024})
+
+
 def profile_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Every file with its size flags and path parts, from the listing alone."""
-    files = scan_files(spark, root).select("relative_path", "length", "modificationTime")
-    out = files.withColumns(parse_path(F.col("relative_path")))
-    return out.withColumns({"is_empty": F.col("length") == 0, "is_tiny": F.col("length") < 1024, "structure_status": F.when(F.col("path_issue").isNull(), "ok").otherwise("malformed"), "same_name": F.count(F.lit(1)).over(Window.partitionBy(F.substring_index("relative_path", "/", -1)))})
+    """Every file with its size flags and path facts, from the listing alone, in order of folded path."""
+    rows = tolerant_rows(list_files(spark, root).drop("path"))
+    return rows.withColumnsRenamed({"length": "size_bytes", "modificationTime": "modified_at"}).orderBy(F.lower("relative_path"), "relative_path")

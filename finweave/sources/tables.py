@@ -5,14 +5,16 @@ from __future__ import annotations
 import csv
 import io
 import json
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from finweave.errors import ContractError
+from finweave.sources import store
+
 DOCUMENT = "doc_id string, repo_id string, revision string, relative_path string, company_code string, report_year int, statement_scope string, sha256 string, file_size_bytes bigint, encoding string, inventory_status string, notes array<string>"
 MANIFEST = f"record_type string, {DOCUMENT}, reason string"
 RELEASE = {
@@ -35,19 +37,17 @@ CAUSES = (
 )
 
 
-class ContractError(ValueError):
-    """An input that breaks its contract."""
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes a table that several later steps read, and reads it back.
 
-    It goes to the session's shared folder (``spark.checkpoint.dir``; a local one only where the
-    session names none), so it survives lost executors and keeps later plans small.
+    It goes to the session's shared folder (``spark.checkpoint.dir``), so it survives lost executors
+    and keeps later plans small.  Only a local session may name none and gets a local folder.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ContractError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="finweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/finweave/{name}-{uuid.uuid4().hex}"
@@ -59,20 +59,6 @@ def canonical_json(value: object) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
-def replace_file(path: str, data: bytes) -> None:
-    """Writes beside the target and renames, so a failure leaves the old file."""
-    temp = f"{path}.{uuid.uuid4().hex}"
-    try:
-        with open(temp, "wb") as f:
-            f.write(data)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(temp, path)
-    finally:
-        if os.path.exists(temp):
-            os.remove(temp)
-
-
 def manifest_lines(documents: DataFrame, issues: DataFrame) -> DataFrame:
     """(line) of a manifest: documents and issues in one order, keys sorted, nulls kept."""
     rows = documents.withColumn("record_type", F.lit("document")).unionByName(issues.withColumn("record_type", F.lit("issue")), allowMissingColumns=True)
@@ -83,11 +69,8 @@ def manifest_lines(documents: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def write_manifest(documents: DataFrame, issues: DataFrame, path: str) -> None:
-    """One JSONL file; rows stream through the driver one partition at a time."""
-    temp = io.BytesIO()
-    for row in manifest_lines(documents, issues).toLocalIterator():
-        temp.write(row["line"].encode() + b"\n")
-    replace_file(path, temp.getvalue())
+    """One JSONL file in the shared store, in one order."""
+    store.write_lines(manifest_lines(documents, issues), path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -103,37 +86,53 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return documents, rows.where("record_type = 'issue'").select("relative_path", "file_size_bytes", "sha256", "reason")
 
 
-def read_strict_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    """All-string rows; the file must be UTF-8 with line feeds, a last one, and exactly this header."""
-    body = spark.read.format("binaryFile").load(path).select("content", F.is_valid_utf8(F.col("content").cast("string")).alias("valid")).first()
-    content = bytes(body["content"])
-    if not body["valid"] or b"\r" in content or not content.endswith(b"\n"):
+def _check_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> None:
+    """The file must be UTF-8 with line feeds, a last one, and exactly this header; only the header comes to the driver."""
+    content = F.col("content").cast("string")
+    ends = F.when(F.col("length") > 0, content.endswith("\n")).otherwise(F.lit(False))
+    body = spark.read.format("binaryFile").load(path).select(F.is_valid_utf8(content).alias("valid"), F.contains(content, F.lit("\r")).alias("returns"), ends.alias("ends"), F.substring_index(content, "\n", 1).alias("header")).first()
+    if body is None or not body["valid"] or body["returns"] or not body["ends"]:
         raise ContractError(f"{path}: not UTF-8 with line feeds and a last line feed")
-    header = next(csv.reader(io.StringIO(content.decode())))
-    if tuple(header) != columns:
-        raise ContractError(f"{path}: header {header}")
+    if tuple(next(csv.reader(io.StringIO(body["header"])), ())) != columns:
+        raise ContractError(f"{path}: header {body['header']}")
+
+
+def read_strict_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
+    """All-string rows of a file that holds to the strict form."""
+    _check_csv(spark, path, columns)
     schema = ", ".join(f"`{c}` string" for c in columns)
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def csv_line(*columns: Column) -> Column:
+    """Fields with commas between; a field that holds a comma, a quote or a line end stands in quotes."""
+    def field(c: Column) -> Column:
+        text = F.coalesce(c.cast("string"), F.lit(""))
+        quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.when(text.rlike('[,"\\r\\n]'), quoted).otherwise(text)
+
+    return F.concat_ws(",", *[field(c) for c in columns])
+
+
 def write_strict_csv(path: str, columns: tuple[str, ...], rows: DataFrame, allow_identical: bool = False) -> None:
-    """A small table as one file; an existing file is an error unless ``allow_identical``."""
-    if os.path.exists(path) and not allow_identical:
+    """A table as one file in its order; an existing file is an error unless ``allow_identical``."""
+    spark = rows.sparkSession
+    if store.exists(spark, path) and not allow_identical:
         raise ContractError(f"{path} exists")
-    out = io.StringIO()
-    writer = csv.writer(out, lineterminator="\n")
-    writer.writerow(columns)
-    for row in rows.select(*columns).toLocalIterator():
-        writer.writerow(["" if v is None else v for v in row])
-    replace_file(path, out.getvalue().encode())
+    head = io.StringIO()
+    csv.writer(head, lineterminator="\n").writerow(columns)
+    store.write_lines(rows.select(csv_line(*[F.col(c) for c in columns]).alias("line")), path, head.getvalue().encode())
+
+
+LABEL_COLUMNS = ("sample_id", "label", "cause_code", "reviewer_note")
 
 
 def read_labels(spark: SparkSession, path: str | None, sample: DataFrame) -> DataFrame:
-    """sample_id, label, cause_code, reviewer_note; no file is no labels."""
-    schema = "sample_id string, label string, cause_code string, reviewer_note string"
-    if path is None or not os.path.exists(path):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """The labels of a sample, empty causes and notes as null; no file is no labels."""
+    if path is None or not store.exists(spark, path):
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in LABEL_COLUMNS))
+    rows = read_strict_csv(spark, path, LABEL_COLUMNS)
+    rows = rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in LABEL_COLUMNS})
     check_labels(rows, sample)
     return rows
 

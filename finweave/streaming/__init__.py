@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finweave.functions import ids
-from finweave.sources.files import inspect, parse_path
+from finweave.sources.files import inspect, parse_path, relative
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -14,8 +14,8 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 def stream_files(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, path parts, size, sha256, encoding, issue) of every file as it arrives."""
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[tT][xX][tT]").load(root)
-    parts = F.split("path", "/")
-    rows = inspect(files.withColumn("relative_path", F.array_join(F.slice(parts, -4, 4), "/"))).withColumns(parse_path(F.col("relative_path")))
+    decoded = F.try_url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    rows = inspect(files.withColumn("relative_path", relative(decoded, root))).withColumns(parse_path(F.col("relative_path")))
     issue = F.coalesce("path_issue", "decode_issue")
     return rows.select(ids.document_id(F.col("sha256")).alias("doc_id"), "relative_path", "company_code", "report_year", "statement_scope", "sha256", F.col("length").alias("file_size_bytes"), "encoding", issue.alias("reason"), "modificationTime")
 
@@ -25,6 +25,11 @@ def start_inventory(spark: SparkSession, root: str, out: str, checkpoint: str):
     return stream_files(spark, root).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def start_first_seen(spark: SparkSession, root: str, out: str, checkpoint: str):
+    """As ``start_inventory``, but of files with equal content that arrive within a day only the first one's row."""
+    return first_seen(stream_files(spark, root)).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def first_seen(files: DataFrame) -> DataFrame:
     """Stateful deduplication by content: the first row of each digest within the watermark's memory."""
     return files.withWatermark("modificationTime", "1 day").dropDuplicatesWithinWatermark(["sha256"])
