@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finweave.llm.common import PIECE_BYTES, clean_text, materialize, text_pieces
+from finweave.llm.common import PIECE_BYTES, clean_text, give_back_memory, materialize, text_pieces
 
 BLOCK = 64
 STORED_RATE, UP, DOWN = 16_000, 3, 4
@@ -206,7 +206,7 @@ def media_pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         to = max(at + 1, int(np.searchsorted(ends, done + PIECE_BYTES, "right")))
         yield batch.slice(at, to - at)
         at, done = to, int(ends[to - 1])
-    pa.default_memory_pool().release_unused()
+    give_back_memory()
 
 
 def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

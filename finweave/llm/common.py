@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -61,7 +62,8 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.option("compression", codec).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _tables[out] = path
     for scope in _scopes:
@@ -69,6 +71,25 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+#: Rows that Spark sends to Python at once at most, while a table is written.
+ARROW_ROWS = 2_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Smaller Arrow batches for the actions inside: each stands in the JVM and, twice for a while, in the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= ARROW_ROWS:
+        yield
+        return
+    spark.conf.set(name, str(ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``materialize`` gave out and nothing reads any more; others are left alone."""
     for df in tables:
@@ -123,7 +144,26 @@ def as_large_text(column: pa.Array | pa.ChunkedArray) -> pa.Array:
 #: What ``word_hashes(strip=True)`` takes out of words.
 MARK = re.compile(r"[\W_]+")
 #: Bytes of text that a Python step takes at once (one text at least): bounds a task's memory.
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 2_000_000
+
+
+def give_back_memory() -> None:
+    """Workers outlive their tasks, and what their allocators keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def _c_library() -> ctypes.CDLL | None:
+    """The C library, where it has ``malloc_trim``."""
+    try:
+        library = ctypes.CDLL(None)
+        return library if hasattr(library, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_libc = _c_library()
 
 
 def text_pieces(keys: pa.Array, texts: pa.Array, piece_bytes: int = PIECE_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -135,8 +175,7 @@ def text_pieces(keys: pa.Array, texts: pa.Array, piece_bytes: int = PIECE_BYTES)
         to = max(at + 1, int(np.searchsorted(ends, done + piece_bytes, "right")))
         yield keys.slice(at, to - at), texts.slice(at, to - at)
         at, done = to, int(ends[to - 1])
-    # Workers outlive their tasks, and what a pool keeps counts against the executor.
-    pa.default_memory_pool().release_unused()
+    give_back_memory()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -47,7 +47,7 @@ WORDS, BANDS, ROWS = 5, 24, 5
 THRESHOLD = (4, 5)  # 0.8 as a fraction
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (log(COORDINATES) + 3.5)
-SETS_AT_ONCE = 1024
+SETS_AT_ONCE = 512
 POISSON = np.cumsum([exp(-1) / factorial(i) for i in range(18)])
 UNIT = 2.0**-53
 

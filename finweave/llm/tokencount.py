@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finweave.llm import bpe
-from finweave.llm.common import clean_text, scratch_path, text_pieces
+from finweave.llm.common import clean_text, scratch_path, small_batches, text_pieces
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -59,7 +59,8 @@ def update_cache(docs: DataFrame, tokenizer_path: str, cache_path: str, cache_ex
     counted = misses.mapInArrow(lambda it: encode_misses(it, tokenizer_path, version), CACHE_SCHEMA)
     # Rows that share both id and text stood for their content together.
     counted = counted.groupBy("tokenizer", "digest").agg(F.max("n_tokens").alias("n_tokens"))
-    counted.write.mode("append").option("compression", "zstd").parquet(cache_path)
+    with small_batches(spark):
+        counted.write.mode("append").option("compression", "zstd").parquet(cache_path)
     return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finweave.llm import bpe
-from finweave.llm.common import clean_text, scratch_path, shuffle_partitions, text_pieces
+from finweave.llm.common import clean_text, scratch_path, shuffle_partitions, small_batches, text_pieces
 from finweave.llm.eliasfano import EliasFano, encode
 
 MAGIC = b"FWTOKEN1"
@@ -135,7 +135,8 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, out_dir: str, end_i
     order = [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("text")]
     rows = rows.withColumn("digest", F.xxhash64("text"))
     dealt = rows.repartitionByRange(num_shards or shuffle_partitions(spark), *order[:2]).sortWithinPartitions(*order).drop("digest")
-    shards = dealt.mapInArrow(lambda it: write_shard(it, out_dir, tokenizer_path, end_id), SHARD_SCHEMA).collect()
+    with small_batches(spark):
+        shards = dealt.mapInArrow(lambda it: write_shard(it, out_dir, tokenizer_path, end_id), SHARD_SCHEMA).collect()
     return [r.asDict() for r in sorted(shards, key=lambda r: r["shard"])]
 
 
