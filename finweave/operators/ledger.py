@@ -42,6 +42,14 @@ def duplicate_occurrences(primary: DataFrame, documents: DataFrame) -> DataFrame
     return _with_id(rows)
 
 
+def note_violations(documents: DataFrame) -> DataFrame:
+    """(rule, violations): a duplicate has exactly one note, that names the file it repeats; others name none."""
+    names = F.filter(F.coalesce("notes", F.array().cast("array<string>")), lambda x: x.startswith("duplicate_of="))
+    is_copy = F.col("inventory_status") == "duplicate"
+    rules = {"duplicate_note": ~is_copy | ((F.size("notes") == 1) & (F.size(names) == 1) & (F.length(F.get(names, F.lit(0))) > len("duplicate_of="))), "note_of_others": is_copy | (F.size(names) == 0)}
+    return violations(documents, rules)
+
+
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(rule, violations): rows that break each rule, in one pass."""
     one = df.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(name) for name, c in rules.items()])

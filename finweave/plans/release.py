@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from finweave.functions import ids
 from finweave.operators.extraction import cells_of, extract_tables, placements_of, tables_of
-from finweave.operators.ledger import duplicate_occurrences, occurrence_violations, occurrences, orphans, repeated, stacked, status_counts, violations
+from finweave.operators.ledger import duplicate_occurrences, note_violations, occurrence_violations, occurrences, orphans, repeated, stacked, status_counts, violations
 from finweave.operators.normalization import ISSUE_FIELDS, issues_of, normalize_cells, normalize_tables
 from finweave.errors import ContractError
 from finweave.sources import store
@@ -23,6 +23,7 @@ RULESET = "1"
 def build_tables(spark: SparkSession, root: str, inventory: DataFrame | None = None) -> dict[str, DataFrame]:
     """The six tables of a release; what several of them need is written once."""
     documents = staged(inventory if inventory is not None else build_inventory(spark, root)[0], "inventory")
+    _raise("inventory", note_violations(documents))
     ready = documents.where("inventory_status = 'ready'")
     extracted = staged(extract_tables(read_verified(spark, root, ready)), "extracted")
     tables = staged(normalize_tables(tables_of(extracted), ready), "tables")
@@ -58,10 +59,14 @@ def release_violations(release: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def check_release(release: dict[str, DataFrame]) -> None:
-    broken = release_violations(release).where("violations > 0").collect()
+def _raise(what: str, rules: DataFrame) -> None:
+    broken = rules.where("violations > 0").collect()
     if broken:
-        raise ContractError("release: " + ", ".join(f"{r['rule']} {r['violations']}" for r in broken))
+        raise ContractError(f"{what}: " + ", ".join(f"{r['rule']} {r['violations']}" for r in broken))
+
+
+def check_release(release: dict[str, DataFrame]) -> None:
+    _raise("release", release_violations(release))
 
 
 def write_release(spark: SparkSession, release: dict[str, DataFrame], path: str, source_manifest_sha256: str = "") -> dict:

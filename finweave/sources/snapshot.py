@@ -14,6 +14,7 @@ from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 from fnmatch import fnmatch
 from typing import Protocol
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -102,7 +103,7 @@ def download(spark: SparkSession, request: Request, source: Source, dry_run: boo
 def _copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for source, target in zip(batch.column("source").to_pylist(), batch.column("target").to_pylist()):
-            (a, inside), (b, out) = pyarrow.fs.FileSystem.from_uri(source), pyarrow.fs.FileSystem.from_uri(target)
+            (a, inside), (b, out) = (pyarrow.fs.FileSystem.from_uri(quote(u, safe="/:@%+")) for u in (source, target))
             b.create_dir(out.rpartition("/")[0], recursive=True)
             # Beside its place and then moved, so a lost task leaves no half file.
             pyarrow.fs.copy_files(inside, f"{out}.part", source_filesystem=a, destination_filesystem=b)

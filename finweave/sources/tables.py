@@ -37,20 +37,24 @@ CAUSES = (
 )
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table that several later steps read, and reads it back.
-
-    It goes to the session's shared folder (``spark.checkpoint.dir``), so it survives lost executors
-    and keeps later plans small.  Only a local session may name none and gets a local folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new name below the session's shared folder (``spark.checkpoint.dir``); only a local session may have none and gets a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ContractError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="finweave-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/finweave/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/finweave/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table that several later steps read to the shared folder, and reads it back.
+
+    So it survives lost executors and keeps later plans small.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -160,7 +160,7 @@ def test_assignment_query_takes_all_overlaps(spark, tmp_path):
     pairs = matching.overlapping_pairs(queries.view(spark, str(tmp_path), "ann"), queries.view(spark, str(tmp_path), "tabs")).collect()
     want = brute_assignment([(r["annotation_id"], r["table_id"], r["exact"], r["overlap"], r["span"], r["distance"]) for r in pairs])
     assert any(a[4:] != t[4:] for a, t in want.items())
-    got = queries.QUERIES["table_assignment_all"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["table_assignment"](spark, str(tmp_path)).collect()
     assert {r["annotation_id"]: r["table_id"] for r in got} == want
 
 
