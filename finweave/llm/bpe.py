@@ -12,7 +12,6 @@ the library whole, as do all texts when the file describes another kind of token
 from __future__ import annotations
 
 import json
-import re
 import string
 from array import array
 from functools import lru_cache
@@ -171,7 +170,3 @@ def file_digest(path: str) -> str:
 
     with open(path, "rb") as f:
         return hashlib.sha256(f.read()).hexdigest()
-
-
-def safe_name(text: str) -> str:
-    return re.sub(r"[^A-Za-z0-9_.-]", "_", text)
