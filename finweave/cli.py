@@ -64,6 +64,8 @@ def compare(args: argparse.Namespace) -> int:
     result = audit.compare_releases(before, after, rows, tables.read_labels(spark, args.labels, rows))
     why = audit.quality_gate(result, tables=args.tables)
     store.write_bytes(spark, args.out, (json.dumps(result | {"failures": why, "passed": not why}, sort_keys=True, indent=2, default=str) + "\n").encode())
+    if args.report:
+        store.write_bytes(spark, args.report, audit.comparison_report(result, why).encode())
     for line in why:
         print(line, file=sys.stderr)
     return int(bool(why))
@@ -125,7 +127,7 @@ def parser() -> argparse.ArgumentParser:
     command(build, "root", "out", manifest=None)
     command(sample, "release", "out")
     command(baseline, "sample", "out", labels=None)
-    command(compare, "before", "after", "sample", "out", labels=None, tables=audit.TABLES_AFTER)
+    command(compare, "before", "after", "sample", "out", labels=None, report=None, tables=audit.TABLES_AFTER)
     command(smoke, "root", repeat=10)
     steps = commands.add_parser("gate", help="The pilot gate.").add_subparsers(required=True)
     command(prepare, "manifest", "release", "annotations", within=steps)

@@ -41,7 +41,6 @@ def _mapped(f):
 
 #: Exact keys; labels repeat, so each distinct one of a batch is computed once.
 normalized_key = _mapped(python_key)
-nfkc = _mapped(lambda v: unicodedata.normalize("NFKC", v))
 unescape_html = _mapped(html.unescape)
 strip_accents = _mapped(lambda v: "".join(c for c in unicodedata.normalize("NFKD", v.replace("đ", "d").replace("Đ", "D")) if not unicodedata.combining(c)))
 

@@ -179,3 +179,11 @@ def markdown(title: str, rows: list[dict]) -> str:
     lines = ["| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
     lines += ["| " + " | ".join("" if r[n] is None else str(r[n]) for n in names) + " |" for r in rows]
     return f"# {title}\n\n" + "\n".join(lines) + "\n"
+
+
+def comparison_report(result: dict, why: list[str]) -> str:
+    """A comparison as Markdown: the verdict, counts before and after, and metrics of all samples and of each code."""
+    counts = [{"count": kind, "before": result[f"before_{kind}"], "after": result[f"after_{kind}"], "change": result[f"after_{kind}"] - result[f"before_{kind}"]} for kind in ("tables", "issues")]
+    verdict = "Passed." if not why else "Failed:\n\n" + "\n".join(f"* {w}" for w in why)
+    parts = [f"# Comparison of two releases\n\n{verdict}\n", markdown("Counts", counts), markdown("All samples", [result["overall"]]), markdown("By issue code", [result["by_code"][c] for c in sorted(result["by_code"])])]
+    return "\n".join([parts[0], *[p.replace("# ", "## ", 1) for p in parts[1:]]])

@@ -259,11 +259,11 @@ def company_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", labels.company_issue(F.lit("ABC"), text.native_key(title)).alias("issue"))
 
 
-@on_tables("content_ids", "SELECT l_orderkey, l_linenumber, l_partkey, concat('tbl_', sha256(concat('doc_', CAST(l_orderkey AS STRING), chr(10), CAST(l_linenumber AS STRING), chr(10), CAST(l_partkey AS STRING), chr(10), '0'))) AS table_id, concat('cell_', sha256(concat('t', CAST(l_orderkey AS STRING), chr(10), CAST(l_linenumber AS STRING), chr(10), '2'))) AS cell_id FROM lineitem")
+@on_tables("content_ids", "SELECT l_orderkey, l_linenumber, l_partkey, concat('tbl_', sha256(concat('doc_', CAST(l_orderkey AS STRING), chr(10), CAST(l_linenumber AS STRING), chr(10), CAST(l_partkey AS STRING), chr(10), '0'))) AS table_id, concat('cell_', sha256(concat('t', CAST(l_orderkey AS STRING), chr(10), CAST(l_linenumber AS STRING), chr(10), '2'))) AS cell_id, concat('tblmatch_', sha256(concat('doc_', CAST(l_orderkey AS STRING), chr(10), CASE WHEN l_linenumber > 1 THEN 'notes' ELSE 'unknown' END, chr(10), CAST(l_linenumber AS STRING), chr(10), CAST(l_partkey AS STRING)))) AS match_key FROM lineitem")
 def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     doc = F.concat(F.lit("doc_"), c("l_orderkey").cast("string"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", ids.table_id(doc, c("l_linenumber"), c("l_partkey"), F.lit(0)).alias("table_id"), ids.cell_id(F.concat(F.lit("t"), c("l_orderkey").cast("string")), c("l_linenumber"), F.lit(2)).alias("cell_id"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", ids.table_id(doc, c("l_linenumber"), c("l_partkey"), F.lit(0)).alias("table_id"), ids.cell_id(F.concat(F.lit("t"), c("l_orderkey").cast("string")), c("l_linenumber"), F.lit(2)).alias("cell_id"), ids.match_key(doc, F.when(c("l_linenumber") > 1, F.lit(" Notes")), c("l_linenumber"), c("l_partkey")).alias("match_key"))
 
 
 @on_tables("path_parser", "SELECT c_custkey, CASE WHEN c_custkey % 5 < 3 THEN concat('T', CAST(c_nationkey AS STRING)) END AS company_code, CASE WHEN c_custkey % 5 < 3 THEN 2020 END AS report_year, CASE c_custkey % 5 WHEN 0 THEN 'consolidated' WHEN 1 THEN 'separate' WHEN 2 THEN 'other' END AS scope, CASE c_custkey % 5 WHEN 3 THEN 'path must have four parts' WHEN 4 THEN 'invalid year' END AS issue FROM customer")

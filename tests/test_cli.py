@@ -18,5 +18,6 @@ def test_inventory_build_and_sample(spark, tmp_path, capsys):
     assert "number_invalid" in (out / "b.md").read_text()
     (path.parent / "odd.txt").write_text("x")
     assert cli.main(["inventory", "--root", root, "--out", str(out / "m2.jsonl")]) == 2
-    compare = ["compare", "--before", str(out / "r"), "--after", str(out / "r"), "--sample", str(out / "s"), "--out", str(out / "c.json")]
+    compare = ["compare", "--before", str(out / "r"), "--after", str(out / "r"), "--sample", str(out / "s"), "--out", str(out / "c.json"), "--report", str(out / "c.md")]
     assert cli.main(compare) == 1 and not json.loads((out / "c.json").read_text())["passed"]
+    assert "Failed:" in (out / "c.md").read_text() and "| tables | 1 | 1 | 0 |" in (out / "c.md").read_text()
