@@ -1,4 +1,4 @@
-"""Tables out of report texts: one Arrow pass over documents, nested rows out, nothing shuffled.
+"""Tables out of report texts: one Arrow pass over documents, flat rows of several parts out, nothing shuffled.
 
 A document's lines, blocks, table regions, grids and page continuations depend on each other in order,
 so they are found together in one Python function for a document; all that follows is columns.
@@ -464,53 +464,100 @@ def extract_text(doc_id: str, text: str) -> dict:
     return {"blocks": blocks, "tables": [with_ids(t) for t in tables], "candidates": candidates, "rejected": rejected}
 
 
-SPOT = "kind:string,line_start:int,line_end:int"
-CANDIDATE = f"array<struct<ordinal:int,{SPOT},reason:string>>"
-CELL = "row_idx:int,col_idx:int,row_label_raw:string,column_label_raw:string,value_raw:string,source_line_start:int,source_line_end:int,cell_id:string,extraction_confidence:double"
-TABLE = f"table_id:string,source_ordinal:int,title_raw:string,unit_raw:string,line_start:int,line_end:int,row_count:int,column_count:int,quality_score:double,evidence:array<string>,cells:array<struct<{CELL}>>,placements:array<struct<row_idx:int,col_idx:int,cell_id:string>>"
-EXTRACTION_SCHEMA = f"doc_id string, blocks array<struct<{SPOT}>>, tables array<struct<{TABLE}>>, candidates {CANDIDATE}, rejected {CANDIDATE}"
-
-
-#: Characters of text whose tables are laid out at once (of one document at least).
-PIECE_CHARACTERS = 1_000_000
+#: Columns of the extraction in their types; a row has those of its part, the others are null.
+COLUMNS = {
+    "part": "string", "doc_id": "string", "kind": "string", "ordinal": "int", "line_start": "int", "line_end": "int", "reason": "string",
+    "table_id": "string", "source_ordinal": "int", "title_raw": "string", "unit_raw": "string", "row_count": "int", "column_count": "int", "quality_score": "double", "evidence": "array<string>",
+    "row_idx": "int", "col_idx": "int", "row_label_raw": "string", "column_label_raw": "string", "value_raw": "string", "source_line_start": "int", "source_line_end": "int", "cell_id": "string", "extraction_confidence": "double",
+    "n_tables": "int", "n_cells": "int", "n_placements": "int", "n_rejected": "int", "html_free": "boolean",
+}
+SPOT = ("ordinal", "kind", "line_start", "line_end", "reason")
+PARTS = {
+    "document": ("n_tables", "n_cells", "n_placements", "n_rejected", "html_free"),
+    "block": ("kind", "line_start", "line_end"),
+    "candidate": SPOT,
+    "rejected": SPOT,
+    "table": ("table_id", "source_ordinal", "title_raw", "unit_raw", "line_start", "line_end", "row_count", "column_count", "quality_score", "evidence", "n_cells", "n_placements"),
+    "cell": ("table_id", "row_idx", "col_idx", "row_label_raw", "column_label_raw", "value_raw", "source_line_start", "source_line_end", "cell_id", "extraction_confidence"),
+    "placement": ("table_id", "row_idx", "col_idx", "cell_id"),
+}
+#: Rows that are laid out at once (those of one document at least).
+PIECE_ROWS = 20_000
+
+
+class _Rows:
+    """Rows by part, as lists of their columns."""
+
+    def __init__(self) -> None:
+        self.lists: dict[str, dict[str, list]] = {part: {c: [] for c in ("doc_id", *columns)} for part, columns in PARTS.items()}
+        self.size = 0
+
+    def add(self, part: str, doc_id: str | None, rows: list[dict]) -> None:
+        lists = self.lists[part]
+        lists["doc_id"] += [doc_id] * len(rows)
+        for c in PARTS[part]:
+            lists[c] += [r[c] for r in rows]
+        self.size += len(rows)
+
+    def add_document(self, doc_id: str | None, found: dict) -> None:
+        tables = [t | {"n_cells": len(t["cells"]), "n_placements": len(t["placements"])} for t in found["tables"]]
+        for t in tables:
+            self.add("cell", doc_id, [c | {"table_id": t["table_id"]} for c in t["cells"]])
+            self.add("placement", doc_id, [p | {"table_id": t["table_id"]} for p in t["placements"]])
+        self.add("table", doc_id, tables)
+        for part, name in (("block", "blocks"), ("candidate", "candidates"), ("rejected", "rejected")):
+            self.add(part, doc_id, found[name])
+        counts = {"n_tables": len(tables), "n_cells": sum(t["n_cells"] for t in tables), "n_placements": sum(t["n_placements"] for t in tables), "n_rejected": len(found["rejected"])}
+        self.add("document", doc_id, [counts | {"html_free": all(b["kind"] != "table" for b in found["blocks"])}])
+
+    def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for part, lists in self.lists.items():
+            if n := len(lists["doc_id"]):
+                arrays = [pa.array([part] * n) if f.name == "part" else pa.array(lists[f.name], f.type) if f.name in lists else pa.nulls(n, f.type) for f in schema]
+                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
 def _extract_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    rows = _Rows()
     for batch in batches:
-        rows, held = [], 0
         for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-            doc_id, text = doc_id.as_py(), text.as_py() or ""
-            rows.append({"doc_id": doc_id} | extract_text(doc_id or "", text))
-            held += len(text)
-            if held >= PIECE_CHARACTERS:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                rows, held = [], 0
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            rows.add_document(doc_id.as_py(), extract_text(doc_id.as_py() or "", text.as_py() or ""))
+            if rows.size >= PIECE_ROWS:
+                yield from rows.batches(schema)
+                rows = _Rows()
+    yield from rows.batches(schema)
 
 
 def extract_tables(documents: DataFrame) -> DataFrame:
-    """(doc_id, text) to doc_id, blocks, tables, candidates, rejected; one row for each document."""
+    """(doc_id, text) to flat rows of ``COLUMNS``: a row for each document, block, candidate, rejection, table, cell and placement.
+
+    No document is one nested value, so its size does not show in a row's; readers take the columns of
+    one part and leave the rest in the file.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = to_arrow_schema(StructType.fromDDL(EXTRACTION_SCHEMA))
-    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _extract_batches(it, schema), EXTRACTION_SCHEMA)
+    ddl = ", ".join(f"{c} {kind}" for c, kind in COLUMNS.items())
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _extract_batches(it, schema), ddl)
+
+
+def rows_of(extracted: DataFrame, part: str) -> DataFrame:
+    return extracted.where(F.col("part") == part).select("doc_id", *PARTS[part])
 
 
 def tables_of(extracted: DataFrame) -> DataFrame:
-    return extracted.select("doc_id", F.explode("tables").alias("t")).select("doc_id", "t.*").drop("cells", "placements")
+    return rows_of(extracted, "table")
 
 
 def cells_of(extracted: DataFrame) -> DataFrame:
-    each = extracted.select("doc_id", F.explode("tables").alias("t")).select("doc_id", "t.table_id", F.explode("t.cells").alias("c"))
-    return each.select("doc_id", "table_id", "c.*")
+    return rows_of(extracted, "cell")
 
 
 def placements_of(extracted: DataFrame) -> DataFrame:
-    each = extracted.select(F.explode("tables").alias("t")).select("t.table_id", F.explode("t.placements").alias("p"))
-    return each.select("table_id", "p.*")
+    return rows_of(extracted, "placement").drop("doc_id")
 
 
 def spots_of(extracted: DataFrame, name: str) -> DataFrame:
     """Rows of ``candidates``, ``rejected`` or ``blocks``."""
-    return extracted.select("doc_id", F.explode(name).alias("s")).select("doc_id", "s.*")
+    return rows_of(extracted, {"candidates": "candidate", "rejected": "rejected", "blocks": "block"}[name])

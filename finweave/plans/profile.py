@@ -237,16 +237,16 @@ def readiness(inventory: DataFrame, content: DataFrame) -> DataFrame:
 
 def extraction_totals(extracted: DataFrame) -> DataFrame:
     """One row: documents, tables, cells, placements, rejections, and documents without HTML tables, with and without other tables."""
-    total = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
-    inner = lambda name: F.aggregate(F.transform("tables", lambda t: F.size(t[name])), F.lit(0), lambda a, b: a + b)
-    free = ~F.exists("blocks", lambda b: b["kind"] == "table")
-    has = F.size("tables") > 0
-    return extracted.agg(n().alias("documents"), total(F.size("tables")).alias("tables"), total(inner("cells")).alias("cells"), total(inner("placements")).alias("placements"), total(F.size("rejected")).alias("rejections"), n(free).alias("html_free"), n(free & has).alias("html_free_with_tables"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    d = extracted.where("part = 'document'")
+    sums = [total(c).alias(name) for c, name in (("n_tables", "tables"), ("n_cells", "cells"), ("n_placements", "placements"), ("n_rejected", "rejections"))]
+    return d.agg(n().alias("documents"), *sums, n(F.col("html_free")).alias("html_free"), n(F.col("html_free") & (F.col("n_tables") > 0)).alias("html_free_with_tables"))
 
 
 def nondeterministic(first: DataFrame, second: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Keys whose rows differ between two runs of a step, or that only one run has."""
-    digest = lambda df, name: df.select(key, F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in df.columns]))).alias(name))
+    """Keys whose rows differ between two runs of a step, or that only one run has; a key's digest is a sum, so order is no matter."""
+    row = lambda df: F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]))).cast("decimal(38,0)")
+    digest = lambda df, name: df.groupBy(key).agg(F.struct(n().alias("n"), F.sum(row(df)).alias("digest")).alias(name))
     both = digest(first, "a").join(digest(second, "b"), key, "full_outer")
     return both.where(~F.col("a").eqNullSafe(F.col("b"))).select(key)
 

@@ -332,8 +332,8 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @on_tables("page_continuation", "SELECT concat('doc_', CAST(l_orderkey AS STRING)) AS doc_id, CAST(count(*) + 1 AS INT) AS row_count, 3 AS column_count, count(*) > 1 AS continued, CAST((count(*) + 1) * 3 AS BIGINT) AS n_placements FROM lineitem GROUP BY l_orderkey")
 def page_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables that break across a page are one again."""
-    found = extraction.extract_tables(order_reports(spark, sf_dir, pages=2)).select("doc_id", F.explode("tables").alias("t"))
-    return found.select("doc_id", "t.row_count", "t.column_count", F.array_contains("t.evidence", extraction.CONTINUED).alias("continued"), F.size("t.placements").cast("long").alias("n_placements"))
+    found = extraction.tables_of(extraction.extract_tables(order_reports(spark, sf_dir, pages=2)))
+    return found.select("doc_id", "row_count", "column_count", F.array_contains("evidence", extraction.CONTINUED).alias("continued"), F.col("n_placements").cast("long").alias("n_placements"))
 
 
 @on_tables("extraction_issues", "SELECT code, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT 'metric_unknown' AS code, count(*) FILTER (l_linenumber <> 1) AS n FROM lineitem UNION ALL SELECT 'number_invalid', count(*) FILTER (l_linenumber = 7) FROM lineitem UNION ALL SELECT 'number_ambiguous', count(*) FILTER (l_linenumber = 6) FROM lineitem) c")
