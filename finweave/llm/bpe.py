@@ -26,6 +26,8 @@ from finweave.llm.common import as_large_text
 CACHE_CHUNKS = 500_000
 #: Bytes of text encoded at once: fewer pieces look the same chunks up less often.
 ENCODE_BYTES = 16_000_000
+#: Rows of a batch; a batch encodes each distinct chunk once, so small ones cost time.
+ENCODE_ROWS = 4_000
 #: ASCII marks that follow a word as one piece; the apostrophe starts contractions and is left out.
 MARKS = string.punctuation.replace("'", "")
 

@@ -76,14 +76,14 @@ ARROW_ROWS = 2_000
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
     """Smaller Arrow batches for the actions inside: each stands in the JVM and, twice for a while, in the worker."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    if 0 < int(before) <= ARROW_ROWS:
+    if 0 < int(before) <= rows:
         yield
         return
-    spark.conf.set(name, str(ARROW_ROWS))
+    spark.conf.set(name, str(rows))
     try:
         yield
     finally:

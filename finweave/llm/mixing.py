@@ -73,6 +73,8 @@ def place_in_source(sizes: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame
     rows = materialize(rows, "mix-alike")
     key = ["s_null", "s_key", "class"]
     classes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn("ranges", F.ceil(F.col("n") / range_rows)).drop("n")
+    # Written, so that Spark knows its size and may send it to the rows, or split a class that very many have.
+    classes = materialize(classes, "mix-classes")
     rows = rows.join(classes, key).withColumn("range", F.floor(F.col("u") * F.col("ranges")).cast("long")).drop("ranges")
     starts = rows.groupBy(*key, "range").agg(F.sum("n_rows").alias("n"))
     before = Window.partitionBy("s_null", "s_key").orderBy("class", "range").rowsBetween(Window.unboundedPreceding, -1)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finweave.llm import bpe
-from finweave.llm.common import clean_text, scratch_path, small_batches, text_pieces
+from finweave.llm.common import clean_text, materialize, scratch_path, small_batches, text_pieces
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -59,7 +59,7 @@ def update_cache(docs: DataFrame, tokenizer_path: str, cache_path: str, cache_ex
     counted = misses.mapInArrow(lambda it: encode_misses(it, tokenizer_path, version), CACHE_SCHEMA)
     # Rows that share both id and text stood for their content together.
     counted = counted.groupBy("tokenizer", "digest").agg(F.max("n_tokens").alias("n_tokens"))
-    with small_batches(spark):
+    with small_batches(spark, bpe.ENCODE_ROWS):
         counted.write.mode("append").option("compression", "zstd").parquet(cache_path)
     return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
 
@@ -74,8 +74,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, cache_p
     exists = cache_path is not None and _has_rows(spark, cache_path)
     cache = update_cache(docs, tokenizer_path, cache_path := cache_path or scratch_path(spark, "token-cache"), exists)
     narrow = docs.select("doc_id", F.octet_length(clean_text()).cast("long").alias("n_bytes"), content_digest().alias("digest"))
-    # A cache shared by writers that raced may hold a digest twice.
-    once = cache.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # A cache shared by writers that raced may hold a digest twice.  Written, so that the join is of its
+    # own and may split a content that very many rows have.
+    once = materialize(cache.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     out = narrow.join(once, "digest", "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

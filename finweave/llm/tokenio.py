@@ -135,7 +135,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, out_dir: str, end_i
     order = [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("text")]
     rows = rows.withColumn("digest", F.xxhash64("text"))
     dealt = rows.repartitionByRange(num_shards or shuffle_partitions(spark), *order[:2]).sortWithinPartitions(*order).drop("digest")
-    with small_batches(spark):
+    with small_batches(spark, bpe.ENCODE_ROWS):
         shards = dealt.mapInArrow(lambda it: write_shard(it, out_dir, tokenizer_path, end_id), SHARD_SCHEMA).collect()
     return [r.asDict() for r in sorted(shards, key=lambda r: r["shard"])]
 

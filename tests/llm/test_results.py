@@ -237,6 +237,31 @@ def test_decontamination_finds_edited_copies_that_are_copied(spark):
         assert decontaminate.decontaminate(data, bench).count() == 50
 
 
+def edit(rng, item, rate):
+    """Of the words at ``rate`` half are replaced, a quarter go, a quarter get one behind them."""
+    out = []
+    for w in item:
+        d = rng.random() / rate
+        out += ["zz"] if d < 0.5 else [] if d < 0.75 else [w, "yy"] if d < 1 else [w]
+    return out
+
+
+def test_decontamination_recall_on_edited_copies(spark):
+    """Words replaced, dropped and added at several rates: nearly all copies that score enough are found, and no others."""
+    rng = random.Random(14)
+    items = [words(rng, rng.randint(20, 60)).split() for _ in range(12)]
+    texts, of = [], []
+    for rate in (0.05, 0.1, 0.2, 0.3, 0.4):
+        for k, item in enumerate(items):
+            edited = edit(rng, item, rate)
+            texts.append(f"{words(rng, 40)} {' '.join(edited)} {words(rng, 40)}")
+            of.append(k)
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    want = {(i, k) for i, t in enumerate(texts) for k, x in enumerate(items) if brute_align(x, t.lower().split()) >= len(x)}
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 40
+
+
 def test_decontamination_equals_aligning_all(monkeypatch):
     rng = random.Random(10)
     vocabulary = [f"w{i}" for i in range(12)]
