@@ -12,7 +12,6 @@ import sys
 from pyspark.sql import SparkSession
 
 from finweave.errors import FinweaveError, GateError
-from finweave.operators.extraction import extract_tables
 from finweave.plans import audit, pilot, profile, release
 from finweave.sources import files, store, tables
 
@@ -76,10 +75,9 @@ def smoke(args: argparse.Namespace) -> int:
     spark = session()
     documents, issues = files.build_inventory(spark, args.root)
     ready = tables.staged(documents.where("inventory_status = 'ready'"), "ready")
-    texts = files.read_verified(spark, args.root, ready)
-    first = tables.staged(extract_tables(texts), "extracted")
+    first = tables.staged(release.extract_corpus(spark, args.root, ready), "extracted")
     repeated = ready.orderBy(files.F.lower("relative_path"), "relative_path").limit(args.repeat).select("doc_id")
-    again = extract_tables(texts.join(repeated, "doc_id", "left_semi"))
+    again = release.extract_corpus(spark, args.root, ready.join(repeated, "doc_id", "left_semi"))
     if odd := profile.nondeterministic(first.join(repeated, "doc_id", "left_semi"), again).take(5):
         print(f"not deterministic: {', '.join(r['doc_id'] for r in odd)}", file=sys.stderr)
         return 2

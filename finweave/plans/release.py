@@ -20,12 +20,17 @@ from finweave.sources.tables import ORDER, RELEASE, canonical_json, read_release
 RULESET = "1"
 
 
+def extract_corpus(spark: SparkSession, root: str, documents: DataFrame) -> DataFrame:
+    """The extraction of an inventory's ready documents, read where they are and checked against it."""
+    return extract_tables(read_verified(spark, root, documents))
+
+
 def build_tables(spark: SparkSession, root: str, inventory: DataFrame | None = None) -> dict[str, DataFrame]:
     """The six tables of a release; what several of them need is written once."""
     documents = staged(inventory if inventory is not None else build_inventory(spark, root)[0], "inventory")
     _raise("inventory", note_violations(documents))
     ready = documents.where("inventory_status = 'ready'")
-    extracted = staged(extract_tables(read_verified(spark, root, ready)), "extracted")
+    extracted = staged(extract_corpus(spark, root, ready), "extracted")
     tables = staged(normalize_tables(tables_of(extracted), ready), "tables")
     cells = staged(normalize_cells(cells_of(extracted), tables), "cells")
     issues = issues_of(tables, cells)

@@ -90,22 +90,26 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return documents, rows.where("record_type = 'issue'").select("relative_path", "file_size_bytes", "sha256", "reason")
 
 
-def _check_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> None:
-    """The file must be UTF-8 with line feeds, a last one, and exactly this header; only the header comes to the driver."""
+def _check_csv(spark: SparkSession, path: str, columns: tuple[str, ...], strict: bool = True) -> None:
+    """The file must be UTF-8 with line feeds, a last one, and exactly this header; only the header comes to the driver.
+
+    Where not ``strict``, as in files that other programs saved, a byte order mark and any line ends will do.
+    """
     content = F.col("content").cast("string")
     ends = F.when(F.col("length") > 0, content.endswith("\n")).otherwise(F.lit(False))
     body = spark.read.format("binaryFile").load(path).select(F.is_valid_utf8(content).alias("valid"), F.contains(content, F.lit("\r")).alias("returns"), ends.alias("ends"), F.substring_index(content, "\n", 1).alias("header")).first()
-    if body is None or not body["valid"] or body["returns"] or not body["ends"]:
+    if body is None or not body["valid"] or (strict and (body["returns"] or not body["ends"])):
         raise ContractError(f"{path}: not UTF-8 with line feeds and a last line feed")
-    if tuple(next(csv.reader(io.StringIO(body["header"])), ())) != columns:
+    header = body["header"] if strict else body["header"].removeprefix("\ufeff").rstrip("\r")
+    if tuple(next(csv.reader(io.StringIO(header)), ())) != columns:
         raise ContractError(f"{path}: header {body['header']}")
 
 
-def read_strict_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    """All-string rows of a file that holds to the strict form."""
-    _check_csv(spark, path, columns)
+def read_strict_csv(spark: SparkSession, path: str, columns: tuple[str, ...], strict: bool = True) -> DataFrame:
+    """All-string rows of a file that holds to the strict form, or at least to its header."""
+    _check_csv(spark, path, columns, strict)
     schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').csv(path)
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", not strict).option("multiLine", True).option("escape", '"').csv(path)
 
 
 def csv_line(*columns: Column) -> Column:
@@ -135,7 +139,7 @@ def read_labels(spark: SparkSession, path: str | None, sample: DataFrame) -> Dat
     """The labels of a sample, empty causes and notes as null; no file is no labels."""
     if path is None or not store.exists(spark, path):
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in LABEL_COLUMNS))
-    rows = read_strict_csv(spark, path, LABEL_COLUMNS)
+    rows = read_strict_csv(spark, path, LABEL_COLUMNS, strict=False)
     rows = rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in LABEL_COLUMNS})
     check_labels(rows, sample)
     return rows

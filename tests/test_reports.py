@@ -195,6 +195,18 @@ def test_strict_csv(spark, tmp_path):
         tables.read_strict_csv(spark, str(tmp_path / "y.csv"), ("k", "v"))
 
 
+def test_labels_that_another_program_saved(spark, tmp_path):
+    sample = spark.createDataFrame([("s1",), ("s2",)], "sample_id string")
+    path = tmp_path / "labels.csv"
+    path.write_bytes(b"\xef\xbb\xbfsample_id,label,cause_code,reviewer_note\r\ns1,uncertain,,\"a\r\nb\"\r\ns2,true_issue,,x")
+    rows = {r["sample_id"]: r for r in tables.read_labels(spark, str(path), sample).collect()}
+    assert rows["s1"]["label"] == "uncertain" and rows["s1"]["cause_code"] is None and rows["s2"]["label"] == "true_issue"
+    assert tables.read_labels(spark, str(tmp_path / "none.csv"), sample).count() == 0
+    path.write_text("sample_id,label,cause,reviewer_note\n")
+    with pytest.raises(tables.ContractError):
+        tables.read_labels(spark, str(path), sample)
+
+
 def test_streaming_inventory(spark, corpus, tmp_path):
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     for _ in range(2):  # a second run finds nothing new
