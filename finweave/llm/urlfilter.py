@@ -129,7 +129,8 @@ def suffix_statistics(urls: DataFrame, labelled: DataFrame) -> DataFrame:
     own = labelled.select(host_column(F.col("url")).alias("host"), "blocked").where("host != '' AND blocked IS NOT NULL")
     own = materialize(own.groupBy("host").agg(F.avg("blocked").alias("mean")), "url-hosts")
     everywhere = own.agg(F.coalesce(F.avg("mean"), F.lit(0.0)).alias("overall"))
-    by_suffix = suffix_rows(own).groupBy("suffix").agg(F.sum("mean").alias("blocked"), F.count(F.lit(1)).alias("n"))
+    # Statistics are written before they are joined, so such a join may be split or broadcast by its size.
+    by_suffix = materialize(suffix_rows(own).groupBy("suffix").agg(F.sum("mean").alias("blocked"), F.count(F.lit(1)).alias("n")), "url-suffixes")
     rows = suffix_rows(urls.select("host").distinct().join(own, "host", "left")).join(by_suffix, "suffix", "left").crossJoin(everywhere)
     n = F.coalesce("n", F.lit(0)) - F.col("mean").isNotNull().cast("int")
     blocked = F.coalesce("blocked", F.lit(0.0)) - F.coalesce("mean", F.lit(0.0))
@@ -138,7 +139,7 @@ def suffix_statistics(urls: DataFrame, labelled: DataFrame) -> DataFrame:
     pick = lambda k, value, default: F.coalesce(F.max(F.when(F.col("nth") == k, value)), default)
     overall = F.round(F.max("overall"), 6)
     made = [c for k in range(1, SUFFIX_LABELS + 1) for c in (pick(k, share, overall), pick(k, F.log1p(n), F.lit(0.0)))]
-    return rows.groupBy("host").agg(*[c.alias(name) for c, name in zip(made, SUFFIX_FEATURES)])
+    return materialize(rows.groupBy("host").agg(*[c.alias(name) for c, name in zip(made, SUFFIX_FEATURES)]), "url-host-features")
 
 
 def with_suffixes(rows: DataFrame, labelled: DataFrame) -> DataFrame:
