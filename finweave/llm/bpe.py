@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 
 from finweave.llm.common import as_large_text
 
-#: Chunks that a worker remembers; beyond this it starts anew.
-CACHE_CHUNKS = 500_000
+#: Chunks that a worker remembers, twice: beyond this it keeps them aside for one turn and starts anew.
+CACHE_CHUNKS = 300_000
 #: Bytes of text encoded at once: fewer pieces look the same chunks up less often.
 ENCODE_BYTES = 16_000_000
 #: Rows of a batch; a batch encodes each distinct chunk once, so small ones cost time.
@@ -60,6 +60,7 @@ class BpeEncoder:
         self.model, self.pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
         #: By chunk with its leading space; stems (chunks without marks) are chunks themselves.
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> np.ndarray:
@@ -81,10 +82,12 @@ class BpeEncoder:
         if stem[1:].isalpha() and (stem[0] == " " or stem[0].isalpha()):
             found = self.cache.get(stem)
             if found is None:
-                found = self.cache[stem] = self._piece(stem)
+                found = self.cache[stem] = self.before.get(stem) or self._piece(stem)
             tail = chunk[len(stem) :]
+            # Only stems are remembered: with their marks they are many more, and quickly put together.
             return found + self._tail(tail) if tail else found
-        return b"".join(self._piece_mapped(piece) for piece, _ in self.pre.pre_tokenize_str(chunk))
+        found = self.cache[chunk] = self.before.get(chunk) or b"".join(self._piece_mapped(piece) for piece, _ in self.pre.pre_tokenize_str(chunk))
+        return found
 
     def _tail(self, marks: str) -> bytes:
         found = self.tails.get(marks)
@@ -136,12 +139,13 @@ class BpeEncoder:
         first[offsets[:-1]] = True
         cache = self.cache
         if len(cache) > CACHE_CHUNKS:
-            cache.clear()
+            self.before, self.cache = cache, {}
+            cache = self.cache
         chunks = [" " + word for word in dictionary]
         values = list(map(cache.get, chunks))
         for i, found in enumerate(values):
             if found is None:
-                values[i] = cache[chunks[i]] = self._chunk(chunks[i])
+                values[i] = self._chunk(chunks[i])
         starts, which = np.unique(index[first], return_inverse=True)
         for i in starts:
             values.append(b"".join(map(self._piece_mapped, (p for p, _ in self.pre.pre_tokenize_str(dictionary[i])))) if dictionary[i] else b"")

@@ -9,7 +9,7 @@ the corpus in ascending ``doc_id``.  Each task writes its shard under a temporar
 folder and renames it; a lost or repeated task writes the same bytes to the same name.  The driver
 keeps one row for each shard.
 
-Edge cases: null text is a document of only the end id; a null ``doc_id`` stands before all others
+Edge cases: ids are whole numbers; null text is a document of only the end id; a null ``doc_id`` stands before all others
 and is read back as null; rows that share an id are ordered by a
 digest of the text, then by the text; an empty table writes no shard
 and reads back as an empty table; other columns are not carried.
