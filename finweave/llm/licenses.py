@@ -322,10 +322,11 @@ def known_paragraphs(docs: DataFrame, gated: bool = True) -> DataFrame:
     """doc_id and ``found``, the array of judged paragraphs of known family; null where the gate ends it."""
     model = train()
     text = clean_text()
-    found = judge(paragraphs(text, model), model)
-    if gated:
-        found = F.when(F.lower(text).rlike(_any_word(gate_words(model))), found)
-    return docs.select("doc_id", found.alias("found"))
+    passed = F.when(F.lower(text).rlike(_any_word(gate_words(model))), text) if gated else text
+    # A generator keeps the projections apart; merged, the gate and the judgement would be written out, and
+    # computed, wherever the next step reads them.
+    rows = docs.select("doc_id", F.explode(F.array(passed)).alias("passed"))
+    return rows.select("doc_id", F.explode(F.array(judge(paragraphs(F.col("passed"), model), model))).alias("found"))
 
 
 def license_paragraphs(docs: DataFrame, gated: bool = True) -> DataFrame:
