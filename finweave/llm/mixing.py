@@ -76,6 +76,8 @@ def place_in_source(sizes: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame
     # Written, so that Spark knows its size and may send it to the rows, or split a class that very many have.
     classes = materialize(classes, "mix-classes")
     rows = rows.join(classes, key).withColumn("range", F.floor(F.col("u") * F.col("ranges")).cast("long")).drop("ranges")
+    # Dealt by range: a join by class before would do for the windows, and a large class would be one task.
+    rows = rows.repartition(*key, "range")
     starts = rows.groupBy(*key, "range").agg(F.sum("n_rows").alias("n"))
     before = Window.partitionBy("s_null", "s_key").orderBy("class", "range").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
