@@ -267,8 +267,12 @@ def gate_words(model: LicenseModel) -> tuple[str, ...]:
 
 
 def _any_word(words) -> str:
-    """A regular expression of any of the words, bordered by no letter as tokens are."""
-    return rf"(?<![a-z])(?:{'|'.join(sorted(words))})(?![a-z])"
+    """A regular expression of any of the words, bordered by no letter as tokens are; words are tried by first letter."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(words):
+        tails.setdefault(w[0], []).append(w[1:])
+    groups = "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in tails.items())
+    return rf"(?<![a-z])(?:{groups})(?![a-z])"
 
 
 def paragraphs(text: Column, model: LicenseModel) -> Column:
@@ -294,7 +298,7 @@ def judge(found: Column, model: LicenseModel) -> Column:
     start = _folded([float(b) for b in model.intercepts], "array<double>")
     names = _folded(list(model.families), "array<string>")
     templates = _folded([[{"grams": t.grams, "own": t.own, "least": t.least} for t in model.templates[f]] for f in model.families], "array<array<struct<grams:array<string>,own:array<string>,least:double>>>")
-    vocabulary = _folded(sorted(model.vocabulary), "array<string>")
+    vocabulary, features = (_folded(sorted(x), "array<string>") for x in (model.vocabulary, model.features))
 
     def grams(paragraph: Column) -> Column:
         words = F.regexp_extract_all(F.lower(paragraph), F.lit("([a-z]+|[0-9]+)"), 1)
@@ -302,7 +306,8 @@ def judge(found: Column, model: LicenseModel) -> Column:
         return F.array_union(F.array_intersect(words, vocabulary), F.filter(pairs, lambda p: p.isNotNull()))
 
     def best(g: Column) -> Column:
-        odds = F.aggregate(g, start, lambda acc, f: F.zip_with(acc, F.coalesce(F.element_at(weights, f), F.transform(start, lambda _: F.lit(0.0))), lambda x, w: x + w))
+        # Set operations hash, a map's lookup does not: only n-grams that are features are looked up.
+        odds = F.aggregate(F.array_intersect(g, features), start, lambda acc, f: F.zip_with(acc, F.element_at(weights, f), lambda x, w: x + w))
         places = F.zip_with(odds, F.sequence(F.lit(0), F.lit(len(model.families) - 1)), lambda z, k: F.struct(z.alias("z"), (-k).alias("k")))
         return F.array_max(places)
 
