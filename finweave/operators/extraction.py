@@ -492,18 +492,21 @@ class _Rows:
         self.lists: dict[str, dict[str, list]] = {part: {c: [] for c in ("doc_id", *columns)} for part, columns in PARTS.items()}
         self.size = 0
 
-    def add(self, part: str, doc_id: str | None, rows: list[dict]) -> None:
+    def add(self, part: str, doc_id: str | None, rows: list[dict], **same: str) -> None:
+        """Rows of a document; ``same`` are values that all of them share."""
+        if not rows:
+            return
         lists = self.lists[part]
         lists["doc_id"] += [doc_id] * len(rows)
         for c in PARTS[part]:
-            lists[c] += [r[c] for r in rows]
+            lists[c] += [same[c]] * len(rows) if c in same else [r[c] for r in rows]
         self.size += len(rows)
 
     def add_document(self, doc_id: str | None, found: dict) -> None:
         tables = [t | {"n_cells": len(t["cells"]), "n_placements": len(t["placements"])} for t in found["tables"]]
         for t in tables:
-            self.add("cell", doc_id, [c | {"table_id": t["table_id"]} for c in t["cells"]])
-            self.add("placement", doc_id, [p | {"table_id": t["table_id"]} for p in t["placements"]])
+            self.add("cell", doc_id, t["cells"], table_id=t["table_id"])
+            self.add("placement", doc_id, t["placements"], table_id=t["table_id"])
         self.add("table", doc_id, tables)
         for part, name in (("block", "blocks"), ("candidate", "candidates"), ("rejected", "rejected")):
             self.add(part, doc_id, found[name])
