@@ -108,6 +108,14 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             delete_path(spark, path)
 
 
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """``prefix``, made longer until no column of ``df`` starts with it: names for what joins a caller's rows."""
+    taken = {c.lower() for c in df.columns}
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return prefix
+
+
 def clean_text(column: str = "text") -> Column:
     """Whole text with null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

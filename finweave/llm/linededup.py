@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finweave.llm.common import discard, materialize
+from finweave.llm.common import discard, free_prefix, materialize
 
 LEADING = 3
 FIXED_SHARE = 0.7
@@ -113,15 +113,20 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with all columns, its text without the dropped lines, and n_lines, n_dropped."""
-    gone = dropped_lines(docs).select(F.col("doc_id").alias("g_doc"), F.col("row_hash").alias("g_hash"), "dropped")
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) == F.col("g_doc")) & (F.xxhash64("text") == F.col("g_hash"))
-    joined = docs.join(gone.hint("shuffle_hash"), same, "left")
+    """``docs`` with all columns, its text without the dropped lines, and n_lines, n_dropped.
+
+    The text and columns that already have these two names are replaced; all others keep their values.
+    """
+    p = free_prefix(docs, "g_")
+    doc, digest, gone = (F.col(f"{p}{c}") for c in ("doc", "hash", "gone"))
+    found = dropped_lines(docs).select(F.col("doc_id").alias(f"{p}doc"), F.col("row_hash").alias(f"{p}hash"), F.col("dropped").alias(f"{p}gone"))
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) == doc) & (F.xxhash64("text") == digest)
+    joined = docs.join(found.hint("shuffle_hash"), same, "left")
     lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("dropped", i)), "\n"))
+    kept = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n"))
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return joined.select(*others, kept.alias("text"), n_lines.cast("int").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("text", "n_lines", "n_dropped")]
+    return joined.select(*others, kept.alias("text"), n_lines.cast("int").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).alias("n_dropped"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

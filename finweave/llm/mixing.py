@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finweave.llm.common import clean_text, materialize, shuffle_partitions, unit_hash
+from finweave.llm.common import clean_text, free_prefix, materialize, shuffle_partitions, unit_hash
 
 #: Words in the sense of the mix: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -131,15 +131,17 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     Copies are dealt to distinct rows: equal rows stand as one whose copies are their sum.
     """
     placed = placed_rows(docs, _row_digest(docs), **options)
-    copies = placed.select("n_rows", F.col("key").alias("k_key"), _crossings(F.col("place"), F.col("n_rows")).alias("k_copies")).where("k_copies > 0")
+    # Names that no column of the caller has.
+    p = free_prefix(docs, "k_")
+    row, key, rows, n, at = (F.col(f"{p}{c}") for c in ("row", "key", "rows", "copies", "at"))
+    copies = placed.select(F.col("n_rows").alias(f"{p}rows"), F.col("key").alias(f"{p}key"), _crossings(F.col("place"), F.col("n_rows")).alias(f"{p}copies")).where(n > 0)
     copies = materialize(copies, "mix-copies")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.withColumn("k_row", _row_digest(docs)).join(copies.withColumnRenamed("n_rows", "k_rows").hint("shuffle_hash"), F.col("k_row") == F.col("k_key"))
-    alone = joined.where("k_rows = 1").select(*columns, "k_copies")
+    joined = docs.withColumn(f"{p}row", _row_digest(docs)).join(copies.hint("shuffle_hash"), row == key)
+    alone = joined.where(rows == 1).select(*columns, n)
     # Rows repeated in full: one of each stays before its copies are made.
-    shared = joined.where("k_rows > 1").groupBy("k_key").agg(F.first(F.struct(*columns, F.col("k_copies"))).alias("row")).select("row.*")
-    few = alone.unionByName(shared.where(F.col("k_copies") <= RANGE_ROWS))
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k_copies") - 1, F.lit(RANGE_ROWS).cast("long")))
-    cut = shared.where(F.col("k_copies") > RANGE_ROWS).withColumn("k_at", at).repartition(shuffle_partitions(docs.sparkSession), "k_at")
-    cut = cut.withColumn("k_copies", F.least(F.col("k_copies") - F.col("k_at"), F.lit(RANGE_ROWS))).drop("k_at")
-    return few.unionByName(cut).withColumn("k_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k_copies")))).select(*columns)
+    shared = joined.where(rows > 1).groupBy(key).agg(F.first(F.struct(*columns, n)).alias(f"{p}first")).select(f"{p}first.*")
+    few = alone.unionByName(shared.where(n <= RANGE_ROWS))
+    cut = shared.where(n > RANGE_ROWS).withColumn(f"{p}at", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(RANGE_ROWS).cast("long")))).repartition(shuffle_partitions(docs.sparkSession), at)
+    cut = cut.withColumn(f"{p}copies", F.least(n - at, F.lit(RANGE_ROWS))).drop(f"{p}at")
+    return few.unionByName(cut).withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*columns)

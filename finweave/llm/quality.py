@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finweave.llm.common import clean_text, hash_candidates
+from finweave.llm.common import clean_text, free_prefix, hash_candidates
 from finweave.llm.trees import Cuts, Node, fit_tree, sigmoid, tree_values
 
 #: Labelled rows that the driver fits on, at most.
@@ -197,9 +197,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
     ``trained_on`` holds the texts of the labelled rows where ``docs`` is only a part of them.
     """
     model = train(docs if trained_on is None else trained_on, labels, max_train)
-    taken, prefix = {c.lower() for c in docs.columns}, "_q"
-    while any(c.startswith(prefix) for c in taken):
-        prefix += "_"
+    prefix = free_prefix(docs, "_q")
     names, score = tuple(f"{prefix}_{n}" for n in FEATURES), f"{prefix}_score"
     stats = statistics(clean_text())
     wide = docs.select("*", *[stats[n].alias(c) for n, c in zip(FEATURES, names)])

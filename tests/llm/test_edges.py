@@ -108,3 +108,34 @@ def test_keep_one_keeps_one_of_equal_rows(spark):
     texts = [r["text"] for r in kept]
     # Null, empty and blank texts have no words and are one class.
     assert len(kept) == 7 and len(set(texts)) == 7
+
+
+#: Every name that the operators that return whole rows have for columns of their own.
+TAKEN = (
+    "k_row", "k_key", "k_rows", "k_copies", "k_at", "k_copy", "k_first", "k_doc", "k_hash", "k_times", "k_text", "t_doc", "t_hash", "g_doc", "g_hash", "g_gone", "dropped", "row_hash", "label", "node", "class_id",
+    "n_rows", "place", "key", "size", "target", "expected", "offset", "K__", "g__", "_q_score", "f_hash", "template", "line", "line_no", "digest", "w_doc", "item_id", "score", "rank", "weight", "p_text", "words",
+)
+
+
+def clashing(spark):
+    """Rows whose every extra column has a value of its own."""
+    rows = [(*r, *[f"{i}-{name}" for name in TAKEN]) for i, r in enumerate(ROWS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in TAKEN)), {r[4:] for r in rows}
+
+
+WHOLE_ROWS = {
+    **{name: stage for name, stage in corpus_pipeline.STAGES if name != "tokens"},
+    "lines": lambda s, d, _: linededup.drop_recurring_lines(d),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE_ROWS)
+def test_other_columns_come_back_as_they_are(spark, sf_dir, name):
+    docs, values = clashing(spark)
+    out = WHOLE_ROWS[name](spark, docs, sf_dir)
+    got = out.select(*TAKEN).collect()
+    assert got and {tuple(r) for r in got} <= values
+    if name == "lines":
+        assert {tuple(r) for r in got} == values
+    else:
+        assert out.columns == docs.columns
