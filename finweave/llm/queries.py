@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from finweave.llm.audio import audio_report
 from finweave.llm.common import read_table
+from finweave.llm.concurrency import peak_concurrency
 from finweave.llm.decontaminate import contaminated
 from finweave.llm.licenses import license_scan
 from finweave.llm.linededup import line_report
@@ -72,8 +73,12 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
+def op11_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peak_concurrency(*(read_table(spark, sf_dir, name) for name in ("sales", "sale_lines", "clients")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_line_dedup, op4_audio, op5_token_counts, op6_quality, op7_mixing, op8_url_filter, op9_license_scan, op10_token_output)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_line_dedup, op4_audio, op5_token_counts, op6_quality, op7_mixing, op8_url_filter, op9_license_scan, op10_token_output, op11_peak_concurrency)}
 
 
 #: The mix as plain windows over all documents; offsets and places are the same digests.
@@ -103,7 +108,30 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
   (CASE WHEN size > 0 THEN least(floor(expected * (place + 1) + u) - floor(expected * place + u), ceil(expected)) ELSE 0 END::BIGINT * size)::BIGINT AS taken
 FROM placed
 """
-ORACLES: dict[str, str] = {"op7_mixing": MIX_SQL}
+#: The sweep as plain windows over a nation.
+PEAK_SQL = """
+WITH shipped AS (
+  SELECT sale_id, min(shipped_at) AS shipped FROM sale_lines WHERE shipped_at IS NOT NULL GROUP BY sale_id
+), open_sales AS (
+  SELECT coalesce(c.nation_id, -1)::INTEGER AS nation_id, floor(epoch(s.sold_at) / 60)::BIGINT * 60 AS from_s,
+    floor(epoch(shipped + INTERVAL 7 DAY) / 60)::BIGINT * 60 AS until_s, coalesce(floor(100 * s.total + 0.5), 0)::BIGINT AS cents
+  FROM sales s LEFT JOIN shipped USING (sale_id) LEFT JOIN clients c ON c.client_id = s.client_id WHERE s.sold_at IS NOT NULL
+), counted AS (
+  SELECT * FROM open_sales WHERE until_s IS NULL OR until_s > from_s
+), twice AS (
+  SELECT * FROM counted UNION ALL SELECT -2, from_s, until_s, cents FROM counted
+), net AS (
+  SELECT nation_id, moment AS from_s, sum(n)::BIGINT AS n, sum(c)::BIGINT AS c FROM (
+    SELECT nation_id, from_s AS moment, 1 AS n, cents AS c FROM twice UNION ALL SELECT nation_id, until_s, -1, -cents FROM twice WHERE until_s IS NOT NULL
+  ) GROUP BY 1, 2 HAVING sum(n) <> 0 OR sum(c) <> 0
+), running AS (
+  SELECT nation_id, from_s, lead(from_s) OVER w AS to_s, sum(n) OVER w AS n_open, sum(c) OVER w AS open_cents FROM net WINDOW w AS (PARTITION BY nation_id ORDER BY from_s)
+)
+SELECT nation_id, from_s, to_s, n_open::BIGINT AS n_open, open_cents::BIGINT AS open_cents,
+  max(n_open) OVER (PARTITION BY nation_id ORDER BY from_s)::BIGINT AS high_open, open_cents = max(open_cents) OVER (PARTITION BY nation_id) AS is_peak
+FROM running
+"""
+ORACLES: dict[str, str] = {"op7_mixing": MIX_SQL, "op11_peak_concurrency": PEAK_SQL}
 
 
 def oracle_sql() -> dict[str, str]:
