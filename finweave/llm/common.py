@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -142,6 +142,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``rows`` with their place (from 0) in ``order`` over all of them.
+
+    They are dealt by ranges and ordered within; a place is its range's start and the place in it.  Only one row for
+    each range meets in one task.  ``rows`` are read twice (for the ranges' bounds), so they should be written and narrow.
+    """
+    spark = rows.sparkSession
+    at, part = F.col(f"{name}_at"), f"{name}_part"
+    dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    # Numbers a partition's rows from its number shifted by 33 bits on.
+    dealt = materialize(dealt.withColumn(f"{name}_at", F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33)), "numbered")
+    sizes = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(sizes.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"{name}_start")), "numbered-starts")
+    return dealt.join(starts, part).withColumn(name, F.col(f"{name}_start") + at.bitwiseAND(F.lit(2**33 - 1))).drop(part, f"{name}_at", f"{name}_start")
+
+
 def as_large_text(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """Arrow text with 64-bit offsets and nulls read as empty."""
     if isinstance(column, pa.ChunkedArray):

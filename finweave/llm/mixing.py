@@ -119,25 +119,23 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     return rows.select(*out, (_crossings(F.col("place"), F.lit(1)) * F.col("size")).alias("taken"))
 
 
-def _row_digest(docs: DataFrame) -> Column:
+def row_digest(docs: DataFrame) -> Column:
     """Digest of all columns, so rows with equal digests are equal (maps are compared as JSON)."""
     kinds = dict(docs.dtypes)
     return F.xxhash64(*[F.to_json(F.col(f"`{c}`")) if "map<" in kinds[c] else F.col(f"`{c}`") for c in docs.columns])
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each row of ``docs``, with all its columns, as often as the mix takes it.
+def copies_of(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """Rows of ``docs``, with all their columns, as often as ``copies`` (key, rows, copies) says.
 
-    Copies are dealt to distinct rows: equal rows stand as one whose copies are their sum.
+    ``key`` is the row's digest, ``rows`` the number of rows that have it, ``copies`` the copies of all of them together.
     """
-    placed = placed_rows(docs, _row_digest(docs), **options)
     # Names that no column of the caller has.
     p = free_prefix(docs, "k_")
     row, key, rows, n, at = (F.col(f"{p}{c}") for c in ("row", "key", "rows", "copies", "at"))
-    copies = placed.select(F.col("n_rows").alias(f"{p}rows"), F.col("key").alias(f"{p}key"), _crossings(F.col("place"), F.col("n_rows")).alias(f"{p}copies")).where(n > 0)
-    copies = materialize(copies, "mix-copies")
+    copies = materialize(copies.select(*[F.col(c).alias(f"{p}{c}") for c in ("key", "rows", "copies")]), "row-copies")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.withColumn(f"{p}row", _row_digest(docs)).join(copies.hint("shuffle_hash"), row == key)
+    joined = docs.withColumn(f"{p}row", row_digest(docs)).join(copies.hint("shuffle_hash"), row == key)
     alone = joined.where(rows == 1).select(*columns, n)
     # Rows repeated in full: one of each stays before its copies are made.
     shared = joined.where(rows > 1).groupBy(key).agg(F.first(F.struct(*columns, n)).alias(f"{p}first")).select(f"{p}first.*")
@@ -145,3 +143,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     cut = shared.where(n > RANGE_ROWS).withColumn(f"{p}at", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(RANGE_ROWS).cast("long")))).repartition(shuffle_partitions(docs.sparkSession), at)
     cut = cut.withColumn(f"{p}copies", F.least(n - at, F.lit(RANGE_ROWS))).drop(f"{p}at")
     return few.unionByName(cut).withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*columns)
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The mixed corpus: each row of ``docs``, with all its columns, as often as the mix takes it.
+
+    Copies are dealt to distinct rows: equal rows stand as one whose copies are their sum.
+    """
+    placed = placed_rows(docs, row_digest(docs), **options)
+    copies = placed.select("key", F.col("n_rows").alias("rows"), _crossings(F.col("place"), F.col("n_rows")).alias("copies"))
+    return copies_of(docs, copies.where("copies > 0"))

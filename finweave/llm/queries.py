@@ -11,6 +11,7 @@ from finweave.llm.audio import audio_report
 from finweave.llm.common import read_table
 from finweave.llm.concurrency import peak_concurrency
 from finweave.llm.decontaminate import contaminated
+from finweave.llm.importance import importance_scores
 from finweave.llm.licenses import license_scan
 from finweave.llm.linededup import line_report
 from finweave.llm.minhash import near_duplicates
@@ -77,8 +78,12 @@ def op11_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peak_concurrency(*(read_table(spark, sf_dir, name) for name in ("sales", "sale_lines", "clients")))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_line_dedup, op4_audio, op5_token_counts, op6_quality, op7_mixing, op8_url_filter, op9_license_scan, op10_token_output, op11_peak_concurrency)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_line_dedup, op4_audio, op5_token_counts, op6_quality, op7_mixing, op8_url_filter, op9_license_scan, op10_token_output, op11_peak_concurrency, op12_importance_resampling)}
 
 
 #: The mix as plain windows over all documents; offsets and places are the same digests.
@@ -131,7 +136,38 @@ SELECT nation_id, from_s, to_s, n_open::BIGINT AS n_open, open_cents::BIGINT AS
   max(n_open) OVER (PARTITION BY nation_id ORDER BY from_s)::BIGINT AS high_open, open_cents = max(open_cents) OVER (PARTITION BY nation_id) AS is_peak
 FROM running
 """
-ORACLES: dict[str, str] = {"op7_mixing": MIX_SQL, "op11_peak_concurrency": PEAK_SQL}
+#: The draw from counts of distinct words; CRC-32 by its table of 256 remainders, made here from the polynomial.
+IMPORTANCE_SQL = r"""
+WITH remainders AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i)
+  )
+), words AS (
+  SELECT doc_id, 'd' AS side, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+  UNION ALL
+  SELECT item_id, 't', unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), counted AS (
+  SELECT word, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 't') AS t FROM words GROUP BY word
+), hashed AS (
+  SELECT word, s, counted.t AS t, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(word))), lambda k: ('0x' || substr(hex(encode(word)), 2 * k + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, remainders.t[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+  FROM counted, remainders
+), buckets AS (
+  SELECT bucket, sum(s)::BIGINT AS s, sum(t)::BIGINT AS t, (sum(sum(s)) OVER ())::BIGINT AS all_s, (sum(sum(t)) OVER ())::BIGINT AS all_t FROM hashed GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain FROM buckets
+), weights AS (
+  SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS total FROM words JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(floor(total::DOUBLE / n), 0)::BIGINT AS weight,
+    coalesce(floor(total::DOUBLE / n), 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM documents d LEFT JOIN weights USING (doc_id)
+), placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS eligible FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 10 * eligible // 100 THEN place END AS rank FROM scored s LEFT JOIN placed USING (doc_id)
+"""
+ORACLES: dict[str, str] = {"op7_mixing": MIX_SQL, "op11_peak_concurrency": PEAK_SQL, "op12_importance_resampling": IMPORTANCE_SQL}
 
 
 def oracle_sql() -> dict[str, str]:
