@@ -7,11 +7,15 @@ together by index.  A cut at a single space is exact: the pre-tokeniser's patter
 space into a following piece, so a piece never spans such a space from the left.  Texts for which
 this does not hold (two spaces in a row, a space at the end) or that contain an added token go to
 the library whole, as do all texts when the file describes another kind of tokenizer.
+
+A file that drops white space and ends words (``WORD_PATTERN``) is cut at ASCII white space, which no piece
+spans and no normalisation crosses; there only texts that contain an added token go to the library whole.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import string
 from array import array
 from functools import lru_cache
@@ -31,6 +35,12 @@ ENCODE_ROWS = 4_000
 #: ASCII marks that follow a word as one piece; the apostrophe starts contractions and is left out.
 MARKS = string.punctuation.replace("'", "")
 
+#: Fixed value: how a tokenizer with word ends splits; no alternative takes white space.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+#: Letters below are in composed form, and their lower case is one letter where ``str.lower`` says so.
+PLAIN_LETTERS = "\u0250"
+
 
 def byte_alphabet() -> dict[int, str]:
     """The printable stand-ins for the 256 byte values: printable Latin-1 stays, the rest follows from 256 on."""
@@ -40,6 +50,31 @@ def byte_alphabet() -> dict[int, str]:
     return table
 
 
+def _splits_words(spec: dict) -> bool:
+    """Whether the file normalises, splits by ``WORD_PATTERN`` and goes to bytes, and nothing else."""
+    norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps, cuts = norm.get("normalizers", []), pre.get("pretokenizers", [])
+    if [x["type"] for x in steps] != WORD_NORMALIZERS or [x["type"] for x in cuts] != ["Split", "ByteLevel"]:
+        return False
+    split, to_bytes = cuts
+    cut = split["pattern"] == {"Regex": WORD_PATTERN} and split["behavior"] == "Removed" and split["invert"]
+    spaces = steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+    return bool(cut and spaces and not to_bytes["add_prefix_space"] and not to_bytes["use_regex"] and spec["model"]["type"] == "BPE" and not spec.get("post_processor"))
+
+
+def _put_together(values: list[bytes], index: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts whose chunks have the ids ``values[index]``, and each text's offsets into them."""
+    pool = np.frombuffer(b"".join(values), dtype=np.uint32)
+    lengths = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+    pool_start = np.cumsum(lengths) - lengths
+    per_chunk = lengths[index]
+    ends = np.cumsum(per_chunk)
+    total = int(ends[-1]) if len(ends) else 0
+    shift = pool_start[index] - (ends - per_chunk)
+    ids = pool[np.repeat(shift, per_chunk) + np.arange(total)]
+    return ids, np.concatenate([[0], ends])[offsets]
+
+
 class BpeEncoder:
     """Ids of whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
@@ -54,6 +89,7 @@ class BpeEncoder:
         pre = spec.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.by_chunk = bool(plain and spec["model"]["type"] == "BPE" and not spec.get("normalizer"))
+        self.by_word = _splits_words(spec)
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.alphabet = byte_alphabet()
@@ -100,6 +136,11 @@ class BpeEncoder:
     def _piece_mapped(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
+    def _has_added(self, texts: pa.Array, whole: np.ndarray) -> np.ndarray:
+        for token in self.added:
+            whole = whole | np.asarray(pc.match_substring(texts, token).to_numpy(zero_copy_only=False), dtype=bool)
+        return whole
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts, one after another, and each text's offsets into them."""
         texts = as_large_text(texts)
@@ -107,14 +148,15 @@ class BpeEncoder:
         whole = np.ones(n, bool)
         if self.by_chunk and n:
             mask = pc.or_(pc.match_substring(texts, "  "), pc.ends_with(texts, " "))
-            for token in self.added:
-                mask = pc.or_(mask, pc.match_substring(texts, token))
-            whole = np.asarray(mask.to_numpy(zero_copy_only=False), dtype=bool)
+            whole = self._has_added(texts, np.asarray(mask.to_numpy(zero_copy_only=False), dtype=bool))
+        elif self.by_word and n:
+            whole = self._has_added(texts, np.zeros(n, bool))
+        quick = self._by_word if self.by_word else self._by_chunk
         if not whole.any():
-            return self._by_chunk(texts)
+            return quick(texts)
         ids: list[np.ndarray] = []
         lengths = np.zeros(n, np.int64)
-        quick_ids, quick_offsets = self._by_chunk(texts.filter(pa.array(~whole)))
+        quick_ids, quick_offsets = quick(texts.filter(pa.array(~whole)))
         k = 0
         for i in range(n):
             if whole[i]:
@@ -150,15 +192,36 @@ class BpeEncoder:
         for i in starts:
             values.append(b"".join(map(self._piece_mapped, (p for p, _ in self.pre.pre_tokenize_str(dictionary[i])))) if dictionary[i] else b"")
         index[first] = len(dictionary) + which
-        pool = np.frombuffer(b"".join(values), dtype=np.uint32)
-        lengths = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
-        pool_start = np.cumsum(lengths) - lengths
-        per_chunk = lengths[index]
-        ends = np.cumsum(per_chunk)
-        total = int(ends[-1]) if len(ends) else 0
-        shift = pool_start[index] - (ends - per_chunk)
-        ids = pool[np.repeat(shift, per_chunk) + np.arange(total)]
-        return ids, np.concatenate([[0], ends])[offsets]
+        return _put_together(values, index, offsets)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space.  Letters, then marks, is two pieces, whose ids are remembered apart and in lower case."""
+        parts = []
+        for word in words:
+            stem = word.rstrip(MARKS)
+            lower = stem.lower()
+            if stem.isalpha() and max(stem) < PLAIN_LETTERS and lower.isalpha():
+                parts.append((lower, word[len(stem) :]))
+            else:
+                parts.append((word, ""))
+        if len(self.cache) > CACHE_CHUNKS:
+            self.before, self.cache = self.cache, {}
+        cache, before = self.cache, self.before
+        cache[""] = b""
+        for key in {p for pair in parts for p in pair if p not in cache and p in before}:
+            cache[key] = before[key]
+        missed = list(dict.fromkeys(p for pair in parts for p in pair if p not in cache))
+        for key, found in zip(missed, self.tokenizer.encode_batch_fast(missed, add_special_tokens=False)):
+            cache[key] = array("I", found.ids).tobytes()
+        return [cache[stem] + cache[tail] if tail else cache[stem] for stem, tail in parts]
+
+    def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        lists = pc.ascii_split_whitespace(texts)
+        encoded = lists.values.dictionary_encode()
+        index = np.asarray(encoded.indices.to_numpy(zero_copy_only=False), dtype=np.int64)
+        return _put_together(self._words(encoded.dictionary.to_pylist()), index, np.asarray(lists.offsets, dtype=np.int64))
 
     def count(self, texts: pa.Array) -> np.ndarray:
         return np.diff(self.encode(texts)[1])
@@ -166,7 +229,8 @@ class BpeEncoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> BpeEncoder:
-    """One encoder for each tokenizer file and Python worker."""
+    """One encoder for each tokenizer file and Python worker; tasks share a machine's cores, so it takes one."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return BpeEncoder(path)
 
 

@@ -16,12 +16,14 @@ from finweave.llm.licenses import license_scan
 from finweave.llm.linededup import line_report
 from finweave.llm.minhash import near_duplicates
 from finweave.llm.mixing import mix_report
+from finweave.llm.packing import pack_report
 from finweave.llm.quality import quality_scores
 from finweave.llm.tokencount import token_counts
 from finweave.llm.tokenio import token_output
 from finweave.llm.urlfilter import UrlRule, judge_urls
 
 BPE_FILE = "byte_bpe_50k.json"
+WORD_FILE = "word_bpe_49k.json"
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +84,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_report(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_FILE))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_line_dedup, op4_audio, op5_token_counts, op6_quality, op7_mixing, op8_url_filter, op9_license_scan, op10_token_output, op11_peak_concurrency, op12_importance_resampling)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_line_dedup, op4_audio, op5_token_counts, op6_quality, op7_mixing, op8_url_filter, op9_license_scan, op10_token_output, op11_peak_concurrency, op12_importance_resampling, op13_packing)}
 
 
 #: The mix as plain windows over all documents; offsets and places are the same digests.
