@@ -8,19 +8,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finweave.functions.text import squeezed, steps
+from finweave.functions.text import plain_forms, squeezed, steps
 
 #: Fixed values.
 MISSING = ("-", "—", "–", "n/a", "na", "null", "none", "", ".")
 VALUE_TYPE = "decimal(38,10)"
 
 
+def _working(raw: Column) -> Column:
+    return squeezed(plain_forms(raw))
+
+
 def is_missing_number(raw: Column) -> Column:
-    return F.lower(squeezed(raw)).isin(*MISSING)
+    return F.lower(_working(raw)).isin(*MISSING)
 
 
 def is_numeric_candidate(raw: Column) -> Column:
-    s = squeezed(raw)
+    s = _working(raw)
     repaired = F.when(s.rlike("[0-9].*[Oo]$"), F.concat(F.substring(s, F.lit(1), F.length(s) - 1), F.lit("0"))).otherwise(s)
     return ~is_missing_number(raw) & repaired.rlike("[0-9]") & repaired.rlike(r"^[0-9., +\-()%]+$")
 
@@ -109,7 +113,7 @@ def _valued(x: Column) -> Column:
 
 def parse_number(raw: Column) -> Column:
     """Struct of value, unit_hint (percent) and issue_code; null text gives null."""
-    found = steps(squeezed(raw), _repaired, _unmarked, _without_percent, _without_brackets, _without_sign, _without_spaces, _decided, _checked, _valued)
+    found = steps(_working(raw), _repaired, _unmarked, _without_percent, _without_brackets, _without_sign, _without_spaces, _decided, _checked, _valued)
     return F.when(raw.isNotNull(), found)
 
 

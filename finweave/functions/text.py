@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: Patterns of lines and numbers.
 PAGE_MARKER = r"^===== PAGE [1-9][0-9]* =====$"
 NUMERIC_LOOKING = r"^\(?[+-]?[0-9][0-9., ]*%?\)?$"
 LIST_PREFIX = r"^(?:[-•*] |[0-9]+\. )"
@@ -21,7 +23,7 @@ METRIC_SIGNALS = ("chỉ tiêu", "khoản mục", "nội dung", "diễn giải",
 AUXILIARY_SIGNALS = ("stt", "số thứ tự", "mã số", "code", "thuyết minh", "note")
 AUXILIARY_KEYS = ("stt", "mã số", "thuyết minh", "code", "note", "notes")
 #: Fixed values; the last three are the same words read with a wrong encoding, as the corpus has them.
-UNIT_MARKERS = ("đơn vị tính", "đơn vị", "đvt", "Ä‘Æ¡n vá»‹", "Ä‘Æ¡n vá»‹ tÃ­nh", "Ä‘vt")
+UNIT_MARKERS = ("đơn vị tính", "đơn vị", "Ä‘Æ¡n vá»‹", "Ä‘Æ¡n vá»‹ tÃ­nh", "Ä‘vt")
 NOTES_HEADINGS = ("thuyết minh", "thuyêt minh", "thuyết minh báo cáo tài chính", "thuyêt minh báo cáo tài chính")
 
 
@@ -59,7 +61,34 @@ def steps(value: Column, *each) -> Column:
 
 def squeezed(text: Column) -> Column:
     """White space of any script runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1C-\x1F]+", " "))
+
+
+#: Dashes that compatibility forms may stand for, besides ASCII.
+DASHES = "—–"
+
+
+@lru_cache(maxsize=1)
+def _compatibility() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility form is ASCII (or a dash): of one character, and of several."""
+    one, several = {}, {}
+    for c in map(chr, range(0x80, 0x110000)):
+        form = unicodedata.normalize("NFKC", c)
+        if form != c and all(x < "\x80" or x in DASHES for x in form):
+            (one if len(form) == 1 else several)[c] = form
+    return one, several
+
+
+def plain_forms(text: Column) -> Column:
+    """Wide, raised, circled and other compatibility forms of ASCII characters as these, without leaving the JVM.
+
+    Of text that is ASCII after NFKC this is NFKC; other text keeps a character beyond ASCII by either.
+    """
+    one, several = _compatibility()
+    single = F.translate(text, "".join(one), "".join(one.values()))
+    of = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    each = F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(of, c), c)), "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.when(text.rlike("[" + "".join(several) + "]"), each).otherwise(single)).otherwise(text)
 
 
 def native_key(text: Column) -> Column:

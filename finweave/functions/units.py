@@ -23,7 +23,7 @@ ALIASES = {
 PREFIX = r"^(?:đơn vị tính:|đơn vị:|đvt:)\s*"
 PERIOD_LIKE = r"^(?:năm|ngay|ngày|tháng|thang|quý|quy|q)?\s*[0-9]{2,4}$|^(?:năm|ngày|tháng|quý) "
 #: Substrings, so that words that hold one count too.
-EVIDENCE = r"(?i)(?:vnd|vnđ|đồng|dong|nghìn|ngàn|ngan|triệu|trieu|tỷ|ty|%|phần trăm|lần|lầ?n)"
+EVIDENCE = r"(?iu)(?:vnd|vnđ|đồng|dong|nghìn|ngàn|ngan|triệu|trieu|tỷ|ty|%|phần trăm|lần|lầ?n)"
 
 
 def _lookup(key: Column) -> Column:

@@ -200,6 +200,29 @@ def number_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.col("v").cast("double").alias("value"), "hint", "issue")
 
 
+#: ASCII digits and marks, and their wide forms.
+NARROW, WIDE = "0123456789.,()%-", "０１２３４５６７８９．，（）％－"
+
+
+@on_tables(
+    "wide_numbers",
+    "SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE l_linenumber WHEN 1 THEN c / 100.0 WHEN 2 THEN -c / 100.0 WHEN 3 THEN i % 1000000 WHEN 4 THEN c / 100.0 WHEN 5 THEN -i WHEN 6 THEN -(1 + i % 9) END AS DOUBLE) AS value, CASE WHEN l_linenumber = 4 THEN 'percent' END AS hint, CASE WHEN l_linenumber > 6 THEN CASE i % 3 WHEN 0 THEN 'number_missing' WHEN 1 THEN 'number_ambiguous' ELSE 'number_invalid' END END AS issue, l_linenumber <= 6 OR i % 3 = 1 AS candidate FROM (SELECT l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS c, CAST(round(l_extendedprice * 100) AS BIGINT) // 100 AS i FROM lineitem)",
+)
+def wide_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices in wide digits and marks, between no-break spaces, raised and in brackets of one character, and read back."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", cents.alias("c"), F.floor(cents / 100).cast("long").alias("i"))
+    wide = lambda c: F.translate(c, NARROW, WIDE)
+    full = F.concat(F.expr(GROUPED.format(d="div")), F.lit(","), F.lpad((F.col("c") % 100).cast("string"), 2, "0"))
+    n, i = F.col("l_linenumber"), F.col("i")
+    spaced = F.concat((i % 1000000 / 1000).cast("long").cast("string"), F.lit("\u00a0"), F.lpad((i % 1000).cast("string"), 3, "0"))
+    circled = F.get(F.array(*[F.lit(chr(0x2474 + k)) for k in range(9)]), (i % 9).cast("int"))
+    other = F.when(i % 3 == 0, F.lit("Ｎ／Ａ")).when(i % 3 == 1, F.lit("１２３４．５６⁷")).otherwise(F.lit("１２３ Ⅻ"))
+    raw = F.when(n == 1, wide(full)).when(n == 2, wide(F.concat(F.lit("("), full, F.lit(")")))).when(n == 3, spaced).when(n == 4, wide(F.concat(full, F.lit("\u3000%")))).when(n == 5, wide(F.concat(F.lit("-"), i.cast("string")))).when(n == 6, circled).otherwise(other)
+    out = numbers.with_number(rows.withColumn("raw", raw), "raw", "v", "hint", "issue")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.col("v").cast("double").alias("value"), "hint", "issue", numbers.is_numeric_candidate(F.col("raw")).alias("candidate"))
+
+
 @on_tables(
     "period_parser",
     "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 6 = 1 THEN concat(CAST(year(o_orderdate) AS STRING), '-Q', CAST(quarter(o_orderdate) AS STRING)) WHEN o_orderkey % 6 = 2 THEN CAST(year(o_orderdate) AS STRING) WHEN o_orderkey % 6 = 3 THEN concat('2020-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0')) WHEN o_orderkey % 6 = 4 AND day(o_orderdate) > 12 THEN concat('20', lpad(CAST(year(o_orderdate) % 100 AS STRING), 2, '0'), strftime(o_orderdate, '-%m-%d')) END AS period, CASE WHEN o_orderkey % 6 = 4 AND day(o_orderdate) <= 12 THEN 'period_ambiguous' WHEN o_orderkey % 6 = 5 THEN 'period_incomplete' END AS issue FROM orders",
@@ -236,6 +259,19 @@ def unit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.col("u.value").alias("unit"), F.col("u.issue_code").alias("issue"))
 
 
+#: Column headers in capitals and composed letters.
+HEADERS = ("TRIỆU ĐỒNG", "ĐỒNG", "VNĐ", "SỐ TIỀN (TỶ ĐỒNG)", "PHẦN TRĂM", "LẦN", "NĂM 2023", "DONG")
+
+
+@on_tables("unit_headers", "SELECT p_partkey, p_size % 2 = 0 AS in_table, CASE p_partkey % 8 " + " ".join(f"WHEN {k} THEN CASE WHEN p_size % 2 = 0 THEN {a} ELSE {b} END" for k, (a, b) in enumerate((("'VND_million'", "'VND_million'"), ("NULL", "'VND'"), ("NULL", "'VND'"), ("NULL", "'VND_billion'"), ("'percent'", "'percent'"), ("'ratio'", "'ratio'"), ("'VND_million'", "NULL"), ("NULL", "'VND'")))) + " END AS unit, CASE WHEN p_size % 2 = 0 AND p_partkey % 8 IN (1, 2, 3, 7) THEN 'unit_conflict' END AS issue FROM part")
+def unit_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of column headers in capitals, beside a table's unit and alone."""
+    column = F.get(F.array(*[F.lit(h) for h in HEADERS]), (F.col("p_partkey") % 8).cast("int"))
+    whole = F.when(F.col("p_size") % 2 == 0, F.lit("đơn vị tính: triệu đồng"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 2 == 0).alias("in_table"), units.resolve_unit(F.lit(None).cast("string"), column, text.native_key(column), whole).alias("u"))
+    return rows.select("p_partkey", "in_table", F.col("u.value").alias("unit"), F.col("u.issue_code").alias("issue"))
+
+
 @on_tables("metric_lookup", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'net_revenue' WHEN 1 THEN 'total_assets' END AS metric, CASE WHEN p_partkey % 4 = 2 THEN 'metric_unknown' END AS issue FROM part")
 def metric_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels joined to the table of spellings."""

@@ -362,11 +362,18 @@ def match_assessment(a: DataFrame, t: DataFrame) -> DataFrame:
 # Texts and extraction.
 @on_tables("exact_keys", "SELECT p_partkey, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS key FROM part")
 def exact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of part names in capitals, with odd spaces and wide letters."""
+    """Keys of part names in capitals, with odd spaces."""
     odd = F.concat(F.lit("  "), F.replace(F.upper("p_name"), F.lit(" "), F.lit(" \t ")), F.lit(" "))
     return table(spark, sf_dir, "part").select("p_partkey", text.normalized_key(odd).alias("key"))
 
 
+@on_tables("wide_keys", "SELECT p_partkey, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS key FROM part")
+def wide_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of part names in wide capitals between ideographic and no-break spaces."""
+    wide = F.translate(F.upper("p_name"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ")
+    return table(spark, sf_dir, "part").select("p_partkey", text.normalized_key(F.concat(F.lit("\u3000"), F.replace(wide, F.lit(" "), F.lit("\u00a0\u3000")))).alias("key"))
+
+
 LINES = ("- 12,5  3", "1. abc  def", "• x  1  y", "plain 1", "(1.234) 5%", "ab 12", " ")
 
 

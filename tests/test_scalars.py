@@ -1,5 +1,6 @@
 """Scalar rules against vectors, and round trips."""
 
+import unicodedata
 from decimal import Decimal
 
 import pytest
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from finweave.functions import labels, numbers, periods, text, units
+from finweave.operators import extraction
 
 NUMBERS = [
     ("1.234.567", "1234567", None, None), ("1,234,567.89", "1234567.89", None, None), ("1.234.567,8", "1234567.8", None, None), ("(1 234)", "-1234", None, None), ("-5", "-5", None, None), ("+7", "7", None, None), ("(-5)", "-5", None, None),
@@ -66,3 +68,41 @@ def test_labels_and_keys(spark):
     assert metrics == ["revenue", "net_revenue", None]
     with pytest.raises(ValueError):
         labels.check_aliases({"a": ("Same",), "b": ("same ",)})
+
+
+WIDE = [
+    ("１２３", "123", None, None), ("１．２３４，５０", "1234.50", None, None), ("（５）", "-5", None, None), ("１２,5％", "12.5", "percent", None), ("－７", "-7", None, None), ("1 234", "1234", None, None), ("1　234", "1234", None, None), ("\x1c12\x1f", "12", None, None),
+    ("⑴", "-1", None, None), ("⒈", "1", None, None), ("x²", None, None, "number_invalid"), ("𝟙𝟚", "12", None, None), ("Ｎ／Ａ", None, None, "number_missing"), ("︲", None, None, "number_missing"), ("﹘", None, None, "number_missing"), ("½", None, None, "number_invalid"), ("１２Ｏ", "120", None, None),
+    ("٣", None, None, "number_invalid"), ("１é", None, None, "number_invalid"),
+]
+
+
+def test_compatibility_forms(spark):
+    rows = spark.createDataFrame([(i, n[0]) for i, n in enumerate(WIDE)], "i int, raw string")
+    got = {r["i"]: r for r in numbers.with_number(rows, "raw").withColumn("may", numbers.is_numeric_candidate(F.col("raw"))).collect()}
+    for i, (raw, value, hint, issue) in enumerate(WIDE):
+        r = got[i]
+        assert (r["value_numeric"], r["number_hint"], r["number_issue"]) == (None if value is None else Decimal(value), hint, issue), raw
+        assert r["may"] == (value is not None), raw
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.text(alphabet=st.characters(exclude_categories=["Cs"]) | st.sampled_from("１⑴²ﬁ㎏…ⅫK"), max_size=12), min_size=30, max_size=30))
+def test_plain_forms_are_nfkc_where_that_is_ascii(spark, texts):
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(text.plain_forms(F.col("t"))).collect()]
+    for t, g in zip(texts, got):
+        form = unicodedata.normalize("NFKC", t)
+        assert (g == form) if form.isascii() else not g.isascii()
+
+
+def test_units_of_headers_in_capitals(spark):
+    raws = ["TRIỆU ĐỒNG", "ĐỒNG", "VNĐ", "NGHÌN VNĐ", "SỐ TIỀN (TỶ ĐỒNG)", "Phần Trăm", "SỐ LƯỢNG"]
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string").withColumn("key", text.native_key(F.col("raw")))
+    none = F.lit(None).cast("string")
+    got = rows.orderBy("i").select(units.resolve_unit(none, F.col("raw"), F.col("key"), none).alias("u")).collect()
+    assert [r["u"]["value"] for r in got] == ["VND_million", "VND", "VND", "VND_thousand", "VND_billion", "percent", None]
+    assert all(r["u"]["issue_code"] is None for r in got)
+
+
+def test_unit_lines_are_those_of_the_list():
+    assert extraction.names_unit("ĐƠN VỊ TÍNH: đồng") and not extraction.names_unit("ĐVT: đồng")
