@@ -7,6 +7,8 @@ import io
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,17 +50,40 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/finweave/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Folders that ``staged`` wrote, by open scope.
+_scopes: list[list[str]] = []
+
+
+def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Writes a table that several later steps read to the shared folder, and reads it back.
 
     So it survives lost executors and keeps later plans small.
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    for scope in _scopes:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Hadoop's file system, whatever the store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what ``staged`` wrote inside, but for the last table, the result."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop()[:-1]:
+            delete_folder(spark, path)
+
+
 def canonical_json(value: object) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
