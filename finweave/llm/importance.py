@@ -22,7 +22,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from math import floor, log
+from math import ceil, floor, log
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ from finweave.llm.mixing import copies_of, row_digest
 
 BUCKETS = 10_000
 MAX_WORDS, MIN_WORDS, PERCENT, SEED, SCALE = 1, 20, 10, 2024, 1000
+#: Vectors that one merge gets, about.
+MERGED = 16
 #: Distinct features that a worker remembers the buckets of.
 REMEMBERED = 500_000
 
@@ -107,9 +109,11 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, max_words: int = MAX_
     """Counts of all features of ``docs`` (text) by bucket, and the number of documents with at least ``min_words`` words."""
     with small_batches(docs.sparkSession):
         rows = docs.select(clean_text().alias("text")).mapInArrow(lambda it: count_batches(it, buckets, max_words, min_words), "counts binary").rdd
-        if not rows.getNumPartitions():
+        if not (tasks := rows.getNumPartitions()):
             return np.zeros(buckets, np.int64), 0
-        total = rows.map(lambda row: np.frombuffer(row[0], "<i8")).treeReduce(np.add)
+        # So deep that a merge, the driver's too, gets few vectors however many tasks there are.
+        depth = max(2, ceil(log(tasks, MERGED)))
+        total = rows.map(lambda row: np.frombuffer(row[0], "<i8")).treeReduce(np.add, depth)
     return total[:-1], int(total[-1])
 
 
