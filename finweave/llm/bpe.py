@@ -38,8 +38,8 @@ MARKS = string.punctuation.replace("'", "")
 #: Fixed value: how a tokenizer with word ends splits; no alternative takes white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-#: Letters below are in composed form, and their lower case is one letter where ``str.lower`` says so.
-PLAIN_LETTERS = "\u0250"
+#: Latin letters that are in composed form and have one letter of one case as lower case (not so the capital I with a dot).
+PLAIN_WORD = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f]+$"
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -194,26 +194,37 @@ class BpeEncoder:
         index[first] = len(dictionary) + which
         return _put_together(values, index, offsets)
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _words(self, words: pa.Array) -> list[bytes]:
         """Ids of words without white space.  Letters, then marks, is two pieces, whose ids are remembered apart and in lower case."""
-        parts = []
-        for word in words:
-            stem = word.rstrip(MARKS)
-            lower = stem.lower()
-            if stem.isalpha() and max(stem) < PLAIN_LETTERS and lower.isalpha():
-                parts.append((lower, word[len(stem) :]))
-            else:
-                parts.append((word, ""))
+        stems = pc.utf8_rtrim(words, characters=MARKS)
+        plain = pc.match_substring_regex(stems, PLAIN_WORD)
+        parts = pc.if_else(plain, pc.utf8_lower(stems), words).dictionary_encode()
         if len(self.cache) > CACHE_CHUNKS:
             self.before, self.cache = self.cache, {}
         cache, before = self.cache, self.before
-        cache[""] = b""
-        for key in {p for pair in parts for p in pair if p not in cache and p in before}:
-            cache[key] = before[key]
-        missed = list(dict.fromkeys(p for pair in parts for p in pair if p not in cache))
-        for key, found in zip(missed, self.tokenizer.encode_batch_fast(missed, add_special_tokens=False)):
-            cache[key] = array("I", found.ids).tobytes()
-        return [cache[stem] + cache[tail] if tail else cache[stem] for stem, tail in parts]
+        names = parts.dictionary.to_pylist()
+        ids = list(map(cache.get, names))
+        is_plain = np.zeros(len(names), bool)
+        index = parts.indices.to_numpy(zero_copy_only=False)
+        is_plain[index[plain.to_numpy(zero_copy_only=False)]] = True
+        whole = []
+        for i, found in enumerate(ids):
+            if found is None:
+                if (found := before.get(names[i])) is None:
+                    if not is_plain[i]:
+                        whole.append(i)
+                        continue
+                    # One piece, which is normalised already.
+                    found = self._piece(names[i])
+                cache[names[i]] = ids[i] = found
+        for i, found in zip(whole, self.tokenizer.encode_batch_fast([names[i] for i in whole], add_special_tokens=False)):
+            cache[names[i]] = ids[i] = array("I", found.ids).tobytes()
+        values = [ids[i] for i in index.tolist()]
+        more = pc.and_(plain, pc.not_equal(pc.binary_length(stems), pc.binary_length(words)))
+        at = np.flatnonzero(more.to_numpy(zero_copy_only=False))
+        for i, word, stem in zip(at.tolist(), words.take(pa.array(at)).to_pylist(), stems.take(pa.array(at)).to_pylist()):
+            values[i] += self._tail(word[len(stem) :])
+        return values
 
     def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):
@@ -221,7 +232,7 @@ class BpeEncoder:
         lists = pc.ascii_split_whitespace(texts)
         encoded = lists.values.dictionary_encode()
         index = np.asarray(encoded.indices.to_numpy(zero_copy_only=False), dtype=np.int64)
-        return _put_together(self._words(encoded.dictionary.to_pylist()), index, np.asarray(lists.offsets, dtype=np.int64))
+        return _put_together(self._words(encoded.dictionary), index, np.asarray(lists.offsets, dtype=np.int64))
 
     def count(self, texts: pa.Array) -> np.ndarray:
         return np.diff(self.encode(texts)[1])
