@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finweave.operators import lexical
+from finweave.operators import dense, lexical
 from finweave.queries import VIEWS, on_tables, table, view
 from finweave.sources.tables import staged, staging
 
@@ -69,3 +69,45 @@ def table_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     with staging(spark):
         index = lexical.build_index(rows, key="table_id", facets=("company_code",))
         return staged(lexical.search(index, asked), "table-top")
+
+
+#: Cosines of every vector that is asked with every vector, in millionths.
+COSINES = """
+WITH units AS (
+  SELECT vec_id AS id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+), scored AS (
+  SELECT q.id AS query_id, r.id, round(list_inner_product(q.u, r.u) * 1000000)::BIGINT AS score FROM units q, units r WHERE q.id % 50 = 0
+)
+SELECT query_id, place::INTEGER AS place, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM scored) WHERE place <= 30
+"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as queries those whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return rows, rows.where(F.col("id") % 50 == 0).withColumnRenamed("id", "query_id")
+
+
+@on_tables("dense_top30_exact", COSINES)
+def dense_top30_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 30 nearest of all vectors."""
+    rows, queries = _vectors(spark, sf_dir)
+    with staging(spark):
+        return staged(dense.search_exactly(dense.build_index(rows), queries), "dense-exact")
+
+
+@on_tables("dense_top30")
+def dense_top30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 30 nearest vectors by the index; which cells are looked at is not what SQL states."""
+    rows, queries = _vectors(spark, sf_dir)
+    with staging(spark):
+        return staged(dense.search(dense.build_index(rows), queries), "dense-top")
+
+
+@on_tables("dense_recall")
+def dense_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the 30 nearest vectors the index finds."""
+    rows, queries = _vectors(spark, sf_dir)
+    with staging(spark):
+        index = dense.build_index(rows)
+        return staged(dense.recall(staged(dense.search(index, queries), "dense-top"), staged(dense.search_exactly(index, queries), "dense-exact")), "dense-recall")
