@@ -6,8 +6,10 @@ beside them, so that a vector that very many rows share costs one row in every s
 Index: centroids of the coarse cells, and a codebook of ``CODES`` values for each of the pieces that the residual
 (vector less centroid) is cut into, are fitted by Lloyd's rounds on a sample of ``SAMPLE`` vectors by a digest, an
 upper bound that is a parameter; every vector of the table gets its nearest cell and its codes.
-Search: each query looks at its ``PROBE`` nearest cells, scores their vectors by lookup of the codes, keeps the best
-``KEEP * k``, and these are scored again by the whole vectors.
+How many cells a search looks at is settled on the sample: so many that these hold the share ``AIM`` of the ``TOP``
+nearest vectors of ``TRIED`` of them (few where the table has clusters, most where its vectors lie evenly).
+Search: each query scores the vectors of its nearest cells by lookup of the codes, keeps the best ``KEEP * k``, and these
+are scored again by the whole vectors.
 
 Cells may be of any size: a cell's rows and the queries that look at it are dealt by (cell, part of the rows,
 part of the queries) into groups with a bound on both sides, and every group keeps its best alone.  The exact search
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 
 from finweave.sources.tables import staged
 
-SAMPLE, CELLS, PROBE, CODES, PIECE, KEEP, ROUNDS = 20_000, 64, 12, 256, 4, 8, 12
+SAMPLE, CELLS, CODES, PIECE, KEEP, ROUNDS = 20_000, 64, 256, 4, 16, 12
+#: Share of the nearest vectors whose cells a search looks at, on the sample; vectors of the sample that are asked for this.
+AIM, TRIED = 0.97, 400
 #: Rows and queries of a group that are compared at once.
 ROWS, QUERIES = 4096, 1024
 UNIT, TOP = 1e6, 30
@@ -54,6 +58,7 @@ class DenseIndex:
     vectors: DataFrame
     ids: DataFrame
     book: Codebook
+    probe: int
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -99,6 +104,16 @@ def fit(sample: np.ndarray, cells: int = CELLS, piece: int = PIECE, rounds: int
     return Codebook(centroids, np.stack([np.concatenate([b, np.repeat(b[:1], CODES - len(b), 0)]) for b in books]))
 
 
+def cells_to_probe(sample: np.ndarray, book: Codebook, k: int = TOP) -> int:
+    """Nearest cells that hold the share ``AIM`` of the ``k`` nearest vectors, in the sample."""
+    some = sample[:: max(1, len(sample) // TRIED)]
+    near = np.argsort(-(some @ sample.T), axis=1)[:, :k]
+    order = np.argsort((book.centroids**2).sum(1) - 2 * some @ book.centroids.T, axis=1)
+    place = np.argsort(order, axis=1)
+    needed = np.take_along_axis(place, nearest_of(sample, book.centroids)[near], 1)
+    return int(np.quantile(needed, AIM, method="higher")) + 1
+
+
 def encode(vectors: np.ndarray, book: Codebook) -> tuple[np.ndarray, np.ndarray]:
     """Cell and codes of every vector."""
     cell = nearest_of(vectors, book.centroids)
@@ -127,10 +142,11 @@ def build_index(df: DataFrame, key: str = "id", vector: str = "vector", sample:
     picked = some.orderBy(F.xxhash64("vec", F.lit(1))).limit(sample).select("vector").toArrow()
     if not picked.num_rows:
         empty = Codebook(np.zeros((1, 1)), np.zeros((1, CODES, 1)))
-        return DenseIndex(vectors.select("vec", F.lit(0).alias("cell"), F.lit(b"").alias("codes")).where("false"), vectors, rows.select("vec", "id"), empty)
-    book = fit(_matrix(picked.column("vector"), picked.num_rows), cells)
+        return DenseIndex(vectors.select("vec", F.lit(0).alias("cell"), F.lit(b"").alias("codes")).where("false"), vectors, rows.select("vec", "id"), empty, 1)
+    points = _matrix(picked.column("vector"), picked.num_rows)
+    book = fit(points, cells)
     coded = vectors.select("vec", "vector").mapInArrow(lambda it: _encode_batches(it, book), "vec long, cell int, codes binary")
-    return DenseIndex(staged(coded, "dense-codes"), vectors, staged(rows.select("vec", "id").distinct(), "dense-ids"), book)
+    return DenseIndex(staged(coded, "dense-codes"), vectors, staged(rows.select("vec", "id").distinct(), "dense-ids"), book, cells_to_probe(points, book))
 
 
 def _parts(rows: DataFrame, by: list[str], most: int, name: str) -> DataFrame:
@@ -216,8 +232,9 @@ def _cut(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("place") <= k)
 
 
-def search(index: DenseIndex, queries: DataFrame, k: int = TOP, key: str = "query_id", vector: str = "vector", probe: int = PROBE, keep: int = KEEP) -> DataFrame:
+def search(index: DenseIndex, queries: DataFrame, k: int = TOP, key: str = "query_id", vector: str = "vector", probe: int | None = None, keep: int = KEEP) -> DataFrame:
     """query_id, place, id, score: the best ``k`` among the candidates of the index, by their whole vectors."""
+    probe = probe or index.probe
     vectors, asked = _asked(index, queries, key, vector)
     vectors = staged(vectors, "dense-asked")
     book = index.book

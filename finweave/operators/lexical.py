@@ -1,16 +1,20 @@
 """Lexical retrieval: an inverted index as tables, and exact top-k by bounds of blocks.
 
-The index has three tables.  ``postings`` (term, facets, block, row number, id, times, length) is dealt by a
-hash of the term, hot terms further by block, and sorted, so a term's postings stand together.  ``blocks``
-has, for each term and block of up to ``BLOCK`` documents of equal facets, the most that the term can add to a
-document of the block, but for the term's own weight.  ``terms`` has document frequencies.  Facets are the columns
-that a query may filter by; a block never mixes them, so a filter rules out whole blocks.
+The index is built without a shuffle of postings: every task writes the postings (term, facets, row number, id,
+times, length) of its documents sorted by term, in folders by a hash of the term, so a search reads the folders of
+its terms.  ``terms`` has document frequencies.  ``blocks`` has, for each term that more than ``FREQUENT`` documents
+have and each block of up to ``2**BLOCK`` neighbouring documents of equal facets, the most that the term can add to a
+document of the block, but for the term's own weight.  Facets are the columns that a query may filter by; a block never
+mixes them, so a filter rules out whole blocks.
 
 A score is a sum of BM25 parts, each rounded down to a millionth, so it is a whole number and does not depend on
-the order of the sum.  A search sums the blocks' bounds by query, scores the documents of each query's
-``SEEDS`` best blocks, and takes the k-th best score as a threshold: no block with a lower bound can
-hold a better document.  The blocks that are left are scored in full.  The result equals scoring every document;
-no text is read at query time, and postings of ruled-out blocks take no part in the sums.
+the order of the sum.  A search bounds every block from above (frequent terms by ``blocks``, rare ones by their few
+postings), scores each query's ``SEEDS`` best blocks, and takes the k-th best score as a threshold: no block with a lower
+bound can hold a better document.  The blocks that are left are scored in full.  The result equals scoring every
+document; no text is read at query time.
+
+The asked terms, and the blocks that are left, are broadcast while they are at most ``SENT`` rows, which is counted
+first, so that only sums by document are shuffled; beyond that the joins shuffle.
 
 Edge cases: null and empty texts have no terms and are never found (they count as documents); a query
 without known terms, or whose filter fits nothing, has no rows; a null facet of a query does not filter; rows that share an id are found
@@ -30,7 +34,9 @@ from finweave.sources.tables import staged
 WORD = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
 #: A score's unit, documents of a block as a power of two, blocks that give a query's threshold, folders of the postings.
-UNIT, BLOCK, SEEDS, SHARDS = 1e6, 7, 8, 64
+UNIT, BLOCK, SEEDS, SHARDS = 1e6, 7, 8, 16
+#: Documents of a term that has block bounds, at least; rows that are broadcast, at most.
+FREQUENT, SENT = 2**BLOCK, 500_000
 TOP = 30
 
 
@@ -63,19 +69,24 @@ def _saturation(times: Column, length: Column, mean_length: float) -> Column:
     return times * F.lit(K1 + 1) / (times + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.lit(mean_length)))
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """``df`` (written) as the side that is broadcast, while it is small enough; otherwise as it is."""
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", facets: tuple[str, ...] = ()) -> LexicalIndex:
-    """Index of ``docs`` in the shared folder; one pass over the texts and one shuffle, of (term, document) counts."""
+    """Index of ``docs`` in the shared folder; one pass over the texts."""
     rows = docs.select(F.monotonically_increasing_id().alias("n"), F.col(key).alias("id"), *facets, term_counts(F.col(text)).alias("counts"))
-    rows = rows.withColumn("length", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x["times"]))
-    postings = rows.select("n", "id", *facets, "length", F.inline("counts")).withColumns({"shard": _shard(F.col("term")), "block": F.shiftright("n", BLOCK)})
-    # A term that every document has is dealt by block as well.
-    dealt = postings.repartition("shard", F.pmod(F.hash("block"), F.lit(SHARDS))).sortWithinPartitions("shard", "term", *facets, "block", "n")
-    postings = staged(dealt.select("term", *facets, "block", "n", "id", "times", "length", "shard"), "lexical-postings", ("shard",))
+    rows = rows.withColumn("length", F.aggregate("counts", F.lit(0), lambda s, x: s + x["times"]))
+    postings = rows.select("n", "id", *facets, "length", F.inline("counts")).withColumn("shard", _shard(F.col("term"))).sortWithinPartitions("shard", "term", "n")
+    postings = staged(postings.select("term", *facets, "n", "id", "times", "length", "shard"), "lexical-postings", ("shard",))
     n_docs, total = docs.count(), postings.agg(F.sum("times")).first()[0] or 0
-    mean = total / n_docs if n_docs else 0.0
-    of_terms = postings.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("n_docs"))
-    of_blocks = postings.groupBy("shard", "term", *facets, "block").agg(F.max(_saturation(F.col("times"), F.col("length"), mean or 1.0)).alias("most"))
-    return LexicalIndex(postings, staged(of_blocks, "lexical-blocks", ("shard",)), staged(of_terms, "lexical-terms", ("shard",)), tuple(facets), n_docs, mean or 1.0)
+    mean = total / n_docs if total else 1.0
+    terms = staged(postings.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("n_docs")), "lexical-terms", ("shard",))
+    frequent = _sent(staged(terms.where(F.col("n_docs") > FREQUENT).select("shard", "term"), "lexical-frequent"))
+    most = F.max(_saturation(F.col("times"), F.col("length"), mean)).alias("most")
+    blocks = postings.join(frequent, ["shard", "term"]).groupBy("shard", "term", *facets, F.shiftright("n", BLOCK).alias("block")).agg(most)
+    return LexicalIndex(postings, staged(blocks, "lexical-blocks", ("shard",)), terms, tuple(facets), n_docs, mean)
 
 
 def _part(idf: Column, saturation: Column) -> Column:
@@ -83,35 +94,47 @@ def _part(idf: Column, saturation: Column) -> Column:
 
 
 def query_terms(index: LexicalIndex, queries: DataFrame, key: str, text: str) -> DataFrame:
-    """q, query_id, filters, shard, term, times, idf of the known terms of every query."""
+    """q, query_id, filters, shard, term, asked (times), idf, n_docs of the known terms of every query."""
     filters = [F.col(c).alias(f"f_{c}") if c in queries.columns else F.lit(None).cast("string").alias(f"f_{c}") for c in index.facets]
     rows = queries.select(F.monotonically_increasing_id().alias("q"), F.col(key).alias("query_id"), *filters, term_counts(F.col(text)).alias("counts"))
     # The number is made before the terms, in a step of its own.
-    rows = rows.select("q", "query_id", *[f"f_{c}" for c in index.facets], F.inline("counts"))
+    rows = rows.select("q", "query_id", *[f"f_{c}" for c in index.facets], F.inline("counts")).withColumnRenamed("times", "asked")
     rows = staged(rows.withColumn("shard", _shard(F.col("term"))), "lexical-query")
     idf = F.log(F.lit(1.0) + (F.lit(float(index.n_docs)) - F.col("n_docs") + F.lit(0.5)) / (F.col("n_docs") + F.lit(0.5)))
-    return staged(rows.join(index.terms, ["shard", "term"]).withColumn("idf", idf).drop("n_docs"), "lexical-terms-asked")
+    known = index.terms.join(_sent(rows), ["shard", "term"]).withColumn("idf", idf)
+    return staged(known.select("q", "query_id", *[f"f_{c}" for c in index.facets], "shard", "term", "asked", "idf", "n_docs"), "lexical-asked")
 
 
-def block_bounds(index: LexicalIndex, asked: DataFrame) -> DataFrame:
-    """q, facets, block, bound: no document of the block scores more for the query."""
+def _met(index: LexicalIndex, rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of an index table with the queries that ask for their term and whose filter they fit."""
     fits = F.lit(True)
     for c in index.facets:
         fits = fits & (F.col(f"f_{c}").isNull() | (F.col(f"f_{c}") == F.col(c)))
-    met = index.blocks.join(asked, ["shard", "term"]).where(fits)
-    return met.groupBy("q", *index.facets, "block").agg(F.sum(_part(F.col("idf"), F.col("most")) * F.col("times")).alias("bound"))
+    return rows.join(_sent(asked), ["shard", "term"]).where(fits)
 
 
-def score_blocks(index: LexicalIndex, asked: DataFrame, wanted: DataFrame) -> DataFrame:
-    """q, query_id, n, id, score of every document of the wanted (q, facets, block) that has a term of the query."""
-    same = [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in ("block", *index.facets)]
-    each = wanted.select("q", *[F.col(c).alias(f"w_{c}") for c in ("block", *index.facets)]).join(asked.select("q", "query_id", "shard", "term", F.col("times").alias("asked"), "idf"), "q")
-    each = each.withColumnsRenamed({"shard": "w_shard", "term": "w_term"})
-    on = (F.col("shard") == F.col("w_shard")) & (F.col("term") == F.col("w_term"))
-    for c in same:
-        on = on & c
+def _scores(index: LexicalIndex, met: DataFrame) -> DataFrame:
     part = _part(F.col("idf"), _saturation(F.col("times"), F.col("length"), index.mean_length)) * F.col("asked")
-    return index.postings.join(each, on).groupBy("q", "query_id", "n", "id").agg(F.sum(part).alias("score"))
+    return met.groupBy("q", "query_id", *index.facets, "n", "id").agg(F.sum(part).alias("score"))
+
+
+def block_bounds(index: LexicalIndex, asked: DataFrame) -> DataFrame:
+    """q, facets, block, bound: no document of the block scores more for the query."""
+    by = ["q", *index.facets, "block"]
+    frequent = _met(index, index.blocks, asked.where(F.col("n_docs") > FREQUENT)).select(*by, (_part(F.col("idf"), F.col("most")) * F.col("asked")).alias("bound"))
+    rare = _scores(index, _met(index, index.postings, asked.where(F.col("n_docs") <= FREQUENT))).withColumn("block", F.shiftright("n", BLOCK))
+    rare = rare.groupBy(*by).agg(F.max("score").alias("bound"))
+    return frequent.unionByName(rare).groupBy(*by).agg(F.sum("bound").alias("bound"))
+
+
+def score_blocks(index: LexicalIndex, asked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """q, query_id, facets, n, id, score of every document of the wanted (q, facets, block) that has a term of the query."""
+    met = _met(index, index.postings, asked)
+    w = wanted.select("q", *[F.col(c).alias(f"w_{c}") for c in ("block", *index.facets)]).withColumnRenamed("q", "w_q")
+    on = (F.col("q") == F.col("w_q")) & (F.shiftright("n", BLOCK) == F.col("w_block"))
+    for c in index.facets:
+        on = on & F.col(c).eqNullSafe(F.col(f"w_{c}"))
+    return _scores(index, met.join(_sent(w), on, "left_semi"))
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
