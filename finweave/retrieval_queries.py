@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from finweave.operators import dense, lexical
+from finweave.operators import dense, graph, lexical, ranking
 from finweave.queries import VIEWS, on_tables, table, view
 from finweave.sources.tables import staged, staging
 
@@ -111,3 +111,99 @@ def dense_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     with staging(spark):
         index = dense.build_index(rows)
         return staged(dense.recall(staged(dense.search(index, queries), "dense-top"), staged(dense.search_exactly(index, queries), "dense-exact")), "dense-recall")
+
+
+#: Three rankings of each nation's customers: by balance, by orders, by what they ordered for; the last only of those with more than one order.
+RANKINGS = """
+WITH per AS (
+  SELECT c_custkey AS id, c_nationkey AS query_id, c_acctbal AS balance, count(o_orderkey) AS n, coalesce(sum(CAST(round(o_totalprice * 100) AS BIGINT)), 0) AS cents, c_mktsegment AS segment
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_nationkey, c_acctbal, c_mktsegment
+)"""
+FUSED = f"""{RANKINGS}
+, lists AS (
+  SELECT query_id, id, 0 AS l, row_number() OVER (PARTITION BY query_id ORDER BY balance DESC, id) AS place FROM per
+  UNION ALL SELECT query_id, id, 1, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, id) FROM per WHERE n > 0
+  UNION ALL SELECT query_id, id, 2, row_number() OVER (PARTITION BY query_id ORDER BY cents DESC, id) FROM per WHERE n > 1
+), fused AS (
+  SELECT query_id, id, sum(CASE l WHEN 2 THEN 2000000000 ELSE 1000000000 END // (60 + place))::BIGINT AS score, max(place) FILTER (l = 0)::INTEGER AS place_balance,
+    max(place) FILTER (l = 1)::INTEGER AS place_orders, max(place) FILTER (l = 2)::INTEGER AS place_spent FROM lists WHERE place <= 30 GROUP BY query_id, id
+), placed AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS place, id, score, place_balance, place_orders, place_spent FROM fused
+)"""
+
+
+def _rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("query_id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    return rows.join(orders, "id", "left").fillna(0, ["n", "cents"])
+
+
+def _fused(per: DataFrame) -> DataFrame:
+    best = lambda rows, c: ranking.in_places(rows, c).where(F.col("place") <= 30)
+    lists = {"balance": best(per, "balance"), "orders": best(per.where("n > 0"), "n"), "spent": best(per.where("n > 1"), "cents")}
+    return ranking.fuse(lists, weights={"spent": 2})
+
+
+@on_tables("rank_fusion", f"{FUSED} SELECT * FROM placed WHERE place <= 30")
+def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rankings with missing members as one."""
+    return _fused(_rankings(spark, sf_dir))
+
+
+#: Of a nation, customers of the building segment are relevant; some nations have a second segment, and every seventh has none.
+JUDGED = "SELECT query_id, id FROM per WHERE query_id % 7 <> 3 AND (segment = 'BUILDING' OR segment = 'MACHINERY' AND query_id % 2 = 0)"
+PER_CUT = ", ".join(f"count(*) FILTER (place <= {k})::DOUBLE AS h{k}" for k in ranking.CUTS)
+MEASURED = ", ".join(
+    f"round(avg(CASE WHEN rel > 0 THEN coalesce(h{k}, 0) / {k}.0::DOUBLE END), 6) AS precision_{k}, round(avg(CASE WHEN rel > 0 THEN h{k} / rel END), 6) AS recall_{k}, "
+    f"round(avg(CASE WHEN rel > 0 THEN CASE WHEN h{k} = 0 THEN 0.0::DOUBLE ELSE 5 * (h{k} / {k}) * (h{k} / rel) / (4 * (h{k} / {k}) + h{k} / rel) END END), 6) AS f2_{k}"
+    for k in ranking.CUTS
+)
+
+
+@on_tables("ranking_measures", f"{FUSED}, judged AS ({JUDGED}), hits AS (SELECT judged.query_id, count(*)::DOUBLE AS rel, min(place) AS first, {PER_CUT} FROM judged LEFT JOIN (SELECT * FROM placed WHERE place <= 30) p USING (query_id, id) GROUP BY 1) SELECT n_regionkey AS intent, count(*) AS n_queries, count(*) FILTER (rel IS NULL) AS n_unjudged, round(avg(CASE WHEN rel > 0 THEN coalesce(1.0::DOUBLE / first, 0) END), 6) AS mrr, {MEASURED} FROM (SELECT DISTINCT query_id FROM per) q JOIN nation ON n_nationkey = q.query_id LEFT JOIN hits USING (query_id) GROUP BY 1")
+def ranking_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of the fused lists against judgements, by region."""
+    per = _rankings(spark, sf_dir)
+    q, segment = F.col("query_id"), F.col("segment")
+    judged = per.select("query_id", "id", ((q % 7 != 3) & ((segment == "BUILDING") | ((segment == "MACHINERY") & (q % 2 == 0)))).alias("relevant"))
+    rows = ranking.query_measures(_fused(per), judged)
+    intents = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.col("n_regionkey").alias("intent"))
+    return ranking.measures(rows.join(intents, "query_id"), by=("intent",))
+
+
+#: Paths of at most one edge, each written out.
+SHARES = ", ".join(f"('{k}', {i}, {s})" for i, (k, s) in enumerate(graph.KINDS.items()))
+EXPANDED = f"""WITH docs AS ({VIEWS['docs']}), tabs AS ({VIEWS['tabs']}), cels AS ({VIEWS['cels']}), nodes AS (
+  SELECT table_id, doc_id, company_code, report_year, statement_type, row_count FROM tabs JOIN docs USING (doc_id)
+), seeds AS (
+  SELECT company_code AS query_id, table_id AS seed, 1000 + row_count AS score FROM nodes
+  QUALIFY row_number() OVER (PARTITION BY company_code ORDER BY row_count DESC, table_id) <= 4
+), metrics AS (SELECT DISTINCT table_id, row_label_raw AS metric FROM cels WHERE row_label_raw IS NOT NULL), linked AS (
+  SELECT 'same_company' AS kind, a.company_code AS key, a.table_id AS seed, b.table_id FROM nodes a JOIN nodes b USING (company_code)
+  UNION ALL SELECT 'same_period', a.report_year::VARCHAR, a.table_id, b.table_id FROM nodes a JOIN nodes b USING (report_year) WHERE a.table_id IN (SELECT seed FROM seeds)
+  UNION ALL SELECT 'same_statement_type', a.statement_type, a.table_id, b.table_id FROM nodes a JOIN nodes b USING (statement_type) WHERE a.table_id IN (SELECT seed FROM seeds)
+  UNION ALL SELECT 'adjacent_period', concat(b.company_code, '|', b.report_year), a.table_id, b.table_id FROM nodes a JOIN nodes b ON a.company_code = b.company_code AND abs(a.report_year - b.report_year) = 1
+  UNION ALL SELECT 'explained_by_note', a.doc_id, a.table_id, b.table_id FROM nodes a JOIN nodes b USING (doc_id) WHERE b.statement_type = 'cash_flow_statement' AND a.statement_type IS DISTINCT FROM 'cash_flow_statement'
+  UNION ALL SELECT 'shared_metric', a.metric, a.table_id, b.table_id FROM metrics a JOIN metrics b USING (metric) WHERE a.table_id IN (SELECT seed FROM seeds)
+), reached AS (
+  SELECT query_id, table_id, score * share // 100 AS score, kind, key, seed, ord, score AS of_seed FROM seeds JOIN linked USING (seed) JOIN (VALUES {SHARES}) k(kind, ord, share) USING (kind) WHERE table_id <> seed
+), best AS (
+  SELECT query_id, table_id, score, kind, key, seed FROM reached WHERE (query_id, table_id) NOT IN (SELECT query_id, seed FROM seeds)
+  QUALIFY row_number() OVER (PARTITION BY query_id, table_id ORDER BY score DESC, ord, of_seed DESC, seed, key) = 1
+  UNION ALL SELECT query_id, seed, score, NULL, NULL, NULL FROM seeds
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, table_id)::INTEGER AS place, table_id, score::BIGINT AS score, kind, key, seed FROM best
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, table_id) <= 6"""
+
+
+@on_tables("graph_expansion", EXPANDED)
+def graph_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each company the four longest tables, and what is one edge away, to the best six."""
+    docs, tabs, cels = (view(spark, sf_dir, v) for v in ("docs", "tabs", "cels"))
+    metrics = cels.groupBy("table_id").agg(F.collect_set("row_label_raw").alias("metrics"))
+    nodes = tabs.join(docs.select("doc_id", "company_code", "report_year"), "doc_id").join(metrics, "table_id", "left")
+    order = Window.partitionBy("company_code").orderBy(F.col("row_count").desc(), "table_id")
+    found = nodes.withColumn("nth", F.row_number().over(order)).where("nth <= 4").select(F.col("company_code").alias("query_id"), "table_id", (F.col("row_count") + 1000).alias("score"))
+    with staging(spark):
+        keys = staged(graph.graph_keys(nodes, notes="cash_flow_statement"), "graph-keys")
+        return staged(graph.expand(keys, found), "graph-top")
