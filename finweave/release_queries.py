@@ -13,12 +13,12 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finweave import streaming
 from finweave.functions import ids, text
 from finweave.operators import extraction, ledger, matching
 from finweave.plans import audit, gate, profile, release
 from finweave.queries import QUERIES, SQL, VIEWS, on_tables, order_reports, query, table
 from finweave.sources import files, snapshot, store, tables
-from finweave.streaming import start_inventory
 
 _written: dict[tuple[str, str, str], str] = {}
 
@@ -85,10 +85,16 @@ def built(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict]
 
 
 # Files.
-@on_tables("file_inventory", f"SELECT path AS relative_path, status, sha AS sha256, CASE WHEN status = 'duplicate' THEN concat('duplicate_of=', primary_path) END AS note, octet_length(encode(body))::BIGINT AS size FROM ({GOOD}) g UNION ALL SELECT path, CASE kind WHEN 3 THEN 'invalid year' WHEN 4 THEN 'path must have four parts' ELSE 'invalid UTF-8' END, CASE WHEN kind <> 7 THEN sha256(body) END, NULL, octet_length(encode(body)) + CASE WHEN kind = 7 THEN 3 ELSE 0 END FROM ({CORPUS}) c WHERE kind IN (3, 4, 7)")
+FILE_INVENTORY = f"SELECT path AS relative_path, status, sha AS sha256, CASE WHEN status = 'duplicate' THEN concat('duplicate_of=', primary_path) END AS note, octet_length(encode(body))::BIGINT AS size FROM ({GOOD}) g UNION ALL SELECT path, CASE kind WHEN 3 THEN 'invalid year' WHEN 4 THEN 'path must have four parts' ELSE 'invalid UTF-8' END, CASE WHEN kind <> 7 THEN sha256(body) END, NULL, octet_length(encode(body)) + CASE WHEN kind = 7 THEN 3 ELSE 0 END FROM ({CORPUS}) c WHERE kind IN (3, 4, 7)"
+
+
+@on_tables("file_inventory", FILE_INVENTORY)
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and issues of the corpus tree."""
-    documents, issues = inventory(spark, sf_dir)
+    return _inventory_rows(*inventory(spark, sf_dir))
+
+
+def _inventory_rows(documents: DataFrame, issues: DataFrame) -> DataFrame:
     good = documents.select("relative_path", F.col("inventory_status").alias("status"), "sha256", F.get("notes", F.lit(0)).alias("note"), F.col("file_size_bytes").alias("size"))
     return good.unionByName(issues.select("relative_path", F.col("reason").alias("status"), F.when(F.col("reason") != "invalid UTF-8", F.col("sha256")).alias("sha256"), F.lit(None).cast("string").alias("note"), F.col("file_size_bytes").alias("size")))
 
@@ -149,13 +155,27 @@ def ticker_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.profile_inventory(spark, corpus(spark, sf_dir)).where("ticker IS NOT NULL AND year IS NOT NULL").select("ticker", "year").dropDuplicates(["ticker", "year"])
 
 
-@on_tables("streamed_inventory", f"SELECT path AS relative_path, CASE kind WHEN 3 THEN 'invalid year' WHEN 4 THEN 'path must have four parts' WHEN 7 THEN 'invalid UTF-8' END AS reason FROM ({CORPUS}) c WHERE kind <> 2")
+@on_tables("streamed_inventory", f"SELECT path AS relative_path, CASE kind WHEN 3 THEN 'invalid year' WHEN 4 THEN 'path must have four parts' WHEN 7 THEN 'invalid UTF-8' END AS reason FROM ({CORPUS}) c")
 def streamed_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus as a stream of files; files without bytes have no split."""
+    """Every file of the corpus and its issue, as a stream merged them."""
+    return streaming.read_manifest_log(spark, streamed(spark, sf_dir)).select("relative_path", "reason")
+
+
+@on_tables("streamed_manifest", FILE_INVENTORY)
+def streamed_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and issues of the manifest that streams of few files left, with duplicates over all of them and files without bytes."""
+    return _inventory_rows(*streaming.streamed_inventory(spark, streamed(spark, sf_dir)))
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> str:
+    """The manifest of two runs of the stream, the first in batches of a third of the files."""
     def write(path: str) -> None:
-        start_inventory(spark, corpus(spark, sf_dir), f"{path}/out", f"{path}/state").awaitTermination()
+        root = corpus(spark, sf_dir)
+        n = table(spark, sf_dir, "supplier").count()
+        streaming.update_inventory(spark, root, f"{path}/manifest", f"{path}/state", most=max(1, n // 3))
+        streaming.update_inventory(spark, root, f"{path}/manifest", f"{path}/state")
 
-    return spark.read.parquet(f"{_once(spark, sf_dir, 'stream', write)}/out").select("relative_path", "reason")
+    return f"{_once(spark, sf_dir, 'stream', write)}/manifest"
 
 
 @on_tables("snapshot_copy", f"SELECT count(*) AS file_count, sum(octet_length(encode(body)) + CASE WHEN kind = 7 THEN 3 ELSE 0 END)::BIGINT AS total_bytes, 0::BIGINT AS files_left FROM ({CORPUS}) c WHERE kind <> 1")

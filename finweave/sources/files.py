@@ -1,7 +1,8 @@
 """The corpus tree as rows: inventory, first-seen duplicates, verified texts.
 
 ``binaryFile`` reads files where they are; only columns that a step uses are read, so listings do
-not touch contents.  Spark's own index of the tree is the only list of files that the driver holds.
+not touch contents.  Listings are made by tasks, folder by folder, where Arrow opens the store; elsewhere Spark's own
+index of the tree is the only list of files that the driver holds.
 """
 
 from __future__ import annotations
@@ -38,15 +39,55 @@ def _decoded(path: Column) -> Column:
     return F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
+def _arrow_uri(root: str) -> str | None:
+    """The root as a URI that Arrow opens, or null for other stores."""
+    uri = root if "://" in root else f"file://{os.path.abspath(root.removeprefix('file:'))}"
+    try:
+        pyarrow.fs.FileSystem.from_uri(quote(uri, safe="/:@%+"))
+    except (pa.ArrowInvalid, OSError):
+        return None
+    return uri.rstrip("/")
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path) of folders to what stands in them: path, is_folder, length, modificationTime."""
+    for batch in batches:
+        for uri in batch.column("path").to_pylist():
+            fs, inner = pyarrow.fs.FileSystem.from_uri(uri)
+            found = [f for f in fs.get_file_info(pyarrow.fs.FileSelector(inner)) if f.type in (pyarrow.fs.FileType.File, pyarrow.fs.FileType.Directory)]
+            paths = [f"{uri}/{quote(f.base_name)}" for f in found]
+            folders = [f.type == pyarrow.fs.FileType.Directory for f in found]
+            times = [None if d else f.mtime for f, d in zip(found, folders)]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(folders, pa.bool_()), pa.array([f.size or 0 for f in found], pa.int64()), pa.array(times, pa.timestamp("us", "UTC"))], names=["path", "is_folder", "length", "modificationTime"])
+
+
+def walk(spark: SparkSession, uri: str) -> DataFrame:
+    """path (a URI), length, modificationTime of all files below a folder: tasks list its folders, level by level; no name comes to the driver."""
+    level = spark.createDataFrame([(quote(uri, safe="/:@%+"),)], "path string")
+    files = None
+    while True:
+        found = level.repartition("path").mapInArrow(_list_folders, "path string, is_folder boolean, length long, modificationTime timestamp")
+        found = staged(found, "listed")
+        here = found.where("NOT is_folder").drop("is_folder")
+        files = here if files is None else files.unionByName(here)
+        level = found.where("is_folder").select("path")
+        if level.isEmpty():
+            return files
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """path (a URI), relative_path, length, modificationTime of every .txt below ``root``, any case of the suffix.
 
-    Spark's readers leave files without bytes out of their splits; these are what the index has besides.
+    In stores that Arrow does not open, Spark's index is the list; its readers leave files without bytes out of their
+    splits, and these are what the index has besides.
     """
+    key = lambda c: relative(_decoded(F.col(c)), root)
+    if (uri := _arrow_uri(root)) is not None:
+        found = walk(spark, uri).where(F.lower("path").endswith(".txt"))
+        return found.select("path", relative(_decoded(F.col("path")), uri).alias("relative_path"), "length", "modificationTime")
     files = _text_files(spark, root)
     seen = files.where("length > 0").select("path", "length", "modificationTime")
     every = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")
-    key = lambda c: relative(_decoded(F.col(c)), root)
     listed = every.select("path", key("path").alias("relative_path"))
     sized = seen.select(key("path").alias("relative_path"), "length", "modificationTime")
     return listed.join(sized, "relative_path", "left").withColumn("length", F.coalesce("length", F.lit(0).cast("long")))
@@ -61,9 +102,7 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """relative_path, length, content, read_issue of every .txt; where a store is known to Arrow, a file that cannot be read is an issue."""
-    try:
-        pyarrow.fs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
-    except (pa.ArrowInvalid, OSError):
+    if _arrow_uri(root) is None:
         return scan_files(spark, root).withColumn("read_issue", F.lit(None).cast("string"))
     listed = list_files(spark, root).select("path", "relative_path")
     read = read_listed(listed, "relative_path")
