@@ -1,20 +1,19 @@
-"""Lexical retrieval: an inverted index as tables, and exact top-k by bounds of blocks.
+"""Lexical retrieval: an inverted index as tables, and exact top-k with most postings left out.
 
 The index is built without a shuffle of postings: every task writes the postings (term, facets, row number, id,
 times, length) of its documents sorted by term, in folders by a hash of the term, so a search reads the folders of
-its terms.  ``terms`` has document frequencies.  ``blocks`` has, for each term that more than ``FREQUENT`` documents
-have and each block of up to ``2**BLOCK`` neighbouring documents of equal facets, the most that the term can add to a
-document of the block, but for the term's own weight.  Facets are the columns that a query may filter by; a block never
-mixes them, so a filter rules out whole blocks.
+its terms.  ``terms`` has each term's document frequency and the most that it can add to any document, but for its own
+weight.  Facets are the columns that a query may filter by.
 
 A score is a sum of BM25 parts, each rounded down to a millionth, so it is a whole number and does not depend on
-the order of the sum.  A search bounds every block from above (frequent terms by ``blocks``, rare ones by their few
-postings), scores each query's ``SEEDS`` best blocks, and takes the k-th best score as a threshold: no block with a lower
-bound can hold a better document.  The blocks that are left are scored in full.  The result equals scoring every
-document; no text is read at query time.
+the order of the sum.  A search goes from rare terms to frequent ones.  Sums over a query's rarest terms give a threshold: the
+k-th best of them is a lower bound of the k-th best score.  Terms whose bounds together stay below it cannot bring a document in by
+themselves, and these are the frequent ones; so only the postings of the others make candidates.  With their sums the threshold
+rises, and candidates that the left-out terms' bounds cannot lift to it fall.  What is left gets its parts of
+the frequent terms.  The result equals scoring every document; no text is read at query time.
 
-The asked terms, and the blocks that are left, are broadcast while they are at most ``SENT`` rows, which is counted
-first, so that only sums by document are shuffled; beyond that the joins shuffle.
+The asked terms and the candidates are broadcast while they are at most ``SENT`` rows, which is counted first; beyond that the
+joins shuffle.
 
 Edge cases: null and empty texts have no terms and are never found (they count as documents); a query
 without known terms, or whose filter fits nothing, has no rows; a null facet of a query does not filter; rows that share an id are found
@@ -33,10 +32,10 @@ from finweave.sources.tables import staged
 
 WORD = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
-#: A score's unit, documents of a block as a power of two, blocks that give a query's threshold, folders of the postings.
-UNIT, BLOCK, SEEDS, SHARDS = 1e6, 7, 8, 16
-#: Documents of a term that has block bounds, at least; rows that are broadcast, at most.
-FREQUENT, SENT = 2**BLOCK, 500_000
+#: A score's unit, postings that give a query's first threshold, folders of the postings.
+UNIT, SEEDS, SHARDS = 1e6, 20_000, 16
+#: Rows that are broadcast, at most.
+SENT = 500_000
 TOP = 30
 
 
@@ -45,7 +44,6 @@ class LexicalIndex:
     """The tables of an index, its facets, and the corpus's size and mean length."""
 
     postings: DataFrame
-    blocks: DataFrame
     terms: DataFrame
     facets: tuple[str, ...]
     n_docs: int
@@ -82,11 +80,9 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", facets
     postings = staged(postings.select("term", *facets, "n", "id", "times", "length", "shard"), "lexical-postings", ("shard",))
     n_docs, total = docs.count(), postings.agg(F.sum("times")).first()[0] or 0
     mean = total / n_docs if total else 1.0
-    terms = staged(postings.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("n_docs")), "lexical-terms", ("shard",))
-    frequent = _sent(staged(terms.where(F.col("n_docs") > FREQUENT).select("shard", "term"), "lexical-frequent"))
     most = F.max(_saturation(F.col("times"), F.col("length"), mean)).alias("most")
-    blocks = postings.join(frequent, ["shard", "term"]).groupBy("shard", "term", *facets, F.shiftright("n", BLOCK).alias("block")).agg(most)
-    return LexicalIndex(postings, staged(blocks, "lexical-blocks", ("shard",)), terms, tuple(facets), n_docs, mean)
+    terms = staged(postings.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("n_docs"), most), "lexical-terms", ("shard",))
+    return LexicalIndex(postings, terms, tuple(facets), n_docs, mean)
 
 
 def _part(idf: Column, saturation: Column) -> Column:
@@ -94,7 +90,7 @@ def _part(idf: Column, saturation: Column) -> Column:
 
 
 def query_terms(index: LexicalIndex, queries: DataFrame, key: str, text: str) -> DataFrame:
-    """q, query_id, filters, shard, term, asked (times), idf, n_docs of the known terms of every query."""
+    """q, query_id, filters, shard, term, asked (times), idf, n_docs, bound (the most that the term adds) of the known terms of every query."""
     filters = [F.col(c).alias(f"f_{c}") if c in queries.columns else F.lit(None).cast("string").alias(f"f_{c}") for c in index.facets]
     rows = queries.select(F.monotonically_increasing_id().alias("q"), F.col(key).alias("query_id"), *filters, term_counts(F.col(text)).alias("counts"))
     # The number is made before the terms, in a step of its own.
@@ -102,39 +98,21 @@ def query_terms(index: LexicalIndex, queries: DataFrame, key: str, text: str) ->
     rows = staged(rows.withColumn("shard", _shard(F.col("term"))), "lexical-query")
     idf = F.log(F.lit(1.0) + (F.lit(float(index.n_docs)) - F.col("n_docs") + F.lit(0.5)) / (F.col("n_docs") + F.lit(0.5)))
     known = index.terms.join(_sent(rows), ["shard", "term"]).withColumn("idf", idf)
-    return staged(known.select("q", "query_id", *[f"f_{c}" for c in index.facets], "shard", "term", "asked", "idf", "n_docs"), "lexical-asked")
+    bound = (_part(F.col("idf"), F.col("most")) * F.col("asked")).alias("bound")
+    return staged(known.select("q", "query_id", *[f"f_{c}" for c in index.facets], "shard", "term", "asked", "idf", "n_docs", bound), "lexical-asked")
 
 
-def _met(index: LexicalIndex, rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows of an index table with the queries that ask for their term and whose filter they fit."""
+def _parts(index: LexicalIndex, asked: DataFrame) -> DataFrame:
+    """q, query_id, n, id, score: a row for each posting of an asked term in a document that fits the query's filter."""
     fits = F.lit(True)
     for c in index.facets:
         fits = fits & (F.col(f"f_{c}").isNull() | (F.col(f"f_{c}") == F.col(c)))
-    return rows.join(_sent(asked), ["shard", "term"]).where(fits)
-
-
-def _scores(index: LexicalIndex, met: DataFrame) -> DataFrame:
     part = _part(F.col("idf"), _saturation(F.col("times"), F.col("length"), index.mean_length)) * F.col("asked")
-    return met.groupBy("q", "query_id", *index.facets, "n", "id").agg(F.sum(part).alias("score"))
+    return index.postings.join(_sent(asked), ["shard", "term"]).where(fits).select("q", "query_id", "n", "id", part.alias("score"))
 
 
-def block_bounds(index: LexicalIndex, asked: DataFrame) -> DataFrame:
-    """q, facets, block, bound: no document of the block scores more for the query."""
-    by = ["q", *index.facets, "block"]
-    frequent = _met(index, index.blocks, asked.where(F.col("n_docs") > FREQUENT)).select(*by, (_part(F.col("idf"), F.col("most")) * F.col("asked")).alias("bound"))
-    rare = _scores(index, _met(index, index.postings, asked.where(F.col("n_docs") <= FREQUENT))).withColumn("block", F.shiftright("n", BLOCK))
-    rare = rare.groupBy(*by).agg(F.max("score").alias("bound"))
-    return frequent.unionByName(rare).groupBy(*by).agg(F.sum("bound").alias("bound"))
-
-
-def score_blocks(index: LexicalIndex, asked: DataFrame, wanted: DataFrame) -> DataFrame:
-    """q, query_id, facets, n, id, score of every document of the wanted (q, facets, block) that has a term of the query."""
-    met = _met(index, index.postings, asked)
-    w = wanted.select("q", *[F.col(c).alias(f"w_{c}") for c in ("block", *index.facets)]).withColumnRenamed("q", "w_q")
-    on = (F.col("q") == F.col("w_q")) & (F.shiftright("n", BLOCK) == F.col("w_block"))
-    for c in index.facets:
-        on = on & F.col(c).eqNullSafe(F.col(f"w_{c}"))
-    return _scores(index, met.join(_sent(w), on, "left_semi"))
+def _sums(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("q", "query_id", "n", "id").agg(F.sum("score").alias("score"))
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
@@ -143,14 +121,26 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def survivors(index: LexicalIndex, asked: DataFrame, k: int = TOP) -> DataFrame:
-    """q, facets, block of every block that may hold one of a query's best ``k`` documents."""
-    bounds = staged(block_bounds(index, asked), "lexical-bounds")
-    by_bound = Window.partitionBy("q").orderBy(F.col("bound").desc(), *index.facets, "block")
-    seeds = staged(bounds.withColumn("place", F.row_number().over(by_bound)).where(F.col("place") <= SEEDS), "lexical-seeds")
-    least = _best(score_blocks(index, asked, seeds), k).groupBy("q").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("found"))
-    least = staged(least.where(F.col("found") == k).select("q", "least"), "lexical-least")
-    return bounds.join(least, "q", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least"))).select("q", *index.facets, "block")
+def _threshold(sums: DataFrame, k: int) -> DataFrame:
+    """q, least: the k-th best sum, of queries that have as many."""
+    least = _best(sums, k).groupBy("q").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("found"))
+    return least.where(F.col("found") == k).select("q", "least")
+
+
+def candidates(index: LexicalIndex, asked: DataFrame, k: int = TOP) -> tuple[DataFrame, DataFrame]:
+    """Sums (q, query_id, n, id, score) of every document that may be among a query's best ``k``, and the terms that they leave out."""
+    rarest = Window.partitionBy("q").orderBy("n_docs", "term").rowsBetween(Window.unboundedPreceding, -1)
+    first = asked.withColumn("upto", F.coalesce(F.sum("n_docs").over(rarest), F.lit(0))).where(F.col("upto") < SEEDS).drop("upto")
+    least = staged(_threshold(_sums(_parts(index, staged(first, "lexical-rarest"))), k), "lexical-least")
+    weakest = Window.partitionBy("q").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    terms = asked.join(least, "q", "left").withColumn("together", F.sum("bound").over(weakest))
+    terms = staged(terms.withColumn("weak", F.coalesce(F.col("together") < F.col("least"), F.lit(False))).drop("least", "together"), "lexical-weighed")
+    weak = staged(terms.where("weak").drop("weak"), "lexical-weak")
+    sums = staged(_sums(_parts(index, staged(terms.where("NOT weak").drop("weak"), "lexical-strong"))), "lexical-sums")
+    lift = weak.groupBy("q").agg(F.sum("bound").alias("lift"))
+    least = _threshold(sums, k).join(lift, "q", "left").select("q", (F.col("least") - F.coalesce("lift", F.lit(0))).alias("needed"))
+    left = sums.join(staged(least, "lexical-needed"), "q", "left").where(F.col("needed").isNull() | (F.col("score") >= F.col("needed")))
+    return staged(left.drop("needed"), "lexical-candidates"), weak
 
 
 def search(index: LexicalIndex, queries: DataFrame, k: int = TOP, key: str = "query_id", text: str = "text") -> DataFrame:
@@ -159,8 +149,10 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = TOP, key: str = "qu
     ``queries`` may have columns of the facets' names, whose values filter.
     """
     asked = query_terms(index, queries, key, text)
-    wanted = staged(survivors(index, asked, k), "lexical-survivors")
-    return _best(score_blocks(index, asked, wanted), k).select("query_id", "place", "id", "score")
+    sums, weak = candidates(index, asked, k)
+    met = F.col("q").eqNullSafe(F.col("c_q")) & (F.col("n") == F.col("c_n"))
+    more = _parts(index, weak).join(_sent(sums.select(F.col("q").alias("c_q"), F.col("n").alias("c_n"))), met, "left_semi")
+    return _best(_sums(sums.unionByName(more)), k).select("query_id", "place", "id", "score")
 
 
 def table_documents(tables: DataFrame, documents: DataFrame, cells: DataFrame) -> DataFrame:

@@ -47,10 +47,9 @@ def corpus(rng, n):
 
 @pytest.mark.parametrize("sent", [500_000, 0])
 def test_lexical_equals_scoring_everything(spark, monkeypatch, sent):
-    """With the small sides sent and without; many ties, and blocks that are ruled out."""
+    """With the small sides sent and without; many ties, and postings that are left out."""
     monkeypatch.setattr(lexical, "SENT", sent)
-    monkeypatch.setattr(lexical, "BLOCK", 3)
-    monkeypatch.setattr(lexical, "FREQUENT", 40)
+    monkeypatch.setattr(lexical, "SEEDS", 60)
     rng = random.Random(3)
     docs, some = corpus(rng, 500)
     queries = [(i, rng.choice(["en", "fr", None, "xx"]), some(rng.randint(1, 12))) for i in range(12)] + [(90, None, "unknown words"), (91, None, None), (92, "en", "the same text w399"), (92, None, "été été w5"), (93, None, "w390 w391 w392 w1")]
@@ -60,7 +59,8 @@ def test_lexical_equals_scoring_everything(spark, monkeypatch, sent):
     got = lexical.search(index, asked, k=10).collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute_bm25(docs, queries, 10)
     terms = lexical.query_terms(index, asked, "query_id", "text")
-    assert 0 < lexical.survivors(index, terms, 10).count() < lexical.block_bounds(index, terms).count()
+    found, weak = lexical.candidates(index, terms, 10)
+    assert weak.count() > 0 and 0 < found.count() < lexical._sums(lexical._parts(index, terms)).count()
 
 
 def test_lexical_without_rows(spark):
