@@ -46,10 +46,15 @@ def cell_provenance(cells: DataFrame, lines: DataFrame) -> DataFrame:
     line_start and line_end; ``lines`` has doc_id and the document's lines as an array.
     """
     c = F.col
-    rows = cells.join(lines.select("doc_id", F.col("lines").alias("_lines")), "doc_id", "left")
-    inside = (c("source_line_start") >= 1) & (c("source_line_end") >= c("source_line_start")) & (c("source_line_end") <= F.size("_lines"))
-    excerpt = F.when(inside, F.array_join(F.slice("_lines", c("source_line_start"), c("source_line_end") - c("source_line_start") + 1), "\n"))
-    rows = rows.withColumn("source_excerpt", excerpt).drop("_lines")
+    span = ["doc_id", "source_line_start", "source_line_end"]
+    # Cells of a row share their lines: each span is put together once, from rows of one line.
+    good = (c("source_line_start") >= 1) & (c("source_line_end") >= c("source_line_start"))
+    spans = cells.where(good).select(*span).distinct().withColumn("_no", F.explode(F.sequence("source_line_start", "source_line_end")))
+    each = lines.select("doc_id", F.posexplode("lines").alias("_at", "_line")).select("doc_id", (c("_at") + 1).alias("_no"), "_line")
+    found = spans.join(each, ["doc_id", "_no"]).groupBy(*span).agg(F.sort_array(F.collect_list(F.struct("_no", "_line"))).alias("_lines"))
+    whole = F.size("_lines") == c("source_line_end") - c("source_line_start") + 1
+    found = found.where(whole).select(*span, F.array_join(c("_lines._line"), "\n").alias("source_excerpt"))
+    rows = cells.join(found, span, "left")
     shown = unescape_html(F.regexp_replace("source_excerpt", r"(?i)<br\s*/?>", "\n"))
     # Of cells at one place the first has it.
     own = F.row_number().over(Window.partitionBy("table_id", "row_idx", "col_idx").orderBy("cell_id")) == 1

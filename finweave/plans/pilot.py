@@ -100,8 +100,14 @@ def annotation_violations(expected: DataFrame, documents: DataFrame) -> DataFram
 
 def document_lines(spark: SparkSession, corpus: str, documents: DataFrame) -> DataFrame:
     """(doc_id, lines) of the documents' files as they are now; bytes that are no text read as replacement characters."""
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    rows = files.scan_files(spark, corpus).join(F.broadcast(documents.select("doc_id", "relative_path")), "relative_path")
+    wanted = documents.select("doc_id", "relative_path")
+    if files.opens(corpus):
+        # The listed paths alone are read.
+        rows = files.read_listed(files.list_files(spark, corpus).join(wanted, "relative_path").select("path", "doc_id"), "doc_id")
+        content = F.when(F.col("read_issue").isNull(), F.col("content")).otherwise(F.raise_error(F.concat_ws(" ", "path", "read_issue")).cast("binary"))
+    else:
+        rows, content = files.scan_files(spark, corpus).join(wanted, "relative_path"), F.col("content")
+    text = F.make_valid_utf8(content.cast("string"))
     return rows.select("doc_id", F.split(F.regexp_replace(text, f"(?:{LINE_END})$", ""), LINE_END, -1).alias("lines"))
 
 
@@ -109,7 +115,7 @@ def cell_audits(assessed: DataFrame, release: dict[str, DataFrame], documents: D
     """Every cell of the matched tables with its annotation, excerpt and automatic verdict."""
     matched = assessed.where("table_id IS NOT NULL").select("annotation_id", "statement_type", "table_id")
     of_table = release["tables"].select("table_id", "doc_id", "line_start", "line_end")
-    rows = release["cells"].join(F.broadcast(matched), "table_id").join(of_table, "table_id").join(F.broadcast(documents.select("doc_id", "relative_path", "company_code", "report_year")), "doc_id")
+    rows = release["cells"].join(matched, "table_id").join(of_table, "table_id").join(documents.select("doc_id", "relative_path", "company_code", "report_year"), "doc_id")
     rows = gate.cell_provenance(rows, lines)
     blank = {c: F.coalesce(c, F.lit("")) for c in ("row_label_raw", "column_label_raw", "period", "unit")}
     return rows.withColumns(blank | {"annotation_schema_version": F.lit(SCHEMA_VERSION), "sampling_version": F.lit(ids.PILOT_VERSION), "value_numeric": F.col("value_numeric").cast("double"), "source_excerpt": F.coalesce("source_excerpt", F.lit("")), "review_notes": F.lit("")})
@@ -117,7 +123,7 @@ def cell_audits(assessed: DataFrame, release: dict[str, DataFrame], documents: D
 
 def assess(spark: SparkSession, release: dict[str, DataFrame], corpus: str, documents: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(assessed annotations, audits of all cells of their tables), written once for the steps that follow."""
-    tables = release["tables"].join(F.broadcast(documents.select("doc_id")), "doc_id", "left_semi")
+    tables = release["tables"].join(documents.select("doc_id"), "doc_id", "left_semi")
     assessed = staged(matching.assess_matching(expected, tables), "assessed")
     audits = staged(cell_audits(assessed, release, documents, document_lines(spark, corpus, documents)), "audits")
     return assessed, audits
@@ -161,7 +167,7 @@ def evaluate(spark: SparkSession, release: dict[str, DataFrame], manifest: dict,
     documents, expected = read_pilot(spark, manifest, folder)
     assessed, audits = assess(spark, release, corpus, documents, expected)
     given = read_audit(spark, audit_sample(audits), folder)
-    final = staged(gate.table_usability(assessed, release["tables"], audits).join(F.broadcast(documents.select("doc_id", "company_code", "report_year")), "doc_id"), "usability")
+    final = staged(gate.table_usability(assessed, release["tables"], audits).join(documents.select("doc_id", "company_code", "report_year"), "doc_id"), "usability")
     counted = final.agg(F.count(F.lit(1)).alias("expected"), F.count("table_id").alias("matched"), F.count_if("usable").alias("usable")).first()
     cells = audits.agg(F.count(F.lit(1)).alias("n"), F.count_if("verified").alias("valid")).first()
     audited = given.agg(F.count(F.lit(1)).alias("n"), F.count_if("verified").alias("verified")).first()

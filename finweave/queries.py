@@ -153,7 +153,7 @@ query("audit_cells", "cels", "tabs", "docs", sql=f"SELECT cell_id, table_id FROM
 )
 query("interval_overlap", "ann", "tabs", sql="SELECT ann.doc_id, annotation_id, table_id, CAST(ann.line_start = tabs.line_start AND ann.line_end = tabs.line_end AS INT) AS exact, CAST(least(ann.line_end, tabs.line_end) - greatest(ann.line_start, tabs.line_start) + 1 AS BIGINT) AS overlap, CAST(ann.line_end - ann.line_start + 1 AS BIGINT) AS span, CAST(abs(ann.line_start - tabs.line_start) + abs(ann.line_end - tabs.line_end) AS BIGINT) AS distance FROM ann JOIN tabs ON ann.doc_id = tabs.doc_id AND ann.line_start <= tabs.line_end AND tabs.line_start <= ann.line_end")(matching.overlapping_pairs)
 #: All overlaps compete; SQL cannot state the best assignment, and a test compares it with brute force.
-query("table_assignment", "ann", "tabs")(lambda a, t: matching.assign_tables(matching.overlapping_pairs(a, t)))
+query("table_assignment", "ann", "tabs")(lambda a, t: matching.assign_tables(staged(matching.overlapping_pairs(a, t), "overlapping-pairs"), a))
 ASSESSED = "SELECT table_id, doc_id, statement_type, source_ordinal % 3 <> 0 AS usable FROM tabs WHERE statement_type IS NOT NULL"
 
 

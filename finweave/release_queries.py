@@ -379,6 +379,12 @@ def match_assessment(a: DataFrame, t: DataFrame) -> DataFrame:
     return found.select("annotation_id", F.when(F.array_contains("failures", "missing_table"), F.lit("missing_table")).otherwise(F.lit("")).alias("failure"))
 
 
+@query("match_assessment_all", "ann", "tabs")
+def match_assessment_all(a: DataFrame, t: DataFrame) -> DataFrame:
+    """Annotations of whole documents, whose tables they compete for; SQL cannot state the best assignment, and a test compares it with brute force."""
+    return matching.assess_matching(a, t).select("annotation_id", "doc_id", "table_id", "overlap", "failures")
+
+
 # Texts and extraction.
 @on_tables("exact_keys", "SELECT p_partkey, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS key FROM part")
 def exact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,11 @@ def _arrow_uri(root: str) -> str | None:
     return uri.rstrip("/")
 
 
+def opens(root: str) -> bool:
+    """Whether tasks can open files below ``root`` themselves."""
+    return _arrow_uri(root) is not None
+
+
 def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(path) of folders to what stands in them: path, is_folder, length, modificationTime."""
     for batch in batches:

@@ -6,8 +6,8 @@ its path.  What a merge reads of the manifest are the rows that share a content
 ago they came; no watermark ends that.  A repeated micro-batch writes the same folder again.  After
 ``MERGES`` merges the log is written anew as one.
 
-Files without bytes are in no split of Spark's readers, so they never arrive by the stream; each update lists them and
-merges those that the manifest lacks.
+Files without bytes are in no split of Spark's readers, and a path that came once does not come again when its file changes; so each
+update lists the tree after the stream and merges what the manifest lacks or has with another length or time.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finweave.functions import ids
-from finweave.sources.files import inspect, list_files, mark_duplicates, parse_path, relative
+from finweave.sources.files import inspect, list_files, mark_duplicates, opens, parse_path, read_listed, relative, scan_files
 from finweave.sources.tables import delete_folder, staged, staging
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-ROW = "relative_path string, company_code string, report_year int, statement_scope string, sha256 string, length long, encoding string, reason string, inventory_status string, notes array<string>, number long"
+ROW = "relative_path string, company_code string, report_year int, statement_scope string, sha256 string, length long, encoding string, reason string, inventory_status string, notes array<string>, modified timestamp, number long"
 MERGES = 32
 
 
@@ -61,10 +61,10 @@ def read_manifest_log(spark: SparkSession, manifest: str, but: str | None = None
 
 
 def merge_files(spark: SparkSession, files: DataFrame, manifest: str, merge: str) -> None:
-    """Merges files (relative_path, length, content) into the manifest under a merge's name; the same name again replaces what it wrote."""
+    """Merges files (relative_path, length, content, modificationTime) into the manifest under a merge's name; the same name again replaces what it wrote."""
     with staging(spark):
-        new = staged(_inspected(files).select("relative_path", "company_code", "report_year", "statement_scope", "sha256", "length", "encoding", "reason"), "arrived")
-        # Of a path that came twice the same content counts once; a changed file brings its last content.
+        files = files.withColumn("modified", F.date_trunc("MILLISECOND", "modificationTime"))
+        new = staged(_inspected(files).select("relative_path", "company_code", "report_year", "statement_scope", "sha256", "length", "encoding", "reason", "modified"), "arrived")
         standing = staged(read_manifest_log(spark, manifest, but=merge), "standing")
         number = (standing.agg(F.max("number")).first()[0] or 0) + 1
         before = standing.join(new.select("relative_path"), "relative_path", "left_semi").select("sha256")
@@ -73,8 +73,8 @@ def merge_files(spark: SparkSession, files: DataFrame, manifest: str, merge: str
         rows = new.unionByName(kept.select(*new.columns))
         good = mark_duplicates(rows.where("reason IS NULL")).drop("primary_path")
         bad = rows.where("reason IS NOT NULL").withColumns({"inventory_status": F.lit(None).cast("string"), "notes": F.array().cast("array<string>")})
-        was = standing.select("relative_path", F.struct("sha256", "inventory_status", "notes").alias("was"))
-        changed = good.unionByName(bad).join(was, "relative_path", "left").where(~F.struct("sha256", "inventory_status", "notes").eqNullSafe(F.col("was"))).drop("was")
+        was = standing.select("relative_path", F.struct("sha256", "inventory_status", "notes", "modified").alias("was"))
+        changed = good.unionByName(bad).join(was, "relative_path", "left").where(~F.struct("sha256", "inventory_status", "notes", "modified").eqNullSafe(F.col("was"))).drop("was")
         changed.withColumn("number", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{manifest}/log/merge={merge}")
         # The scope's last table is kept; nothing reads this one.
         staged(spark.range(0), "merged")
@@ -91,14 +91,26 @@ def compact(spark: SparkSession, manifest: str, most: int = MERGES) -> None:
             delete_folder(spark, path)
 
 
+def _read(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
+    """Contents of listed files; one that cannot be read fails the job."""
+    if opens(root):
+        read = read_listed(listed.select("path", "relative_path"), "relative_path")
+        content = F.when(F.col("read_issue").isNull(), F.col("content")).otherwise(F.raise_error(F.concat_ws(" ", "relative_path", "read_issue")).cast("binary"))
+    else:
+        read, content = scan_files(spark, root), F.col("content")
+    return read.select("relative_path", content.alias("content")).join(listed.select("relative_path", "length", "modificationTime"), "relative_path")
+
+
 def update_inventory(spark: SparkSession, root: str, manifest: str, checkpoint: str, most: int | None = None) -> None:
     """Brings a manifest up to date with what has arrived below ``root``, in micro-batches of at most ``most`` files."""
-    merge = lambda files, number: merge_files(files.sparkSession, files.select("relative_path", "length", "content"), manifest, f"s-{number:09d}")
+    merge = lambda files, number: merge_files(files.sparkSession, files.select("relative_path", "length", "content", "modificationTime"), manifest, f"s-{number:09d}")
     _arriving(spark, root, most).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    known = read_manifest_log(spark, manifest).select("relative_path")
-    empty = list_files(spark, root).where("length = 0").join(known, "relative_path", "left_anti")
-    if not (empty := staged(empty.select("relative_path", "length", F.lit(b"").alias("content")), "empty-files")).isEmpty():
-        merge_files(spark, empty, manifest, f"e-{uuid.uuid4().hex}")
+    known = read_manifest_log(spark, manifest).select("relative_path", "length", F.col("modified").alias("_time"))
+    listed = list_files(spark, root)
+    same = [listed[c] == known[c] for c in ("relative_path", "length")] + [F.date_trunc("MILLISECOND", "modificationTime") == F.col("_time")]
+    left = staged(listed.join(known, same, "left_anti"), "left-files")
+    if not left.isEmpty():
+        merge_files(spark, _read(spark, root, left), manifest, f"l-{uuid.uuid4().hex}")
     compact(spark, manifest)
 
 

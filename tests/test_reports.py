@@ -2,13 +2,15 @@
 
 import itertools
 import json
+import os
+import pathlib
 import random
 from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from finweave import queries
+from finweave import queries, streaming
 from finweave.operators import extraction, matching, normalization
 from finweave.plans import audit, gate, release
 from finweave.sources import files, tables
@@ -164,6 +166,37 @@ def test_assignment_query_takes_all_overlaps(spark, tmp_path):
     assert {r["annotation_id"]: r["table_id"] for r in got} == want
 
 
+def _intervals(rng, n, lines, prefix):
+    """Intervals of two documents: many short ones, some equal, a few that reach far."""
+    rows = []
+    for i in range(n):
+        start = rng.randint(1, lines)
+        rows.append((f"{prefix}{i:03}", rng.choice(["d1", "d1", "d2"]), start, start + rng.choice([0, 1, 3, 8, 8, 20, 300])))
+    return rows
+
+
+@pytest.mark.parametrize("lines,n", [(60, 12), (3000, 90), (40_000, 500)])
+def test_interval_joins_in_bins(spark, monkeypatch, lines, n):
+    """Overlaps equal a plain comparison, and parts found by Spark give the assignment of whole documents, over short and long documents."""
+    monkeypatch.setattr(matching, "RUN", 512)
+    rng = random.Random(lines)
+    expected, found = _intervals(rng, n, lines, "a"), _intervals(rng, n, lines, "t")
+    e = spark.createDataFrame([*expected, ("a-none", "d1", None, 5)], "annotation_id string, doc_id string, line_start int, line_end int")
+    t = spark.createDataFrame([*found, ("t-none", "d1", 4, None)], "table_id string, doc_id string, line_start int, line_end int")
+    pairs = tables.staged(matching.overlapping_pairs(e, t), "pairs")
+    want = {(x[0], y[0]) for x in expected for y in found if x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3]}
+    got = [(r["annotation_id"], r["table_id"]) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    whole, parts = ({(r["annotation_id"], r["table_id"]) for r in rows.collect()} for rows in (matching.assign_tables(pairs), matching.assign_tables(pairs, e)))
+    assert whole == parts and parts
+    # Pairs that share an annotation or a table are in one part.
+    named = matching.assignment_parts(pairs, e).collect()
+    for key in ("annotation_id", "table_id"):
+        of = {}
+        assert all(of.setdefault((r["doc_id"], r[key]), r["part"]) == r["part"] for r in named)
+    assert len(named) == len(got) and (lines < 100 or len({(r["doc_id"], r["part"]) for r in named}) > 10)
+
+
 @pytest.mark.parametrize(
     "html,reason",
     [("<table><tr><td rowspan=0>x</td></tr></table>", "invalid_span_value"), ("<table><tbody><tr><td>x</td></tr></tbody></table>", "unsupported_html_structure"), ("<table><tr><td><table></table></td></tr></table>", "nested_html_table"), ("<table></table>", "empty_extracted_table"), ("<table><tr><td>x", "unclosed_html_table"), ("<table><tr><td colspan=100001>x</td></tr></table>", "expansion_limit_exceeded"), ("<table><tr><td>a</td><td rowspan=2>b</td></tr><tr><td colspan=2>c</td></tr></table>", "span_collision")],
@@ -212,3 +245,54 @@ def test_streaming_inventory(spark, corpus, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         start_inventory(spark, corpus, out, state).awaitTermination()
     assert spark.read.parquet(out).count() == 6  # the empty file has no split
+
+
+def _told(documents, issues):
+    rows = [(r["relative_path"], r["inventory_status"], r["sha256"], tuple(r["notes"])) for r in documents.collect()]
+    return sorted(rows + [(r["relative_path"], r["reason"], None, ()) for r in issues.collect()])
+
+
+@pytest.mark.parametrize("backwards", [False, True])
+def test_merged_streams_equal_the_batch_inventory(spark, corpus, tmp_path, monkeypatch, backwards):
+    """Files arrive one by one in either order, over several runs, also one that changes; the log is written anew between."""
+    monkeypatch.setattr(streaming, "MERGES", 3)
+    root, manifest, state = tmp_path / "root", str(tmp_path / "manifest"), str(tmp_path / "state")
+    source = pathlib.Path(corpus)
+    paths = sorted((p.relative_to(source) for p in source.rglob("*") if p.is_file()), key=str, reverse=backwards)
+    root.mkdir()
+    for k, path in enumerate(paths):
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes((source / path).read_bytes())
+        if k % 3 == 2 or k == len(paths) - 1:
+            streaming.update_inventory(spark, str(root), manifest, state, most=1)
+            assert _told(*streaming.streamed_inventory(spark, manifest)) == _told(*files.build_inventory(spark, str(root)))
+    # What it had as its content is another file's now.
+    changed = root / "ABC/2023/Consolidated FS/a.txt"
+    changed.write_bytes(b"something else")
+    os.utime(changed, (2_000_000_000, 2_000_000_000))
+    streaming.update_inventory(spark, str(root), manifest, state)
+    told = _told(*streaming.streamed_inventory(spark, manifest))
+    assert told == _told(*files.build_inventory(spark, str(root)))
+    assert ("XYZ/2024/fs/copy.txt", "ready") in {t[:2] for t in told}
+    streaming.compact(spark, manifest, 0)
+    assert _told(*streaming.streamed_inventory(spark, manifest)) == told
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    manifest = str(tmp_path / "manifest")
+    rows = spark.createDataFrame([("ABC/2023/fs/b.txt", 1, b"x", None), ("ABC/2023/fs/a.txt", 1, b"x", None)], "relative_path string, length long, content binary, modificationTime timestamp")
+    for part in (rows.limit(1), rows, rows):
+        streaming.merge_files(spark, part, manifest, f"s-{part.count()}")
+    told = _told(*streaming.streamed_inventory(spark, manifest))
+    assert [t[:2] for t in told] == [("ABC/2023/fs/a.txt", "ready"), ("ABC/2023/fs/b.txt", "duplicate")]
+
+
+def test_listing_takes_odd_names_and_folders(spark, tmp_path):
+    for name in ("A B/2023/é %41+/x y#.txt", "A B/2023/empty/z.TXT", "A B/other.csv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "empty" in name else b"abc")
+    (tmp_path / "no files here").mkdir()
+    rows = files.list_files(spark, str(tmp_path))
+    assert {(r["relative_path"], r["length"]) for r in rows.collect()} == {("A B/2023/é %41+/x y#.txt", 3), ("A B/2023/empty/z.TXT", 0)}
+    read = files.read_files(spark, str(tmp_path)).collect()
+    assert {(r["relative_path"], bytes(r["content"])) for r in read} == {("A B/2023/é %41+/x y#.txt", b"abc"), ("A B/2023/empty/z.TXT", b"")}
\ No newline at end of file
