@@ -208,6 +208,40 @@ def quick_look(df: DataFrame) -> DataFrame:
     return groups.agg(F.sum("_m").alias("n_rows"), F.sum(F.col("_m") - 1).alias("n_repeated")).withColumn("n_columns", F.lit(len(df.columns)))
 
 
+def describe_all(df: DataFrame) -> DataFrame:
+    """column, count, n_null, and of numbers mean, std, min, p25, p50, p75, max, of all others n_unique, top, frequency (booleans, dates and nested values as text).
+
+    The mode is exact: equal values are counted before the shuffle, and a column's counts are reduced by partitions before
+    they meet; ties go to the smaller text.  Numbers that are none or not finite count as null.
+    """
+    numeric = [c for c, kind in df.dtypes if kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"))]
+    others = [c for c in df.columns if c not in numeric]
+    as_text = {c: F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) if kind.startswith(("array", "map", "struct")) else F.col(f"`{c}`").cast("string") for c, kind in df.dtypes}
+    shown = lambda c: F.when(F.col(f"`{c}`").isNotNull(), as_text[c])
+    schema = "column string, count long, n_null long, n_unique long, top string, frequency long, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
+    spark = df.sparkSession
+    out = spark.createDataFrame([], schema)
+    if others:
+        each = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), shown(c).alias("value")) for c in others])))
+        counted = each.groupBy("column", "value").agg(n().alias("m"))
+        known = F.col("value").isNotNull()
+        mode = F.min(F.when(known, F.struct((-F.col("m")).alias("minus"), "value"))).alias("mode")
+        rows = counted.groupBy("column").agg(F.sum(F.when(known, F.col("m"))).alias("count"), F.sum(F.when(~known, F.col("m"))).alias("n_null"), F.count("value").alias("n_unique"), mode)
+        rows = spark.createDataFrame([(c,) for c in others], "column string").join(rows, "column", "left")
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+        none = [F.lit(None).cast("double").alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")]
+        out = out.unionByName(rows.select("column", zero("count"), zero("n_null"), zero("n_unique"), F.col("mode.value").alias("top"), (-F.col("mode.minus")).cast("long").alias("frequency"), *none))
+    for c in numeric:
+        v = F.col(f"`{c}`").cast("double")
+        v = F.when(F.abs(v) < float("inf"), v)
+        quarters = quantiles(df.select(v.alias("v")), "v", (0.25, 0.5, 0.75))
+        one = df.agg(F.count(v).alias("count"), (F.count(F.lit(1)) - F.count(v)).alias("n_null"), rounded(F.avg(v)).alias("mean"), rounded(F.stddev_samp(v)).alias("std"), rounded(F.min(v)).alias("min"), rounded(F.max(v)).alias("max"))
+        exact = [rounded(F.lit(q)).alias(name) for q, name in zip(quarters, ("p25", "p50", "p75"))]
+        none = F.lit(None).cast("long")
+        out = out.unionByName(one.select(F.lit(c).alias("column"), "count", "n_null", none.alias("n_unique"), F.lit(None).cast("string").alias("top"), none.alias("frequency"), "mean", "std", "min", *exact, "max"))
+    return out
+
+
 def content_quality(profile: DataFrame) -> DataFrame:
     """One row of (read_issue, utf8_valid): files, read files, read errors, share of valid UTF-8 among the read ones."""
     read = F.col("read_issue").isNull()

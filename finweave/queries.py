@@ -101,6 +101,12 @@ query("provenance", "iss", "tabs", "occ", "docs", sql="SELECT iss.cell_id, iss.t
 query("multiple_digests", "docs", sql="SELECT sha256, count(*) AS n FROM docs GROUP BY 1 HAVING count(*) > 1")(lambda d: profile.multiple_keys(d, "sha256"))
 query("anomalies", "docs", sql="SELECT count(*) FILTER (file_size_bytes BETWEEN 0 AND 1023) AS tiny, count(*) FILTER (file_size_bytes > (SELECT quantile_cont(file_size_bytes, 0.995) FROM docs)) AS oversized, count(*) FILTER (report_year NOT BETWEEN 2016 AND 2022) AS odd_years, (SELECT coalesce(sum(m), 0)::BIGINT FROM (SELECT count(*) AS m FROM docs GROUP BY sha256 HAVING count(*) > 1)) AS repeated FROM docs")(lambda d: profile.anomalies(d, (2016, 2022)))
 query("quick_look", "iss", sql="SELECT sum(m)::BIGINT AS n_rows, sum(m - 1)::BIGINT AS n_repeated, 6 AS n_columns FROM (SELECT count(*) AS m FROM iss GROUP BY code, field, doc_id, table_id, cell_id, raw_value)")(profile.quick_look)
+TEXTS, FIGURES = ("table_id", "title_raw", "statement_type", "unit_raw"), ("line_start", "row_count", "quality_score")
+DESCRIBED = " UNION ALL ".join(
+    [f"SELECT '{c}' AS \"column\", count({c}) AS count, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_unique, (SELECT {c} FROM tabs WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS top, (SELECT count(*) FROM tabs WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC LIMIT 1) AS frequency, NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS min, NULL::DOUBLE AS p25, NULL::DOUBLE AS p50, NULL::DOUBLE AS p75, NULL::DOUBLE AS max FROM tabs" for c in TEXTS]
+    + [f"SELECT '{c}', count({c}), count(*) - count({c}), NULL, NULL, NULL, round(avg({c}), 4), round(stddev_samp({c}), 4), min({c})::DOUBLE, round(quantile_cont({c}, 0.25), 4)::DOUBLE, round(quantile_cont({c}, 0.5), 4)::DOUBLE, round(quantile_cont({c}, 0.75), 4)::DOUBLE, max({c})::DOUBLE FROM tabs" for c in FIGURES]
+)
+query("describe_all", "tabs", sql=f"SELECT * FROM ({DESCRIBED}) d")(lambda t: profile.describe_all(t.select(*TEXTS, *FIGURES)))
 query("seeded_sample", "docs", sql="SELECT doc_id, company_code FROM docs ORDER BY sha256(concat('seed|', doc_id)), doc_id LIMIT 25")(lambda d: profile.seeded_sample(d.select("doc_id", "company_code"), "doc_id", "seed", 25))
 query("download_plan", "docs", sql="SELECT count(*) AS file_count, sum(file_size_bytes)::BIGINT AS total_bytes, count(*) FILTER (report_year > 2018) AS pending_count, sum(file_size_bytes) FILTER (report_year > 2018)::BIGINT AS pending_bytes, 1::BIGINT AS n_revisions, sum(file_size_bytes) FILTER (report_year > 2018) + 1000 <= 1000000000000 AS fits FROM docs")(lambda d: profile.download_plan(d.select(F.col("file_size_bytes").alias("size"), (F.col("report_year") > 2018).alias("will_download"), F.lit("r1").alias("revision")), 1000, 10**12))
 QUERIES["company_issues"] = lambda s, d: profile.company_issues(s, view(s, d, "iss"), view(s, d, "docs"), "T3")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from finweave.operators import graph, ranking
-from finweave.plans import finance
+from finweave.plans import finance, profile
 
 LIST = "query_id long, place int, id long"
 
@@ -173,3 +173,15 @@ def test_balance(spark):
     got = {r["company"]: (None if r["gap"] is None else float(r["gap"]), None if r["tolerance"] is None else float(r["tolerance"]), r["status"]) for r in finance.balance_check(facts, "assets", ("debt", "equity")).collect()}
     assert got == {"A": (-600.0, 1_000_500.0, "balanced"), "B": (-3.0, 1.5, "unbalanced"), "C": (None, None, "incomplete"), "D": (None, None, "mixed_units"), "E": (None, None, "ambiguous_value")}
     assert finance.balance_check(facts.limit(0)).collect() == []
+
+
+def test_describe_takes_all_kinds(spark):
+    rows = [("b", True, 1.5, 3, ["x"], None), ("a", True, float("nan"), 4, ["x"], None), ("a", False, None, 5, None, None), ("b", None, float("inf"), 6, ["y"], None), (None, None, 2.5, 7, [], None)]
+    df = spark.createDataFrame(rows, "`t.x` string, flag boolean, v double, i int, l array<string>, nothing string")
+    got = {r["column"]: r for r in profile.describe_all(df).collect()}
+    text = lambda c: tuple(got[c][k] for k in ("count", "n_null", "n_unique", "top", "frequency"))
+    # Of equally frequent texts the smaller one.
+    assert text("t.x") == (4, 1, 2, "a", 2) and text("flag") == (3, 2, 2, "true", 2) and text("nothing") == (0, 5, 0, None, None) and text("l")[:3] == (4, 1, 3)
+    number = lambda c: tuple(got[c][k] for k in ("count", "n_null", "mean", "min", "p25", "p50", "p75", "max"))
+    assert number("v") == (2, 3, 2.0, 1.5, 1.75, 2.0, 2.25, 2.5) and number("i") == (5, 0, 5.0, 3.0, 4.0, 5.0, 6.0, 7.0)
+    assert {r["column"]: (r["count"], r["n_null"]) for r in profile.describe_all(df.limit(0)).collect()} == {c: (0, 0) for c in df.columns}
