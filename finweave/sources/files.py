@@ -81,7 +81,7 @@ def walk(spark: SparkSession, uri: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """path (a URI), relative_path, length, modificationTime of every .txt below ``root``, any case of the suffix.
+    """relative_path, path (a URI), length, modificationTime of every .txt below ``root``, any case of the suffix.
 
     In stores that Arrow does not open, Spark's index is the list; its readers leave files without bytes out of their
     splits, and these are what the index has besides.
@@ -89,7 +89,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     key = lambda c: relative(_decoded(F.col(c)), root)
     if (uri := _arrow_uri(root)) is not None:
         found = walk(spark, uri).where(F.lower("path").endswith(".txt"))
-        return found.select("path", relative(_decoded(F.col("path")), uri).alias("relative_path"), "length", "modificationTime")
+        return found.select(relative(_decoded(F.col("path")), uri).alias("relative_path"), "path", "length", "modificationTime")
     files = _text_files(spark, root)
     seen = files.where("length > 0").select("path", "length", "modificationTime")
     every = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")
