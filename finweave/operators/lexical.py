@@ -8,8 +8,8 @@ weight.  Facets are the columns that a query may filter by.
 A score is a sum of BM25 parts, each rounded down to a millionth, so it is a whole number and does not depend on
 the order of the sum.  A search goes from rare terms to frequent ones.  Sums over a query's rarest terms give a threshold: the
 k-th best of them is a lower bound of the k-th best score.  Terms whose bounds together stay below it cannot bring a document in by
-themselves, and these are the frequent ones; so only the postings of the others make candidates.  With their sums the threshold
-rises, and candidates that the left-out terms' bounds cannot lift to it fall.  What is left gets its parts of
+themselves, and these are the frequent ones; so only the postings of the others make candidates.  With the best of these scored in full the
+threshold rises, and candidates that the left-out terms' bounds cannot lift to it fall.  What is left gets its parts of
 the frequent terms.  The result equals scoring every document; no text is read at query time.
 
 The asked terms and the candidates are broadcast while they are at most ``SENT`` rows, which is counted first; beyond that the
@@ -138,11 +138,19 @@ def candidates(index: LexicalIndex, asked: DataFrame, k: int = TOP) -> tuple[Dat
     weak = staged(terms.where("weak").drop("weak"), "lexical-weak")
     sums = staged(_sums(_parts(index, staged(terms.where("NOT weak").drop("weak"), "lexical-strong"))), "lexical-sums")
     lift = weak.groupBy("q").agg(F.sum("bound").alias("lift"))
-    least = _threshold(sums, k).join(lift, "q", "left").select("q", (F.col("least") - F.coalesce("lift", F.lit(0))).alias("needed"))
+    # The best by these sums in full: the k-th of their scores is the better bound.
+    best = staged(_best(sums, k).drop("place"), "lexical-best")
+    least = _threshold(_sums(best.unionByName(_parts_of(index, weak, best))), k).join(lift, "q", "left").select("q", (F.col("least") - F.coalesce("lift", F.lit(0))).alias("needed"))
     left = sums.join(staged(least, "lexical-needed"), "q", "left").where(F.col("needed").isNull() | (F.col("score") >= F.col("needed")))
     return staged(left.drop("needed"), "lexical-candidates"), weak
 
 
+def _parts_of(index: LexicalIndex, asked: DataFrame, documents: DataFrame) -> DataFrame:
+    """``_parts`` of the (q, n) in ``documents`` (written) alone."""
+    met = F.col("q").eqNullSafe(F.col("c_q")) & (F.col("n") == F.col("c_n"))
+    return _parts(index, asked).join(_sent(documents.select(F.col("q").alias("c_q"), F.col("n").alias("c_n"))), met, "left_semi")
+
+
 def search(index: LexicalIndex, queries: DataFrame, k: int = TOP, key: str = "query_id", text: str = "text") -> DataFrame:
     """query_id, place, id, score of the best ``k`` documents of every query, exactly.
 
@@ -150,8 +158,7 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = TOP, key: str = "qu
     """
     asked = query_terms(index, queries, key, text)
     sums, weak = candidates(index, asked, k)
-    met = F.col("q").eqNullSafe(F.col("c_q")) & (F.col("n") == F.col("c_n"))
-    more = _parts(index, weak).join(_sent(sums.select(F.col("q").alias("c_q"), F.col("n").alias("c_n"))), met, "left_semi")
+    more = _parts_of(index, weak, sums)
     return _best(_sums(sums.unionByName(more)), k).select("query_id", "place", "id", "score")
 
 
