@@ -1,89 +1,111 @@
-"""Benchmark decontamination: word n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Benchmark items are taken in blocks of at most ``BLOCK_WORDS`` words, so what is sent to the tasks
-has a fixed bound; larger benchmarks take more passes.  A pass looks up every n-gram of a block in
-the documents, however often it stands there, and aligns the item with the document's words around
-each hit; edits, gaps and replaced words lower the score but do not break it.  No seed is left out:
-a window that holds too few of the item's words to reach ``accept`` is ruled out by that bound, and
-equal windows of a piece are aligned once.  A pass is narrow: no text is shuffled.
+Documents are read once.  A task keeps the stretches of words around those n-grams that a bounded bit
+table of the benchmark's n-grams lets through; they are written with the n-grams they hold.  From then on all
+are Spark joins on n-gram hashes and numbers of stretches, whatever the size of either table:
 
-A score is the alignment's over that of a perfect copy, from 0 to 1; ``ACCEPT`` and above counts.
+1. the rarest n-grams of each item (by how often they stand in all documents) join stretches to items, and
+   the item is aligned with the words around them;
+2. pairs of a document and an item that this leaves undecided, and that share any other n-gram, are aligned
+   around all they share.
+
+So no n-gram is left out: a pair counts exactly if an alignment around its shared n-grams reaches ``accept``;
+edits, gaps and replaced words lower the score but do not break it.  A window that holds too few of the item's
+words to reach it is ruled out by that bound, and equal windows of a batch are aligned once.
+
+A score is the alignment's over that of a perfect copy, from 0 to 1; ``ACCEPT`` and above counts.  It is the best
+around the rarest n-grams where that counts, else the best around all shared ones.
 Words are lower-cased and stripped of marks.
 
-A block travels to the tasks as part of the step's function, which Spark broadcasts once it is above a
-megabyte; the words of a block bound its size.
+The bit table has at most ``MAX_BITS`` bits; a benchmark of more n-grams lets more stretches through, which the join
+then drops.  A stretch reaches as far as the longest item on both sides, and holds at most ``STRETCH_WORDS`` places of
+n-grams (four times its reach if that is more), so stretches never hold more than 1.5 times the documents' words.
 
 Edge cases: null texts are empty and match nothing; an item of fewer than ``SEED_WORDS`` words matches
 the texts that are its words and no others, as a word or two stand in texts of any kind; equal items are each reported; repeated rows are judged alike; an empty
 table on either side gives no pairs and drops nothing; all other columns are kept by
-``decontaminate``.
+``decontaminate``, and none of their names clashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from finweave.llm.common import clean_text, shingle_hashes, text_pieces, word_hashes
+from finweave.llm.common import clean_text, discard, free_prefix, materialize, shingle_hashes, text_pieces, word_hashes
 
 SEED_WORDS = 3
 ACCEPT = 0.5
 MATCH, MISS, GAP = 2, -1, -1
-#: Words of benchmark items that one pass holds (8 bytes each, with their seeds about 40).
-BLOCK_WORDS = 1_000_000
+#: N-grams of an item that count as its rarest.
+RAREST = 4
+#: Bits of the table that the scan looks n-grams up in, at most (8 MB).
+MAX_BITS = 2**26
+#: Places of n-grams that one stretch holds at most, unless items are longer than a fifth of it.
+STRETCH_WORDS = 8192
+#: Rows to drop that a join may send to all tasks; more are shuffled.
+SENT = 1_000_000
 #: Cells of the alignment computed at once.
 CELLS = 2_000_000
-#: Hits with their items that are windowed at once (those of one text at least).
-HITS = 500_000
-
-
-@dataclass
-class Block:
-    """Items with their words, and the seeds sorted by hash with item and place."""
-
-    ids: list
-    words: list[np.ndarray]
-    lengths: np.ndarray
-    seeds: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-
-
-def build_block(ids: list, texts: list[str | None]) -> Block:
-    words, offsets = word_hashes(pa.array(texts, pa.large_string()), strip=True)
-    seeds, seed_offsets = shingle_hashes(words, offsets, SEED_WORDS)
-    item = np.repeat(np.arange(len(ids)), np.diff(seed_offsets))
-    place = np.arange(len(seeds)) - seed_offsets[:-1][item]
-    # The one seed of a short item is all its words; of a text, only one as short has such a shingle.
-    order = np.argsort(seeds, kind="stable")
-    return Block(ids, [words[a:b] for a, b in zip(offsets[:-1], offsets[1:])], np.diff(offsets), seeds[order], item[order], place[order])
-
-
-def blocks(benchmark: DataFrame) -> Iterator[Block]:
-    """The benchmark in blocks; the driver holds one at a time."""
-    ids, texts, n = [], [], 0
-    for row in benchmark.select("item_id", clean_text().alias("text")).toLocalIterator():
-        words = row["text"].count(" ") + row["text"].count("\n") + 1
-        if ids and n + words > BLOCK_WORDS:
-            yield build_block(ids, texts)
-            ids, texts, n = [], [], 0
-        ids.append(row["item_id"])
-        texts.append(row["text"])
-        n += words
-    if ids:
-        yield build_block(ids, texts)
-
-
-def _hits(shingles: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of shingles that are seeds, and the first seed of that hash."""
-    at = np.searchsorted(seeds, shingles)
-    at[at == len(seeds)] = 0
-    found = np.flatnonzero(seeds[at] == shingles) if len(seeds) else np.zeros(0, np.int64)
-    return found, at[found]
+
+
+def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+
+def item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and n-grams of each item."""
+    for batch in batches:
+        rows = pa.array(np.arange(batch.num_rows))
+        for index, texts in text_pieces(rows, batch.column("text")):
+            words, offsets = word_hashes(texts, strip=True)
+            seeds, seed_offsets = shingle_hashes(words, offsets, SEED_WORDS)
+            keys = [batch.column(c).take(index) for c in ("item", "item_id")]
+            yield pa.RecordBatch.from_arrays([*keys, _lists(words.view(np.int64), offsets), _lists(seeds.view(np.int64), seed_offsets)], names=["item", "item_id", "words", "seeds"])
+
+
+def bit_table(seeds: DataFrame) -> np.ndarray:
+    """Bits of the seeds' low hash bits in 64-bit words: about 16 bits a seed, ``MAX_BITS`` at most."""
+    n = seeds.agg(F.approx_count_distinct("seed").alias("n")).first()["n"]
+    bits = min(MAX_BITS, max(2**16, 1 << int(16 * n).bit_length()))
+    slot = F.col("seed").bitwiseAND(F.lit(bits - 1))
+    words = seeds.select(F.shiftright(slot, 6).alias("at"), F.expr("shiftleft(1L, CAST(seed & 63 AS INT))").alias("bit"))
+    found = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def stretch_batches(batches: Iterator[pa.RecordBatch], table: np.ndarray, reach: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of words around the places whose n-gram may be a seed, with these places and n-grams."""
+    mask, span = np.uint64(len(table) * 64 - 1), max(STRETCH_WORDS, 4 * reach)
+    for batch in batches:
+        rows = pa.array(np.arange(batch.num_rows))
+        for index, texts in text_pieces(rows, batch.column("text")):
+            words, offsets = word_hashes(texts, strip=True)
+            shingles, shingle_offsets = shingle_hashes(words, offsets, SEED_WORDS)
+            slot = shingles & mask
+            found = np.flatnonzero((table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+            if not len(found):
+                continue
+            text = np.searchsorted(shingle_offsets, found, "right") - 1
+            place = found - shingle_offsets[text]
+            begin = np.maximum(offsets[text], offsets[text] + place - reach)
+            end = np.minimum(offsets[text + 1], offsets[text] + place + reach)
+            apart = np.concatenate([[True], (text[1:] != text[:-1]) | (begin[1:] > end[:-1]) | (place[1:] // span != place[:-1] // span)])
+            first = np.flatnonzero(apart)
+            last = np.append(first[1:], len(apart)) - 1
+            sizes = end[last] - begin[first]
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            taken = np.arange(starts[-1]) - np.repeat(starts[:-1] - begin[first], sizes)
+            hits = np.append(first, len(apart))
+            keys = [batch.column(c).take(index.take(pa.array(text[first]))) for c in ("row", "doc_id", "digest")]
+            columns = [pa.array(begin[first] - offsets[text[first]]), _lists(words[taken].view(np.int64), starts), _lists(place, hits), _lists(shingles[found].view(np.int64), hits)]
+            yield pa.RecordBatch.from_arrays([*keys, *columns], names=["row", "doc_id", "digest", "begin", "words", "places", "seeds"])
 
 
 def align(item: np.ndarray, windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,108 +144,103 @@ def align(item: np.ndarray, windows: list[np.ndarray]) -> tuple[np.ndarray, np.n
     return scores, ends
 
 
-def find_matches(words: np.ndarray, offsets: np.ndarray, block: Block, accept: float) -> list[tuple[int, int, float, int]]:
-    """(text, item, score, word that the match ends at) of a batch: the best match of each pair."""
-    shingles, shingle_offsets = shingle_hashes(words, offsets, SEED_WORDS)
-    found, seed = _hits(shingles, block.seeds)
-    if not len(found):
-        return []
-    text = np.searchsorted(shingle_offsets, found, "right") - 1
-    place = found - shingle_offsets[text]
-    # A seed may stand in several items.
-    same = np.searchsorted(block.seeds, block.seeds[seed], "right") - seed
-    total = np.cumsum(same)
-    out, at, done = [], 0, 0
-    while at < len(found):
-        to = int(np.searchsorted(total, done + HITS, "right"))
-        if to < len(found):
-            # Back to the border of a text, or on to the end of the only one.
-            border = int(np.searchsorted(text, text[to], "left"))
-            to = border if border > at else int(np.searchsorted(text, text[at], "right"))
-        part = slice(at, to)
-        out += _match_hits(words, offsets, block, accept, text[part], place[part], seed[part], same[part])
-        at, done = to, int(total[to - 1])
-    return out
-
-
-def _match_hits(words: np.ndarray, offsets: np.ndarray, block: Block, accept: float, text: np.ndarray, place: np.ndarray, seed: np.ndarray, same: np.ndarray) -> list[tuple[int, int, float, int]]:
-    text, place = np.repeat(text, same), np.repeat(place, same)
-    seed = np.repeat(seed, same) + np.arange(same.sum()) - np.repeat(np.cumsum(same) - same, same)
-    item = block.item[seed]
-    length = block.lengths[item]
+def _windows(shifts: np.ndarray, length: int, begin: int, n_words: int) -> Iterator[tuple[int, int]]:
+    """Where an item of ``length`` words may lie in a stretch, for starts ``shifts``; windows that overlap become one."""
     pad = length // 4 + 4
-    begin = np.maximum(0, place - block.place[seed] - pad)
-    end = np.minimum(np.diff(offsets)[text], place - block.place[seed] + length + pad)
-    order = np.lexsort((begin, text, item))
-    text, item, begin, end = text[order], item[order], begin[order], end[order]
-    # Windows of a pair that overlap become one.
-    group = np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])
-    base = np.cumsum(group) * (int(np.diff(offsets).max()) + 1)
-    reach = np.maximum.accumulate(end + base)
-    new = np.concatenate([[True], (begin + base)[1:] > reach[:-1]])
-    start = np.flatnonzero(new)
-    last = np.append(start[1:], len(new)) - 1
-    text, item, begin, end = text[start], item[start], begin[start], (reach - base)[last]
-    best: dict[tuple[int, int], tuple[float, int]] = {}
-    for i in np.unique(item):
-        mine = np.arange(np.searchsorted(item, i, "left"), np.searchsorted(item, i, "right"))
-        size = len(block.words[i])
-        windows = [words[offsets[text[m]] + begin[m] : offsets[text[m]] + end[m]] for m in mine]
-        # A score is at most MATCH for each of the window's words that the item has.
-        known = np.add.reduceat(np.isin(np.concatenate(windows), block.words[i]), np.cumsum([0, *map(len, windows[:-1])]), dtype=np.int64)
-        enough = np.flatnonzero(known / size >= accept)
-        # Equal passages are aligned once.
-        number: dict[bytes, int] = {}
-        which = [number.setdefault(windows[k].tobytes(), len(number)) for k in enough]
-        scores, ends = align(block.words[i], [np.frombuffer(w, np.uint64) for w in number])
-        for m, n in zip(mine[enough], which):
-            key, score = (int(text[m]), int(i)), scores[n] / (MATCH * size)
-            if score >= accept and (key not in best or score > best[key][0]):
-                best[key] = (float(score), int(begin[m] + ends[n]))
-    return [(t, i, s, e) for (t, i), (s, e) in sorted(best.items())]
-
-
-def match_batches(batches: Iterator[pa.RecordBatch], block: Block, accept: float, item_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for keys, texts in text_pieces(batch.column("doc_id"), batch.column("text")):
-            found = find_matches(*word_hashes(texts, strip=True), block, accept)
-            which = pa.array([t for t, *_ in found], pa.int64())
-            items = pa.array([block.ids[i] for _, i, *_ in found], item_type)
-            yield pa.RecordBatch.from_arrays([keys.take(which), items, pa.array([s for *_, s, _ in found], pa.float64()), pa.array([e for *_, e in found], pa.int64())], names=["doc_id", "item_id", "score", "end_word"])
+    low = np.sort(np.clip(shifts - pad, begin, begin + n_words))
+    high = np.sort(np.clip(shifts + length + pad, begin, begin + n_words))
+    new = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
+    for a, b in zip(new, np.append(new[1:], len(low)) - 1):
+        yield int(low[a]), int(high[b])
 
 
-def drop_batches(batches: Iterator[pa.RecordBatch], block: Block, accept: float) -> Iterator[pa.RecordBatch]:
+def align_batches(batches: Iterator[pa.RecordBatch], accept: float) -> Iterator[pa.RecordBatch]:
+    """Best alignment of each stretch with its item, if it reaches ``accept``."""
     for batch in batches:
-        rows = pa.array(np.arange(batch.num_rows))
-        clean = np.ones(batch.num_rows, bool)
-        for index, texts in text_pieces(rows, batch.column("text")):
-            for t, *_ in find_matches(*word_hashes(texts, strip=True), block, accept):
-                clean[index[t].as_py()] = False
-        yield batch.filter(pa.array(clean))
-
-
-def _arrow_type(spark: SparkSession, df: DataFrame, column: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(df.schema[column].dataType)
+        kept, scores, ends = [], [], []
+        words, items, shifts = (batch.column(c) for c in ("words", "item_words", "shifts"))
+        begins, numbers = batch.column("begin").to_numpy(), batch.column("item").to_numpy()
+        for number in np.unique(numbers):
+            mine = np.flatnonzero(numbers == number)
+            item = items[int(mine[0])].values.to_numpy().view(np.uint64)
+            owner, where, windows = [], [], []
+            for r in mine.tolist():
+                stretch, begin = words[r].values.to_numpy().view(np.uint64), int(begins[r])
+                for low, high in _windows(shifts[r].values.to_numpy(), len(item), begin, len(stretch)):
+                    owner.append(r)
+                    where.append(low)
+                    windows.append(stretch[low - begin : high - begin])
+            # A score is at most MATCH for each of the window's words that the item has.
+            known = np.add.reduceat(np.isin(np.concatenate(windows), item), np.cumsum([0, *map(len, windows[:-1])]), dtype=np.int64)
+            enough = np.flatnonzero(known / len(item) >= accept).tolist()
+            # Equal passages are aligned once.
+            distinct: dict[bytes, int] = {}
+            which = [distinct.setdefault(windows[k].tobytes(), len(distinct)) for k in enough]
+            found, at = align(item, [np.frombuffer(w, np.uint64) for w in distinct])
+            for k, n in zip(enough, which):
+                score = float(found[n] / (MATCH * len(item)))
+                if score >= accept:
+                    kept.append(owner[k])
+                    scores.append(score)
+                    ends.append(int(where[k] + at[n]))
+        index = pa.array(kept, pa.int64())
+        keys = [batch.column(c).take(index) for c in ("row", "doc_id", "digest", "item")]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(scores, pa.float64()), pa.array(ends, pa.int64())], names=["row", "doc_id", "digest", "item", "score", "end_word"])
+
+
+def _aligned(hits: DataFrame, stretches: DataFrame, items: DataFrame, accept: float) -> DataFrame:
+    """row, doc_id, digest, item, score, end_word of the pairs that count among ``hits`` (stretch, item, shift)."""
+    placed = hits.groupBy("stretch", "item").agg(F.collect_set("shift").alias("shifts"))
+    both = placed.join(stretches.select("stretch", "row", "doc_id", "digest", "begin", "words"), "stretch").join(items.select("item", F.col("words").alias("item_words")), "item")
+    kind = dict(stretches.dtypes)["doc_id"]
+    found = both.select("row", "doc_id", "digest", "item", "begin", "words", "item_words", "shifts").mapInArrow(lambda it: align_batches(it, accept), f"row long, doc_id {kind}, digest long, item long, score double, end_word long")
+    # The best match of a pair, the first of equal ones.
+    best = F.max(F.struct("score", (-F.col("end_word")).alias("back"))).alias("best")
+    pairs = found.groupBy("row", "doc_id", "digest", "item").agg(best)
+    return pairs.select("row", "doc_id", "digest", "item", F.col("best.score").alias("score"), (-F.col("best.back")).alias("end_word"))
+
+
+def _pairs(docs: DataFrame, benchmark: DataFrame, accept: float) -> DataFrame:
+    """row, doc_id, digest (of the text), item_id, score, end_word of every pair that counts, written."""
+    spark = docs.sparkSession
+    kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), "item_id", clean_text().alias("text"))
+    items = materialize(items.mapInArrow(item_batches, f"item long, item_id {kinds[1]}, words array<long>, seeds array<long>"), "items")
+    seeds = materialize(items.select("item", F.posexplode("seeds").alias("place", "seed")), "item-seeds")
+    longest = items.agg(F.max(F.size("words")).alias("n")).first()["n"] or 0
+    reach, table = longest + longest // 4 + 4, spark.sparkContext.broadcast(bit_table(seeds))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(clean_text()).alias("digest"), clean_text().alias("text"))
+    schema = f"row long, doc_id {kinds[0]}, digest long, begin long, words array<long>, places array<long>, seeds array<long>"
+    stretches = rows.mapInArrow(lambda it: stretch_batches(it, table.value, reach), schema)
+    stretches = materialize(stretches.withColumn("stretch", F.monotonically_increasing_id()), "stretches")
+
+    places = stretches.select("stretch", "row", F.explode(F.arrays_zip("places", "seeds")).alias("hit"))
+    places = places.select("stretch", "row", F.col("hit.places").alias("at"), F.col("hit.seeds").alias("seed"))
+    often = places.groupBy("seed").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("often", "place"))
+    # Written, so that the join can split an n-gram that very many documents have.
+    known = materialize(seeds.join(often, "seed").withColumn("rare", rank <= RAREST), "known-seeds")
+    hits = materialize(places.join(known, "seed").select("stretch", "row", "item", (F.col("at") - F.col("place")).alias("shift"), "rare"), "seed-hits")
+
+    first = materialize(_aligned(hits.where("rare"), stretches, items, accept), "rare-pairs")
+    # What is undecided and shares more than rare n-grams; it is aligned around all it shares.
+    more = hits.where(~F.col("rare")).select("row", "item").distinct().join(first.select("row", "item"), ["row", "item"], "left_anti")
+    more = materialize(more, "undecided")
+    rest = _aligned(hits.join(more, ["row", "item"], "left_semi"), stretches, items, accept)
+    out = materialize(first.unionByName(rest).join(items.select("item", "item_id"), "item").drop("item"), "benchmark-pairs")
+    discard(seeds, stretches, known, hits, first, more, items)
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """doc_id, item_id, score, end_word of every pair of a document and an item that it copies or edits."""
-    spark = docs.sparkSession
-    kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, end_word long"
-    item_type = _arrow_type(spark, benchmark, "item_id")
-    out = None
-    for block in blocks(benchmark):
-        part = docs.select("doc_id", clean_text().alias("text")).mapInArrow(lambda it, b=block: match_batches(it, b, accept, item_type), schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    return _pairs(docs, benchmark, accept).select("doc_id", "item_id", "score", "end_word")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """The rows of ``docs``, with all columns, that hold no benchmark item."""
-    out = docs
-    for block in blocks(benchmark):
-        out = out.mapInArrow(lambda it, b=block: drop_batches(it, b, accept), docs.schema)
-    return out
+    p = free_prefix(docs, "b_")
+    gone = materialize(_pairs(docs, benchmark, accept).select(F.col("doc_id").alias(f"{p}doc"), F.col("digest").alias(f"{p}digest")).distinct(), "benchmark-rows")
+    gone = F.broadcast(gone) if gone.count() <= SENT else gone.hint("shuffle_hash")
+    same = F.col("doc_id").eqNullSafe(F.col(f"{p}doc")) & (F.xxhash64(clean_text()) == F.col(f"{p}digest"))
+    return docs.join(gone, same, "left_anti")

@@ -262,26 +262,57 @@ def test_decontamination_recall_on_edited_copies(spark):
     assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 40
 
 
-def test_decontamination_equals_aligning_all(monkeypatch):
+def test_decontamination_equals_aligning_all(spark, monkeypatch):
+    """The pairs are those of aligning every pair that shares an n-gram, however few n-grams go first and stretches hold."""
     rng = random.Random(10)
     vocabulary = [f"w{i}" for i in range(12)]
     texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 120))) for _ in range(60)]
-    block = decontaminate.build_block([1, 2], [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (6, 9)])
-    words_, offsets = decontaminate.word_hashes(pa.array(texts), strip=True)
-    seeds = set(block.seeds.tolist())
+    items = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (6, 9)]
+
+    def hashed(texts):
+        found, offsets = decontaminate.word_hashes(pa.array(texts), strip=True)
+        return [found[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+    grams = lambda w: set(decontaminate.shingle_hashes(w, np.array([0, len(w)]), 3)[0].tolist())
     want = {}
-    for t, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
-        for i, item in enumerate(block.words):
-            own = set(block.seeds[block.item == i].tolist()) & seeds
-            shared, _ = decontaminate.shingle_hashes(words_[a:b], np.array([0, b - a]), 3)
-            if own & set(shared.tolist()):
-                want[t, i] = brute_align(item, words_[a:b]) / (2 * len(item))
-    got = {}
-    for hits in (1, 50, 500_000):
-        monkeypatch.setattr(decontaminate, "HITS", hits)
-        got[hits] = decontaminate.find_matches(words_, offsets, block, 0.8)
-    assert got[1] == got[50] == got[500_000]
-    assert {(t, i): s for t, i, s, _ in got[1]} == {k: s for k, s in want.items() if s >= 0.8}
+    for t, text in enumerate(hashed(texts)):
+        for i, item in enumerate(hashed(items)):
+            if grams(item) & grams(text):
+                want[t, i] = brute_align(item, text) / (2 * len(item))
+    want = {k: s for k, s in want.items() if s >= 0.8}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for rarest in (0, 1, 4, 100):
+        monkeypatch.setattr(decontaminate, "RAREST", rarest)
+        got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(docs(spark, texts), bench, 0.8).collect()}
+        assert got.keys() == want.keys() and all(0.8 <= s <= want[k] for k, s in got.items())
+        if rarest in (0, 100):
+            assert got == want
+
+
+def test_decontamination_cuts_long_stretches(spark, monkeypatch):
+    """A long text in which every word may be a hit is many stretches, and a full bit table lets only more of them through."""
+    rng = random.Random(11)
+    item = words(rng, 12)
+    texts = [" ".join([item] * 300), f"{words(rng, 3000)} {item} {words(rng, 3000)}", words(rng, 5000), " ".join(item.split()[:3] + words(rng, 40).split()) * 50]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "STRETCH_WORDS", 64)
+    for table in (None, np.full(1024, 2**64 - 1, np.uint64)):
+        if table is not None:
+            monkeypatch.setattr(decontaminate, "bit_table", lambda seeds: table)
+        got = {(r["doc_id"], r["item_id"], r["score"]) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+        assert got == {(0, 1, 1.0), (1, 1, 1.0)}
+
+
+def test_decontamination_of_a_very_common_item(spark):
+    """An item that a third of all rows copy, under ids that repeat and with columns of all the names in use."""
+    rng = random.Random(12)
+    item = words(rng, 30)
+    rows = [(k % 100, f"{words(rng, 15)} {item}" if k % 3 == 0 else words(rng, 30), k, "x") for k in range(300)] + [(None, item, 1, "y"), (None, None, 1, "y")]
+    data = spark.createDataFrame(rows, "doc_id long, text string, digest long, b_doc string")
+    bench = spark.createDataFrame([(1, item, 5), (2, words(rng, 30), 5)], "item_id long, text string, item long")
+    assert decontaminate.contaminated(data, bench).count() == 101
+    kept = decontaminate.decontaminate(data, bench)
+    assert kept.columns == data.columns and {tuple(r) for r in kept.collect()} == {r for r in rows if not (r[1] or "").endswith(item)}
 
 
 def test_line_dedup(spark):
