@@ -3,7 +3,7 @@
 Alternating star contraction: every node points its larger neighbours at its smallest one, then its
 smaller neighbours, until nothing moves; what is left is a star around each component's smallest
 node.  A step is two aggregations by node and joins on it, so no list of neighbours is ever built,
-and each step's edges are written to the shared folder.
+and each step's edges and minima are written to the shared folder, so that the join can split a hub.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One contraction of edges (u > v)."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         moved = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
         moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return moved.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct()
 

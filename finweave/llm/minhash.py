@@ -256,9 +256,11 @@ def find_links(docs: DataFrame, signed: DataFrame, weighted: bool = False) -> tu
     members = signed.where("n > 0").select("node", F.explode("bands").alias("bucket")).distinct()
     mixed = F.col("node").bitwiseXOR(F.col("bucket"))
     met = members.groupBy("bucket").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where("low != high")
-    met = met.select("bucket", F.col("low").bitwiseXOR(F.col("bucket")).alias("b"))
+    # Written, so that the join can split a bucket that very many nodes share.
+    met = materialize(met.select("bucket", F.col("low").bitwiseXOR(F.col("bucket")).alias("b")), "met-buckets")
     # Buckets of one node are the bulk, and they end here.
     members = materialize(members.join(met, "bucket"), "buckets")
+    discard(met)
     # Equal nodes have equal sketches; a maximum by word is a sum that aggregates before the shuffle.
     words = [F.max(F.get("odd", F.lit(i))).alias(f"o{i}") for i in range(ODD_WORDS)]
     nodes = signed.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), *words).select("node", "n", F.array(*[f"o{i}" for i in range(ODD_WORDS)]).alias("odd"))
