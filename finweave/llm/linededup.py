@@ -82,11 +82,13 @@ def templates(docs: DataFrame, digests: DataFrame) -> DataFrame:
     contents = [F.when(F.col("place") == 0, F.col(c)).alias(c) for c in ("low", "high")]
     placed = materialize(placed.select("leaf", "line_hash", "n_tokens", *contents, F.xxhash64("place", "token").alias("token")), "line-tokens")
     shared = placed.groupBy("leaf", "token").agg(F.count(F.lit(1)).alias("support")).where("support > 1")
+    # Written, so that the join can split a token that very many lines of a leaf have.
+    shared = materialize(shared, "line-shared")
     supported = placed.join(shared, ["leaf", "token"], "left").select("leaf", "line_hash", "n_tokens", "low", "high", F.struct(F.coalesce("support", F.lit(1)).alias("support"), "token").alias("place"))
     made = supported.groupBy("line_hash", "leaf", "n_tokens").agg(F.sort_array(F.collect_list("place"), asc=False).alias("places"), F.max("low").alias("low"), F.max("high").alias("high"))
     made = made.withColumn("least", F.element_at("places", n_fixed - given)["support"]).withColumn("fixed", F.filter("places", lambda p: p["support"] * 2 > F.col("least"))["token"])
     made = materialize(made.where(F.size("fixed") + given < F.col("n_tokens")).select("line_hash", F.xxhash64("leaf", "fixed").alias("template"), "low", "high"), "line-wildcards")
-    discard(placed, leaves)
+    discard(placed, leaves, shared)
     several = made.groupBy("template").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("template")
     return made.select("line_hash", "template").join(several, "template", "left_semi")
 
