@@ -6,7 +6,7 @@ reader takes the footer, then any document by two boundary lookups; there is no
 
 Documents are dealt to shards by ranges of ``doc_id`` (then of the text's digest) and sorted within, so shards in order hold
 the corpus in ascending ``doc_id``.  Each task writes its shard under a temporary name in the shared
-folder and renames it; a lost or repeated task writes the same bytes to the same name.  The driver
+folder and renames it; there are as many as shuffle partitions, more where a shard would take over ``SHARD_BYTES``; a lost or repeated task writes the same bytes to the same name.  The driver
 keeps one row for each shard.
 
 Edge cases: ids are whole numbers; null text is a document of only the end id; a null ``doc_id`` stands before all others
@@ -36,6 +36,8 @@ from finweave.llm.eliasfano import EliasFano, encode
 MAGIC = b"FWTOKEN1"
 #: id width in bytes, documents, null document ids, ids, bytes of the ends, bytes of the document ids
 FOOTER = struct.Struct("<BxxxxxxxQQQQQ8s")
+#: Bytes of text that one shard takes about: a task keeps its documents' lengths and ids.
+SHARD_BYTES = 2**29
 #: Documents read back at once.
 CHUNK_DOCS = 4096
 SHARD_SCHEMA = "shard int, path string, n_docs long, n_ids long, n_bytes long"
@@ -134,7 +136,10 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, out_dir: str, end_i
     # Rows of one id, or of none, are dealt on by their text's digest, so no id fills a shard alone.
     order = [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("text")]
     rows = rows.withColumn("digest", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(num_shards or shuffle_partitions(spark), *order[:2]).sortWithinPartitions(*order).drop("digest")
+    if num_shards is None:
+        n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        num_shards = max(shuffle_partitions(spark), -(-n_bytes // SHARD_BYTES))
+    dealt = rows.repartitionByRange(num_shards, *order[:2]).sortWithinPartitions(*order).drop("digest")
     with small_batches(spark, bpe.ENCODE_ROWS):
         shards = dealt.mapInArrow(lambda it: write_shard(it, out_dir, tokenizer_path, end_id), SHARD_SCHEMA).collect()
     return [r.asDict() for r in sorted(shards, key=lambda r: r["shard"])]
