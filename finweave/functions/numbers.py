@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finweave.functions.text import plain_forms, squeezed, steps
+from finweave.functions.text import once, plain_forms, squeezed, steps
 
 #: Fixed values.
 MISSING = ("-", "—", "–", "n/a", "na", "null", "none", "", ".")
@@ -24,9 +24,7 @@ def is_missing_number(raw: Column) -> Column:
 
 
 def is_numeric_candidate(raw: Column) -> Column:
-    s = _working(raw)
-    repaired = F.when(s.rlike("[0-9].*[Oo]$"), F.concat(F.substring(s, F.lit(1), F.length(s) - 1), F.lit("0"))).otherwise(s)
-    return ~is_missing_number(raw) & repaired.rlike("[0-9]") & repaired.rlike(r"^[0-9., +\-()%]+$")
+    return steps(_working(raw), _repaired, lambda x: ~x["blank"] & x["text"].rlike("[0-9]") & x["text"].rlike(r"^[0-9., +\-()%]+$"))
 
 
 def _cut(text: Column, first: int, less: int) -> Column:
@@ -119,5 +117,5 @@ def parse_number(raw: Column) -> Column:
 
 def with_number(df: DataFrame, raw: str, value: str = "value_numeric", hint: str = "number_hint", issue: str = "number_issue") -> DataFrame:
     """Adds the fields of a raw text's decision as columns."""
-    out = df.withColumn("_number_decision", parse_number(F.col(raw)))
+    out = once(df, _number_decision=parse_number(F.col(raw)))
     return out.withColumns({value: F.col("_number_decision.value"), hint: F.col("_number_decision.unit_hint"), issue: F.col("_number_decision.issue_code")}).drop("_number_decision")

@@ -7,7 +7,7 @@ import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -59,6 +59,12 @@ def steps(value: Column, *each) -> Column:
     return F.get(out, F.lit(0))
 
 
+def once(df: DataFrame, **values: Column) -> DataFrame:
+    """Adds columns as those of a generated row: filters and later columns read them and are never pushed below them, where they would be written out in full."""
+    row = F.explode(F.array(F.struct(*[v.alias(name) for name, v in values.items()]))).alias("_once")
+    return df.select("*", row).select(*df.columns, *[F.col("_once")[name].alias(name) for name in values])
+
+
 def squeezed(text: Column) -> Column:
     """White space of any script runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)[\s\x1C-\x1F]+", " "))

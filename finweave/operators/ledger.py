@@ -11,6 +11,8 @@ from finweave.functions import ids
 from finweave.operators.extraction import spots_of, tables_of
 from finweave.operators.matching import containing_table
 
+#: What the ledger reads of an extraction.
+PARTS = ("candidate", "rejected", "table")
 STATUSES = ("canonical", "rejected", "duplicate")
 COLUMNS = ("source_table_id", "doc_id", "relative_path", "source_sha256", "ordinal", "line_start", "line_end", "status", "canonical_table_id", "rejection_code", "duplicate_of_relative_path")
 

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finweave.functions import labels, numbers, periods, units
-from finweave.functions.text import is_value_candidate, native_key, normalized_key
-from finweave.operators.extraction import cells_of, tables_of
+from finweave.functions.text import is_value_candidate, native_key, normalized_key, once
+from finweave.operators.extraction import OF_TABLE, cells_of, extract_tables, placed, tables_of, with_cell_id, with_table_id
+from finweave.sources.tables import staged
 
 ISSUE_FIELDS = {
     "company_conflict": "company", "period_incomplete": "period", "period_ambiguous": "period", "period_invalid": "period", "statement_conflict": "statement_type", "metric_unknown": "metric",
@@ -29,7 +30,10 @@ def with_keys(df: DataFrame, pairs: dict[str, str], exact: bool = True) -> DataF
 
 def normalize_tables(tables: DataFrame, documents: DataFrame, exact: bool = True) -> DataFrame:
     """Adds company_code, report_year, statement_type, unit_normalized and the table's issues."""
-    keyed = with_keys(tables.join(documents.select("doc_id", "company_code", "report_year"), "doc_id"), {"title_raw": "title_key", "unit_raw": "unit_key"}, exact)
+    return _judged_tables(with_keys(tables.join(documents.select("doc_id", "company_code", "report_year"), "doc_id"), {"title_raw": "title_key", "unit_raw": "unit_key"}, exact))
+
+
+def _judged_tables(keyed: DataFrame) -> DataFrame:
     statement = labels.normalize_statement(F.coalesce("title_key", F.lit("")))
     return keyed.withColumn("statement_type", statement["value"]).withColumn("statement_issue", statement["issue_code"]).withColumn("company_issue", labels.company_issue(F.col("company_code"), F.col("title_key"))).withColumn("unit_normalized", units.normalize_unit(F.col("unit_key")))
 
@@ -40,30 +44,64 @@ def normalize_cells(cells: DataFrame, tables: DataFrame, exact: bool = True) ->
     # A row's metric comes from its first cell in reading order.
     first = Window.partitionBy("table_id", "row_idx").orderBy("col_idx", "cell_id")
     rows = cells.withColumn("row_first", F.first("row_label_raw").over(first)).withColumn("in_row", F.row_number().over(first)).join(context, "table_id")
-    rows = with_keys(rows, {"row_first": "metric_key", "column_label_raw": "column_key", "value_raw": "value_key"}, exact)
+    return _judged_cells(with_keys(rows, {"row_first": "metric_key", "column_label_raw": "column_key", "value_raw": "value_key"}, exact))
+
+
+def _judged_cells(rows: DataFrame) -> DataFrame:
+    """Cells with keys, their place in the row and their table's context, judged column by column."""
     unknown = F.when(labels.metric_issue(F.col("metric_key")).isNotNull() & F.col("statement_type").isNotNull() & (F.col("statement_type") != "notes"), F.lit("metric_unknown"))
     period = F.when(periods.has_period_evidence(F.col("column_key")), periods.normalize_period(F.col("column_key"), F.col("report_year")))
-    rows = rows.withColumn("metric", labels.normalize_metric(F.col("metric_key"))).withColumn("metric_issue", F.when(F.col("in_row") == 1, unknown)).withColumn("_p", period)
+    rows = once(rows, metric=labels.normalize_metric(F.col("metric_key")), metric_issue=F.when(F.col("in_row") == 1, unknown), _p=period)
     rows = rows.withColumn("period", F.col("_p.value")).withColumn("period_issue", F.col("_p.issue_code")).drop("_p")
     candidate = is_value_candidate(F.col("value_raw"), F.col("row_label_raw"), F.col("column_key"))
-    rows = rows.withColumn("is_value", candidate).withColumn("_number", F.when(candidate & numbers.is_numeric_candidate(F.col("value_raw")), F.col("value_raw")))
+    rows = once(rows, is_value=candidate, _number=F.when(candidate & numbers.is_numeric_candidate(F.col("value_raw")), F.col("value_raw")))
     rows = numbers.with_number(rows, "_number")
     rows = rows.withColumn("number_issue", F.when(~((F.col("number_issue") == "number_missing") & F.col("metric").isNull()), F.col("number_issue")))
     stated = F.col("number_hint").isNotNull() | units.has_unit_evidence(F.col("value_key")) | units.has_unit_evidence(F.col("column_key")) | units.has_unit_evidence(F.col("table_unit_key"))
     decided = F.when(F.col("is_value") & stated, units.resolve_unit(F.col("number_hint"), F.col("column_label_raw"), F.col("column_key"), F.col("table_unit_key")))
-    rows = rows.withColumn("_u", decided).withColumn("unit", F.col("_u.value")).withColumn("unit_issue", F.col("_u.issue_code"))
+    rows = once(rows, _u=decided).withColumn("unit", F.col("_u.value")).withColumn("unit_issue", F.col("_u.issue_code"))
     return rows.withColumn("row_label_canonical", F.col("metric")).withColumn("column_label_canonical", F.col("period")).drop("_u", "_number", "in_row", "number_hint")
 
 
+#: What the passes over texts keep of a document, and a cell's place in it.
+KEPT, PLACE = ("company_code", "report_year"), ("doc_id", *OF_TABLE, "row_idx", "col_idx")
+
+
+def cells_of_texts(keyed: DataFrame) -> DataFrame:
+    """The cells of ``normalize_extraction``, without identifiers, from an extraction of keyed cells: each has its table's and row's context, so nothing is joined or shuffled."""
+    cells = placed(keyed, "keyed_cell", *KEPT)
+    statement = labels.normalize_statement(F.coalesce("title_key", F.lit("")))["value"]
+    cells = cells.withColumns({"statement_type": statement, "table_unit_raw": F.col("unit_raw"), "table_unit_key": F.col("unit_key")})
+    return _judged_cells(cells.drop("title_raw", "title_key", "unit_raw", "unit_key", "company_code"))
+
+
+def normalize_texts(documents: DataFrame) -> DataFrame:
+    """Cells with their place of documents (doc_id, text, company_code, report_year), in one pass."""
+    return cells_of_texts(extract_tables(documents, ("keyed_cell",), KEPT))
+
+
+def issues_of_texts(documents: DataFrame) -> DataFrame:
+    """The distinct issues of documents as ``issues_of`` has them; they are made distinct by place, and identifiers come after that."""
+    keyed = staged(extract_tables(documents, ("keyed_table", "keyed_cell"), KEPT), "keyed")
+    tables = _judged_tables(placed(keyed, "keyed_table", *KEPT)).withColumns({c: F.lit(None).cast("int") for c in ("row_idx", "col_idx")})
+    found = _stacked(tables, TABLE_ISSUES, *PLACE).unionByName(_stacked(cells_of_texts(keyed), CELL_ISSUES, *PLACE)).distinct()
+    found = with_cell_id(with_table_id(found))
+    return found.withColumn("cell_id", F.when(F.col("row_idx").isNotNull(), F.col("cell_id"))).select(*ISSUE_COLUMNS)
+
+
+TABLE_ISSUES = (("company", "company_issue", "title_raw"), ("statement_type", "statement_issue", "title_raw"))
+CELL_ISSUES = (("metric", "metric_issue", "row_first"), ("period", "period_issue", "column_label_raw"), ("number", "number_issue", "value_raw"), ("unit", "unit_issue", "value_raw"))
+
+
+def _stacked(df: DataFrame, kinds: tuple[tuple[str, str, str], ...], *keys: str) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(field).alias("field"), F.col(code).alias("code"), F.col(raw).alias("raw_value")) for field, code, raw in kinds])
+    return df.select(*keys, F.explode(F.filter(each, lambda i: i["code"].isNotNull())).alias("i")).select(*keys, "i.*")
+
+
 def issues_of(tables: DataFrame, cells: DataFrame) -> DataFrame:
     """The distinct issues of normalized tables and cells."""
-    def stacked(df: DataFrame, kinds: list[tuple[str, str, str]], cell) -> DataFrame:
-        each = F.array(*[F.struct(F.lit(field).alias("field"), F.col(code).alias("code"), F.col(raw).alias("raw_value")) for field, code, raw in kinds])
-        out = df.select("doc_id", "table_id", cell.alias("cell_id"), F.explode(F.filter(each, lambda i: i["code"].isNotNull())).alias("i"))
-        return out.select("doc_id", "table_id", "cell_id", "i.*")
-
-    of_tables = stacked(tables, [("company", "company_issue", "title_raw"), ("statement_type", "statement_issue", "title_raw")], F.lit(None).cast("string"))
-    of_cells = stacked(cells, [("metric", "metric_issue", "row_first"), ("period", "period_issue", "column_label_raw"), ("number", "number_issue", "value_raw"), ("unit", "unit_issue", "value_raw")], F.col("cell_id"))
+    of_tables = _stacked(tables.drop("cell_id").withColumn("cell_id", F.lit(None).cast("string")), TABLE_ISSUES, "doc_id", "table_id", "cell_id")
+    of_cells = _stacked(cells, CELL_ISSUES, "doc_id", "table_id", "cell_id")
     return of_tables.unionByName(of_cells).select(*ISSUE_COLUMNS).distinct()
 
 

@@ -359,6 +359,12 @@ def order_reports(spark: SparkSession, sf_dir: str, pages: int = 1) -> DataFrame
     return lines.select(F.concat(F.lit("doc_"), F.col("l_orderkey").cast("string")).alias("doc_id"), F.lit("ABC").alias("company_code"), F.lit(2023).alias("report_year"), whole.alias("text"))
 
 
+def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey in as many tasks as the session shuffles in: the table's file is small beside the work that its texts make."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return table(spark, sf_dir, "orders").select("o_orderkey").repartition(n, "o_orderkey")
+
+
 LINES = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem"
 CELLS = f"SELECT concat('doc_', CAST(l_orderkey AS STRING)) AS doc_id, CAST(r AS INT) AS row_idx, 1 AS col_idx, concat('Item ', CAST(l_linenumber AS STRING)) AS row_label_raw, '2023' AS period, 'VND_million' AS unit, CAST(CAST(l_quantity AS INT) AS DOUBLE) AS value FROM ({LINES}) x UNION ALL SELECT concat('doc_', CAST(l_orderkey AS STRING)), CAST(r AS INT), 2, concat('Item ', CAST(l_linenumber AS STRING)), '2024-Q1', 'VND_million', round(l_extendedprice, 2) FROM ({LINES}) x"
 
@@ -367,14 +373,13 @@ CELLS = f"SELECT concat('doc_', CAST(l_orderkey AS STRING)) AS doc_id, CAST(r AS
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports to normalized value cells."""
     reports = order_reports(spark, sf_dir)
-    _, cells, _ = normalization.normalize_extraction(staged(extraction.extract_tables(reports), "extracted"), reports)
-    return cells.where("value_numeric IS NOT NULL").select("doc_id", "row_idx", "col_idx", "row_label_raw", "period", "unit", F.col("value_numeric").cast("double").alias("value"))
+    return normalization.normalize_texts(reports).where("value_numeric IS NOT NULL").select("doc_id", "row_idx", "col_idx", "row_label_raw", "period", "unit", F.col("value_numeric").cast("double").alias("value"))
 
 
 @on_tables("page_continuation", "SELECT concat('doc_', CAST(l_orderkey AS STRING)) AS doc_id, CAST(count(*) + 1 AS INT) AS row_count, 3 AS column_count, count(*) > 1 AS continued, CAST((count(*) + 1) * 3 AS BIGINT) AS n_placements FROM lineitem GROUP BY l_orderkey")
 def page_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables that break across a page are one again."""
-    found = extraction.tables_of(extraction.extract_tables(order_reports(spark, sf_dir, pages=2)))
+    found = extraction.tables_of(extraction.extract_tables(order_reports(spark, sf_dir, pages=2), ("table",)))
     return found.select("doc_id", "row_count", "column_count", F.array_contains("evidence", extraction.CONTINUED).alias("continued"), F.col("n_placements").cast("long").alias("n_placements"))
 
 
@@ -386,8 +391,7 @@ def extraction_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.regexp_replace(odd, "(<td>Item 7</td><td>)[0-9]+", "$11.2.3")
     odd = F.regexp_replace(odd, "(<td>Item 6</td><td>)[0-9]+", "$11.234.56,7.8")
     reports = reports.withColumn("text", odd)
-    _, _, issues = normalization.normalize_extraction(staged(extraction.extract_tables(reports), "extracted"), reports)
-    return profile.issue_shares(issues)
+    return profile.issue_shares(normalization.issues_of_texts(reports))
 
 
 @on_tables("occurrence_ledger", "SELECT 'canonical' AS status, count(DISTINCT l_orderkey) AS n FROM lineitem UNION ALL SELECT 'rejected', 0 UNION ALL SELECT 'duplicate', 0")
@@ -395,7 +399,7 @@ def occurrence_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of the reports' tables, by status."""
     reports = order_reports(spark, sf_dir)
     documents = reports.select("doc_id", F.col("doc_id").alias("relative_path"), F.sha2("text", 256).alias("sha256"))
-    return ledger.status_counts(ledger.occurrences(staged(extraction.extract_tables(reports), "extracted"), documents))
+    return ledger.status_counts(ledger.occurrences(staged(extraction.extract_tables(reports, ledger.PARTS), "extracted"), documents))
 
 
 @on_tables("delimited_extraction", "SELECT concat('doc_', CAST(o_orderkey AS STRING)) AS doc_id, 3 AS row_count, 3 AS column_count, 0.85::DOUBLE AS quality_score FROM orders")
@@ -403,7 +407,7 @@ def delimited_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tab-delimited runs in prose become tables with a header."""
     k = F.col("o_orderkey").cast("string")
     body = F.concat(F.lit("Some prose.\nChỉ tiêu\t2023\t2022\nCash\t"), k, F.lit("\t12\nDebt\t7\t"), k, F.lit("\n\nMore prose."))
-    found = extraction.extract_tables(table(spark, sf_dir, "orders").select(F.concat(F.lit("doc_"), k).alias("doc_id"), body.alias("text")))
+    found = extraction.extract_tables(order_keys(spark, sf_dir).select(F.concat(F.lit("doc_"), k).alias("doc_id"), body.alias("text")), ("table",))
     return extraction.tables_of(found).select("doc_id", "row_count", "column_count", "quality_score")
 
 
@@ -411,7 +415,7 @@ def delimited_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rejected_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = ("<table><tr><td><table></table></td></tr></table>", "<table><tr><td>1</td></tr>", "<table><tr><td rowspan='0'>1</td></tr></table>", "<table><tbody><tr><td>1</td></tr></tbody></table>")
     body = F.get(F.array(*[F.lit(b) for b in broken]), (F.col("o_orderkey") % 4).cast("int"))
-    found = extraction.extract_tables(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), body.alias("text")))
+    found = extraction.extract_tables(order_keys(spark, sf_dir).select(F.col("o_orderkey").cast("string").alias("doc_id"), body.alias("text")), ("rejected",))
     return extraction.spots_of(found, "rejected").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -17,7 +17,7 @@ from finweave import streaming
 from finweave.functions import ids, text
 from finweave.operators import extraction, ledger, matching
 from finweave.plans import audit, gate, profile, release
-from finweave.queries import QUERIES, SQL, VIEWS, on_tables, order_reports, query, table
+from finweave.queries import QUERIES, SQL, VIEWS, on_tables, order_keys, order_reports, query, table
 from finweave.sources import files, snapshot, store, tables
 
 _written: dict[tuple[str, str, str], str] = {}
@@ -427,7 +427,7 @@ def short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @on_tables("extraction_totals", "SELECT count(DISTINCT l_orderkey) AS documents, count(DISTINCT l_orderkey) AS tables, sum(n)::BIGINT AS cells, sum(n)::BIGINT AS placements, 0::BIGINT AS rejections, 0::BIGINT AS html_free, 0::BIGINT AS html_free_with_tables FROM (SELECT l_orderkey, (count(*) + 1) * 3 AS n FROM lineitem GROUP BY 1)")
 def extraction_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.extraction_totals(extraction.extract_tables(order_reports(spark, sf_dir)))
+    return profile.extraction_totals(extraction.extract_tables(order_reports(spark, sf_dir), ("document",)))
 
 
 @on_tables("extraction_is_deterministic", "SELECT DISTINCT concat('doc_', CAST(l_orderkey AS STRING)) AS doc_id FROM lineitem WHERE l_orderkey % 50 = 0")
@@ -444,7 +444,7 @@ def mixed_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey").cast("string")
     one = "<table><tr><td>a</td><td>1</td></tr></table>\n"
     body = F.concat(F.lit(f"{one}\nChỉ tiêu\t2023\t2022\nCash\t"), k, F.lit(f"\t12\nDebt\t7\t8\n\n<table><tr><td rowspan='0'>1</td></tr></table>\n\ntext\n{one}"))
-    found = extraction.extract_tables(table(spark, sf_dir, "orders").select(F.concat(F.lit("doc_"), k).alias("doc_id"), body.alias("text")))
+    found = tables.staged(extraction.extract_tables(order_keys(spark, sf_dir).select(F.concat(F.lit("doc_"), k).alias("doc_id"), body.alias("text")), ("candidate", "rejected")), "spots")
     rejected = extraction.spots_of(found, "rejected").select("doc_id", "kind", "ordinal", F.lit(True).alias("rejected"))
     candidates = extraction.spots_of(found, "candidates").select("doc_id", "kind", "ordinal")
     return candidates.unionByName(rejected.select("doc_id", "kind", "ordinal")).distinct().join(rejected, ["doc_id", "kind", "ordinal"], "left").select("doc_id", "kind", "ordinal", F.coalesce("rejected", F.lit(False)).alias("rejected"))
