@@ -70,12 +70,11 @@ def sample_rows(issues: DataFrame, documents: DataFrame, tables: DataFrame, cell
     chosen on narrow columns; texts of tables and cells join the few rows that are left.
     """
     narrow = issues.withColumnRenamed("code", "issue_code").join(documents.select("doc_id", "company_code", "report_year"), "doc_id").join(tables.select("table_id", "statement_type"), "table_id", "left")
-    kept = stratified(with_sample_keys(narrow, fingerprint, seed), per_stratum, limits)
-    keys = ["issue_code", "doc_id", "table_id", "cell_id", "field", "raw_value"]
-    issue = [c if c != "issue_code" else "code" for c in keys]
-    context = issue_context(kept.select(*[F.col(a).alias(b) for a, b in zip(keys, issue)], "sample_id"), documents, tables, cells)
-    chosen = kept.select("sample_id", "release_fingerprint", "stratum_key", "selection_rank")
-    return context.join(chosen, "sample_id").orderBy("issue_code", "selection_rank", "sample_id")
+    # Rows that repeat, or whose cell does, only push others out; so all that stay are among these, and are chosen again with every repetition.
+    near = stratified(with_sample_keys(narrow, fingerprint, seed), per_stratum, limits).select("sample_id").distinct()
+    named = ids.sample_id(F.lit(fingerprint), *[F.col(c) for c in ("code", "doc_id", "table_id", "cell_id", "field", "raw_value")])
+    chosen = issues.withColumn("sample_id", named).join(near, "sample_id", "left_semi").drop("sample_id")
+    return stratified(with_sample_keys(issue_context(chosen, documents, tables, cells), fingerprint, seed), per_stratum, limits)
 
 
 def build_sample(release: dict[str, DataFrame], fingerprint: str, seed: str = SEED, per_stratum: int = PER_STRATUM, limits: dict[str, int] | None = None) -> DataFrame:
