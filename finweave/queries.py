@@ -155,7 +155,7 @@ STRATUM_RANK = RANK.format("stratum", "company_code, chr(10), CAST(report_year A
 query("pilot_documents", "docs", sql=f"SELECT doc_id, company_code, pick FROM (SELECT *, CAST(row_number() OVER (PARTITION BY company_code ORDER BY is_fill, CASE WHEN is_fill = 0 THEN stratum_rank ELSE document_rank END, doc_id) AS INT) AS pick FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY company_code, report_year, statement_scope ORDER BY document_rank, doc_id) > 1 THEN 1 ELSE 0 END AS is_fill FROM (SELECT *, {DOC_RANK} AS document_rank, {STRATUM_RANK} AS stratum_rank FROM docs WHERE company_code IN (SELECT company_code FROM docs GROUP BY company_code HAVING count(*) >= 3 ORDER BY {RANK.format('company', 'company_code')}, company_code LIMIT 20)))) WHERE pick <= 3")(lambda d: gate.pick_documents(d).select("doc_id", "company_code", "pick"))
 CELL_RANK, BUCKET_RANK = RANK.format("audit_cell", "cell_id"), RANK.format("cell_stratum", "company_code, chr(10), CAST(report_year AS STRING), chr(10), coalesce(statement_type, '')")
 query("audit_cells", "cels", "tabs", "docs", sql=f"SELECT cell_id, table_id FROM (SELECT *, row_number() OVER (PARTITION BY company_code, report_year, statement_type ORDER BY cell_rank, cell_id) AS round FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY cell_rank, cell_id) AS t FROM (SELECT cell_id, table_id, company_code, report_year, statement_type, {CELL_RANK} AS cell_rank, {BUCKET_RANK} AS bucket_rank FROM cels JOIN tabs USING (table_id) JOIN docs USING (doc_id))) WHERE t <= 2) ORDER BY round, bucket_rank, cell_id LIMIT 30")(
-    lambda c, t, d: gate.pick_cells(c.select("cell_id", "table_id").join(t.select("table_id", "doc_id", "statement_type"), "table_id").join(d, "doc_id")).select("cell_id", "table_id")
+    lambda c, t, d: gate.pick_cells(c.select("cell_id", "table_id").join(t.select("table_id", "doc_id", "statement_type").join(d.select("doc_id", "company_code", "report_year"), "doc_id"), "table_id")).select("cell_id", "table_id")
 )
 query("interval_overlap", "ann", "tabs", sql="SELECT ann.doc_id, annotation_id, table_id, CAST(ann.line_start = tabs.line_start AND ann.line_end = tabs.line_end AS INT) AS exact, CAST(least(ann.line_end, tabs.line_end) - greatest(ann.line_start, tabs.line_start) + 1 AS BIGINT) AS overlap, CAST(ann.line_end - ann.line_start + 1 AS BIGINT) AS span, CAST(abs(ann.line_start - tabs.line_start) + abs(ann.line_end - tabs.line_end) AS BIGINT) AS distance FROM ann JOIN tabs ON ann.doc_id = tabs.doc_id AND ann.line_start <= tabs.line_end AND tabs.line_start <= ann.line_end")(matching.overlapping_pairs)
 #: All overlaps compete; SQL cannot state the best assignment, and a test compares it with brute force.
