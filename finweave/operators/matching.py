@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
 from math import lcm
 
 import pyarrow as pa
@@ -83,7 +82,9 @@ def best_assignment(pairs: list[tuple[str, str, int, int, int, int]]) -> dict[st
     Each connected part is solved alone as an assignment problem over integers, which is exact and
     takes time with the cube of the part's size.
     """
-    gain = {(a, t): (exact, Fraction(over, span), -dist) for a, t, exact, over, span, dist in pairs}
+    # Shares are whole numbers over the least common denominator of all.
+    common = lcm(*{span for _, _, _, _, span, _ in pairs})
+    gain = {(a, t): (exact, over * (common // span), -dist) for a, t, exact, over, span, dist in pairs}
     options: dict[str, list[str]] = {}
     for a, t in sorted(gain):
         options.setdefault(a, []).append(t)
@@ -102,23 +103,24 @@ def best_assignment(pairs: list[tuple[str, str, int, int, int, int]]) -> dict[st
     return out
 
 
-def _costs(rows: list[str], columns: list[str], gain: dict[tuple[str, str], tuple[int, Fraction, int]]) -> list[list[int]]:
+def _costs(rows: list[str], columns: list[str], gain: dict[tuple[str, str], tuple[int, int, int]]) -> list[list[int]]:
     """Costs of each row's tables and of staying without one (as many columns more as rows).
 
     A cost is one integer of digits: exact spans, shares, distances, then the rank of the row's
     table; each digit's base is above any sum of it.
     """
-    own = {(a, t): gain[a, t] for a in rows for t in columns if (a, t) in gain}
-    common = lcm(*(share.denominator for _, share, _ in own.values()))
-    shares = 1 + sum(int(share * common) for _, share, _ in own.values())
-    distances = 1 - sum(minus for *_, minus in own.values())
+    own = [[gain.get((a, t)) for t in columns] for a in rows]
+    held = [g for row in own for g in row if g is not None]
+    shares = 1 + sum(g[1] for g in held)
+    distances = 1 - sum(g[2] for g in held)
     ranks = len(columns) + 1
     order = ranks ** len(rows)
-    costs = []
-    for k, a in enumerate(rows):
+    costs, most = [], 0
+    for k, row in enumerate(own):
         place = ranks ** (len(rows) - 1 - k)
-        costs.append([r * place - ((own[a, t][0] * shares + int(own[a, t][1] * common)) * distances + own[a, t][2]) * order if (a, t) in own else None for r, t in enumerate(columns)] + [len(columns) * place] * len(rows))
-    never = 1 + 2 * sum(max(abs(c) for c in row if c is not None) for row in costs)
+        costs.append([None if g is None else r * place - ((g[0] * shares + g[1]) * distances + g[2]) * order for r, g in enumerate(row)] + [len(columns) * place] * len(rows))
+        most += max(abs(c) for c in costs[-1] if c is not None)
+    never = 1 + 2 * most
     return [[never if c is None else c for c in row] for row in costs]
 
 
@@ -130,25 +132,25 @@ def _cheapest(costs: list[list[int]]) -> list[int]:
     for i in range(1, n + 1):
         held[0], at = i, 0
         least: list[int | None] = [None] * (m + 1)
-        seen = [False] * (m + 1)
+        seen, free = [], list(range(1, m + 1))
+        # How far the search has moved: what is seen or least counts from where it stood then, so no step changes all columns.
+        moved, since = 0, []
         while held[at]:
-            seen[at] = True
-            row, delta, to = held[at], None, 0
-            for j in range(1, m + 1):
-                if seen[j]:
-                    continue
-                slack = costs[row - 1][j - 1] - of_row[row] - of_column[j]
-                if least[j] is None or slack < least[j]:
-                    least[j], way[j] = slack, at
-                if delta is None or least[j] < delta:
-                    delta, to = least[j], j
-            for j in range(m + 1):
-                if seen[j]:
-                    of_row[held[j]] += delta
-                    of_column[j] -= delta
-                elif j:
-                    least[j] -= delta
-            at = to
+            seen.append(at)
+            since.append(moved)
+            row, base, to, best = costs[held[at] - 1], of_row[held[at]] - moved, 0, None
+            for j in free:
+                slack = row[j - 1] - base - of_column[j]
+                now = least[j]
+                if now is None or slack < now:
+                    least[j], way[j], now = slack, at, slack
+                if best is None or now < best:
+                    best, to = now, j
+            moved, at = best, to
+            free.remove(to)
+        for j, then in zip(seen, since):
+            of_row[held[j]] += moved - then
+            of_column[j] -= moved - then
         while at:
             held[at], at = held[way[at]], way[at]
     return [j - 1 for _, j in sorted((held[j], j) for j in range(1, m + 1) if held[j])]
