@@ -60,7 +60,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> str:
         rows = spark.sql(CORPUS.replace("FROM supplier", "FROM {supplier}"), supplier=table(spark, sf_dir, "supplier"))
         broken = F.unhex(F.lit("FFFEFA"))
         rows = rows.select("path", F.when(F.col("kind") == 7, F.concat(broken, F.col("body").cast("binary"))).otherwise(F.col("body").cast("binary")).alias("body"))
-        rows.mapInArrow(lambda it: _write_files(it, root), "path string").count()
+        rows.repartition("path").mapInArrow(lambda it: _write_files(it, root), "path string").count()
 
     return _once(spark, sf_dir, "corpus", write)
 

@@ -1,7 +1,7 @@
 """The corpus tree as rows: inventory, first-seen duplicates, verified texts.
 
-``binaryFile`` reads files where they are; only columns that a step uses are read, so listings do
-not touch contents.  Listings are made by tasks, folder by folder, where Arrow opens the store; elsewhere Spark's own
+Listings are made by tasks, folder by folder, where Arrow opens the store, and tasks open the listed files themselves, so no
+name comes to the driver and a task reads many small files.  Elsewhere ``binaryFile`` reads files where they are, and Spark's own
 index of the tree is the only list of files that the driver holds.
 """
 
@@ -22,6 +22,8 @@ from finweave.sources.tables import staged
 
 BOM = "EFBBBF"
 YEARS = (1900, 2100)
+#: Bytes of contents after which a batch of files goes on.
+HELD = 1 << 22
 
 
 def relative(path: Column, root: str) -> Column:
@@ -100,6 +102,8 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """relative_path, length, content, modificationTime of every .txt below ``root``; a file that cannot be read fails the job."""
+    if opens(root):
+        return read_contents(list_files(spark, root)).select("relative_path", "length", "content", "modificationTime")
     files = _text_files(spark, root).where("length > 0").select(relative(_decoded(F.col("path")), root).alias("relative_path"), "length", "content", "modificationTime")
     empty = list_files(spark, root).where("length = 0").select("relative_path", "length", F.lit(b"").alias("content"), "modificationTime")
     return files.unionByName(empty)
@@ -176,7 +180,8 @@ def inventory_counts(documents: DataFrame, issues: DataFrame) -> DataFrame:
 def read_verified(spark: SparkSession, root: str, documents: DataFrame) -> DataFrame:
     """doc_id, relative_path, text of the ready documents; a file that changed since the inventory fails the job."""
     ready = documents.where("inventory_status = 'ready'").select("doc_id", "relative_path", F.col("sha256").alias("want_sha"), F.col("file_size_bytes").alias("want_size"), "encoding")
-    rows = scan_files(spark, root).join(ready, "relative_path")
+    # Names meet before contents are read.
+    rows = read_contents(list_files(spark, root).join(ready, "relative_path")) if opens(root) else scan_files(spark, root).join(ready, "relative_path")
     same = (F.col("length") == F.col("want_size")) & (F.sha2("content", 256) == F.col("want_sha"))
     body = F.when(F.col("encoding") == "utf-8-sig", F.expr("substring(content, 4)")).otherwise(F.col("content"))
     text = F.when(same, F.decode(body, "UTF-8")).otherwise(F.raise_error(F.concat(F.lit("source changed: "), "relative_path")))
@@ -184,26 +189,49 @@ def read_verified(spark: SparkSession, root: str, documents: DataFrame) -> DataF
 
 
 def _read_tolerant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A batch for each file, so a task holds one content at a time."""
+    """Batches of files of up to ``HELD`` bytes, or of one larger file, which is all a task holds at a time."""
+    def read(uri: str) -> tuple[bytes | None, str | None]:
+        try:
+            # Hadoop leaves letters beyond ASCII as they are, which Arrow takes for a broken URI.
+            fs, inner = pyarrow.fs.FileSystem.from_uri(quote(uri, safe="/:@%+"))
+            with fs.open_input_stream(inner) as f:
+                return f.read(), None
+        except OSError as error:
+            return None, f"read failure: {type(error).__name__} errno={error.errno}"
+
     for batch in batches:
-        for k, uri in enumerate(batch.column("path").to_pylist()):
-            content, why = None, None
-            try:
-                # Hadoop leaves letters beyond ASCII as they are, which Arrow takes for a broken URI.
-                fs, inner = pyarrow.fs.FileSystem.from_uri(quote(uri, safe="/:@%+"))
-                with fs.open_input_stream(inner) as f:
-                    content = f.read()
-            except OSError as error:
-                why = f"read failure: {type(error).__name__} errno={error.errno}"
-            others = [batch.column(n).slice(k, 1) for n in batch.schema.names]
-            yield pa.RecordBatch.from_arrays([*others, pa.array([content], pa.large_binary()).cast(pa.binary()), pa.array([why], pa.string())], names=[*batch.schema.names, "content", "read_issue"])
+        contents: list[bytes | None] = []
+        whys: list[str | None] = []
+        held, done, uris = 0, 0, batch.column("path").to_pylist()
+        for k, uri in enumerate(uris):
+            content, why = read(uri)
+            contents.append(content)
+            whys.append(why)
+            held += len(content or b"")
+            if held >= HELD or k == len(uris) - 1:
+                others = [batch.column(n).slice(done, k + 1 - done) for n in batch.schema.names]
+                yield pa.RecordBatch.from_arrays([*others, pa.array(contents, pa.binary()), pa.array(whys, pa.string())], names=[*batch.schema.names, "content", "read_issue"])
+                contents, whys, held, done = [], [], 0, k + 1
 
 
 def read_listed(paths: DataFrame, *kept: str) -> DataFrame:
     """(path) to path, kept columns, content, read_issue: a file that cannot be read becomes an issue and the scan goes on."""
-    columns = ["path", *kept]
-    schema = ", ".join(f"{c} string" for c in columns)
-    return paths.select(*columns).mapInArrow(_read_tolerant, f"{schema}, content binary, read_issue string")
+    paths = paths.select("path", *kept)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in paths.schema)
+    return paths.mapInArrow(_read_tolerant, f"{schema}, content binary, read_issue string")
+
+
+def read_contents(listed: DataFrame, gone: bool = False) -> DataFrame:
+    """Listed files (path and whatever else) with their content; one that cannot be read fails the job, but for those that are ``gone``, which are left out if so told.
+
+    Files are dealt to as many tasks as shuffles have, however many or small they are.
+    """
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = read_listed(listed.repartition(parts, "path"), *[c for c in listed.columns if c != "path"])
+    if gone:
+        read = read.where(~F.coalesce(F.startswith("read_issue", F.lit("read failure: FileNotFoundError")), F.lit(False)))
+    content = F.when(F.col("read_issue").isNull(), F.col("content")).otherwise(F.raise_error(F.concat_ws(" ", "path", "read_issue")).cast("binary"))
+    return read.withColumn("content", content).drop("read_issue")
 
 
 def content_profile(df: DataFrame, text: str = "text") -> DataFrame:
