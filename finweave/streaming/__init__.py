@@ -6,8 +6,12 @@ its path.  What a merge reads of the manifest are the rows that share a content
 ago they came; no watermark ends that.  A repeated micro-batch writes the same folder again.  After
 ``MERGES`` merges the log is written anew as one.
 
-Files without bytes are in no split of Spark's readers, and a path that came once does not come again when its file changes; so each
-update lists the tree after the stream and merges what the manifest lacks or has with another length or time.
+Where Arrow opens the store, tasks list the tree and append what the manifest lacks, or has with another length or time, to a log of
+arrivals; the stream reads that log and its tasks open the files.  So the driver never holds a list of files, which Spark's own
+source of files sends it several times in each run.
+
+In other stores the stream's source is Spark's.  There files without bytes are in no split of its readers, and a path that came once does not
+come again when its file changes; so each update lists the tree after the stream and merges what the manifest lacks or has otherwise.
 """
 
 from __future__ import annotations
@@ -18,12 +22,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finweave.functions import ids
-from finweave.sources.files import inspect, list_files, mark_duplicates, opens, parse_path, read_listed, relative, scan_files
+from finweave.sources.files import inspect, list_files, mark_duplicates, opens, parse_path, read_contents, relative, scan_files
+from finweave.sources import store
 from finweave.sources.tables import delete_folder, staged, staging
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 ROW = "relative_path string, company_code string, report_year int, statement_scope string, sha256 string, length long, encoding string, reason string, inventory_status string, notes array<string>, modified timestamp, number long"
+ARRIVAL = "relative_path string, path string, length long, modificationTime timestamp"
 MERGES = 32
+#: Parts of the log of arrivals that one micro-batch takes.
+PARTS = 16
 
 
 def _arriving(spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
@@ -91,26 +99,52 @@ def compact(spark: SparkSession, manifest: str, most: int = MERGES) -> None:
             delete_folder(spark, path)
 
 
-def _read(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
-    """Contents of listed files; one that cannot be read fails the job."""
-    if opens(root):
-        read = read_listed(listed.select("path", "relative_path"), "relative_path")
-        content = F.when(F.col("read_issue").isNull(), F.col("content")).otherwise(F.raise_error(F.concat_ws(" ", "relative_path", "read_issue")).cast("binary"))
-    else:
-        read, content = scan_files(spark, root), F.col("content")
-    return read.select("relative_path", content.alias("content")).join(listed.select("relative_path", "length", "modificationTime"), "relative_path")
+def _missing(spark: SparkSession, root: str, manifest: str) -> DataFrame:
+    """Listed files that the manifest lacks or has with another length or time."""
+    known = read_manifest_log(spark, manifest).select("relative_path", "length", F.col("modified").alias("_time"))
+    listed = list_files(spark, root)
+    same = [listed[c] == known[c] for c in ("relative_path", "length")] + [F.date_trunc("MILLISECOND", "modificationTime") == F.col("_time")]
+    return staged(listed.join(known, same, "left_anti"), "left-files")
+
+
+def _merged(stream: DataFrame, checkpoint: str, merge) -> None:
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def land(missing: DataFrame, log: str, most: int | None) -> None:
+    """Appends files to the log of arrivals in parts of which ``PARTS``, or ``most`` if that is less, hold at most ``most`` files."""
+    count = missing.count()
+    per = max(1, most // PARTS) if most else -(-count // PARTS)
+    if count:
+        # A quarter more parts than needed, as they come out a little uneven.
+        missing.select("relative_path", "path", "length", "modificationTime").repartition(-(-count * 5 // (per * 4))).write.option("maxRecordsPerFile", per).mode("append").parquet(log)
+
+
+def _arrivals(spark: SparkSession, log: str, most: int | None) -> DataFrame:
+    reader = spark.readStream.schema(ARRIVAL)
+    return (reader if most is None else reader.option("maxFilesPerTrigger", min(most, PARTS))).parquet(log)
+
+
+def _arrived(batch: DataFrame) -> DataFrame:
+    """Contents of a micro-batch's files, each once, by what was listed last; a file that has gone since is left out."""
+    last = batch.groupBy("relative_path").agg(F.max(F.struct("modificationTime", "length", "path")).alias("last"))
+    return read_contents(last.select("relative_path", "last.*"), gone=True)
 
 
 def update_inventory(spark: SparkSession, root: str, manifest: str, checkpoint: str, most: int | None = None) -> None:
     """Brings a manifest up to date with what has arrived below ``root``, in micro-batches of at most ``most`` files."""
-    merge = lambda files, number: merge_files(files.sparkSession, files.select("relative_path", "length", "content", "modificationTime"), manifest, f"s-{number:09d}")
-    _arriving(spark, root, most).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    known = read_manifest_log(spark, manifest).select("relative_path", "length", F.col("modified").alias("_time"))
-    listed = list_files(spark, root)
-    same = [listed[c] == known[c] for c in ("relative_path", "length")] + [F.date_trunc("MILLISECOND", "modificationTime") == F.col("_time")]
-    left = staged(listed.join(known, same, "left_anti"), "left-files")
-    if not left.isEmpty():
-        merge_files(spark, _read(spark, root, left), manifest, f"l-{uuid.uuid4().hex}")
+    merge = lambda read, name: lambda files, number: merge_files(files.sparkSession, read(files).select("relative_path", "length", "content", "modificationTime"), manifest, f"{name}-{number:09d}")
+    if opens(root):
+        log = f"{manifest.rstrip('/')}/arrivals"
+        land(_missing(spark, root, manifest), log, most)
+        if store.exists(spark, log):
+            _merged(_arrivals(spark, log, most), f"{checkpoint}/arrivals", merge(_arrived, "a"))
+    else:
+        _merged(_arriving(spark, root, most), checkpoint, merge(lambda files: files, "s"))
+        left = _missing(spark, root, manifest)
+        if not left.isEmpty():
+            read = scan_files(spark, root).select("relative_path", "content").join(left.drop("path"), "relative_path")
+            merge_files(spark, read, manifest, f"l-{uuid.uuid4().hex}")
     compact(spark, manifest)
 
 

@@ -295,4 +295,31 @@ def test_listing_takes_odd_names_and_folders(spark, tmp_path):
     rows = files.list_files(spark, str(tmp_path))
     assert {(r["relative_path"], r["length"]) for r in rows.collect()} == {("A B/2023/é %41+/x y#.txt", 3), ("A B/2023/empty/z.TXT", 0)}
     read = files.read_files(spark, str(tmp_path)).collect()
-    assert {(r["relative_path"], bytes(r["content"])) for r in read} == {("A B/2023/é %41+/x y#.txt", b"abc"), ("A B/2023/empty/z.TXT", b"")}
\ No newline at end of file
+    assert {(r["relative_path"], bytes(r["content"])) for r in read} == {("A B/2023/é %41+/x y#.txt", b"abc"), ("A B/2023/empty/z.TXT", b"")}
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    """Listing, streams and verified reads send the driver no more for more files: tasks do not grow with their number."""
+    root, manifest = tmp_path / "root", str(tmp_path / "manifest")
+    for k in range(100):
+        (root / f"S{k:03d}/2023/fs").mkdir(parents=True)
+        (root / f"S{k:03d}/2023/fs/a.txt").write_bytes(b"" if k == 7 else f"text {k}".encode())
+    documents = tables.staged(files.build_inventory(spark, str(root))[0], "documents")
+    tracker = spark.sparkContext.statusTracker()
+
+    def last_stage() -> int:
+        group = str(tmp_path) + str(next(marks))
+        spark.sparkContext.setJobGroup(group, group)
+        spark.sparkContext.parallelize([0], 1).count()
+        spark.sparkContext._jsc.clearJobGroup()
+        return max(s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds)
+
+    marks = itertools.count()
+    first = last_stage()
+    streaming.update_inventory(spark, str(root), manifest, str(tmp_path / "state"), most=100)
+    assert files.read_verified(spark, str(root), documents).count() == 99
+    sizes = [info.numTasks for i in range(first + 1, last_stage()) if (info := tracker.getStageInfo(i))]
+    # A batch takes 16 parts of the log; a task for each folder or file would be 100 and more.
+    assert sizes and max(sizes) <= 40
+    assert _told(*streaming.streamed_inventory(spark, manifest)) == _told(*files.build_inventory(spark, str(root)))
+    log = [spark.read.parquet(str(p)).count() for p in pathlib.Path(f"{manifest}/arrivals").glob("*.parquet")]
+    assert sum(log) == 100 and sum(sorted(log)[-streaming.PARTS:]) <= 100
