@@ -41,6 +41,19 @@ def read_bytes(spark: SparkSession, path: str) -> bytes:
         stream.close()
 
 
+def ends(spark: SparkSession, path: str, count: int) -> tuple[bytes, bytes]:
+    """The first and the last few bytes of a file of any size."""
+    where, fs = _at(spark, path)
+    size = fs.getFileStatus(where).getLen()
+    stream = fs.open(where)
+    try:
+        first = [stream.read() for _ in range(min(count, size))]
+        stream.seek(max(0, size - count))
+        return bytes(first), bytes([stream.read() for _ in range(min(count, size))])
+    finally:
+        stream.close()
+
+
 def sha256(spark: SparkSession, path: str) -> str:
     """Digest of a file of any size, read as a stream."""
     where, fs = _at(spark, path)

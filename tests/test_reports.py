@@ -323,3 +323,25 @@ def test_many_small_files_are_few_tasks(spark, tmp_path):
     assert _told(*streaming.streamed_inventory(spark, manifest)) == _told(*files.build_inventory(spark, str(root)))
     log = [spark.read.parquet(str(p)).count() for p in pathlib.Path(f"{manifest}/arrivals").glob("*.parquet")]
     assert sum(log) == 100 and sum(sorted(log)[-streaming.PARTS:]) <= 100
+
+
+def test_plain_csv_files_are_shared_by_tasks(spark, tmp_path, monkeypatch):
+    (tmp_path / "marked.csv").write_bytes(b"\xef\xbb\xbfk,v\n1,2\n")
+    with pytest.raises(tables.ContractError):
+        tables.read_strict_csv(spark, str(tmp_path / "marked.csv"), ("k", "v"))
+    path = str(tmp_path / "long.csv")
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("k"), F.concat(F.lit('a,"'), F.col("id").cast("string")).alias("v"))
+    tables.write_strict_csv(path, ("k", "v"), rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        read = tables.read_strict_csv(spark, path, ("k", "v"))
+        assert read.rdd.getNumPartitions() > 2
+        assert read.count() == 20_000 and read.exceptAll(rows).isEmpty()
+        # A field with a line end somewhere: the file is read whole and right.
+        broken = rows.withColumn("v", F.when(F.col("k") == "15000", F.lit("x\ny")).otherwise(F.col("v")))
+        tables.write_strict_csv(f"{path}2", ("k", "v"), broken)
+        read = tables.read_strict_csv(spark, f"{path}2", ("k", "v"))
+        assert read.count() == 20_000 and read.exceptAll(broken).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
