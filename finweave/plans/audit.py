@@ -16,12 +16,20 @@ TABLES_AFTER, MIN_COVERAGE, MAX_FALSE = 146_011, 0.90, 0.05
 CONTEXT_CELL, CONTEXT_TABLE = ("row_label_raw", "column_label_raw", "value_raw"), ("table_title_raw", "table_unit_raw")
 
 
+def _left_join(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """A left join for which rows without a key are dealt out by their other columns; they match nothing, and would all meet in one task."""
+    left = rows.withColumn("_key", F.coalesce(key, F.concat(F.lit("none "), F.xxhash64(*rows.columns).cast("string"))))
+    right = other.withColumnRenamed(key, "_other")
+    return left.join(right, (F.col("_key") == F.col("_other")) & F.col(key).isNotNull(), "left").drop("_key", "_other")
+
+
 def issue_context(issues: DataFrame, documents: DataFrame, tables: DataFrame, cells: DataFrame) -> DataFrame:
     """Issues with their document's, table's and cell's fields; lines come from the cell, or the table where there is none."""
     d = documents.select("doc_id", "company_code", "report_year")
     t = tables.select("table_id", "statement_type", F.col("title_raw").alias("table_title_raw"), F.col("unit_raw").alias("table_unit_raw"), F.col("line_start").alias("_ts"), F.col("line_end").alias("_te"))
     c = cells.select("cell_id", *CONTEXT_CELL, F.col("source_line_start").alias("_cs"), F.col("source_line_end").alias("_ce"))
-    rows = issues.withColumnRenamed("code", "issue_code").join(d, "doc_id").join(t, "table_id", "left").join(c, "cell_id", "left")
+    rows = issues.withColumnRenamed("code", "issue_code").join(d, "doc_id")
+    rows = _left_join(_left_join(rows, t, "table_id"), c, "cell_id")
     own = F.col("cell_id").isNull()
     return rows.withColumn("source_line_start", F.when(own, F.col("_ts")).otherwise(F.col("_cs"))).withColumn("source_line_end", F.when(own, F.col("_te")).otherwise(F.col("_ce"))).drop("_ts", "_te", "_cs", "_ce")
 

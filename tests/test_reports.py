@@ -345,3 +345,21 @@ def test_plain_csv_files_are_shared_by_tasks(spark, tmp_path, monkeypatch):
         assert read.count() == 20_000 and read.exceptAll(broken).isEmpty()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_issues_without_a_cell_are_dealt_out(spark):
+    n = 4000
+    issues = spark.range(n).select(F.lit("unit_unknown").alias("code"), F.lit("unit").alias("field"), F.lit("d").alias("doc_id"), F.col("id").cast("string").alias("table_id"), F.when(F.col("id") % 100 == 0, F.concat(F.lit("c"), "id")).alias("cell_id"), F.lit("x").alias("raw_value"))
+    documents = spark.createDataFrame([("d", "A", 2023)], "doc_id string, company_code string, report_year int")
+    shown = issues.select("table_id", F.lit(None).cast("string").alias("statement_type"), F.lit("t").alias("title_raw"), F.lit("u").alias("unit_raw"), F.lit(1).alias("line_start"), F.lit(2).alias("line_end"))
+    cells = issues.where("cell_id IS NOT NULL").select("cell_id", *[F.lit("v").alias(c) for c in audit.CONTEXT_CELL], F.lit(7).alias("source_line_start"), F.lit(8).alias("source_line_end"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        rows = audit.issue_context(issues, documents, shown, cells).withColumn("part", F.spark_partition_id()).select("part", "source_line_start", "cell_id").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == n and all(r["source_line_start"] == (7 if r["cell_id"] else 1) for r in rows)
+    assert max(sum(r["part"] == p for r in rows) for p in {r["part"] for r in rows}) < n / 2
