@@ -54,12 +54,12 @@ def cell_provenance(cells: DataFrame, lines: DataFrame) -> DataFrame:
     found = spans.join(each, ["doc_id", "_no"]).groupBy(*span).agg(F.sort_array(F.collect_list(F.struct("_no", "_line"))).alias("_lines"))
     whole = F.size("_lines") == c("source_line_end") - c("source_line_start") + 1
     found = found.where(whole).select(*span, F.array_join(c("_lines._line"), "\n").alias("source_excerpt"))
-    rows = cells.join(found, span, "left")
-    shown = unescape_html(F.regexp_replace("source_excerpt", r"(?i)<br\s*/?>", "\n"))
-    # Of cells at one place the first has it.
+    # Of cells at one place the first has it; places are judged before rows carry their excerpts.
     own = F.row_number().over(Window.partitionBy("table_id", "row_idx", "col_idx").orderBy("cell_id")) == 1
+    rows = cells.withColumn("_own", own).join(found, span, "left")
+    shown = unescape_html(F.regexp_replace("source_excerpt", r"(?i)<br\s*/?>", "\n"))
     in_table = c("source_line_start").between(c("line_start"), c("line_end")) & c("source_line_end").between(c("line_start"), c("line_end"))
-    return rows.withColumn("_shown", shown).withColumn("_own", own).withColumn("verified", F.coalesce(F.contains("_shown", "value_raw") & in_table & (c("cell_id") == ids.cell_id(c("table_id"), c("row_idx"), c("col_idx"))) & c("_own"), F.lit(False))).drop("_shown", "_own")
+    return rows.withColumn("_shown", shown).withColumn("verified", F.coalesce(F.contains("_shown", "value_raw") & in_table & (c("cell_id") == ids.cell_id(c("table_id"), c("row_idx"), c("col_idx"))) & c("_own"), F.lit(False))).drop("_shown", "_own")
 
 
 def table_usability(assessed: DataFrame, tables: DataFrame, audits: DataFrame) -> DataFrame:
