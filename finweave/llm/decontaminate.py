@@ -4,10 +4,9 @@ Documents are read once.  A task keeps the stretches of words around those n-gra
 table of the benchmark's n-grams lets through; they are written with the n-grams they hold.  From then on all
 are Spark joins on n-gram hashes and numbers of stretches, whatever the size of either table:
 
-1. the rarest n-grams of each item (by how often they stand in all documents) join stretches to items, and
-   the item is aligned with the words around them;
-2. pairs of a document and an item that this leaves undecided, and that share any other n-gram, are aligned
-   around all they share.
+1. the n-grams of each item join stretches to items, once, and the item is aligned with the words around its
+   rarest ones (by how often they stand in all documents);
+2. a stretch that this leaves undecided, and that shares any other n-gram, is aligned around all it shares.
 
 So no n-gram is left out: a pair counts exactly if an alignment around its shared n-grams reaches ``accept``;
 edits, gaps and replaced words lower the score but do not break it.  A window that holds too few of the item's
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finweave.llm.common import clean_text, discard, free_prefix, materialize, shingle_hashes, text_pieces, word_hashes
+from finweave.llm.common import clean_text, discard, free_prefix, materialize, scratch_scope, shingle_hashes, text_pieces, word_hashes
 
 SEED_WORDS = 3
 ACCEPT = 0.5
@@ -49,6 +48,8 @@ MAX_BITS = 2**26
 STRETCH_WORDS = 8192
 #: Rows to drop that a join may send to all tasks; more are shuffled.
 SENT = 1_000_000
+#: The benchmark's n-grams that a join may send to all tasks.
+SENT_SEEDS = 250_000
 #: Cells of the alignment computed at once.
 CELLS = 2_000_000
 
@@ -154,49 +155,66 @@ def _windows(shifts: np.ndarray, length: int, begin: int, n_words: int) -> Itera
         yield int(low[a]), int(high[b])
 
 
+def _best_alignments(item: np.ndarray, rows: list[int], shifts: pa.Array, words: pa.Array, begins: np.ndarray, accept: float) -> dict[int, tuple[float, int]]:
+    """Score and last word of the best alignment of ``rows`` around their ``shifts``, of those that reach ``accept``."""
+    owner, where, windows = [], [], []
+    for r in rows:
+        stretch, begin = words[r].values.to_numpy().view(np.uint64), int(begins[r])
+        for low, high in _windows(shifts[r].values.to_numpy(), len(item), begin, len(stretch)):
+            owner.append(r)
+            where.append(low)
+            windows.append(stretch[low - begin : high - begin])
+    if not windows:
+        return {}
+    # A score is at most MATCH for each of the window's words that the item has.
+    known = np.add.reduceat(np.isin(np.concatenate(windows), item), np.cumsum([0, *map(len, windows[:-1])]), dtype=np.int64)
+    enough = np.flatnonzero(known / len(item) >= accept).tolist()
+    # Equal passages are aligned once.
+    distinct: dict[bytes, int] = {}
+    which = [distinct.setdefault(windows[k].tobytes(), len(distinct)) for k in enough]
+    found, at = align(item, [np.frombuffer(w, np.uint64) for w in distinct])
+    out: dict[int, tuple[float, int]] = {}
+    for k, n in zip(enough, which):
+        score, end = float(found[n] / (MATCH * len(item))), int(where[k] + at[n])
+        if score >= accept and (owner[k] not in out or (score, -end) > (out[owner[k]][0], -out[owner[k]][1])):
+            out[owner[k]] = score, end
+    return out
+
+
 def align_batches(batches: Iterator[pa.RecordBatch], accept: float) -> Iterator[pa.RecordBatch]:
-    """Best alignment of each stretch with its item, if it reaches ``accept``."""
+    """Best alignment of each stretch with its item around the rarest n-grams, else around all they share, if it reaches ``accept``."""
     for batch in batches:
-        kept, scores, ends = [], [], []
-        words, items, shifts = (batch.column(c) for c in ("words", "item_words", "shifts"))
+        kept, scores, ends, rare = [], [], [], []
+        words, items, all_shifts, rare_shifts = (batch.column(c) for c in ("words", "item_words", "shifts", "rare_shifts"))
         begins, numbers = batch.column("begin").to_numpy(), batch.column("item").to_numpy()
+        n_all, n_rare = (np.asarray(c.value_lengths()) for c in (all_shifts, rare_shifts))
         for number in np.unique(numbers):
             mine = np.flatnonzero(numbers == number)
             item = items[int(mine[0])].values.to_numpy().view(np.uint64)
-            owner, where, windows = [], [], []
-            for r in mine.tolist():
-                stretch, begin = words[r].values.to_numpy().view(np.uint64), int(begins[r])
-                for low, high in _windows(shifts[r].values.to_numpy(), len(item), begin, len(stretch)):
-                    owner.append(r)
-                    where.append(low)
-                    windows.append(stretch[low - begin : high - begin])
-            # A score is at most MATCH for each of the window's words that the item has.
-            known = np.add.reduceat(np.isin(np.concatenate(windows), item), np.cumsum([0, *map(len, windows[:-1])]), dtype=np.int64)
-            enough = np.flatnonzero(known / len(item) >= accept).tolist()
-            # Equal passages are aligned once.
-            distinct: dict[bytes, int] = {}
-            which = [distinct.setdefault(windows[k].tobytes(), len(distinct)) for k in enough]
-            found, at = align(item, [np.frombuffer(w, np.uint64) for w in distinct])
-            for k, n in zip(enough, which):
-                score = float(found[n] / (MATCH * len(item)))
-                if score >= accept:
-                    kept.append(owner[k])
+            first = _best_alignments(item, mine[n_rare[mine] > 0].tolist(), rare_shifts, words, begins, accept)
+            rest = [r for r in mine[n_all[mine] > n_rare[mine]].tolist() if r not in first]
+            for is_rare, found in ((True, first), (False, _best_alignments(item, rest, all_shifts, words, begins, accept))):
+                for r, (score, end) in found.items():
+                    kept.append(r)
                     scores.append(score)
-                    ends.append(int(where[k] + at[n]))
+                    ends.append(end)
+                    rare.append(is_rare)
         index = pa.array(kept, pa.int64())
         keys = [batch.column(c).take(index) for c in ("row", "doc_id", "digest", "item")]
-        yield pa.RecordBatch.from_arrays([*keys, pa.array(scores, pa.float64()), pa.array(ends, pa.int64())], names=["row", "doc_id", "digest", "item", "score", "end_word"])
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(scores, pa.float64()), pa.array(ends, pa.int64()), pa.array(rare, pa.bool_())], names=["row", "doc_id", "digest", "item", "score", "end_word", "rare"])
 
 
 def _aligned(hits: DataFrame, stretches: DataFrame, items: DataFrame, accept: float) -> DataFrame:
-    """row, doc_id, digest, item, score, end_word of the pairs that count among ``hits`` (stretch, item, shift)."""
-    placed = hits.groupBy("stretch", "item").agg(F.collect_set("shift").alias("shifts"))
-    both = placed.join(stretches.select("stretch", "row", "doc_id", "digest", "begin", "words"), "stretch").join(items.select("item", F.col("words").alias("item_words")), "item")
+    """row, doc_id, digest, item, score, end_word of the pairs that count among ``hits`` (stretch, item, shift, rare)."""
+    placed = hits.groupBy("stretch", "item").agg(F.collect_set("shift").alias("shifts"), F.collect_set(F.when(F.col("rare"), F.col("shift"))).alias("rare_shifts"))
+    # The words are most of what is shuffled: they meet their hits once, and are not sorted for it.
+    both = stretches.select("stretch", "row", "doc_id", "digest", "begin", "words").join(placed.hint("shuffle_hash"), "stretch").join(items.select("item", F.col("words").alias("item_words")), "item")
     kind = dict(stretches.dtypes)["doc_id"]
-    found = both.select("row", "doc_id", "digest", "item", "begin", "words", "item_words", "shifts").mapInArrow(lambda it: align_batches(it, accept), f"row long, doc_id {kind}, digest long, item long, score double, end_word long")
-    # The best match of a pair, the first of equal ones.
-    best = F.max(F.struct("score", (-F.col("end_word")).alias("back"))).alias("best")
-    pairs = found.groupBy("row", "doc_id", "digest", "item").agg(best)
+    both = both.select("row", "doc_id", "digest", "item", "begin", "words", "item_words", "shifts", "rare_shifts")
+    found = both.mapInArrow(lambda it: align_batches(it, accept), f"row long, doc_id {kind}, digest long, item long, score double, end_word long, rare boolean")
+    # The best match of a pair, the first of equal ones; one around rare n-grams before all others.
+    match = F.struct("score", (-F.col("end_word")).alias("back"))
+    pairs = found.groupBy("row", "doc_id", "digest", "item").agg(F.coalesce(F.max(F.when(F.col("rare"), match)), F.max(match)).alias("best"))
     return pairs.select("row", "doc_id", "digest", "item", F.col("best.score").alias("score"), (-F.col("best.back")).alias("end_word"))
 
 
@@ -214,21 +232,16 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, accept: float) -> DataFrame:
     stretches = rows.mapInArrow(lambda it: stretch_batches(it, table.value, reach), schema)
     stretches = materialize(stretches.withColumn("stretch", F.monotonically_increasing_id()), "stretches")
 
-    places = stretches.select("stretch", "row", F.explode(F.arrays_zip("places", "seeds")).alias("hit"))
-    places = places.select("stretch", "row", F.col("hit.places").alias("at"), F.col("hit.seeds").alias("seed"))
+    places = stretches.select("stretch", F.explode(F.arrays_zip("places", "seeds")).alias("hit"))
+    places = places.select("stretch", F.col("hit.places").alias("at"), F.col("hit.seeds").alias("seed"))
     often = places.groupBy("seed").agg(F.count(F.lit(1)).alias("often"))
     rank = F.row_number().over(Window.partitionBy("item").orderBy("often", "place"))
-    # Written, so that the join can split an n-gram that very many documents have.
-    known = materialize(seeds.join(often, "seed").withColumn("rare", rank <= RAREST), "known-seeds")
-    hits = materialize(places.join(known, "seed").select("stretch", "row", "item", (F.col("at") - F.col("place")).alias("shift"), "rare"), "seed-hits")
-
-    first = materialize(_aligned(hits.where("rare"), stretches, items, accept), "rare-pairs")
-    # What is undecided and shares more than rare n-grams; it is aligned around all it shares.
-    more = hits.where(~F.col("rare")).select("row", "item").distinct().join(first.select("row", "item"), ["row", "item"], "left_anti")
-    more = materialize(more, "undecided")
-    rest = _aligned(hits.join(more, ["row", "item"], "left_semi"), stretches, items, accept)
-    out = materialize(first.unionByName(rest).join(items.select("item", "item_id"), "item").drop("item"), "benchmark-pairs")
-    discard(seeds, stretches, known, hits, first, more, items)
+    # Written, so that the join can split an n-gram that very many documents have; a benchmark's own n-grams may be few enough to be sent.
+    known = materialize(seeds.join(often, "seed").select("seed", "item", "place", (rank <= RAREST).alias("rare")), "known-seeds")
+    sent = F.broadcast(known) if known.count() <= SENT_SEEDS else known
+    hits = places.join(sent, "seed").select("stretch", "item", (F.col("at") - F.col("place")).alias("shift"), "rare")
+    out = materialize(_aligned(hits, stretches, items, accept).join(items.select("item", "item_id"), "item").drop("item"), "benchmark-pairs")
+    discard(seeds, stretches, known, items)
     return out
 
 
@@ -240,7 +253,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, accept: float = ACCEPT)
 def decontaminate(docs: DataFrame, benchmark: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """The rows of ``docs``, with all columns, that hold no benchmark item."""
     p = free_prefix(docs, "b_")
-    gone = materialize(_pairs(docs, benchmark, accept).select(F.col("doc_id").alias(f"{p}doc"), F.col("digest").alias(f"{p}digest")).distinct(), "benchmark-rows")
+    with scratch_scope(docs.sparkSession):
+        gone = materialize(_pairs(docs, benchmark, accept).select(F.col("doc_id").alias(f"{p}doc"), F.col("digest").alias(f"{p}digest")).distinct(), "benchmark-rows")
     gone = F.broadcast(gone) if gone.count() <= SENT else gone.hint("shuffle_hash")
     same = F.col("doc_id").eqNullSafe(F.col(f"{p}doc")) & (F.xxhash64(clean_text()) == F.col(f"{p}digest"))
     return docs.join(gone, same, "left_anti")

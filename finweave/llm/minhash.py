@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finweave.llm.common import clean_text, discard, free_prefix, materialize, mix64, shingle_hashes, text_pieces, word_hashes
+from finweave.llm.common import clean_text, discard, free_prefix, materialize, mix64, scratch_scope, shingle_hashes, text_pieces, word_hashes
 from finweave.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 24, 5
@@ -356,17 +356,18 @@ def near_duplicates(docs: DataFrame, weighted: bool = True) -> DataFrame:
 
 def keep_one(docs: DataFrame, weighted: bool = True) -> DataFrame:
     """One row of each class, with all its columns: the row with the smallest id (ties by text digest)."""
-    rows = classes(docs, weighted)
-    key = ["label"]
-    # Two plain minima instead of one over a struct: they aggregate before the shuffle.
-    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(*key, "doc_id").agg(F.min("row_hash").alias("row_hash"))
-    times = rows.groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("times"))
     # Names that no column of the caller has.
     p = free_prefix(docs, "k_")
     named = lambda c: F.col(f"{p}{c}")
-    kept = kept.select(F.col("doc_id").alias(f"{p}doc"), F.col("row_hash").alias(f"{p}hash"))
-    times = times.select(F.col("doc_id").alias("t_doc"), F.col("row_hash").alias("t_hash"), F.col("times").alias(f"{p}times"))
-    kept = kept.join(times, named("doc").eqNullSafe(F.col("t_doc")) & named("hash").eqNullSafe(F.col("t_hash"))).drop("t_doc", "t_hash")
+    # What is left of the search is one narrow row for each class.
+    with scratch_scope(docs.sparkSession):
+        rows = classes(docs, weighted)
+        # Two plain minima instead of one over a struct: they aggregate before the shuffle.
+        kept = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label", "doc_id").agg(F.min("row_hash").alias("row_hash"))
+        times = rows.groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("times"))
+        kept = kept.select(F.col("doc_id").alias(f"{p}doc"), F.col("row_hash").alias(f"{p}hash"))
+        times = times.select(F.col("doc_id").alias("t_doc"), F.col("row_hash").alias("t_hash"), F.col("times").alias(f"{p}times"))
+        kept = materialize(kept.join(times, named("doc").eqNullSafe(F.col("t_doc")) & named("hash").eqNullSafe(F.col("t_hash"))).drop("t_doc", "t_hash"), "kept-rows")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     found = docs.withColumn(f"{p}text", F.xxhash64(clean_text())).join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(named("doc")) & named("text").eqNullSafe(named("hash")))
     # Rows repeated in full are rare; only they pay for a deduplication by text digest.

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finweave.llm.common import clean_text, free_prefix, materialize, shuffle_partitions, unit_hash
+from finweave.llm.common import clean_text, free_prefix, materialize, scratch_scope, shuffle_partitions, unit_hash
 
 #: Words in the sense of the mix: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -150,6 +150,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Copies are dealt to distinct rows: equal rows stand as one whose copies are their sum.
     """
-    placed = placed_rows(docs, row_digest(docs), **options)
-    copies = placed.select("key", F.col("n_rows").alias("rows"), _crossings(F.col("place"), F.col("n_rows")).alias("copies"))
-    return copies_of(docs, copies.where("copies > 0"))
+    # What is left of the sampling is the copies of each row.
+    with scratch_scope(docs.sparkSession):
+        placed = placed_rows(docs, row_digest(docs), **options)
+        copies = placed.select("key", F.col("n_rows").alias("rows"), _crossings(F.col("place"), F.col("n_rows")).alias("copies"))
+        return copies_of(docs, copies.where("copies > 0"))

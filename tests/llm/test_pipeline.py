@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from finweave.llm import mixing, quality
+from finweave.llm import common, decontaminate, mixing, quality
 from test_results import brute_align, brute_classes, words
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
@@ -146,3 +146,29 @@ def test_equal_rows_share_their_copies(spark):
     assert len(mixed) * 6 == sum(r["taken"] for r in report)
     # 1.5 times 12000 words by weights 5 and 2, none above twice its 6000.
     assert (sum(r["source"] == "s" for r in mixed), sum(r["source"] == "t" for r in mixed)) == (2000, 1000)
+
+
+def test_stages_leave_one_narrow_table(spark, corpus, tmp_path, monkeypatch):
+    """What a stage wrote on its way is gone when it returns, though nobody discards it; its result still reads."""
+    monkeypatch.setattr(common, "shared_root", lambda _: str(tmp_path))
+    path, _, _ = corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    known = set()
+    for stage, kind in ((corpus_pipeline.near_duplicates, "kept-rows"), (corpus_pipeline.decontamination, "benchmark-rows"), (corpus_pipeline.mixing, "row-copies")):
+        out = stage(spark, docs, path)
+        left = {p.name for p in (tmp_path / "finweave").iterdir()} - known
+        assert [name.rsplit("-", 1)[0] for name in left] == [kind]
+        assert out.count() > 0
+        known |= left
+
+
+def test_stretches_are_shuffled_once(spark, corpus, monkeypatch):
+    """The words of stretches meet the rarest and all other shared n-grams in one join; the pairs are those of a benchmark that is not sent."""
+    path, _, _ = corpus
+    docs, bench = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "benchmark"))
+    calls, aligned = [], decontaminate._aligned
+    monkeypatch.setattr(decontaminate, "_aligned", lambda *a: calls.append(1) or aligned(*a))
+    found = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    assert found and calls == [1]
+    monkeypatch.setattr(decontaminate, "SENT_SEEDS", 0)
+    assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == found
