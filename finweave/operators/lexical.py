@@ -1,19 +1,18 @@
-"""Lexical retrieval: an inverted index as tables, and exact top-k with most postings left out.
+"""Lexical retrieval: an index as tables, and exact top-k without a shuffle of postings.
 
-The index is built without a shuffle of postings: every task writes the postings (term, facets, row number, id,
-times, length) of its documents sorted by term, in folders by a hash of the term, so a search reads the folders of
-its terms.  ``terms`` has each term's document frequency and the most that it can add to any document, but for its own
-weight.  Facets are the columns that a query may filter by.
+The index has a row for each document (facets, row number, id, length, and its terms with how often they stand in it), written by
+the tasks that read the texts, and each term's document frequency with the most that it can add to any document, but for its own weight.
+No posting is a row of its own, and nothing is sorted.  Facets are the columns that a query may filter by.
 
 A score is a sum of BM25 parts, each rounded down to a millionth, so it is a whole number and does not depend on
-the order of the sum.  A search goes from rare terms to frequent ones.  Sums over a query's rarest terms give a threshold: the
+the order of the sum.  While the queries' terms are at most ``SENT`` and the queries at most ``QUERIES``, they are sent to the tasks, and a task scores its documents
+against all queries and hands on its best ``k`` of each; only these are shuffled.  No text is read at query time.
+
+More queries are searched by joins.  These go from rare terms to frequent ones.  Sums over a query's rarest terms give a threshold: the
 k-th best of them is a lower bound of the k-th best score.  Terms whose bounds together stay below it cannot bring a document in by
 themselves, and these are the frequent ones; so only the postings of the others make candidates.  With the best of these scored in full the
 threshold rises, and candidates that the left-out terms' bounds cannot lift to it fall.  What is left gets its parts of
-the frequent terms.  The result equals scoring every document; no text is read at query time.
-
-The asked terms and the candidates are broadcast while they are at most ``SENT`` rows, which is counted first; beyond that the
-joins shuffle.
+the frequent terms.  Either result equals scoring every document.
 
 Edge cases: null and empty texts have no terms and are never found (they count as documents); a query
 without known terms, or whose filter fits nothing, has no rows; a null facet of a query does not filter; rows that share an id are found
@@ -22,8 +21,12 @@ apart; ties go to the smaller id (null last), then to the earlier row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +35,12 @@ from finweave.sources.tables import staged
 
 WORD = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
-#: A score's unit, postings that give a query's first threshold, folders of the postings.
-UNIT, SEEDS, SHARDS = 1e6, 20_000, 16
-#: Rows that are broadcast, at most.
-SENT = 500_000
+#: A score's unit, postings that give a query's first threshold.
+UNIT, SEEDS = 1e6, 20_000
+#: Rows that are broadcast, and queries that a task scores its documents against, at most.
+SENT, QUERIES = 500_000, 5_000
+#: Scores and parts of them that a task holds at once, about, and documents that it is given at once.
+CELLS, BATCH = 1_000_000, 1_000
 TOP = 30
 
 
@@ -43,12 +48,17 @@ TOP = 30
 class LexicalIndex:
     """The tables of an index, its facets, and the corpus's size and mean length."""
 
-    postings: DataFrame
+    documents: DataFrame
     terms: DataFrame
     facets: tuple[str, ...]
     n_docs: int
     mean_length: float
 
+    @property
+    def postings(self) -> DataFrame:
+        """A row for each term of each document."""
+        return self.documents.select("n", "id", *self.facets, "length", F.inline("counts"))
+
 
 def term_counts(text: Column) -> Column:
     """Array of (term, times) of a text's lower-case words; counted within the row, so that no word is shuffled."""
@@ -59,10 +69,6 @@ def term_counts(text: Column) -> Column:
     return steps(words, starts, counted)
 
 
-def _shard(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
-
-
 def _saturation(times: Column, length: Column, mean_length: float) -> Column:
     return times * F.lit(K1 + 1) / (times + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.lit(mean_length)))
 
@@ -75,14 +81,13 @@ def _sent(df: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", facets: tuple[str, ...] = ()) -> LexicalIndex:
     """Index of ``docs`` in the shared folder; one pass over the texts."""
     rows = docs.select(F.monotonically_increasing_id().alias("n"), F.col(key).alias("id"), *facets, term_counts(F.col(text)).alias("counts"))
-    rows = rows.withColumn("length", F.aggregate("counts", F.lit(0), lambda s, x: s + x["times"]))
-    postings = rows.select("n", "id", *facets, "length", F.inline("counts")).withColumn("shard", _shard(F.col("term"))).sortWithinPartitions("shard", "term", "n")
-    postings = staged(postings.select("term", *facets, "n", "id", "times", "length", "shard"), "lexical-postings", ("shard",))
-    n_docs, total = docs.count(), postings.agg(F.sum("times")).first()[0] or 0
+    rows = staged(rows.withColumn("length", F.aggregate("counts", F.lit(0), lambda s, x: s + x["times"])), "lexical-documents")
+    n_docs, total = rows.agg(F.count(F.lit(1)), F.sum("length")).first()
     mean = total / n_docs if total else 1.0
+    index = LexicalIndex(rows, rows, tuple(facets), n_docs, mean)
     most = F.max(_saturation(F.col("times"), F.col("length"), mean)).alias("most")
-    terms = staged(postings.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("n_docs"), most), "lexical-terms", ("shard",))
-    return LexicalIndex(postings, terms, tuple(facets), n_docs, mean)
+    terms = staged(index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), most), "lexical-terms")
+    return LexicalIndex(rows, terms, tuple(facets), n_docs, mean)
 
 
 def _part(idf: Column, saturation: Column) -> Column:
@@ -90,16 +95,16 @@ def _part(idf: Column, saturation: Column) -> Column:
 
 
 def query_terms(index: LexicalIndex, queries: DataFrame, key: str, text: str) -> DataFrame:
-    """q, query_id, filters, shard, term, asked (times), idf, n_docs, bound (the most that the term adds) of the known terms of every query."""
+    """q, query_id, filters, term, asked (times), idf, n_docs, bound (the most that the term adds) of the known terms of every query."""
     filters = [F.col(c).alias(f"f_{c}") if c in queries.columns else F.lit(None).cast("string").alias(f"f_{c}") for c in index.facets]
     rows = queries.select(F.monotonically_increasing_id().alias("q"), F.col(key).alias("query_id"), *filters, term_counts(F.col(text)).alias("counts"))
     # The number is made before the terms, in a step of its own.
     rows = rows.select("q", "query_id", *[f"f_{c}" for c in index.facets], F.inline("counts")).withColumnRenamed("times", "asked")
-    rows = staged(rows.withColumn("shard", _shard(F.col("term"))), "lexical-query")
+    rows = staged(rows, "lexical-query")
     idf = F.log(F.lit(1.0) + (F.lit(float(index.n_docs)) - F.col("n_docs") + F.lit(0.5)) / (F.col("n_docs") + F.lit(0.5)))
-    known = index.terms.join(_sent(rows), ["shard", "term"]).withColumn("idf", idf)
+    known = index.terms.join(_sent(rows), "term").withColumn("idf", idf)
     bound = (_part(F.col("idf"), F.col("most")) * F.col("asked")).alias("bound")
-    return staged(known.select("q", "query_id", *[f"f_{c}" for c in index.facets], "shard", "term", "asked", "idf", "n_docs", bound), "lexical-asked")
+    return staged(known.select("q", "query_id", *[f"f_{c}" for c in index.facets], "term", "asked", "idf", "n_docs", bound), "lexical-asked")
 
 
 def _parts(index: LexicalIndex, asked: DataFrame) -> DataFrame:
@@ -108,7 +113,7 @@ def _parts(index: LexicalIndex, asked: DataFrame) -> DataFrame:
     for c in index.facets:
         fits = fits & (F.col(f"f_{c}").isNull() | (F.col(f"f_{c}") == F.col(c)))
     part = _part(F.col("idf"), _saturation(F.col("times"), F.col("length"), index.mean_length)) * F.col("asked")
-    return index.postings.join(_sent(asked), ["shard", "term"]).where(fits).select("q", "query_id", "n", "id", part.alias("score"))
+    return index.postings.join(_sent(asked), "term").where(fits).select("q", "query_id", "n", "id", part.alias("score"))
 
 
 def _sums(parts: DataFrame) -> DataFrame:
@@ -151,15 +156,115 @@ def _parts_of(index: LexicalIndex, asked: DataFrame, documents: DataFrame) -> Da
     return _parts(index, asked).join(_sent(documents.select(F.col("q").alias("c_q"), F.col("n").alias("c_n"))), met, "left_semi")
 
 
+@dataclass(frozen=True)
+class Asked:
+    """The queries as tasks get them: distinct terms with their weights, the queries of each (``starts`` into ``query`` and ``times``), and filters."""
+
+    terms: pa.Array
+    idf: np.ndarray
+    starts: np.ndarray
+    query: np.ndarray
+    times: np.ndarray
+    q: np.ndarray
+    filters: tuple[tuple[pa.Array, np.ndarray], ...]
+
+
+def _asked(rows: pa.Table, facets: tuple[str, ...]) -> Asked:
+    """``query_terms`` by term; a query that does not filter by a facet has -2 there, others the number of its value."""
+    rows = rows.combine_chunks()
+    coded = rows.column("term").combine_chunks().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    q, first, query = np.unique(rows.column("q").to_numpy(), return_index=True, return_inverse=True)
+    _, of_term = np.unique(code, return_index=True)
+    starts = np.searchsorted(code[order], np.arange(len(of_term) + 1))
+    filters = []
+    for c in facets:
+        wanted = rows.column(f"f_{c}").combine_chunks().take(pa.array(first))
+        values = pc.unique(wanted.drop_null())
+        filters.append((values, pc.fill_null(pc.index_in(wanted, value_set=values, skip_nulls=True), -2).to_numpy(zero_copy_only=False)))
+    return Asked(coded.dictionary, rows.column("idf").to_numpy()[of_term], starts, query[order], rows.column("asked").to_numpy()[order].astype(np.int64), q, tuple(filters))
+
+
+def _first(rows: pa.Table, k: int) -> pa.Table:
+    """The best ``k`` rows of each query."""
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("q", "ascending"), ("score", "descending"), ("id", "ascending"), ("n", "ascending")], null_placement="at_end"))
+    q = rows.column("q").to_numpy()
+    return rows.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k))
+
+
+def best_batches(batches: Iterator[pa.RecordBatch], asked: Asked, facets: tuple[str, ...], mean_length: float, k: int) -> Iterator[pa.RecordBatch]:
+    """q, n, id, score of a task's best ``k`` documents of every query."""
+    kept, waiting, n_waiting = None, [], 0
+    n_q, per_term = len(asked.q), np.diff(asked.starts)
+    least = np.zeros(n_q, np.int64)
+    for batch in batches:
+        counts = batch.column("counts")
+        ends, flat = counts.offsets.to_numpy().astype(np.int64), counts.values
+        found = pc.index_in(flat.field("term"), value_set=asked.terms)
+        at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        term = found.drop_null().to_numpy(zero_copy_only=False)
+        times = flat.field("times").to_numpy(zero_copy_only=False)[at].astype(float)
+        doc = np.searchsorted(ends, at, "right") - 1
+        length = batch.column("length").to_numpy(zero_copy_only=False).astype(float)[doc]
+        part = np.floor(UNIT * asked.idf[term] * (times * (K1 + 1) / (times + K1 * ((1 - B) + B * length / mean_length)))).astype(np.int64)
+        facet = [pc.fill_null(pc.index_in(batch.column(c), value_set=values, skip_nulls=True), -1).to_numpy(zero_copy_only=False) for c, (values, _) in zip(facets, asked.filters)]
+        # Documents are taken so many at once that scores and parts have a bound (one document at least).
+        pairs = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=per_term[term], minlength=batch.num_rows))])
+        a = 0
+        while a < batch.num_rows:
+            b = min(batch.num_rows, max(a + 1, min(a + CELLS // n_q, int(np.searchsorted(pairs, pairs[a] + CELLS, "right")) - 1)))
+            mine = slice(*np.searchsorted(doc, [a, b]))
+            repeat = per_term[term[mine]]
+            which = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat - asked.starts[term[mine]], repeat)
+            cell = np.repeat(doc[mine] - a, repeat) * n_q + asked.query[which]
+            # Sums of whole numbers below 2**53 are exact.
+            score = np.bincount(cell, weights=np.repeat(part[mine], repeat) * asked.times[which], minlength=(b - a) * n_q).astype(np.int64).reshape(b - a, n_q)
+            fits = (np.bincount(cell, minlength=(b - a) * n_q) > 0).reshape(b - a, n_q)
+            for code, (_, wanted) in zip(facet, asked.filters):
+                fits &= (wanted == -2) | (code[a:b, None] == wanted)
+            if b - a > k:
+                least = np.maximum(least, np.partition(np.where(fits, score, 0), -k, axis=0)[-k])
+            row, query = np.nonzero(fits & (score >= least))
+            index = pa.array(row + a)
+            waiting.append(pa.table({"q": query, "n": batch.column("n").take(index), "id": batch.column("id").take(index), "score": score[row, query]}))
+            n_waiting += len(row)
+            if n_waiting > max(CELLS // 4, k * n_q):
+                kept = _first(pa.concat_tables([*([kept] if kept else []), *waiting]), k)
+                waiting, n_waiting = [], 0
+                q = kept.column("q").to_numpy()
+                full = np.bincount(q, minlength=n_q) == k
+                last = np.searchsorted(q, np.flatnonzero(full), "right") - 1
+                least[full] = np.maximum(least[full], kept.column("score").to_numpy()[last])
+            a = b
+    if kept or waiting:
+        kept = _first(pa.concat_tables([*([kept] if kept else []), *waiting]), k)
+        yield from kept.set_column(0, "q", pa.array(asked.q[kept.column("q").to_numpy()])).to_batches(BATCH)
+
+
+def _search_at_once(index: LexicalIndex, asked: DataFrame, k: int) -> DataFrame:
+    """q, query_id, n, id, score of each task's best documents; the queries' terms are sent."""
+    spark, facets, mean = asked.sparkSession, index.facets, index.mean_length
+    kinds = dict(index.documents.dtypes)
+    rows = asked.select("q", *[F.col(f"f_{c}").cast(kinds[c]).alias(f"f_{c}") for c in facets], "term", "asked", "idf").toArrow()
+    sent = spark.sparkContext.broadcast(_asked(rows, facets))
+    found = index.documents.select("n", "id", *facets, "length", "counts").mapInArrow(lambda it: best_batches(it, sent.value, facets, mean, k), f"q long, n long, id {kinds['id']}, score long")
+    return found.join(F.broadcast(asked.select("q", "query_id").distinct()), "q")
+
+
 def search(index: LexicalIndex, queries: DataFrame, k: int = TOP, key: str = "query_id", text: str = "text") -> DataFrame:
     """query_id, place, id, score of the best ``k`` documents of every query, exactly.
 
     ``queries`` may have columns of the facets' names, whose values filter.
     """
     asked = query_terms(index, queries, key, text)
-    sums, weak = candidates(index, asked, k)
-    more = _parts_of(index, weak, sums)
-    return _best(_sums(sums.unionByName(more)), k).select("query_id", "place", "id", "score")
+    size = asked.agg(F.count(F.lit(1)).alias("terms"), F.count_distinct("q").alias("queries")).first()
+    if 0 < size["terms"] <= SENT and size["queries"] <= QUERIES:
+        scored = _search_at_once(index, asked, k)
+    else:
+        sums, weak = candidates(index, asked, k)
+        scored = _sums(sums.unionByName(_parts_of(index, weak, sums)))
+    return _best(scored, k).select("query_id", "place", "id", "score")
 
 
 def table_documents(tables: DataFrame, documents: DataFrame, cells: DataFrame) -> DataFrame:

@@ -63,6 +63,21 @@ def test_lexical_equals_scoring_everything(spark, monkeypatch, sent):
     assert weak.count() > 0 and 0 < found.count() < lexical._sums(lexical._parts(index, terms)).count()
 
 
+def test_lexical_hands_on_only_the_best(spark, monkeypatch):
+    """Few queries meet documents in the tasks that hold them, a few at a time; the index has a row for each document and no posting is joined."""
+    monkeypatch.setattr(lexical, "candidates", None)
+    rng = random.Random(4)
+    docs, some = corpus(rng, 120)
+    queries = [(i, rng.choice(["en", "fr", None]), some(rng.randint(1, 12))) for i in range(8)] + [(90, None, "the same text w399 w1 w1")]
+    asked = spark.createDataFrame(queries, "query_id long, lang string, text string")
+    index = lexical.build_index(spark.createDataFrame(docs, "doc_id long, lang string, text string").repartition(2), facets=("lang",))
+    assert index.documents.count() == len(docs)
+    for cells in (1_000_000, 40):
+        monkeypatch.setattr(lexical, "CELLS", cells)
+        got = lexical.search(index, asked, k=4).collect()
+        assert sorted((tuple(r) for r in got), key=repr) == brute_bm25(docs, queries, 4)
+
+
 def test_lexical_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long, lang string, text string")
     index = lexical.build_index(none, facets=("lang",))
