@@ -75,7 +75,7 @@ DASHES = "—–"
 
 
 @lru_cache(maxsize=1)
-def _compatibility() -> tuple[dict[str, str], dict[str, str]]:
+def compatibility() -> tuple[dict[str, str], dict[str, str]]:
     """Characters whose compatibility form is ASCII (or a dash): of one character, and of several."""
     one, several = {}, {}
     for c in map(chr, range(0x80, 0x110000)):
@@ -90,7 +90,7 @@ def plain_forms(text: Column) -> Column:
 
     Of text that is ASCII after NFKC this is NFKC; other text keeps a character beyond ASCII by either.
     """
-    one, several = _compatibility()
+    one, several = compatibility()
     single = F.translate(text, "".join(one), "".join(one.values()))
     of = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
     each = F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(of, c), c)), "")

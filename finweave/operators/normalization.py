@@ -6,13 +6,16 @@ distinct label of a batch; nothing is shuffled for it.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finweave.functions import labels, numbers, periods, units
+from finweave.functions import labels, numbers, periods, told, units
 from finweave.functions.text import is_value_candidate, native_key, normalized_key, once
-from finweave.operators.extraction import OF_TABLE, cells_of, extract_tables, placed, tables_of, with_cell_id, with_table_id
-from finweave.sources.tables import staged
+from finweave.operators.extraction import CELL_VALUES, OF_TABLE, PIECE_ROWS, cells_of, extract_text, tables_of, texts_of, with_cell_id, with_table_id
 
 ISSUE_FIELDS = {
     "company_conflict": "company", "period_incomplete": "period", "period_ambiguous": "period", "period_invalid": "period", "statement_conflict": "statement_type", "metric_unknown": "metric",
@@ -63,29 +66,121 @@ def _judged_cells(rows: DataFrame) -> DataFrame:
     return rows.withColumn("row_label_canonical", F.col("metric")).withColumn("column_label_canonical", F.col("period")).drop("_u", "_number", "in_row", "number_hint")
 
 
-#: What the passes over texts keep of a document, and a cell's place in it.
-KEPT, PLACE = ("company_code", "report_year"), ("doc_id", *OF_TABLE, "row_idx", "col_idx")
-
-
-def cells_of_texts(keyed: DataFrame) -> DataFrame:
-    """The cells of ``normalize_extraction``, without identifiers, from an extraction of keyed cells: each has its table's and row's context, so nothing is joined or shuffled."""
-    cells = placed(keyed, "keyed_cell", *KEPT)
-    statement = labels.normalize_statement(F.coalesce("title_key", F.lit("")))["value"]
-    cells = cells.withColumns({"statement_type": statement, "table_unit_raw": F.col("unit_raw"), "table_unit_key": F.col("unit_key")})
-    return _judged_cells(cells.drop("title_raw", "title_key", "unit_raw", "unit_key", "company_code"))
-
-
-def normalize_texts(documents: DataFrame) -> DataFrame:
-    """Cells with their place of documents (doc_id, text, company_code, report_year), in one pass."""
-    return cells_of_texts(extract_tables(documents, ("keyed_cell",), KEPT))
-
-
-def issues_of_texts(documents: DataFrame) -> DataFrame:
-    """The distinct issues of documents as ``issues_of`` has them; they are made distinct by place, and identifiers come after that."""
-    keyed = staged(extract_tables(documents, ("keyed_table", "keyed_cell"), KEPT), "keyed")
-    tables = _judged_tables(placed(keyed, "keyed_table", *KEPT)).withColumns({c: F.lit(None).cast("int") for c in ("row_idx", "col_idx")})
-    found = _stacked(tables, TABLE_ISSUES, *PLACE).unionByName(_stacked(cells_of_texts(keyed), CELL_ISSUES, *PLACE)).distinct()
-    found = with_cell_id(with_table_id(found))
+#: A cell's place in its document, and what a pass over texts tells of cells and of issues.
+PLACE = ("doc_id", *OF_TABLE, "row_idx", "col_idx")
+OF_CELL = (
+    *PLACE, "row_label_raw", "column_label_raw", "value_raw", "source_line_start", "source_line_end", "extraction_confidence", "report_year", "statement_type", "row_first", "metric", "metric_issue",
+    "period", "period_issue", "is_value", "value_numeric", "number_issue", "unit", "unit_issue",
+)
+OF_ISSUE = (*PLACE, "field", "code", "raw_value")
+TYPES = {c: "int" for c in ("source_ordinal", "line_start", "line_end", "row_idx", "col_idx", "source_line_start", "source_line_end", "report_year")} | {"extraction_confidence": "double", "is_value": "boolean"}
+
+
+def _told(table: dict, year: int | None, statement: str | None, valued: bool = False) -> Iterator[tuple]:
+    """(cell, first label of its row, metric, its issue, period, whether it may be a value, number, its issue, unit) of a table's cells; where ``valued``, only of those with a number."""
+    unit_key = told.key_of(table["unit_raw"])
+    of_table, main = told.states_unit(unit_key), statement is not None and statement != "notes"
+    columns: dict[str | None, tuple] = {}
+    row, nothing = -1, (None, None)
+    # Cells come row by row, the first of a row before its others.
+    for c in table["cells"]:
+        label, column, raw = c["row_label_raw"], c["column_label_raw"], c["value_raw"]
+        if c["row_idx"] != row:
+            row, first = c["row_idx"], label
+            metric, unknown = told.metric_of(told.key_of(label))
+            odd = "metric_unknown" if unknown and main else None
+        else:
+            odd = None
+        if valued and (label is None or raw == label):
+            continue
+        if column not in columns:
+            key = told.key_of(column)
+            columns[column] = key, told.period_of(key, year), of_table or told.states_unit(key), told.unit_of(None, column, key, unit_key)
+        key, period, stated, usual = columns[column]
+        number, hint, issue, unit = None, None, None, nothing
+        if is_value := told.may_hold_value(raw, label, key):
+            number, hint, issue = told.number_of(raw)
+            if issue == "number_missing" and metric is None:
+                issue = None
+            if hint:
+                unit = told.unit_of(hint, column, key, unit_key)
+            elif stated or told.states_unit(told.key_of(raw)):
+                unit = usual
+        if number is not None or not valued:
+            yield c, first, metric, odd, period, is_value, number, issue, unit
+
+
+def _told_cells(found: dict, k: int, code: str | None, year: int | None, valued: bool) -> Iterator[tuple]:
+    """The rows ``OF_CELL`` of a document, the number of the document in its batch first; where ``valued``, only those with a number."""
+    for t in found["tables"]:
+        statement, _ = told.statement_of(told.key_of(t["title_raw"]))
+        place, confidence = (k, t["source_ordinal"], t["line_start"], t["line_end"]), t["quality_score"]
+        for c, first, metric, odd, period, is_value, number, issue, unit in _told(t, year, statement, valued):
+            yield (*place, *CELL_VALUES(c), confidence, year, statement, first, metric, odd, *period, is_value, number, issue, *unit)
+
+
+def _told_issues(found: dict, k: int, code: str | None, year: int | None) -> Iterator[tuple]:
+    """The rows ``OF_ISSUE`` of a document, the number of the document in its batch first."""
+    for t in found["tables"]:
+        title_key = told.key_of(t["title_raw"])
+        statement, conflict = told.statement_of(title_key)
+        place = (k, *(t[c] for c in OF_TABLE))
+        for field, issue in (("company", told.company_issue_of(code, title_key)), ("statement_type", conflict)):
+            if issue is not None:
+                yield (*place, None, None, field, issue, t["title_raw"])
+        for c, first, _, metric, (_, period), _, _, number, (_, unit) in _told(t, year, statement):
+            if metric or period or number or unit:
+                for field, issue, raw in (("metric", metric, first), ("period", period, c["column_label_raw"]), ("number", number, c["value_raw"]), ("unit", unit, c["value_raw"])):
+                    if issue is not None:
+                        yield (*place, c["row_idx"], c["col_idx"], field, issue, raw)
+
+
+def _told_batches(batches: Iterator[pa.RecordBatch], tell: Callable[..., Iterator[tuple]], names: tuple[str, ...], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: list[tuple] = []
+
+        def laid_out() -> pa.RecordBatch:
+            columns = dict(zip(names, zip(*rows)))
+            columns["doc_id"] = batch.column("doc_id").take(pa.array(columns["doc_id"], pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name != "doc_id" else columns["doc_id"].cast(f.type) for f in schema], schema=schema)
+
+        codes, years = batch.column("company_code").to_pylist(), batch.column("report_year").to_pylist()
+        for k, (text, code, year) in enumerate(zip(texts_of(batch), codes, years)):
+            rows += tell(extract_text("", text), k, code, year)
+            if len(rows) >= PIECE_ROWS:
+                yield laid_out()
+                rows = []
+        if rows:
+            yield laid_out()
+
+
+def _told_of(documents: DataFrame, tell: Callable[..., Iterator[tuple]], names: tuple[str, ...], wanted: tuple[str, ...]) -> DataFrame:
+    """What ``tell`` tells of documents (doc_id, text, company_code, report_year) in one pass: its columns ``names``, of which those that are ``wanted`` leave the pass."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    shape = StructType.fromDDL(", ".join(f"{c} {TYPES.get(c, 'string')}" for c in wanted))
+    schema = to_arrow_schema(shape)
+    kinds = {"doc_id": "string", "text": "string", "company_code": "string", "report_year": "int"}
+    return documents.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()]).mapInArrow(lambda it: _told_batches(it, tell, names, schema), shape)
+
+
+def normalize_texts(documents: DataFrame, wanted: tuple[str, ...] = OF_CELL, valued: bool = False) -> DataFrame:
+    """Cells with their place of documents (doc_id, text, company_code, report_year): what ``normalize_extraction`` tells of them, found together with them in one pass.
+
+    ``valued`` leaves out cells without a number.  Numbers leave the pass as decimal literals.
+    """
+    found = _told_of(documents, partial(_told_cells, valued=valued), OF_CELL, wanted)
+    return found.withColumn("value_numeric", F.col("value_numeric").cast(numbers.VALUE_TYPE)) if "value_numeric" in wanted else found
+
+
+def issues_of_texts(documents: DataFrame, repeated: bool = True) -> DataFrame:
+    """The distinct issues of documents as ``issues_of`` has them; they are made distinct by place, and identifiers come after that.
+
+    A document tells each of its issues once, so nothing is compared where no doc_id is ``repeated``.
+    """
+    found = _told_of(documents, _told_issues, OF_ISSUE, OF_ISSUE)
+    found = with_cell_id(with_table_id(found.distinct() if repeated else found))
     return found.withColumn("cell_id", F.when(F.col("row_idx").isNotNull(), F.col("cell_id"))).select(*ISSUE_COLUMNS)
 
 

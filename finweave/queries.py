@@ -391,7 +391,7 @@ def extraction_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.regexp_replace(odd, "(<td>Item 7</td><td>)[0-9]+", "$11.2.3")
     odd = F.regexp_replace(odd, "(<td>Item 6</td><td>)[0-9]+", "$11.234.56,7.8")
     reports = reports.withColumn("text", odd)
-    return profile.issue_shares(normalization.issues_of_texts(reports))
+    return profile.issue_shares(normalization.issues_of_texts(reports, repeated=False))
 
 
 @on_tables("occurrence_ledger", "SELECT 'canonical' AS status, count(DISTINCT l_orderkey) AS n FROM lineitem UNION ALL SELECT 'rejected', 0 UNION ALL SELECT 'duplicate', 0")
