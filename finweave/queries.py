@@ -373,7 +373,8 @@ CELLS = f"SELECT concat('doc_', CAST(l_orderkey AS STRING)) AS doc_id, CAST(r AS
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports to normalized value cells."""
     reports = order_reports(spark, sf_dir)
-    return normalization.normalize_texts(reports).where("value_numeric IS NOT NULL").select("doc_id", "row_idx", "col_idx", "row_label_raw", "period", "unit", F.col("value_numeric").cast("double").alias("value"))
+    names = ("doc_id", "row_idx", "col_idx", "row_label_raw", "period", "unit")
+    return normalization.normalize_texts(reports, (*names, "value_numeric"), valued=True).select(*names, F.col("value_numeric").cast("double").alias("value"))
 
 
 @on_tables("page_continuation", "SELECT concat('doc_', CAST(l_orderkey AS STRING)) AS doc_id, CAST(count(*) + 1 AS INT) AS row_count, 3 AS column_count, count(*) > 1 AS continued, CAST((count(*) + 1) * 3 AS BIGINT) AS n_placements FROM lineitem GROUP BY l_orderkey")

@@ -64,6 +64,7 @@ def test_texts_are_judged_as_their_extraction_is(spark):
     of = lambda rows, c: sorted(map(str, rows.select(*c).collect()))
     names = ["doc_id", "row_idx", "col_idx", "row_label_raw", "column_label_raw", "value_raw", "source_line_start", "source_line_end", "statement_type", "row_first", "metric", "metric_issue", "period", "period_issue", "is_value", "value_numeric", "number_issue", "unit", "unit_issue"]
     assert of(normalization.normalize_texts(documents), names) == of(cells, names)
+    assert of(normalization.normalize_texts(documents, valued=True), names) == of(cells.where("value_numeric IS NOT NULL"), names)
     told_ = of(issues, normalization.ISSUE_COLUMNS)
     assert of(normalization.issues_of_texts(documents, repeated=False), normalization.ISSUE_COLUMNS) == told_
     assert of(normalization.issues_of_texts(documents.unionByName(documents)), normalization.ISSUE_COLUMNS) == told_
@@ -83,6 +84,8 @@ def test_reports_need_one_shuffle_and_no_table_between(spark, tmp_path):
     rows = _lines(spark, tmp_path)
     kept = lambda: sum(len(files) for _, _, files in os.walk(spark.conf.get("spark.checkpoint.dir")))
     before = kept()
+    cells = queries.QUERIES["html_extraction"](spark, str(tmp_path))
+    assert _plan(cells).count("Exchange") == 1 and "Generate" not in _plan(cells) and cells.count() == 2 * len(rows)
     found = queries.QUERIES["extraction_issues"](spark, str(tmp_path))
     assert "hashpartitioning(doc_id" not in _plan(found) and "Generate" not in _plan(found)
     assert {r["code"]: r["n"] for r in found.collect()} == {"metric_unknown": sum(r[1] != 1 for r in rows), "number_invalid": sum(r[1] == 7 for r in rows), "number_ambiguous": sum(r[1] == 6 for r in rows)}
