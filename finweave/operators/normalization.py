@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from finweave.functions import labels, numbers, periods, told, units
 from finweave.functions.text import is_value_candidate, native_key, normalized_key, once
-from finweave.operators.extraction import CELL_VALUES, OF_TABLE, PIECE_ROWS, cells_of, extract_text, tables_of, texts_of, with_cell_id, with_table_id
+from finweave.operators.extraction import OF_TABLE, PIECE_ROWS, cells_of, extract_text, tables_of, texts_of, with_cell_id, with_table_id
 
 ISSUE_FIELDS = {
     "company_conflict": "company", "period_incomplete": "period", "period_ambiguous": "period", "period_invalid": "period", "statement_conflict": "statement_type", "metric_unknown": "metric",
@@ -77,16 +77,16 @@ TYPES = {c: "int" for c in ("source_ordinal", "line_start", "line_end", "row_idx
 
 
 def _told(table: dict, year: int | None, statement: str | None, valued: bool = False) -> Iterator[tuple]:
-    """(cell, first label of its row, metric, its issue, period, whether it may be a value, number, its issue, unit) of a table's cells; where ``valued``, only of those with a number."""
+    """(``LOCATED`` of a cell, first label of its row, metric, its issue, period, whether it may be a value, number, its issue, unit) of a table's cells; where ``valued``, only of those with a number."""
     unit_key = told.key_of(table["unit_raw"])
     of_table, main = told.states_unit(unit_key), statement is not None and statement != "notes"
     columns: dict[str | None, tuple] = {}
     row, nothing = -1, (None, None)
     # Cells come row by row, the first of a row before its others.
-    for c in table["cells"]:
-        label, column, raw = c["row_label_raw"], c["column_label_raw"], c["value_raw"]
-        if c["row_idx"] != row:
-            row, first = c["row_idx"], label
+    for cell in table["cells"]:
+        at, _, label, column, raw, _, _ = cell
+        if at != row:
+            row, first = at, label
             metric, unknown = told.metric_of(told.key_of(label))
             odd = "metric_unknown" if unknown and main else None
         else:
@@ -95,7 +95,7 @@ def _told(table: dict, year: int | None, statement: str | None, valued: bool = F
             continue
         if column not in columns:
             key = told.key_of(column)
-            columns[column] = key, told.period_of(key, year), of_table or told.states_unit(key), told.unit_of(None, column, key, unit_key)
+            columns[column] = key, told.period_of(key, year), of_table or told.states_unit(key), told.unit_of(column, None, key, unit_key)
         key, period, stated, usual = columns[column]
         number, hint, issue, unit = None, None, None, nothing
         if is_value := told.may_hold_value(raw, label, key):
@@ -103,11 +103,11 @@ def _told(table: dict, year: int | None, statement: str | None, valued: bool = F
             if issue == "number_missing" and metric is None:
                 issue = None
             if hint:
-                unit = told.unit_of(hint, column, key, unit_key)
+                unit = told.unit_of(column, hint, key, unit_key)
             elif stated or told.states_unit(told.key_of(raw)):
                 unit = usual
         if number is not None or not valued:
-            yield c, first, metric, odd, period, is_value, number, issue, unit
+            yield cell, first, metric, odd, period, is_value, number, issue, unit
 
 
 def _told_cells(found: dict, k: int, code: str | None, year: int | None, valued: bool) -> Iterator[tuple]:
@@ -115,8 +115,8 @@ def _told_cells(found: dict, k: int, code: str | None, year: int | None, valued:
     for t in found["tables"]:
         statement, _ = told.statement_of(told.key_of(t["title_raw"]))
         place, confidence = (k, t["source_ordinal"], t["line_start"], t["line_end"]), t["quality_score"]
-        for c, first, metric, odd, period, is_value, number, issue, unit in _told(t, year, statement, valued):
-            yield (*place, *CELL_VALUES(c), confidence, year, statement, first, metric, odd, *period, is_value, number, issue, *unit)
+        for cell, first, metric, odd, period, is_value, number, issue, unit in _told(t, year, statement, valued):
+            yield (*place, *cell, confidence, year, statement, first, metric, odd, *period, is_value, number, issue, *unit)
 
 
 def _told_issues(found: dict, k: int, code: str | None, year: int | None) -> Iterator[tuple]:
@@ -128,11 +128,11 @@ def _told_issues(found: dict, k: int, code: str | None, year: int | None) -> Ite
         for field, issue in (("company", told.company_issue_of(code, title_key)), ("statement_type", conflict)):
             if issue is not None:
                 yield (*place, None, None, field, issue, t["title_raw"])
-        for c, first, _, metric, (_, period), _, _, number, (_, unit) in _told(t, year, statement):
+        for (r, c, _, column, value, _, _), first, _, metric, (_, period), _, _, number, (_, unit) in _told(t, year, statement):
             if metric or period or number or unit:
-                for field, issue, raw in (("metric", metric, first), ("period", period, c["column_label_raw"]), ("number", number, c["value_raw"]), ("unit", unit, c["value_raw"])):
+                for field, issue, raw in (("metric", metric, first), ("period", period, column), ("number", number, value), ("unit", unit, value)):
                     if issue is not None:
-                        yield (*place, c["row_idx"], c["col_idx"], field, issue, raw)
+                        yield (*place, r, c, field, issue, raw)
 
 
 def _told_batches(batches: Iterator[pa.RecordBatch], tell: Callable[..., Iterator[tuple]], names: tuple[str, ...], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

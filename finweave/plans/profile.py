@@ -278,11 +278,11 @@ def extraction_totals(extracted: DataFrame) -> DataFrame:
 
 
 def nondeterministic(first: DataFrame, second: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Keys whose rows differ between two runs of a step, or that only one run has; a key's digest is a sum, so order is no matter."""
+    """Keys whose rows differ between two runs of a step, or that only one run has; a key's digest is a sum, so order is no matter, and the sums of equal runs cancel out."""
     row = lambda df: F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]))).cast("decimal(38,0)")
-    digest = lambda df, name: df.groupBy(key).agg(F.struct(n().alias("n"), F.sum(row(df)).alias("digest")).alias(name))
-    both = digest(first, "a").join(digest(second, "b"), key, "full_outer")
-    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select(key)
+    signed = lambda df, sign: df.select(key, F.lit(sign).alias("n"), (row(df) * sign).alias("digest"))
+    both = signed(first, 1).unionByName(signed(second, -1)).groupBy(key).agg(F.sum("n").alias("n"), F.sum("digest").alias("digest"))
+    return both.where((F.col("n") != 0) | (F.col("digest") != 0)).select(key)
 
 
 def seeded_sample(df: DataFrame, key: str, seed: str, k: int) -> DataFrame:

@@ -6,10 +6,11 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from finweave import queries
+from finweave import queries, release_queries  # noqa: F401  (registers its queries)
 from finweave.functions import labels, numbers, periods, told, units
 from finweave.functions.text import is_value_candidate, python_key
 from finweave.operators import extraction, normalization
+from finweave.plans import profile
 
 MARKS = ("0", "12", "345", "1.234", "1,5", "7" * 27, ".", ",", " ", " ", "(", ")", "-", "+", "%", "O", "o", "５", "．", "⁷", "⑴", "½", "—", "n/a", "x", " ", "\x1d", "đ", "")
 HEADERS = ("năm", "Năm ", "2023", "1999", "ngày ", "31/12/2023", "29/02/23", "29-2-2023", "1/13/24", "31/12/23", "0/0/0000", "quý ", "QUÝ", "iv", "II", "4", "5", "tháng ", "13", "/", "-", " ", "năm 2020", "(", ")", "Triệu đồng", "VND", "vnđ", "TỶ", "đơn vị tính: ", "ĐVT:", "Đơn vị:", "phần trăm", "%", "lần", "LAẦN", "İ", "đồng thau", "mã số", "STT", "note", "1.000 vnd", " ", "ﬁ", "x", "")
@@ -38,7 +39,7 @@ def test_rules_told_in_python_equal_the_columns(spark):
     got = rows.select("*", evident.alias("p"), units.has_unit_evidence(F.col("key")).alias("e"), units.resolve_unit(F.col("hint"), F.col("raw"), F.col("key"), F.col("whole")).alias("u"), is_value_candidate(F.lit("a"), F.col("label"), F.col("key")).alias("v"))
     for r in got.orderBy("i").collect():
         assert told.period_of(r["key"], r["year"]) == (tuple(r["p"]) if r["p"] else (None, None)), r
-        assert told.states_unit(r["key"]) == r["e"] and told.unit_of(r["hint"], r["raw"], r["key"], r["whole"]) == tuple(r["u"]), r
+        assert told.states_unit(r["key"]) == r["e"] and told.unit_of(r["raw"], r["hint"], r["key"], r["whole"]) == tuple(r["u"]), r
         assert told.may_hold_value("a", r["label"], r["key"]) == r["v"], r
 
     keys = [None, *dict.fromkeys(map(python_key, _made(rng, TITLES, 2000, 4)))]
@@ -90,3 +91,27 @@ def test_reports_need_one_shuffle_and_no_table_between(spark, tmp_path):
     assert "hashpartitioning(doc_id" not in _plan(found) and "Generate" not in _plan(found)
     assert {r["code"]: r["n"] for r in found.collect()} == {"metric_unknown": sum(r[1] != 1 for r in rows), "number_invalid": sum(r[1] == 7 for r in rows), "number_ambiguous": sum(r[1] == 6 for r in rows)}
     assert kept() == before
+
+
+def test_digests_tell_the_documents_whose_rows_differ(spark):
+    """One row for each document and run says what all rows of the extraction say."""
+    rng = random.Random(13)
+    base = [_report(rng) for _ in range(60)]
+    swaps = [("12", "13"), ("<td>", "<td >"), ("<td>", "<th>"), ("2023", "2022"), ("\n", "\n\n"), ("<table>", "<table><table>"), ("triệu", "tỷ"), ("\t5", "\t6"), (" colspan=2", ""), ("prose", "Prose"), ("</table>", "</table> ")]
+    texts = [(f"d{i}-{j}", t, t.replace(*swap)) for i, t in enumerate(base) for j, swap in enumerate([*swaps, ("", "")])]
+    texts = [(doc, a, a if doc.endswith(f"-{len(swaps)}") else b) for doc, a, b in texts]
+    rows = spark.createDataFrame(texts, "doc_id string, text string, again string")
+    first, second = rows.select("doc_id", "text"), rows.select("doc_id", F.col("again").alias("text")).where("doc_id <> 'd7-11'")
+    run = lambda parts: sorted(r["doc_id"] for r in profile.nondeterministic(extraction.extract_tables(first, *parts), extraction.extract_tables(second, *parts)).collect())
+    told_ = run([("digest",)])
+    assert told_ == run([]) and "d7-11" in told_ and len(base) < len(told_) < len(texts) - len(base)
+    extracted = extraction.extract_tables(first)
+    n = {r["doc_id"]: r["n_rows"] for r in extraction.extract_tables(first, ("digest",)).collect()}
+    assert n == {r["doc_id"]: r["count"] for r in extracted.groupBy("doc_id").count().collect()}
+
+
+def test_runs_meet_as_one_row_a_document(spark, tmp_path):
+    _lines(spark, tmp_path, 120)
+    odd = queries.QUERIES["extraction_is_deterministic"](spark, str(tmp_path))
+    plan = _plan(odd)
+    assert "Join" not in plan and "value_raw" not in plan and sorted(r["doc_id"] for r in odd.collect()) == ["doc_100", "doc_50"]
